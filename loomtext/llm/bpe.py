@@ -29,10 +29,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import flat_strings, parts_for, text_bytes
+from loomtext.llm.common import batches_of, flat_strings, parts_for, text_bytes
 
 #: Text bytes of a block, which one task holds in memory.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
+#: Bytes of ids that are decoded at once.
+PIECE_BYTES = 2 << 20
 #: Partitions of the distinct-word table, at least.
 WORD_PARTS = 48
 
@@ -232,7 +234,7 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def join_pieces(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(tokenizer_path)
-        for batch in rows:
+        for batch in batches_of(rows, "ids", PIECE_BYTES):
             column = batch.column("ids")
             data, offsets = flat_strings(column)
             ids = np.frombuffer(data.tobytes(), "<u4").astype(np.int64)
