@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from loomtext.llm.common import materialize, parts_for
 
 SEED = 42
-#: Members of a range of the Gray order, and the most ranges.
-NODE_ROWS, MAX_NODES = 4096, 1024
+#: Members of a range of the Gray order, and the least and most ranges.
+NODE_ROWS, LEAST_NODES, MAX_NODES = 8192, 64, 1024
 LEAF, FANOUT = 16, 4
 #: Frontier entries that a search holds at once.
 FRONTIER = 1 << 20
@@ -173,7 +173,7 @@ def index_links(words: DataFrame, limit: int, sketch_limit: int | None = None) -
     spark = words.sparkSession
     carried = ["s0", "s1"] if sketch_limit is not None else []
     n = words.count()
-    nodes = min(MAX_NODES, parts_for(n, NODE_ROWS))
+    nodes = min(MAX_NODES, parts_for(n, NODE_ROWS, LEAST_NODES))
     ranked = words.select("id", "word", *carried, gray_rank(F.col("word")).alias("rank"))
     ordered = ranked.repartitionByRange(nodes, "rank").sortWithinPartitions("rank")
     ordered = materialize(ordered.withColumn("node", F.spark_partition_id()).drop("rank"), "gray")
