@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import bpe, simhash
+from loomtext.llm import audio, bpe, simhash, suffixes, token_files, warc
 from loomtext.llm.common import read_table
 
 
@@ -22,13 +22,41 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove every 400-byte string that starts anywhere else too."""
+    cut = suffixes.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of 3-word SimHash fingerprints at two bits."""
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=3, max_bits=2)
 
 
+def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Convert every page through ARC to WARC archives and read them back."""
+    read = warc.read_archives(spark, warc.write_archives(read_table(spark, sf_dir, "pages")))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store every text as 8-bit samples, read it back and compute features."""
+    found = audio.features(audio.store_media(read_table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", audio.feature_digest().alias("feature"))
+
+
+def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all token ids as byte planes and read them back."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_files.document_digests(spark, token_files.write_token_files(read_table(spark, sf_dir, "documents"), path))
+
+
 QUERIES = {
     "op1_bpe_codec": op1_bpe_codec,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_simhash_near_duplicates": op4_simhash_near_duplicates,
+    "op5_arc_to_warc": op5_arc_to_warc,
+    "op6_audio_features": op6_audio_features,
+    "op8_token_planes": op8_token_planes,
 }
 ORACLES: dict[str, str] = {}
