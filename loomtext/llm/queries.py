@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import audio, bpe, simhash, suffixes, token_files, warc
+from loomtext.llm import ann, audio, bpe, kdtree, mixing, simhash, suffixes, token_files, warc
 from loomtext.llm.common import read_table
 
 
@@ -45,18 +45,37 @@ def op6_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", audio.feature_digest().alias("feature"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of every 50th vector by adaptive dimension scan."""
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all token ids as byte planes and read them back."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_files.document_digests(spark, token_files.write_token_files(read_table(spark, sf_dir, "documents"), path))
 
 
+def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mix all documents to their sources' targets."""
+    return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
+
+
+def op10_kdtree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Put all documents into 40 shards of near equal bytes."""
+    found = kdtree.assign(read_table(spark, sf_dir, "documents"), shards=40)
+    return found.select("doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
     "op1_bpe_codec": op1_bpe_codec,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_simhash_near_duplicates": op4_simhash_near_duplicates,
     "op5_arc_to_warc": op5_arc_to_warc,
     "op6_audio_features": op6_audio_features,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_token_planes": op8_token_planes,
+    "op9_entropy_mix": op9_entropy_mix,
+    "op10_kdtree_shards": op10_kdtree_shards,
 }
 ORACLES: dict[str, str] = {}
