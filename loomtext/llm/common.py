@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,46 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files that no live table needs any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def bitmap_of(values: DataFrame, column: str, size: int) -> np.ndarray:
+    """Bits at value modulo size (a power of two) of a column of longs, as bytes.
+
+    Built by tasks in slices; its size is fixed by the caller. A filter only: what passes
+    still has to be joined exactly.
+    """
+    slices = 16
+
+    def mark(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size // 8, np.uint8)
+        for batch in rows:
+            at = batch.column(0).to_numpy().view(np.uint64) & np.uint64(size - 1)
+            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        z = zstandard.ZstdCompressor(level=1)
+        yield pa.record_batch([pa.array(range(slices), pa.int32()), pa.array([z.compress(b.tobytes()) for b in bits.reshape(slices, -1)], pa.binary())], names=["slice", "bits"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        unz = zstandard.ZstdDecompressor()
+        out = np.zeros(size // 8 // slices, np.uint8)
+        for part in table["bits"].to_pylist():
+            out |= np.frombuffer(unz.decompress(part), np.uint8)
+        return pa.table({"slice": table["slice"][:1], "bits": pa.array([out.tobytes()], pa.binary())})
+
+    parts = values.select(F.col(column).cast("long")).mapInArrow(mark, "slice int, bits binary")
+    rows = parts.groupBy("slice").applyInArrow(merge, "slice int, bits binary").orderBy("slice").collect()
+    return np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8) if rows else np.zeros(size // 8, np.uint8)
+
+
+def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which 64-bit values have their bit set."""
+    at = values.view(np.uint64) & np.uint64(8 * len(bits) - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def make_dirs(spark: SparkSession, path: str) -> None:
     """Make a folder through Spark's own file systems."""
     jvm = spark.sparkContext._jvm

@@ -29,15 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import flat_strings, materialize, parts_for, text_bytes
+from loomtext.llm.common import bitmap_of, flat_strings, in_bitmap, materialize, parts_for, text_bytes, tidy
 
 LENGTH, WINDOW, GRAM = 400, 128, 16
-#: Rounds of recursion: names then span 3 ** (ROUNDS + 1) symbols.
-ROUNDS = 2
+#: Rounds of recursion: names then span 3 ** (ROUNDS + 1) symbols, over LENGTH bytes.
+ROUNDS = 1
+#: Bits of the filters of repeated hashes, at most (16 MB).
+FILTER_BITS = 1 << 27
 TEXT_BYTES = 16 << 20
 #: Two odd multipliers of the polynomial hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -103,11 +106,21 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, Hashe
 ANCHOR_SCHEMA = "d long, i int, x long, lo int, hi int, c0 long, c1 long"
 
 
-def _parse(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors of each text with their symbol and the hash of their strings' reach."""
+def _parser(filtered: Broadcast | None):
+    """Anchors of each text: symbols alone, or all columns of those in the filter."""
+
+    def parse(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _parse(rows, None if filtered is None else filtered.value)
+
+    return parse
+
+
+def _parse(rows: Iterator[pa.RecordBatch], bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
 
     def flush():
+        if bits is None:
+            return pa.record_batch([pa.array(np.concatenate(held).view(np.int64))], names=["x"])
         d, *columns = (np.concatenate(c) for c in zip(*held, strict=True))
         out = [pa.array(d), *[pa.array(c.astype(np.int32)) if k in (0, 2, 3) else pa.array(c.view(np.int64)) for k, c in enumerate(columns)]]
         return pa.record_batch(out, names=["d", "i", "x", "lo", "hi", "c0", "c1"])
@@ -119,8 +132,14 @@ def _parse(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if found is None:
                 continue
             at, lo, hi, hashes = found
-            reach = (hashes.of(lo, hi + LENGTH, k) for k in (0, 1))
-            held.append((np.full(len(at), d), np.arange(len(at)), hashes.of(at, at + LENGTH - WINDOW + 1, 0), lo, hi, *reach))
+            x = hashes.of(at, at + LENGTH - WINDOW + 1, 0)
+            if bits is None:
+                held.append(x)
+            else:
+                keep = np.flatnonzero(in_bitmap(bits, x))
+                lo, hi = lo[keep], hi[keep]
+                reach = (hashes.of(lo, hi + LENGTH, k) for k in (0, 1))
+                held.append((np.full(len(keep), d), keep, x[keep], lo, hi, *reach))
             size += len(at)
             if size > 100_000:
                 yield flush()
@@ -152,7 +171,7 @@ def numbered(df: DataFrame, keys: list[str], parts: int, name: str) -> DataFrame
 
     from pyspark.sql.types import LongType, StructField, StructType
 
-    local = materialize(ordered.mapInArrow(number, StructType([*ordered.schema.fields, StructField("_rank", LongType())])), "ranks")
+    local = materialize(ordered.mapInArrow(number, StructType([*ordered.schema.fields, StructField("_rank", LongType())])), "ranks", "lz4")
     counts = {r["_part"]: r["n"] for r in local.groupBy("_part").agg(F.max("_rank").alias("n")).collect()}
     spark, before, rows = df.sparkSession, 0, []
     for part in sorted(counts):
@@ -183,17 +202,17 @@ def suffix_ranks(symbols: DataFrame, rounds: int, parts: int) -> DataFrame:
     orders what lies between two neighbours of class 1. After `rounds` recursions equal
     names keep one rank: their first 3 ** (rounds + 1) symbols are equal.
     """
-    near = materialize(_following(symbols.select("d", "c", "i", "x"), {"x1": ("x", 1), "x2": ("x", 2)}, NONE), "triples")
+    near = materialize(_following(symbols.select("d", "c", "i", "x"), {"x1": ("x", 1), "x2": ("x", 2)}, NONE), "triples", "lz4")
     sampled = numbered(near.where("i % 3 <> 0"), ["x", "x1", "x2"], parts, "name")
     if rounds:
-        sampled = materialize(sampled.select("d", "c", "i", "name"), "names")
+        sampled = materialize(sampled.select("d", "c", "i", "name"), "names", "lz4")
         count = sampled.agg(F.count(F.lit(1)).alias("n"), F.max("name").alias("m")).first()
         if (count["m"] or 0) < count["n"]:
             shorter = sampled.select("d", (F.col("c") * 3 + F.col("i") % 3).cast("int").alias("c"), F.floor(F.col("i") / 3).cast("int").alias("i"), F.col("name").alias("x"))
             deeper = suffix_ranks(shorter, rounds - 1, parts)
             sampled = deeper.select("d", F.floor(F.col("c") / 3).cast("int").alias("c"), (F.col("i") * 3 + F.col("c") % 3).cast("int").alias("i"), F.col("r").alias("name"))
     joined = near.join(sampled.select("d", "c", "i", "name"), ["d", "c", "i"], "left")
-    ready = materialize(_following(joined, {"r1": ("name", 1), "r2": ("name", 2)}, 0), "ready")
+    ready = materialize(_following(joined, {"r1": ("name", 1), "r2": ("name", 2)}, 0), "ready", "lz4")
     # The place of each class-1 suffix among its own, and of the others between them.
     ones = numbered(ready.where("i % 3 = 1").select("d", "c", "i", "name"), ["name"], parts, "g").select("d", "c", "i", F.col("name"), "g")
     by_next = _spread_down(
@@ -232,7 +251,7 @@ def _spread_down(df: DataFrame, keys: list[str], parts: int) -> DataFrame:
             last = int(g[-1])
             yield batch.set_column(batch.schema.get_field_index("g"), "g", pa.array(g))
 
-    local = materialize(ordered.drop("_later").mapInArrow(fill, ordered.drop("_later").schema), "filled")
+    local = materialize(ordered.drop("_later").mapInArrow(fill, ordered.drop("_later").schema), "filled", "lz4")
     tops = {r["_part"]: r["g"] for r in local.groupBy("_part").agg(F.max("g").alias("g")).collect()}
     before, rows = 0, []
     for part in sorted(tops):
@@ -274,39 +293,76 @@ def candidates(ranked: DataFrame, parts: int) -> DataFrame:
     return ordered.mapInArrow(adjacent, "d long, i int")
 
 
+def _filter_bits(count: int) -> int:
+    """A filter's bits: sixteen for each value, as a power of two, up to FILTER_BITS."""
+    return min(FILTER_BITS, max(1 << 16, 1 << (16 * count).bit_length()))
+
+
+def _repeated(values: DataFrame, column: str):
+    """A filter of the column's values that occur more than once, for all tasks."""
+    spark = values.sparkSession
+    twice = materialize(values.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(column), "twice")
+    return spark.sparkContext.broadcast(bitmap_of(twice, column, _filter_bits(twice.count())))
+
+
 def repeated_starts(docs: DataFrame, parts: int) -> DataFrame:
-    """(d, lo, hi): runs of starts of LENGTH-byte strings that occur more than once."""
-    parsed = docs.select("d", "text").mapInArrow(_parse, ANCHOR_SCHEMA)
-    twice = parsed.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x")
-    alive = materialize(parsed.join(twice, "x"), "anchors")
+    """(d, lo, hi): runs of starts of LENGTH-byte strings that occur more than once.
+
+    Of equal texts the first alone is sorted: all starts of all of them are repeated.
+    """
+    spark = docs.sparkSession
+    size = F.octet_length("text")
+    digests = docs.where(size >= LENGTH).select("d", size.alias("n"), F.sha2(F.encode("text", "utf-8"), 256).alias("h"))
+    digests = materialize(digests, "digests")
+    equal = digests.groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min("d").alias("first")).where("copies > 1")
+    copies = materialize(digests.join(equal, "h").select("d", "n", "first"), "copies")
+    symbols = docs.select("d", "text").mapInArrow(_parser(None), "x long")
+    parsed = docs.select("d", "text").mapInArrow(_parser(_repeated(symbols, "x")), ANCHOR_SCHEMA)
+    alive = materialize(parsed.join(copies.where("d <> first").select("d"), "d", "left_anti"), "anchors", "lz4")
+    tidy(spark)
+    twice = alive.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x")
+    alive = materialize(alive.join(twice, "x"), "anchors", "lz4")
     ranked = suffix_ranks(alive.select("d", F.lit(0).alias("c"), "i", "x"), ROUNDS, parts)
-    found = materialize(alive.join(candidates(ranked, parts), ["d", "i"]).select("d", "lo", "hi", "x", "c0", "c1"), "candidates")
+    found = materialize(alive.join(candidates(ranked, parts), ["d", "i"]).select("d", "lo", "hi", "x", "c0", "c1"), "candidates", "lz4")
+    tidy(spark)
     # One anchor stands for all of an equal reach where others' strings are counted.
     reaches = found.groupBy("c0", "c1").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "lo", "hi", "x")).alias("one"))
-    reaches = materialize(reaches, "reaches")
+    reaches = materialize(reaches, "reaches", "lz4")
     whole = reaches.where("n > 1")
-    sure = found.join(whole.select("c0", "c1"), ["c0", "c1"]).select("d", "lo", "hi")
+    sure = materialize(found.join(whole.select("c0", "c1"), ["c0", "c1"]).select("d", "lo", "hi"), "sure")
     single = reaches.where("n = 1").select("one.*")
     stands = whole.select("one.*").join(single.select("x").distinct(), "x", "left_semi")
     unsure = single.unionByName(stands).groupBy("d").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-
-    def strings(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A 128-bit hash of each string of an unsure anchor."""
-        for batch in rows:
-            data, offsets = flat_strings(batch.column("text"))
-            for d, a, b, runs in zip(batch.column("d").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), batch.column("runs").to_pylist()):
-                hashes = Hashes(data[a:b])
-                s = np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in runs])
-                h0, h1 = (hashes.of(s, s + LENGTH, k).view(np.int64) for k in (0, 1))
-                for k in range(0, len(s), 50_000):
-                    cut = slice(k, k + 50_000)
-                    yield pa.record_batch([pa.array(np.full(len(s[cut]), d)), pa.array(s[cut].astype(np.int32)), pa.array(h0[cut]), pa.array(h1[cut])], names=["d", "lo", "h0", "h1"])
-
-    each = docs.select("d", "text").join(unsure, "d").mapInArrow(strings, "d long, lo int, h0 long, h1 long")
-    each = materialize(each, "strings")
+    tidy(spark)
+    texts = materialize(docs.select("d", "text").join(unsure, "d"), "unsure")
+    tidy(spark)
+
+    def strings(filtered: Broadcast | None):
+        def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """A hash of each string of an unsure anchor: 64 bits, or 128 if it passes the filter."""
+            for batch in rows:
+                data, offsets = flat_strings(batch.column("text"))
+                for d, a, b, runs in zip(batch.column("d").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), batch.column("runs").to_pylist()):
+                    hashes = Hashes(data[a:b])
+                    s = np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in runs])
+                    h0 = hashes.of(s, s + LENGTH, 0)
+                    if filtered is None:
+                        yield pa.record_batch([pa.array(h0.view(np.int64))], names=["h0"])
+                        continue
+                    keep = in_bitmap(filtered.value, h0)
+                    s, h0 = s[keep], h0[keep]
+                    h1 = hashes.of(s, s + LENGTH, 1)
+                    yield pa.record_batch([pa.array(np.full(len(s), d)), pa.array(s.astype(np.int32)), pa.array(h0.view(np.int64)), pa.array(h1.view(np.int64))], names=["d", "lo", "h0", "h1"])
+
+        return run
+
+    filtered = _repeated(texts.mapInArrow(strings(None), "h0 long"), "h0")
+    tidy(spark)
+    each = texts.mapInArrow(strings(filtered), "d long, lo int, h0 long, h1 long")
     again = each.groupBy("h0", "h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h0", "h1")
-    checked = each.join(again, ["h0", "h1"]).select("d", "lo", F.col("lo").alias("hi"))
-    return sure.unionByName(checked)
+    checked = materialize(each.join(again, ["h0", "h1"]).select("d", "lo"), "checked")
+    tidy(spark)
+    return sure.unionByName(checked.select("d", "lo", F.col("lo").alias("hi"))).unionByName(copies.select("d", F.lit(0).alias("lo"), (F.col("n") - LENGTH).cast("int").alias("hi")))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
