@@ -83,42 +83,64 @@ def _rare_words(text: str, path: str) -> list[str]:
         if k % 2:
             out.append(piece)
         elif piece:
-            piece = normal.normalize_str(piece)
+            piece = normal.normalize_str(piece) if normal else piece
             out += [piece[a:b] for _, (a, b) in whole.pre_tokenizer.pre_tokenize_str(piece)]
     return out
 
 
-def _packer(path: str):
+def pack_words(data: np.ndarray, lengths: np.ndarray) -> bytes:
+    """Words as one compressed string: their lengths, then their bytes."""
+    short = np.minimum(lengths, 255).astype(np.uint8)
+    head = np.array([len(lengths)], "<u4").tobytes() + short.tobytes() + lengths[lengths >= 255].astype("<u4").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + data.tobytes())
+
+
+def unpack_words(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and lengths of packed words."""
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    n = int(raw[:4].view("<u4")[0])
+    lengths = raw[4 : 4 + n].astype(np.int64)
+    long = np.flatnonzero(lengths == 255)
+    at = 4 + n + 4 * len(long)
+    lengths[long] = np.frombuffer(raw[4 + n : at].tobytes(), "<u4")
+    return raw[at:], lengths
+
+
+def _string_array(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    offsets = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def packer(path: str, closer: int, place):
+    """Compress each document's words; plain ones are closed by a byte, unusual ones split here.
+
+    `place` gives the block of each doc_id of a batch.
+    """
+
     def pack(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Compress each document's words; unusual texts are split here."""
-        z = zstandard.ZstdCompressor(level=1)
-        for batch in rows:
-            words = batch.column("words").fill_null("").cast(pa.binary()).to_pylist()
-            rare = batch.column("rare").to_pylist()
-            for k, odd in enumerate(rare):
-                if odd:
-                    words[k] = "".join(w + "\n" for w in _rare_words(words[k].decode(), path)).encode()
-            yield pa.record_batch(
-                [batch.column("doc_id"), batch.column("block"), pa.array([z.compress(w) for w in words], pa.binary())],
-                names=["doc_id", "block", "packed"],
-            )
+        for whole in rows:
+            for batch in batches_of([whole], "words", PIECE_BYTES):
+                data, offsets = flat_strings(batch.column("words"))
+                out = []
+                for a, b, odd in zip(offsets[:-1].tolist(), offsets[1:].tolist(), batch.column("rare").to_pylist(), strict=True):
+                    text = data[a:b]
+                    if odd:
+                        words = [w.encode() for w in _rare_words(text.tobytes().decode(), path)]
+                        out.append(pack_words(np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words))))
+                    else:
+                        ends = np.flatnonzero(text == closer)
+                        out.append(pack_words(text[text != closer], np.diff(ends, prepend=-1) - 1))
+                yield pa.record_batch([batch.column("doc_id"), place(batch), pa.array(out, pa.binary())], names=["doc_id", "block", "packed"])
 
     return pack
 
 
 def _block_words(packed: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of a block in order, and how many each document has."""
-    z = zstandard.ZstdDecompressor()
-    texts = [z.decompress(b) for b in packed.to_pylist()]
-    counts = np.fromiter((t.count(b"\n") for t in texts), np.int64, len(texts))
-    joined = b"".join(texts)
-    data = np.frombuffer(joined, np.uint8)
-    ends = np.flatnonzero(data == 10)
-    offsets = np.zeros(len(ends) + 1, np.int64)
-    offsets[1:] = ends + 1 - np.arange(1, len(ends) + 1)
-    kept = data[data != 10]
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
-    return words, counts
+    texts = [unpack_words(b) for b in packed.to_pylist()]
+    counts = np.fromiter((len(n) for _, n in texts), np.int64, len(texts))
+    return _string_array(np.concatenate([d for d, _ in texts]), np.concatenate([n for _, n in texts])), counts
 
 
 def _by_part(distinct: pa.Array, parts: int) -> dict[int, list[tuple[bytes, int]]]:
@@ -131,44 +153,34 @@ def _by_part(distinct: pa.Array, parts: int) -> dict[int, list[tuple[bytes, int]
     return out
 
 
-def encode(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES, word_parts: int = WORD_PARTS) -> DataFrame:
-    """(doc_id, ids) for every row: ids as little-endian unsigned 32-bit integers.
+def encode_blocks(dealt: DataFrame, blocks: int, tokenizer_path: str, finish, schema: str, word_parts: int = WORD_PARTS) -> DataFrame:
+    """Encode dealt rows (doc_id, block, packed) through the distinct-word table.
 
-    Equal to the tokenizers library's encode(text, add_special_tokens=False). Null text:
-    no ids. Ties, repeats and very long texts need no care: a text is never cut.
+    finish(block rows, ids, ids per row) makes the result of a block, with `schema`.
     """
-    _, size = text_bytes(docs)
-    blocks = parts_for(size, block_bytes)
     parts = max(word_parts, blocks)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(blocks)).cast("int").alias("block"),
-        unusual(text).alias("rare"),
-        F.when(unusual(text), text).otherwise(split_words(text)).alias("words"),
-    )
-    dealt = rows.mapInArrow(_packer(tokenizer_path), "doc_id long, block int, packed binary").repartition(blocks, "block")
 
     def vocabulary(table: pa.Table) -> pa.Table:
         """The distinct words of a block, packed by partition of the word table."""
         words, _ = _block_words(table["packed"].combine_chunks())
-        z = zstandard.ZstdCompressor(level=1)
         block = table["block"][0].as_py()
-        out = [(p, block, z.compress(b"\n".join(w for w, _ in ws))) for p, ws in _by_part(pc.unique(words), parts).items()]
+        out = []
+        for p, ws in _by_part(pc.unique(words), parts).items():
+            out.append((p, block, pack_words(np.frombuffer(b"".join(w for w, _ in ws), np.uint8), np.fromiter((len(w) for w, _ in ws), np.int64, len(ws)))))
         p, b, w = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"part": pa.array(p, pa.int32()), "block": pa.array(b, pa.int32()), "words": pa.array(w, pa.binary())})
 
     def encode_part(table: pa.Table) -> pa.Table:
         """Encode each distinct word of a partition once, then answer each block."""
         whole, _, _ = tokenizer_at(tokenizer_path)
-        z, unz = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        z = zstandard.ZstdCompressor(level=1)
         ids_of: dict[bytes, bytes] = {}
         answers = []
         for packed in table["words"].to_pylist():
-            words = unz.decompress(packed).split(b"\n")
+            words = _string_array(*unpack_words(packed)).to_pylist()
             fresh = [w for w in words if w not in ids_of]
-            for a in range(0, len(fresh), 20_000):
-                some = fresh[a : a + 20_000]
+            for a in range(0, len(fresh), 5_000):
+                some = fresh[a : a + 5_000]
                 for w, e in zip(some, whole.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
                     ids_of[w] = np.array(e.ids, "<u4").tobytes()
             ids = [ids_of[w] for w in words]
@@ -179,7 +191,8 @@ def encode(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES,
     def join_back(left: pa.Table, right: pa.Table) -> pa.Table:
         """Put the ids of a block's words at their positions."""
         if not left.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.binary())})
+            return finish(left, np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        left = left.sort_by("doc_id")
         words, counts = _block_words(left["packed"].combine_chunks())
         coded = words.dictionary_encode()
         unz = zstandard.ZstdDecompressor()
@@ -207,13 +220,35 @@ def encode(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES,
         flat = pool[np.repeat(starts[index] - total[:-1], each) + np.arange(total[-1])]
         ends = np.zeros(len(counts) + 1, np.int64)
         np.cumsum(counts, out=ends[1:])
-        offsets = total[ends] * 4
-        ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
-        return pa.table({"doc_id": left["doc_id"], "ids": ids.cast(pa.binary())})
+        return finish(left, flat, np.diff(total[ends]))
 
     pairs = dealt.groupBy("block").applyInArrow(vocabulary, "part int, block int, words binary")
     answers = pairs.repartition(min(parts, 4 * blocks + 8), "part").groupBy("part").applyInArrow(encode_part, "part int, block int, ids binary")
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(join_back, "doc_id long, ids binary")
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(join_back, schema)
+
+
+def encode(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES, word_parts: int = WORD_PARTS) -> DataFrame:
+    """(doc_id, ids) for every row: ids as little-endian unsigned 32-bit integers.
+
+    Equal to the tokenizers library's encode(text, add_special_tokens=False). Null text:
+    no ids. Ties, repeats and very long texts need no care: a text is never cut.
+    """
+    _, size = text_bytes(docs)
+    blocks = parts_for(size, block_bytes)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(blocks)).cast("int").alias("block"),
+        unusual(text).alias("rare"),
+        F.when(unusual(text), text).otherwise(split_words(text)).alias("words"),
+    )
+    dealt = rows.mapInArrow(packer(tokenizer_path, 10, lambda batch: batch.column("block")), "doc_id long, block int, packed binary").repartition(blocks, "block")
+
+    def finish(left: pa.Table, flat: np.ndarray, counts: np.ndarray) -> pa.Table:
+        ids = _string_array(np.ascontiguousarray(flat).view(np.uint8), counts * 4)
+        return pa.table({"doc_id": left["doc_id"], "ids": ids.cast(pa.binary())})
+
+    return encode_blocks(dealt, blocks, tokenizer_path, finish, "doc_id long, ids binary", word_parts)
 
 
 @functools.lru_cache(maxsize=4)

@@ -53,7 +53,8 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all token ids as byte planes and read them back."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return token_files.document_digests(spark, token_files.write_token_files(read_table(spark, sf_dir, "documents"), path))
+    folder = token_files.write_token_files(read_table(spark, sf_dir, "documents"), path)
+    return token_files.read_token_files(spark, folder, digest=True)
 
 
 def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,10 @@ with zstandard. An index at the end names the place of each plane and of each do
 
     b"TPLN1\\n" | planes ... | index (JSON, zstandard) | length of the index, 8 bytes
 
-Shape at scale. Texts are dealt once, by ranges of doc_id of about FILE_BYTES text, so
-tasks write whole files in order and file names sort as the ids do. The starts of files
-are sums over one row a file. Within a task each distinct word of a stretch of text is
-encoded once, by the tokenizers library.
+Shape at scale. Texts are dealt once, by ranges of doc_id of about FILE_BYTES text, and
+encoded by the tokenizers library through the distinct-word table of bpe.py; each range
+is written as one file, so file names sort as the ids do. The starts of files are sums
+over one row a file.
 
 Edge cases. A null text is empty and is the end id alone. Repeated doc_ids follow each
 other; a null doc_id comes first. Ids over 65,535 take four bytes. Extra columns are
@@ -18,7 +18,6 @@ ignored. An empty table writes no file and reads as an empty result.
 
 from __future__ import annotations
 
-import functools
 import json
 import zlib
 from collections.abc import Iterator
@@ -30,14 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import flat_strings, make_dirs, materialize, new_path, parts_for, text_bytes, write_blob
+from loomtext.llm import bpe
+from loomtext.llm.common import make_dirs, materialize, new_path, parts_for, text_bytes, write_blob
 
 MAGIC = b"TPLN1\n"
 BLOCK_IDS = 1 << 15
-#: Text bytes of a file, and of the stretch of text that is encoded at once.
-FILE_BYTES, STRETCH_BYTES = 16 << 20, 4 << 20
-#: Distinct words whose ids a worker keeps between stretches.
-KEPT_WORDS = 400_000
+#: Text bytes of a file, which is a block of the encoder.
+FILE_BYTES = 6 << 20
+#: Quantiles of doc_id that place files, at most; beyond, files divide them evenly.
+COARSE = 2048
 SEPARATOR = 0
 
 # The byte-level split rule, with white space below U+0300 spelled out.
@@ -104,130 +104,62 @@ def read_ids(content: bytes, index: dict, start: int, stop: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, "<u2")
 
 
-@functools.lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    import os
+def _bounds(docs: DataFrame, blocks: int) -> np.ndarray:
+    """Least doc_ids of the blocks but the first: quantiles, evenly divided past COARSE."""
+    coarse = min(blocks, COARSE)
+    if coarse < 2:
+        return np.zeros(0, np.int64)
+    cuts = [k / coarse for k in range(coarse + 1)]
+    got = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), F.array(*map(F.lit, cuts)), F.lit(10 * coarse)).alias("q")).first()["q"]
+    if not got:
+        return np.zeros(0, np.int64)
+    fine = -(-blocks // coarse)
+    steps = [np.linspace(a, b, fine, endpoint=False) for a, b in zip(got, got[1:])]
+    return np.unique(np.concatenate(steps).astype(np.int64))[1:]
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
-
-
-def encode_words(words: list[bytes], path: str) -> list[bytes]:
-    """Ids of each distinct word, as 32-bit integers; a worker keeps what it has encoded."""
-    tokenizer, known = _tokenizer(path)
-    if len(known) > KEPT_WORDS:
-        known.clear()
-    fresh = [w for w in words if w not in known]
-    for a in range(0, len(fresh), 20_000):
-        some = fresh[a : a + 20_000]
-        for w, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    return [known[w] for w in words]
-
-
-def encode_stretch(words: pa.Array, rare: list[bool], path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of a stretch of documents with the end id after each, and ids per document.
-
-    `words` has each text's words, closed by SEPARATOR; rare texts come as they are.
-    """
-    tokenizer, _ = _tokenizer(path)
-    data, offsets = flat_strings(words)
-    odd = np.flatnonzero(rare)
-    plain_rows = np.ones(len(words), bool)
-    plain_rows[odd] = False
-    inside = np.repeat(plain_rows, np.diff(offsets))
-    data_plain = data[inside] if len(odd) else data
-    ends = np.flatnonzero(data_plain == SEPARATOR)
-    lengths = np.diff(np.concatenate([[-1], ends])) - 1
-    cuts = np.zeros(len(ends) + 1, np.int64)
-    np.cumsum(lengths, out=cuts[1:])
-    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(cuts), pa.py_buffer(data_plain[data_plain != SEPARATOR])]).dictionary_encode()
-    parts = encode_words(coded.dictionary.to_pylist(), path)
-    sizes = np.fromiter((len(p) // 4 for p in parts), np.int64, len(parts))
-    pool = np.frombuffer(b"".join(parts), "<u4")
-    starts = np.cumsum(sizes) - sizes
-    index = coded.indices.to_numpy(zero_copy_only=False)
-    each = sizes[index]
-    total = np.zeros(len(index) + 1, np.int64)
-    np.cumsum(each, out=total[1:])
-    flat = pool[np.repeat(starts[index] - total[:-1], each) + np.arange(total[-1])]
-    # Words before each plain document, hence its ids.
-    sizes_plain = np.where(plain_rows, np.diff(offsets), 0)
-    stops = np.cumsum(sizes_plain)
-    per_doc = np.diff(np.concatenate([[0], total[np.searchsorted(ends, stops)]]))
-    whole = {}
-    for k in odd.tolist():
-        whole[k] = np.array(tokenizer.encode(data[offsets[k] : offsets[k + 1]].tobytes().decode(), add_special_tokens=False).ids, "<u4")
-        per_doc[k] = len(whole[k])
-    out = np.full(int(per_doc.sum()) + len(per_doc), end_id, "<u4")
-    firsts = np.cumsum(per_doc + 1) - per_doc - 1
-    body = np.ones(len(out), bool)
-    body[firsts + per_doc] = False
-    for k, ids in whole.items():
-        out[firsts[k] : firsts[k] + len(ids)] = ids
-        body[firsts[k] : firsts[k] + len(ids)] = False
-    out[body] = flat
-    return out, per_doc + 1
-
-
-def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, planes: str = "byte") -> str:
+def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, planes: str = "byte", file_text: int = FILE_BYTES) -> str:
     """Write all documents' ids in doc_id order; gives the folder of the files."""
     spark = docs.sparkSession
     _, size = text_bytes(docs)
     folder = new_path(spark, "tokens")
     make_dirs(spark, folder)
+    bounds = _bounds(docs, parts_for(size, file_text))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rare = text.rlike(r"[^\x{1}-\x{2ff}]|<\|")
     words = F.regexp_replace(text, f"({SPLIT_RULE})", "$1\0")
-    ordered = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-        .repartitionByRange(parts_for(size, FILE_BYTES), "doc_id")
-        .sortWithinPartitions("doc_id")
-        .select("doc_id", rare.alias("rare"), F.when(rare, text).otherwise(words).alias("words"), F.spark_partition_id().alias("part"))
-    )
-
-    def write(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, number, part = [], 0, 0, None
-
-        def close():
-            docs, counts, ids = zip(*held, strict=True)
-            name = f"part-{part:07d}-{number:05d}.tpl"
-            n = np.concatenate(counts)
-            write_blob(folder, name, file_bytes([x for d in docs for x in d], n, np.concatenate(ids), planes))
-            return pa.record_batch([pa.array([name]), pa.array([int(n.sum())])], names=["name", "ids"])
-
-        from loomtext.llm.common import batches_of
-
-        for batch in batches_of(rows, "words", STRETCH_BYTES):
-            part = batch.column("part")[0].as_py()
-            column = batch.column("words").fill_null("")
-            ids, counts = encode_stretch(column, batch.column("rare").to_pylist(), tokenizer_path, end_id)
-            held.append((batch.column("doc_id").to_pylist(), counts, ids))
-            size += len(flat_strings(column)[0])
-            if size > 2 * FILE_BYTES:
-                yield close()
-                held, size, number = [], 0, number + 1
-        if held:
-            yield close()
-
-    materialize(ordered.mapInArrow(write, "name string, ids long"), "token-files")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), rare.alias("rare"), F.when(rare, text).otherwise(words).alias("words"))
+
+    def place(batch: pa.RecordBatch) -> pa.Array:
+        ids = batch.column("doc_id").fill_null(-(1 << 63)).to_numpy()
+        return pa.array(np.searchsorted(bounds, ids, "right").astype(np.int32))
+
+    blocks = len(bounds) + 1
+    dealt = rows.mapInArrow(bpe.packer(tokenizer_path, SEPARATOR, place), "doc_id long, block int, packed binary").repartition(blocks, "block")
+
+    def finish(left: pa.Table, flat: np.ndarray, counts: np.ndarray) -> pa.Table:
+        """Add the end ids and write the block's file."""
+        if not left.num_rows:
+            return pa.table({"name": pa.array([], pa.string()), "ids": pa.array([], pa.int64())})
+        doc_ids = left["doc_id"].to_pylist()
+        nulls = doc_ids.count(None)
+        # Arrow sorts nulls last; they come first in the files.
+        order = np.concatenate([np.arange(len(counts) - nulls, len(counts)), np.arange(len(counts) - nulls)]) if nulls else np.arange(len(counts))
+        ends = np.cumsum(counts)
+        if nulls:
+            flat = np.concatenate([flat[ends[k] - counts[k] : ends[k]] for k in order])
+            counts, doc_ids = counts[order], [doc_ids[k] for k in order]
+        out = np.insert(flat, np.cumsum(counts), end_id)
+        name = f"part-{left['block'][0].as_py():010d}.tpl"
+        write_blob(folder, name, file_bytes(doc_ids, counts + 1, out, planes))
+        return pa.table({"name": pa.array([name]), "ids": pa.array([len(out)], pa.int64())})
+
+    materialize(bpe.encode_blocks(dealt, blocks, tokenizer_path, finish, "name string, ids long"), "token-files")
     return folder
 
 
-def read_token_files(spark, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids binary) from the files alone.
-
-    start counts the ids of all documents before it, ids are 32-bit little-endian.
-    """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tpl").load(folder)
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-
-    def totals(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            counts = [read_index(c)["ids"] for c in batch.column("content").to_pylist()]
-            yield pa.record_batch([batch.column("name"), pa.array(counts, pa.int64())], names=["name", "n"])
+def _unpack(digest: bool):
+    """Rows of each file: ids as 32-bit integers, or their checksum alone."""
 
     def unpack(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -238,30 +170,36 @@ def read_token_files(spark, folder: str) -> DataFrame:
                 for a in range(0, len(counts), 512):
                     b = min(a + 512, len(counts))
                     low = int(ends[a] - counts[a])
-                    raw = read_ids(content, index, low, int(ends[b - 1])).astype("<u4")
-                    cuts = np.concatenate([[low], ends[a:b]]) - low
-                    ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(cuts * 4), pa.py_buffer(raw)])
+                    raw = np.ascontiguousarray(read_ids(content, index, low, int(ends[b - 1])).astype("<u4")).view(np.uint8)
+                    cuts = (np.concatenate([[low], ends[a:b]]) - low) * 4
+                    parts = [raw[x:y].tobytes() for x, y in zip(cuts.tolist(), cuts[1:].tolist())]
+                    last = pa.array([zlib.crc32(p) for p in parts], pa.int64()) if digest else pa.array(parts, pa.binary())
                     yield pa.record_batch(
-                        [pa.array(index["docs"][a:b], pa.int64()), pa.array([file] * (b - a)), pa.array(ends[a:b] - counts[a:b]), pa.array(counts[a:b]), ids.cast(pa.binary())],
-                        names=["doc_id", "name", "local", "n_tokens", "ids"],
+                        [pa.array(index["docs"][a:b], pa.int64()), pa.array([file] * (b - a)), pa.array(ends[a:b] - counts[a:b]), pa.array(counts[a:b]), last],
+                        names=["doc_id", "name", "local", "n_tokens", "ids_crc32" if digest else "ids"],
                     )
 
-    # One row a file: sums over names, which sort as the documents do.
-    sums = files.select(name.alias("name"), "content").mapInArrow(totals, "name string, n long")
-    before = W.orderBy("name").rowsBetween(W.unboundedPreceding, -1)
-    starts = materialize(sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "file-starts").select("name", "before")
-    rows = files.select(name.alias("name"), "content").mapInArrow(unpack, "doc_id long, name string, local long, n_tokens long, ids binary")
-    return rows, starts
+    return unpack
 
 
-def document_digests(spark, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in the files."""
-    rows, starts = read_token_files(spark, folder)
+def read_token_files(spark, folder: str, digest: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids binary) from the files alone.
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            crcs = [zlib.crc32(i) for i in batch.column("ids").to_pylist()]
-            yield pa.record_batch([*batch.columns[:4], pa.array(crcs, pa.int64())], names=["doc_id", "name", "local", "n_tokens", "ids_crc32"])
+    start counts the ids of all documents before it; ids are 32-bit little-endian. With
+    `digest`, ids_crc32 stands in for ids.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tpl").load(folder)
+    named = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "content")
 
-    small = rows.mapInArrow(digest, "doc_id long, name string, local long, n_tokens long, ids_crc32 long")
-    return small.join(starts, "name").select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    def totals(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            counts = [read_index(c)["ids"] for c in batch.column("content").to_pylist()]
+            yield pa.record_batch([batch.column("name"), pa.array(counts, pa.int64())], names=["name", "n"])
+
+    # One row a file: sums over names, which sort as the documents do.
+    sums = materialize(named.mapInArrow(totals, "name string, n long"), "file-sums")
+    before = W.orderBy("name").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select("name", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    last = "ids_crc32" if digest else "ids"
+    rows = named.mapInArrow(_unpack(digest), f"doc_id long, name string, local long, n_tokens long, {last} {'long' if digest else 'binary'}")
+    return rows.join(starts, "name").select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", last)

@@ -34,23 +34,25 @@ def want_tokens(rows, path):
     return out
 
 
-def test_token_files_equal_library(spark, monkeypatch):
-    monkeypatch.setattr(token_files, "FILE_BYTES", 40_000)
-    monkeypatch.setattr(token_files, "STRETCH_BYTES", 9_000)
+def digests(df, path, **size):
+    return token_files.read_token_files(df.sparkSession, token_files.write_token_files(df, path, **size), digest=True)
+
+
+def test_token_files_equal_library(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(80).collect()]
     rows = [(900 - 3 * i, t) for i, t in enumerate([*ODD, *docs, "  two  blanks  ", "tab\t\tend \n", "a\x00b", "it's we'll 'x"])]
-    got = token_files.document_digests(spark, token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), path))
+    got = digests(spark.createDataFrame(rows, "doc_id long, text string"), path, file_text=40_000)
     assert sorted(tuple(r) for r in got.collect()) == want_tokens(rows, path)
 
 
 def test_token_files_empty_null_and_repeats(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     empty = spark.createDataFrame([], "doc_id long, text string")
-    assert token_files.document_digests(spark, token_files.write_token_files(empty, path)).count() == 0
+    assert digests(empty, path).count() == 0
     rows = [(2, "b b"), (None, "n"), (2, "b b"), (1, None)]
     df = spark.createDataFrame([(a, b, 1) for a, b in rows], "doc_id long, text string, words int")
-    got = [tuple(r) for r in token_files.document_digests(spark, token_files.write_token_files(df, path)).collect()]
+    got = [tuple(r) for r in digests(df, path).collect()]
     assert sorted(got, key=lambda r: r[1]) == want_tokens(rows, path)
 
 
