@@ -1,12 +1,66 @@
-"""The training-data pipeline: STAGES over documents, each on what its predecessor kept."""
+"""The training-data pipeline: STAGES over documents, each on what its predecessor kept.
+
+Every stage but the last takes and gives the columns of documents (doc_id, text, lang,
+source, n_chars); rows may miss any value. A row whose doc_id is null is kept by the
+stages that decide by doc_id.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loomtext.llm import bpe, importance, mixing, simhash, suffixes
 from loomtext.llm.common import materialize, read_table
 
-STAGES: list = []
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that the importance classifier samples as good."""
+    judged = importance.classify(docs, read_table(spark, sf_dir, "labels"))
+    return judged.where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest doc_id of each group of near copies (five words, 0.8)."""
+    groups = simhash.similar_documents(docs.select("doc_id", "text"), width=5)
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    rest = docs.where("doc_id is null")
+    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"]).unionByName(rest)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut every repeated 400-byte string out of the texts."""
+    cut = suffixes.remove_repeats(docs.where("doc_id is not null").select("doc_id", "text"))
+    cut = cut.where("n_removed > 0").select(F.col("doc_id").alias("_cut"), F.decode(F.col("kept"), "utf-8").alias("_text"))
+    joined = docs.join(cut, F.col("doc_id") == F.col("_cut"), "left")
+    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.col("_text"))
+    changed = joined.withColumn("text", text).withColumn("n_chars", F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("text")))
+    return changed.select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take each document as often as the entropy-balanced mix says."""
+    return mixing.take(docs, mixing.mix(docs))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row, and how many decode back."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids = bpe.decode(bpe.encode(docs, path), path)
+    return ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality_classifier", quality),
+    ("simhash_near_dedup", near_duplicates),
+    ("suffix_array_dedup", repeats),
+    ("mix_sources", mix),
+    ("bpe_encode", encode),
+]
+#: SQL cannot express the stages; tests compare them with brute force.
 ORACLE_SQL = None
 
 

@@ -7,8 +7,9 @@ curve fitted on the labelled sample calibrates it; Gumbel noise, fixed by the do
 added, and the k documents of the largest sums are kept, with k the expected number of
 good ones.
 
-N-grams are words without their outer symbols, runs of outer symbols, pairs of adjacent
-words, and marks for the share of repeated and of distinct words. The raw model is scaled
+N-grams are words without their outer symbols, their first four and five letters, runs of
+outer symbols, pairs of adjacent words, and marks for the share of repeated and of
+distinct words. The raw model is scaled
 so that the typical n-gram has ratio 1, and each ratio is shrunk by its own sampling
 error, so that a long document does not gather noise.
 
@@ -23,11 +24,12 @@ doc_id draws its noise like any other. Extra columns pass through.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,23 +42,36 @@ BUCKETS = 1 << 20
 SLICES = 64
 #: Labelled rows that are used, at most: the first by a hash of their doc_id.
 SAMPLE = 20_000
-#: Documents that a ratio must outweigh, and standard errors that are taken off it.
-PRIOR, ERRORS = 8.0, 3.0
+#: Documents that a ratio must outweigh, and the surprise below which it counts nothing.
+PRIOR, ERRORS = 3.0, 3.0
 MARGIN = 12.0
+#: Shares of words equal to the one before that are marked.
+REPEATED = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 SYMBOLS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def _word_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of each word's core and of its outer symbols (-1: none)."""
-    coded = pa.array(words, pa.large_string()).dictionary_encode()
-    core, outer = [], []
+def _word_codes(words: pa.Array) -> np.ndarray:
+    """(words, 4) buckets of each word's core, its first four and five letters and its
+    outer symbols; -1 where it has none."""
+    coded = words.dictionary_encode()
+    rows = []
     for w in coded.dictionary.to_pylist():
         c = w.strip(SYMBOLS)
-        core.append(zlib.crc32(c.encode()) % BUCKETS if c else -1)
         rest = w.replace(c, "", 1) if c else w
-        outer.append(zlib.crc32(b"\x01" + rest.encode()) % BUCKETS if rest else -1)
-    index = coded.indices.to_numpy(zero_copy_only=False)
-    return np.array(core, np.int64)[index], np.array(outer, np.int64)[index]
+        k = c.encode()
+        rows.append((
+            crc32(k) % BUCKETS if c else -1,
+            crc32(b"\x02" + c[:4].encode()) % BUCKETS if len(c) > 4 else -1,
+            crc32(b"\x03" + c[:5].encode()) % BUCKETS if len(c) > 5 else -1,
+            crc32(b"\x01" + rest.encode()) % BUCKETS if rest else -1,
+        ))
+    return np.array(rows, np.int64).reshape(-1, 4)[coded.indices.to_numpy(zero_copy_only=False)]
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values in order, by sorting."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
 
 
 def _mark(kind: int, share: np.ndarray, long: np.ndarray) -> np.ndarray:
@@ -64,24 +79,31 @@ def _mark(kind: int, share: np.ndarray, long: np.ndarray) -> np.ndarray:
     return (tenths * 2_654_435_761) % BUCKETS
 
 
-def gram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def gram_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(document, bucket) of the distinct n-grams of each text, pairs in a second range."""
-    words = [t.lower().split() for t in texts]
-    counts = np.fromiter(map(len, words), np.int64, len(words))
-    if not counts.sum():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    core, outer = _word_codes([w for ws in words for w in ws])
+    lists = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+    counts = np.diff(lists.offsets.to_numpy())
+    words = lists.flatten()
     doc = np.repeat(np.arange(len(texts)), counts)
+    full = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+    words, doc = words.filter(pa.array(full)), doc[full]
+    counts = np.bincount(doc, minlength=len(texts))
+    if not len(doc):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes = _word_codes(words)
+    core = codes[:, 0]
     pair = (core[:-1] * 1_000_003 + core[1:] * 7_919 + 12_345) % BUCKETS + BUCKETS
     adjacent = (doc[1:] == doc[:-1]) & (core[1:] >= 0) & (core[:-1] >= 0)
     same = np.bincount(doc[1:][(doc[1:] == doc[:-1]) & (core[1:] == core[:-1])], minlength=len(texts))
     full = np.flatnonzero(counts)
-    distinct = np.bincount(np.unique(doc * BUCKETS + np.maximum(core, 0)) // BUCKETS, minlength=len(texts))
+    distinct = np.bincount(_distinct(doc * BUCKETS + np.maximum(core, 0)) // BUCKETS, minlength=len(texts))
     size = np.minimum(3, np.log2(counts[full]).astype(np.int64) // 3)
-    rows = np.concatenate([doc[core >= 0], doc[outer >= 0], doc[1:][adjacent], full, full])
-    marks = [_mark(1, same[full] / counts[full], size), _mark(2, distinct[full] / counts[full], size)]
-    buckets = np.concatenate([core[core >= 0], outer[outer >= 0], pair[adjacent], *marks])
-    both = np.unique(rows * (2 * BUCKETS) + buckets)
+    share = same[full] / counts[full]
+    above = [share >= t for t in REPEATED]
+    marks = [_mark(2, distinct[full] / counts[full], size), *[_mark(1, np.full(int(a.sum()), t), np.int64(0)) for a, t in zip(above, REPEATED, strict=True)]]
+    rows = np.concatenate([*[doc[c >= 0] for c in codes.T], doc[1:][adjacent], full, *[full[a] for a in above]])
+    buckets = np.concatenate([*[c[c >= 0] for c in codes.T], pair[adjacent], *marks])
+    both = _distinct(rows * (2 * BUCKETS) + buckets)
     return both // (2 * BUCKETS), both % (2 * BUCKETS)
 
 
@@ -98,7 +120,7 @@ def count_models(docs: DataFrame, good_ids: np.ndarray) -> tuple[np.ndarray, np.
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, good = np.zeros(2 * BUCKETS, np.int32), np.zeros(2 * BUCKETS, np.int32)
         for batch in batches_of(rows, "text", 4 << 20):
-            doc, bucket = gram_buckets(batch.column("text").fill_null("").to_pylist())
+            doc, bucket = gram_buckets(batch.column("text").fill_null(""))
             raw += np.bincount(bucket, minlength=2 * BUCKETS).astype(np.int32)
             mine = np.isin(batch.column("doc_id").fill_null(-1).to_numpy(), good_ids)
             good += np.bincount(bucket[mine[doc]], minlength=2 * BUCKETS).astype(np.int32)
@@ -132,8 +154,11 @@ def log_ratios(raw: np.ndarray, good: np.ndarray) -> np.ndarray:
     scale = float(np.median(seen / raw[common & (good > 0)]))
     expected = raw * scale
     ratio = np.log((good + PRIOR) / (expected + PRIOR))
-    error = np.sqrt(1 / (np.minimum(good, expected) + PRIOR))
-    return (np.sign(ratio) * np.maximum(0, np.abs(ratio) - ERRORS * error)).astype(np.float32)
+    # Signed root of the Poisson deviance of what is seen from what is expected.
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.where(good > 0, good * np.log(np.maximum(good, 1) / np.maximum(expected, 1e-9)), 0.0)
+    surprise = np.sqrt(np.maximum(0.0, 2 * (gain - good + expected)))
+    return (ratio * np.maximum(0.0, 1 - ERRORS / np.maximum(surprise, 1e-9))).astype(np.float32)
 
 
 def weighed(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
@@ -144,7 +169,7 @@ def weighed(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
 
     def score(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(rows, "text", 4 << 20):
-            doc, bucket = gram_buckets(batch.column("text").cast(pa.string()).fill_null("").to_pylist())
+            doc, bucket = gram_buckets(batch.column("text").cast(pa.string()).fill_null(""))
             weights = np.bincount(doc, model.value[bucket], minlength=batch.num_rows).astype(np.float64)
             yield pa.record_batch([*batch.columns, pa.array(weights)], names=[*batch.schema.names, "log_weight"])
 
@@ -175,7 +200,7 @@ def gumbel(doc_id: Column, seed: int = 1) -> Column:
     return -F.log(-F.log(u))
 
 
-def kth_largest(keys: DataFrame, k: int) -> tuple[float, int] | None:
+def kth_largest(keys: DataFrame, k: int, by_id: bool = False) -> tuple[float, int] | None:
     """(key, doc_id) of the k-th row by key descending, then doc_id; None if k is 0."""
     n = keys.count()
     if k <= 0 or not n:
@@ -198,24 +223,27 @@ def kth_largest(keys: DataFrame, k: int) -> tuple[float, int] | None:
         if size <= 10_000:
             break
     ties = keys.where((F.col("key") >= low) & (F.col("key") <= high))
-    # One value of the key, however often, is cut by doc_id through its own count.
     if high == low:
-        ids = ties.select(F.col("doc_id").cast("double").alias("key"), "doc_id")
-        if above + ids.count() == k or low == high and ids.count() > 10_000:
-            return low, 1 << 62
-        rows = sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in ids.collect())
-        return low, rows[k - above - 1]
+        # One value of the key, however often: it is cut by doc_id in the same way.
+        if by_id:
+            return low, -low
+        ids = ties.select((-F.coalesce("doc_id", F.lit(-1))).cast("double").alias("key"), "doc_id")
+        return low, int(-kth_largest(ids, k - above, by_id=True)[0])
     rows = sorted(((-r["key"], r["doc_id"] if r["doc_id"] is not None else -1) for r in ties.select("key", "doc_id").collect()))
     key, doc = rows[k - above - 1]
     return -key, doc
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Every row of `docs` with log_weight, logit, key and the decision `kept`."""
+def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, narrow: bool = False) -> DataFrame:
+    """Every row of `docs` with log_weight, logit, key and the decision `kept`.
+
+    `narrow` leaves the text out of the result, and so out of the table between.
+    """
     known = labelled(labels, sample)
     good_ids = np.array(sorted(i for i, g in known.items() if g), np.int64)
     raw, good = count_models(docs, good_ids)
-    scored = materialize(weighed(docs, log_ratios(raw, good)), "weights")
+    scored = weighed(docs, log_ratios(raw, good))
+    scored = materialize(scored.drop("text") if narrow else scored, "weights")
     frame = docs.sparkSession.createDataFrame(list(known.items()) or [(None, None)], "doc_id long, good int")
     pairs = scored.select(F.col("doc_id").cast("long").alias("doc_id"), "log_weight").join(F.broadcast(frame), "doc_id").select("log_weight", "good").toPandas()
     slope, offset = calibrate(pairs["log_weight"].to_numpy(float), pairs["good"].to_numpy(float))

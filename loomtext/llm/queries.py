@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import ann, audio, bpe, kdtree, mixing, simhash, suffixes, token_files, warc
+from loomtext.llm import ann, audio, bpe, importance, kdtree, mixing, simhash, suffixes, token_files, warc
 from loomtext.llm.common import read_table
 
 
@@ -22,6 +22,12 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_importance_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weigh all documents by target over raw n-grams and sample the good ones."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return importance.classify(docs.select("doc_id", "text"), labels, narrow=True).select("doc_id", "log_weight", "logit", "key", "kept")
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remove every 400-byte string that starts anywhere else too."""
     cut = suffixes.remove_repeats(read_table(spark, sf_dir, "documents"))
@@ -70,6 +76,7 @@ def op10_kdtree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe_codec": op1_bpe_codec,
+    "op2_importance_quality": op2_importance_quality,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_simhash_near_duplicates": op4_simhash_near_duplicates,
     "op5_arc_to_warc": op5_arc_to_warc,

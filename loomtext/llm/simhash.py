@@ -164,7 +164,7 @@ def _u64(column: pa.ChunkedArray) -> np.ndarray:
     return column.to_numpy().astype(np.int64).view(np.uint64)
 
 
-def index_links(words: DataFrame, limit: int, sketch_limit: int | None = None) -> DataFrame:
+def index_links(words: DataFrame, limit: int, sketch_limit: int | None = None, least_nodes: int = LEAST_NODES) -> DataFrame:
     """Spanning edges (a, b) of the links between rows (id, word [, s0, s1]).
 
     Rows link when their words differ in at most `limit` bits and, with a sketch limit,
@@ -173,7 +173,7 @@ def index_links(words: DataFrame, limit: int, sketch_limit: int | None = None) -
     spark = words.sparkSession
     carried = ["s0", "s1"] if sketch_limit is not None else []
     n = words.count()
-    nodes = min(MAX_NODES, parts_for(n, NODE_ROWS, LEAST_NODES))
+    nodes = min(MAX_NODES, parts_for(n, NODE_ROWS, least_nodes))
     ranked = words.select("id", "word", *carried, gray_rank(F.col("word")).alias("rank"))
     ordered = ranked.repartitionByRange(nodes, "rank").sortWithinPartitions("rank")
     ordered = materialize(ordered.withColumn("node", F.spark_partition_id()).drop("rank"), "gray")
@@ -334,7 +334,7 @@ def similar_documents(docs: DataFrame, width: int = 5, tables: int = TABLES, ske
                 yield pa.record_batch([batch.column("id"), pa.array((low | tag).view(np.int64)), batch.column("s0"), batch.column("s1")], names=["id", "word", "s0", "s1"])
 
     words = distinct.where("id is not null").mapInArrow(spread, "id long, word long, s0 long, s1 long")
-    roots = connected(index_links(materialize(words, "words"), 2, sketch_bits))
+    roots = connected(index_links(materialize(words, "words"), 2, sketch_bits, 32 * tables))
     classes = distinct.join(roots, "id", "left").select("s0", "s1", F.coalesce("root", "id").alias("component_id"))
     found = marked.join(classes, [marked["f0"] == classes["s0"], marked["f1"] == classes["s1"]])
     return found.select("doc_id", "component_id")
