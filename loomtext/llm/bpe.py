@@ -19,7 +19,6 @@ from __future__ import annotations
 import functools
 import json
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -112,10 +111,10 @@ def _string_array(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def packer(path: str, closer: int, place):
-    """Compress each document's words; plain ones are closed by a byte, unusual ones split here.
+def packer(path: str, split, place):
+    """Compress each document's words; unusual ones are split by the tokenizer's own rules.
 
-    `place` gives the block of each doc_id of a batch.
+    `split` gives a plain text's words as bytes and lengths, `place` each row's block.
     """
 
     def pack(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,13 +128,18 @@ def packer(path: str, closer: int, place):
                         words = [w.encode() for w in _rare_words(text.tobytes().decode(), path)]
                         out.append(pack_words(np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words))))
                     else:
-                        ends = np.flatnonzero(text == closer)
-                        out.append(pack_words(text[text != closer], np.diff(ends, prepend=-1) - 1))
+                        out.append(pack_words(*split(text)))
                 yield pa.record_batch([batch.column("doc_id"), place(batch), pa.array(out, pa.binary())], names=["doc_id", "block", "packed"])
 
     return pack
 
 
+def closed_words(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words that a line feed closes, as bytes and lengths."""
+    ends = np.flatnonzero(text == 10)
+    return text[text != 10], np.diff(ends, prepend=-1) - 1
+
+
 def _block_words(packed: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of a block in order, and how many each document has."""
     texts = [unpack_words(b) for b in packed.to_pylist()]
@@ -143,14 +147,47 @@ def _block_words(packed: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return _string_array(np.concatenate([d for d, _ in texts]), np.concatenate([n for _, n in texts])), counts
 
 
-def _by_part(distinct: pa.Array, parts: int) -> dict[int, list[tuple[bytes, int]]]:
-    """Distinct words with their places, by partition of the word table, in word order."""
-    out: dict[int, list[tuple[bytes, int]]] = {}
-    for k, w in enumerate(distinct.to_pylist()):
-        out.setdefault(zlib.crc32(w) % parts, []).append((w, k))
-    for words in out.values():
-        words.sort()
-    return out
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit polynomial hash of each word."""
+    data, offsets = flat_strings(words)
+    up, down = _powers(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_LETTERS[data] * up[: len(data)], out=sums[1:])
+    x = (sums[offsets[1:]] - sums[offsets[:-1]]) * down[offsets[:-1]]
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+_LETTERS = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64)
+
+
+@functools.lru_cache(maxsize=1)
+def _power_table(size: int) -> tuple[np.ndarray, np.ndarray]:
+    base = 0x9E3779B97F4A7C15
+    up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _power_table(1 << max(16, (n + 1).bit_length()))
+
+
+def _by_part(distinct: pa.Array, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of distinct words by partition of the word table, in order of their hashes."""
+    hashes = _word_hashes(distinct)
+    order = np.argsort(hashes, kind="stable")
+    ranked = hashes[order]
+    if (ranked[1:] == ranked[:-1]).any():
+        # Words of one hash, should there be any, follow their bytes.
+        words = distinct.to_pylist()
+        order = np.array(sorted(range(len(words)), key=lambda k: (int(hashes[k]), words[k])), np.int64)
+    part = (hashes[order] % np.uint64(1 << 32)).astype(np.int64) % parts
+    order = order[np.argsort(part, kind="stable")]
+    sizes = np.bincount(part, minlength=parts)
+    ends = np.cumsum(sizes)
+    for p in np.flatnonzero(sizes).tolist():
+        yield p, order[ends[p] - sizes[p] : ends[p]]
 
 
 def encode_blocks(dealt: DataFrame, blocks: int, tokenizer_path: str, finish, schema: str, word_parts: int = WORD_PARTS) -> DataFrame:
@@ -162,11 +199,12 @@ def encode_blocks(dealt: DataFrame, blocks: int, tokenizer_path: str, finish, sc
 
     def vocabulary(table: pa.Table) -> pa.Table:
         """The distinct words of a block, packed by partition of the word table."""
-        words, _ = _block_words(table["packed"].combine_chunks())
+        words = pc.unique(_block_words(table["packed"].combine_chunks())[0])
         block = table["block"][0].as_py()
         out = []
-        for p, ws in _by_part(pc.unique(words), parts).items():
-            out.append((p, block, pack_words(np.frombuffer(b"".join(w for w, _ in ws), np.uint8), np.fromiter((len(w) for w, _ in ws), np.int64, len(ws)))))
+        for p, places in _by_part(words, parts):
+            data, offsets = flat_strings(words.take(pa.array(places)))
+            out.append((p, block, pack_words(data, np.diff(offsets))))
         p, b, w = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"part": pa.array(p, pa.int32()), "block": pa.array(b, pa.int32()), "words": pa.array(w, pa.binary())})
 
@@ -174,18 +212,27 @@ def encode_blocks(dealt: DataFrame, blocks: int, tokenizer_path: str, finish, sc
         """Encode each distinct word of a partition once, then answer each block."""
         whole, _, _ = tokenizer_at(tokenizer_path)
         z = zstandard.ZstdCompressor(level=1)
-        ids_of: dict[bytes, bytes] = {}
-        answers = []
-        for packed in table["words"].to_pylist():
-            words = _string_array(*unpack_words(packed)).to_pylist()
-            fresh = [w for w in words if w not in ids_of]
-            for a in range(0, len(fresh), 5_000):
-                some = fresh[a : a + 5_000]
-                for w, e in zip(some, whole.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                    ids_of[w] = np.array(e.ids, "<u4").tobytes()
-            ids = [ids_of[w] for w in words]
-            lengths = np.fromiter((len(i) // 4 for i in ids), "<u4", len(ids))
-            answers.append(z.compress(np.uint32(len(ids)).tobytes() + lengths.tobytes() + b"".join(ids)))
+        asked = [unpack_words(p) for p in table["words"].to_pylist()]
+        if not asked:
+            return pa.table({"part": table["part"], "block": table["block"], "ids": pa.array([], pa.binary())})
+        words = _string_array(np.concatenate([d for d, _ in asked]), np.concatenate([n for _, n in asked])).dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        found: list[np.ndarray] = []
+        for a in range(0, len(distinct), 4_000):
+            for e in whole.encode_batch_fast([w.decode() for w in distinct[a : a + 4_000]], add_special_tokens=False):
+                found.append(np.array(e.ids, "<u4"))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ends = np.cumsum(sizes)
+        pool = np.concatenate(found)
+        index = words.indices.to_numpy(zero_copy_only=False)
+        answers, at = [], 0
+        for _, n in asked:
+            some = index[at : at + len(n)]
+            at += len(n)
+            each = sizes[some]
+            last = np.cumsum(each)
+            ids = pool[np.repeat(ends[some] - each - (last - each), each) + np.arange(last[-1])]
+            answers.append(z.compress(np.uint32(len(some)).tobytes() + each.astype("<u4").tobytes() + ids.tobytes()))
         return pa.table({"part": table["part"], "block": table["block"], "ids": pa.array(answers, pa.binary())})
 
     def join_back(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -199,12 +246,11 @@ def encode_blocks(dealt: DataFrame, blocks: int, tokenizer_path: str, finish, sc
         answers = dict(zip(right["part"].to_pylist(), right["ids"].to_pylist(), strict=True))
         n = len(coded.dictionary)
         lengths, chunks, order = np.zeros(n, np.int64), [], []
-        for p, ws in _by_part(coded.dictionary, parts).items():
+        for p, at in _by_part(coded.dictionary, parts):
             got = np.frombuffer(unz.decompress(answers[p]), "<u4")
             m = int(got[0])
-            if m != len(ws):
+            if m != len(at):
                 raise ValueError("a block's words changed between two reads of its rows")
-            at = np.fromiter((k for _, k in ws), np.int64, m)
             lengths[at] = got[1 : 1 + m]
             order.append(at)
             chunks.append(got[1 + m :])
@@ -242,7 +288,7 @@ def encode(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES,
         unusual(text).alias("rare"),
         F.when(unusual(text), text).otherwise(split_words(text)).alias("words"),
     )
-    dealt = rows.mapInArrow(packer(tokenizer_path, 10, lambda batch: batch.column("block")), "doc_id long, block int, packed binary").repartition(blocks, "block")
+    dealt = rows.mapInArrow(packer(tokenizer_path, closed_words, lambda batch: batch.column("block")), "doc_id long, block int, packed binary").repartition(blocks, "block")
 
     def finish(left: pa.Table, flat: np.ndarray, counts: np.ndarray) -> pa.Table:
         ids = _string_array(np.ascontiguousarray(flat).view(np.uint8), counts * 4)

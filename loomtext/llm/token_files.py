@@ -18,7 +18,9 @@ ignored. An empty table writes no file and reads as an empty result.
 
 from __future__ import annotations
 
+import functools
 import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -38,11 +40,62 @@ BLOCK_IDS = 1 << 15
 FILE_BYTES = 6 << 20
 #: Quantiles of doc_id that place files, at most; beyond, files divide them evenly.
 COARSE = 2048
-SEPARATOR = 0
+#: Classes of characters in the byte-level split rule.
+LETTER, NUMBER, BLANK, OTHER = 1, 2, 3, 4
+# The contractions that the rule splits off.
+CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
-# The byte-level split rule, with white space below U+0300 spelled out.
-SPACE = r"\t-\r \x{85}\x{a0}"
-SPLIT_RULE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}++| ?\p{{N}}++| ?[^{SPACE}\p{{L}}\p{{N}}]++|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]++"
+
+@functools.lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """Class of each code point below U+0300."""
+    out = np.full(0x300, OTHER, np.uint8)
+    for k in range(0x300):
+        kind = unicodedata.category(chr(k))[0]
+        out[k] = LETTER if kind == "L" else NUMBER if kind == "N" else OTHER
+    out[[9, 10, 11, 12, 13, 32, 0x85, 0xA0]] = BLANK
+    return out
+
+
+def split_plain(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of a text below U+0300 by the byte-level rule, as bytes and lengths.
+
+    The rule takes, in this order: a contraction; one blank (or none) and a run of
+    letters, of numbers or of others; white space up to the last before a word; white
+    space. Runs are found for the whole text at once.
+    """
+    n = len(text)
+    if not n:
+        return text, np.zeros(0, np.int64)
+    kind = _classes()[text]
+    lead = np.flatnonzero(text >= 0xC0)
+    if len(lead):
+        code = ((text[lead].astype(np.int64) & 0x1F) << 6) | (text[lead + 1] & 0x3F)
+        kind[lead] = kind[lead + 1] = _classes()[code]
+    start = np.ones(n, bool)
+    start[1:] = kind[1:] != kind[:-1]
+    blank = kind == BLANK
+    # The last blank before a word leaves its run: a space joins the word.
+    last = np.flatnonzero(blank[:-1] & ~blank[1:])
+    if len(lead):
+        # Two-byte white space: its last character begins one byte earlier.
+        wide = text[last] >= 0x80
+        last = np.where(wide, last - 1, last)
+        after = last + 1 + wide
+    else:
+        after = last + 1
+    start[last] = True
+    start[after[text[last] == 32]] = False
+    # A contraction: a lone apostrophe that opens a word, then the letters after it.
+    mark = np.flatnonzero((text[:-1] == 39) & start[:-1] & (kind[1:] == LETTER))
+    for m in mark.tolist():
+        rest = text[m + 1 : m + 3].tobytes()
+        size = next((len(c) for c in CONTRACTIONS if rest.startswith(c.encode())), 0)
+        if size:
+            start[m + 1] = False
+            if m + 1 + size < n and kind[m + 1 + size] == LETTER:
+                start[m + 1 + size] = True
+    return text, np.diff(np.append(np.flatnonzero(start), n))
 
 
 def pack_planes(ids: np.ndarray, width: int, planes: str) -> list[bytes]:
@@ -126,16 +179,15 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, pla
     make_dirs(spark, folder)
     bounds = _bounds(docs, parts_for(size, file_text))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rare = text.rlike(r"[^\x{1}-\x{2ff}]|<\|")
-    words = F.regexp_replace(text, f"({SPLIT_RULE})", "$1\0")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), rare.alias("rare"), F.when(rare, text).otherwise(words).alias("words"))
+    rare = text.rlike(r"[^\x{0}-\x{2ff}]|<\|")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), rare.alias("rare"), text.alias("words"))
 
     def place(batch: pa.RecordBatch) -> pa.Array:
         ids = batch.column("doc_id").fill_null(-(1 << 63)).to_numpy()
         return pa.array(np.searchsorted(bounds, ids, "right").astype(np.int32))
 
     blocks = len(bounds) + 1
-    dealt = rows.mapInArrow(bpe.packer(tokenizer_path, SEPARATOR, place), "doc_id long, block int, packed binary").repartition(blocks, "block")
+    dealt = rows.mapInArrow(bpe.packer(tokenizer_path, split_plain, place), "doc_id long, block int, packed binary").repartition(blocks, "block")
 
     def finish(left: pa.Table, flat: np.ndarray, counts: np.ndarray) -> pa.Table:
         """Add the end ids and write the block's file."""

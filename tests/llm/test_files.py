@@ -122,3 +122,17 @@ def test_resample_and_segments():
     energy = np.array([0] * 10 + [9] * 8 + [4.5] * 3 + [9] * 4 + [0] * 10, float)
     assert audio.segments(energy) == [(10, 25)]
     assert audio.segments(np.zeros(9)) == []
+
+
+def test_split_equals_the_library_rule():
+    import regex
+
+    rule = regex.compile(public_tokenizers.PATTERN)
+    rng = np.random.default_rng(9)
+    letters = list("ab'sS tlrevmd  \n\t\x85\xa0é1²½.,!?-_ß\x00\x1c") + ["'s", "'ll", "'re", " '", "''", "  ", "\n\n"]
+    for _ in range(4000):
+        t = "".join(rng.choice(letters, int(rng.integers(0, 14))))
+        data, lengths = token_files.split_plain(np.frombuffer(t.encode(), np.uint8))
+        ends = np.cumsum(lengths).tolist()
+        got = [data.tobytes()[a:b].decode() for a, b in zip([0, *ends[:-1]], ends)]
+        assert got == rule.findall(t), repr(t)
