@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from loomtext.plans import star_queries  # noqa: F401
+from loomtext.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
