@@ -305,6 +305,15 @@ def _repeated(values: DataFrame, column: str):
     return spark.sparkContext.broadcast(bitmap_of(twice, column, _filter_bits(twice.count())))
 
 
+def _runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last starts of all rows' runs, and where each row's begin."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = np.array(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+    flat = column.flatten()
+    lo, hi = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+    return lo, hi, np.concatenate([[0], np.cumsum(sizes)])
+
+
 def repeated_starts(docs: DataFrame, parts: int) -> DataFrame:
     """(d, lo, hi): runs of starts of LENGTH-byte strings that occur more than once.
 
@@ -342,9 +351,12 @@ def repeated_starts(docs: DataFrame, parts: int) -> DataFrame:
             """A hash of each string of an unsure anchor: 64 bits, or 128 if it passes the filter."""
             for batch in rows:
                 data, offsets = flat_strings(batch.column("text"))
-                for d, a, b, runs in zip(batch.column("d").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), batch.column("runs").to_pylist()):
-                    hashes = Hashes(data[a:b])
-                    s = np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in runs])
+                lo, hi, cuts = _runs(batch.column("runs"))
+                for k, d in enumerate(batch.column("d").to_pylist()):
+                    hashes = Hashes(data[offsets[k] : offsets[k + 1]])
+                    first, each = lo[cuts[k] : cuts[k + 1]], (hi - lo + 1)[cuts[k] : cuts[k + 1]]
+                    ends = np.cumsum(each)
+                    s = np.repeat(first - (ends - each), each) + np.arange(ends[-1])
                     h0 = hashes.of(s, s + LENGTH, 0)
                     if filtered is None:
                         yield pa.record_batch([pa.array(h0.view(np.int64))], names=["h0"])
@@ -385,26 +397,27 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             data, offsets = flat_strings(batch.column("text"))
-            removed, spans, kept = [], [], []
-            for a, b, runs in zip(offsets[:-1].tolist(), offsets[1:].tolist(), batch.column("runs").to_pylist()):
-                text = data[a:b]
-                edge = np.zeros(b - a + 1, np.int32)
-                for r in runs or ():
-                    edge[r["lo"]] += 1
-                    edge[r["hi"] + LENGTH] -= 1
+            lo, hi, cuts = _runs(batch.column("runs"))
+            removed = np.zeros(batch.num_rows, np.int64)
+            spans, kept = [], []
+            for k in range(batch.num_rows):
+                text = data[offsets[k] : offsets[k + 1]]
+                if cuts[k] == cuts[k + 1]:
+                    spans.append(np.zeros((0, 2), np.int32))
+                    kept.append(text.tobytes())
+                    continue
+                some = slice(cuts[k], cuts[k + 1])
+                edge = np.bincount(lo[some], minlength=len(text) + 1) - np.bincount(hi[some] + LENGTH, minlength=len(text) + 1)
                 gone = np.cumsum(edge)[:-1] > 0
                 step = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
-                removed.append(int(gone.sum()))
-                spans.append([{"start": int(s), "stop": int(e)} for s, e in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1))])
+                removed[k] = gone.sum()
+                spans.append(np.stack([np.flatnonzero(step == 1), np.flatnonzero(step == -1)], axis=1).astype(np.int32))
                 kept.append(text[~gone].tobytes())
+            flat = np.concatenate(spans)
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in spans])]).astype(np.int32)
+            items = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["start", "stop"])
             yield pa.record_batch(
-                [
-                    batch.column("doc_id"),
-                    pa.array(np.diff(offsets)),
-                    pa.array(removed, pa.int64()),
-                    pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
-                    pa.array(kept, pa.binary()),
-                ],
+                [batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(removed), pa.ListArray.from_arrays(pa.array(ends), items), pa.array(kept, pa.binary())],
                 names=["doc_id", "n_bytes", "n_removed", "spans", "kept"],
             )
 
