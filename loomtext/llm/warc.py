@@ -25,6 +25,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections.abc import Iterator
@@ -134,7 +135,9 @@ def warc_record(arc: dict, page_id: int | None, refers_to: int | None, refers: b
 def parse_warc(content: bytes) -> Iterator[tuple[dict, bytes]]:
     """Headers and block of each record of a WARC file, gzip members or plain."""
     if content[:2] == b"\x1f\x8b":
-        content = gzip.decompress(content)
+        # A reader goes from member to member without copying what is left of the file.
+        with gzip.GzipFile(fileobj=io.BytesIO(content)) as members:
+            content = members.read()
     at = 0
     while at < len(content):
         end = content.index(CRLF * 2, at)
@@ -162,11 +165,13 @@ def write_archives(pages: DataFrame, version: int = 1) -> str:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("-")).alias("url"), html.alias("html"))
     digests = rows.select("page_id", F.sha1(F.encode("html", "utf-8")).alias("digest"), F.octet_length("html").alias("size"))
     groups = digests.groupBy("digest", "size").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).where("n > 1").drop("n")
-    revisits = digests.join(groups, ["digest", "size"]).where(~F.col("page_id").eqNullSafe(F.col("first")))
+    revisits = digests.join(groups, ["digest", "size"]).where(F.col("page_id") != F.col("first"))
     revisits = revisits.groupBy(F.col("page_id").alias("again")).agg(F.min("first").alias("refers_to")).withColumn("refers", F.lit(True))
-    joined = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("again")), "left").select("page_id", "url", "html", "refers_to", F.coalesce("refers", F.lit(False)).alias("refers"))
     parts = parts_for(size, ARCHIVE_BYTES)
-    dealt = joined.repartition(parts, F.xxhash64("page_id")).sortWithinPartitions("page_id").withColumn("part", F.spark_partition_id())
+    # Payloads are dealt once: the join takes them as they lie. A null page_id revisits none.
+    joined = rows.repartition(parts, "page_id").join(revisits, F.col("page_id") == F.col("again"), "left")
+    joined = joined.select("page_id", "url", "html", "refers_to", F.coalesce("refers", F.lit(False)).alias("refers"))
+    dealt = joined.sortWithinPartitions("page_id").withColumn("part", F.spark_partition_id())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, number, part = [], 0, 0, 0
