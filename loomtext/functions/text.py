@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Separator of the parts of a stable id.
 UNIT = "\u001f"
@@ -23,7 +24,7 @@ NEGATED = r"\b(?:not|never|no)\b.{0,24}\b(?:fear|afraid|panic|worr(?:y|ied)|anxi
 MARKERS = {"entity": r"&[A-Za-z]+;|&#\d+;", "tag": r"<[A-Za-z/][^>]*>", "url": r"https?://\S+", "rule": r"[-=_*]{4,}", "pipe": r"\|"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     """Compatibility composition, which Spark has no expression for."""
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
@@ -148,7 +149,7 @@ def paragraph_starts(text: Column, gap: str = "\n") -> Column:
         F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
         lambda acc, p: F.struct(
             (acc["at"] + F.length(p) + step).cast("int").alias("at"),
-            F.when(F.trim(p) != "", F.concat(acc["starts"], F.array(acc["at"].cast("int")))).otherwise(acc["starts"]).alias("starts"),
+            F.when(p.rlike(r"(?U)\S"), F.concat(acc["starts"], F.array(acc["at"].cast("int")))).otherwise(acc["starts"]).alias("starts"),
         ),
     )
     return folded["starts"]
