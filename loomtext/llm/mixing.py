@@ -7,8 +7,8 @@ maximises a concave dual; Newton iterations over the cluster find it. Rates are
 rounded to whole copies by spreading the error from the largest document to the smallest.
 
 Shape at scale. Documents are reduced to (doc_id, source, size) at once. Newton works on
-(source, size, rows) sums with the dual split by source, each iteration a distributed
-expression over that table. Rounding deals a source's documents to groups of about GROUP
+(source, size) sums, which the cluster adds up once; the dual splits by source, so its
+iterations are a fold on each source's row. Rounding deals a source's documents to groups of about GROUP
 rows, so a hot source is many groups; each group ends within its smallest documents of
 its share.
 
@@ -70,23 +70,23 @@ def tilt(sources: DataFrame, most: float = MOST) -> DataFrame:
     """Add `rate` to (source, words, target): Newton on each source's dual.
 
     The dual of source s is target * l - words * exp(l): its gradient is the words still
-    missing, its curvature the words given. Iterations run on the whole table at once
-    until the largest relative gradient is CLOSE.
+    missing, its curvature the words given. The dual is a sum over sources, so each
+    iteration is an expression on its source's row; the largest gradient is checked.
     """
-    now = sources.withColumn("l", F.lit(0.0))
-    low = F.lit(-60.0)
-    for k in range(ROUNDS):
-        given = F.col("words") * F.exp("l")
-        step = F.when(F.col("words") > 0, (F.col("target") - given) / given).otherwise(0.0)
+    words, target = F.col("words").cast("double"), F.col("target")
+
+    def newton(l: Column, _: Column) -> Column:
+        given = words * F.exp(l)
+        rise = (target - given) / given
         # A step up overshoots a convex curve; the logarithm of its factor does not.
-        step = F.when(step > 0, F.log1p(step)).otherwise(F.greatest(step, F.lit(-4.0)))
-        now = now.withColumn("l", F.greatest(low, F.col("l") + step))
-        if k % 8 == 7:
-            now = materialize(now, "multipliers")
-            off = F.max(F.abs(F.col("words") * F.exp("l") - F.col("target")) / F.greatest(F.col("words"), F.lit(1)))
-            if (now.agg(off.alias("off")).first()["off"] or 0.0) < CLOSE:
-                break
-    return now.withColumn("rate", F.least(F.lit(most), F.exp("l"))).drop("l")
+        return F.greatest(F.lit(-60.0), l + F.when(rise > 0, F.log1p(rise)).otherwise(F.greatest(rise, F.lit(-4.0))))
+
+    solved = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.lit(0.0), newton)
+    done = materialize(sources.withColumn("l", F.when(words > 0, solved).otherwise(0.0)), "multipliers")
+    off = F.max(F.abs(words * F.exp("l") - target) / F.greatest(words, F.lit(1.0)))
+    if (done.agg(off.alias("off")).first()["off"] or 0.0) > CLOSE:
+        raise ArithmeticError("the dual did not converge")
+    return done.withColumn("rate", F.least(F.lit(most), F.exp("l"))).drop("l")
 
 
 def _round(sizes: np.ndarray, rate: float, most: int) -> np.ndarray:
