@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by adaptive dimension scan.
 
 Unit vectors are rotated by a fixed random rotation and dealt to lists about centres
-fitted on a bounded sample. A query probes its nearest lists. Within a list, vectors lie
+fitted on a bounded sample. A query probes as many of its nearest lists as the sample
+says it needs. Within a list, vectors lie
 in column blocks of BLOCK dimensions; after each block a hypothesis test compares the
 partial distance, scaled to all dimensions, with the distance of the worst of the k best
 so far, and abandons candidates that would be nearer only by an unlikely deviation. What
@@ -34,8 +35,8 @@ from loomtext.llm.common import materialize, parts_for
 
 #: Vectors that centres are fitted on, at most; every vector is indexed.
 SAMPLE, MAX_LISTS, LIST_ROWS = 20_000, 4096, 400
-#: Share of the lists that a query probes, and the least number.
-PROBES, LEAST_PROBES = 0.25, 12
+#: Share of neighbours that probing should meet, queries it is measured on, fewest probes.
+COVER, TRIALS, LEAST_PROBES = 0.97, 400, 12
 CELL, BLOCK = 4096, 16
 #: Significance of the test: standard deviations of a scaled partial distance.
 EPSILON = 2.1
@@ -60,6 +61,21 @@ def centres(sample: np.ndarray, lists: int) -> np.ndarray:
     return now
 
 
+def probes_for(sample: np.ndarray, middle: np.ndarray, k: int) -> int:
+    """Lists that a query must probe to meet COVER of its k nearest, measured on the sample.
+
+    Neighbours in a sample lie farther than those among all rows, so the count errs high.
+    """
+    asked = sample[:TRIALS]
+    near = asked @ sample.T
+    near[np.arange(len(asked)), np.arange(len(asked))] = -2
+    best = np.argsort(-near, axis=1)[:, : max(1, min(k, len(sample) - 1))]
+    home = np.argmax(sample @ middle.T, axis=1)
+    ranks = np.argsort(np.argsort(-(asked @ middle.T), axis=1, kind="stable"), axis=1, kind="stable")
+    found = np.take_along_axis(ranks, home[best], axis=1)
+    return min(len(middle), max(LEAST_PROBES, int(np.quantile(found, COVER)) + 1))
+
+
 def _matrix(column, dims: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -136,7 +152,7 @@ def _search(usable: DataFrame, dims: int, k: int, every: int) -> DataFrame:
     lists = min(MAX_LISTS, parts_for(n, LIST_ROWS), max(1, int(2 * np.sqrt(n))), max(1, len(points) // 4))
     middle = centres(points, lists)
     lists = len(middle)
-    probes = min(lists, max(LEAST_PROBES, int(np.ceil(PROBES * lists)))) if lists <= 1024 else max(256, int(4 * np.sqrt(lists)))
+    probes = probes_for(points, middle, k)
 
     def place(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
