@@ -326,10 +326,12 @@ def similar_documents(docs: DataFrame, width: int = 5, tables: int = TABLES, ske
         """A word for each table: its number three times over, then its 32 bits."""
         picks = _table_words(tables)
         for batch in rows:
+            if not batch.num_rows:
+                continue
             s = np.stack([batch.column(c).to_numpy() for c in ("s0", "s1")], axis=1)
             bits = np.unpackbits(np.ascontiguousarray(s).view(np.uint8), axis=1, bitorder="little")
             for t, pick in enumerate(picks):
-                low = np.packbits(bits[:, pick], axis=1, bitorder="little").view("<u4").ravel().astype(np.uint64)
+                low = np.ascontiguousarray(np.packbits(np.ascontiguousarray(bits[:, pick]), axis=1, bitorder="little")).view("<u4").ravel().astype(np.uint64)
                 tag = np.uint64((t << 54) | (t << 44) | (t << 34))
                 yield pa.record_batch([batch.column("id"), pa.array((low | tag).view(np.int64)), batch.column("s0"), batch.column("s1")], names=["id", "word", "s0", "s1"])
 
