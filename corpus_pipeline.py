@@ -32,8 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut every repeated 400-byte string out of the texts."""
-    cut = suffixes.remove_repeats(docs.where("doc_id is not null").select("doc_id", "text"))
+    """Cut every repeated 400-byte string out of the texts; a character cut in part stays."""
+    cut = suffixes.remove_repeats(docs.where("doc_id is not null").select("doc_id", "text"), characters=True)
     cut = cut.where("n_removed > 0").select(F.col("doc_id").alias("_cut"), F.decode(F.col("kept"), "utf-8").alias("_text"))
     joined = docs.join(cut, F.col("doc_id") == F.col("_cut"), "left")
     text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.col("_text"))

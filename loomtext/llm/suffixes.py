@@ -377,10 +377,21 @@ def repeated_starts(docs: DataFrame, parts: int) -> DataFrame:
     return sure.unionByName(checked.select("d", "lo", F.col("lo").alias("hi"))).unionByName(copies.select("d", F.lit(0).alias("lo"), (F.col("n") - LENGTH).cast("int").alias("hi")))
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def _whole_characters(text: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Removed bytes less those of characters that do not go as a whole."""
+    starts = np.flatnonzero((text & 0xC0) != 0x80)
+    if not len(starts):
+        return gone
+    starts[0] = 0
+    return np.repeat(np.logical_and.reduceat(gone, starts), np.diff(starts, append=len(text)))
+
+
+def remove_repeats(docs: DataFrame, characters: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans array<struct<start,stop>>, kept binary) per row.
 
     `spans` are the maximal removed byte runs, `kept` the bytes that remain, concatenated.
+    A repeated string may begin or end inside a character of several bytes. With
+    `characters` such a character stays as a whole, so that `kept` is UTF-8 again.
     """
     rows, size = text_bytes(docs)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -409,6 +420,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 some = slice(cuts[k], cuts[k + 1])
                 edge = np.bincount(lo[some], minlength=len(text) + 1) - np.bincount(hi[some] + LENGTH, minlength=len(text) + 1)
                 gone = np.cumsum(edge)[:-1] > 0
+                if characters:
+                    gone = _whole_characters(text, gone)
                 step = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
                 removed[k] = gone.sum()
                 spans.append(np.stack([np.flatnonzero(step == 1), np.flatnonzero(step == -1)], axis=1).astype(np.int32))

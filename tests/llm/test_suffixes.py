@@ -51,6 +51,18 @@ def test_copies_nulls_and_extra_columns(spark):
     check(spark, [(i, t + str(i)) for i in range(30)])
 
 
+def test_characters_cut_in_part_stay(spark):
+    rng = np.random.default_rng(5)
+    t = "".join(rng.choice(list("abcdefgh "), 500))
+    # The second byte of the first two characters and the first of the last two are equal.
+    texts = ["one é" + t + "é end", "two ũ" + t + "è more", "é", "three \u00e9"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    raw, gone = brute(texts)
+    assert bytes(x for x, y in zip(raw[0], gone[0]) if not y) != "one éé end".encode()
+    got = {r.doc_id: (bytes(r.kept).decode(), r.n_removed) for r in suffixes.remove_repeats(df, characters=True).collect()}
+    assert got == {0: ("one éé end", 500), 1: ("two ũè more", 500), 2: ("é", 0), 3: ("three é", 0)}
+
+
 def test_empty_and_unrepeated(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert suffixes.remove_repeats(empty).count() == 0
