@@ -160,6 +160,16 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
+def _row_pairs(u: np.ndarray, v: np.ndarray, starts: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of rows of pairs of words (u, v), about FRONTIER of them at once."""
+    x = np.repeat(starts[u], count[u]) + np.arange(count[u].sum()) - np.repeat(np.cumsum(count[u]) - count[u], count[u])
+    v = np.repeat(v, count[u])
+    piece = np.cumsum(count[v]) // FRONTIER
+    for part in np.split(np.arange(len(x)), np.flatnonzero(np.diff(piece)) + 1):
+        n = count[v[part]]
+        yield np.repeat(x[part], n), np.repeat(starts[v[part]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
 def _u64(column: pa.ChunkedArray) -> np.ndarray:
     return column.to_numpy().astype(np.int64).view(np.uint64)
 
@@ -216,41 +226,33 @@ def index_links(words: DataFrame, limit: int, sketch_limit: int | None = None, l
                 return np.ones(len(a), bool)
             return np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1) <= sketch_limit
 
-        # Rows of one word form stars about leaders; a row unlike each leader leads too.
-        order = np.lexsort((ids, ~member, w))
-        edges_a, edges_b, leaders, rest = [], [], [], order
-        while len(rest):
-            first = np.ones(len(rest), bool)
-            first[1:] = w[rest[1:]] != w[rest[:-1]]
-            lead = rest[np.maximum.accumulate(np.where(first, np.arange(len(rest)), 0))]
-            good = alike(rest, lead)
-            leaders.append(rest[first])
-            tied = good & ~first
-            edges_a.append(lead[tied])
-            edges_b.append(rest[tied])
-            rest = rest[~good]
-        for row, these in enumerate(leaders):
-            inside = these[member[these]]
-            if not len(inside):
-                continue
-            g = w[inside].copy()
-            for shift in (1, 2, 4, 8, 16, 32):
-                g ^= g >> np.uint64(shift)
-            inside = inside[np.argsort(g, kind="stable")]
-            tree = GrayTree(w[inside])
-            for other in range(len(leaders)):
-                asking = leaders[other]
-                for q, m in tree.search(w[asking], limit):
-                    a, b = asking[q], inside[m]
-                    keep = (a != b) & alike(a, b) if (other, row) else a != b
-                    edges_a.append(a[keep])
-                    edges_b.append(b[keep])
-        a, b = np.concatenate(edges_a), np.concatenate(edges_b)
-        used = np.unique(np.concatenate([a, b]))
-        label = components(len(used), np.searchsorted(used, a), np.searchsorted(used, b)) if len(used) else used
-        roots = used[label] if len(used) else used
-        away = ids[used] != ids[roots]
-        return pa.table({"a": ids[used][away], "b": ids[roots][away]})
+        # Rows of one word lie together. Every row takes part: a pair of words is skipped
+        # only where all rows of both are in one component already.
+        order = np.lexsort((ids, w))
+        ids, w, member, sketch = ids[order], w[order], member[order], sketch if sketch is None else sketch[order]
+        starts = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+        count = np.diff(np.append(starts, len(w)))
+        label = np.repeat(starts, count)
+        label = np.where(alike(np.arange(len(w)), label), label, np.arange(len(w)))
+        words_ = w[starts]
+        inner = np.flatnonzero(member[starts])
+        g = words_[inner].copy()
+        for shift in (1, 2, 4, 8, 16, 32):
+            g ^= g >> np.uint64(shift)
+        inner = inner[np.argsort(g, kind="stable")]
+        for q, m in GrayTree(words_[inner]).search(words_, limit) if len(inner) else ():
+            v = inner[m]
+            once = ~member[starts[q]] | (q <= v)
+            least, most = np.minimum.reduceat(label, starts), np.maximum.reduceat(label, starts)
+            once &= np.minimum(least[q], least[v]) != np.maximum(most[q], most[v])
+            for x, y in _row_pairs(q[once], v[once], starts, count):
+                keep = label[x] != label[y]
+                x, y = x[keep], y[keep]
+                keep = alike(x, y)
+                if keep.any():
+                    label = components(len(w), label[x[keep]], label[y[keep]])[label]
+        away = ids != ids[label]
+        return pa.table({"a": ids[away], "b": ids[label][away]})
 
     schema = "at int, member boolean, id long, word long" + "".join(f", {c} long" for c in carried)
     visits = ordered.mapInArrow(route, schema)

@@ -121,3 +121,26 @@ def test_similar_documents(spark):
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(table(spark, texts)).collect()}
     assert sum(got[3 * k + 1] == 3 * k for k in range(30)) >= 29
     assert all(got[3 * k] == 3 * k and got[3 * k + 2] == 3 * k + 2 for k in range(30))
+
+
+def test_index_links_with_sketches_equal_brute_force(spark, monkeypatch):
+    """Rows of one word keep links of their own that their word's first row lacks."""
+    monkeypatch.setattr(simhash, "NODE_ROWS", 16)
+    rng = np.random.default_rng(11)
+    rows = []
+    for word in rng.integers(-(2**62), 2**62, 40).tolist():
+        sketch = rng.integers(0, 2, 128)
+        for _ in range(12):  # a walk: neighbours are alike, ends are not
+            sketch = sketch.copy()
+            sketch[rng.choice(128, 9, replace=False)] ^= 1
+            s0, s1 = np.packbits(sketch, bitorder="little").view("<i8").tolist()
+            rows.append((len(rows), word ^ (1 << int(rng.integers(0, 60))) if rng.random() < 0.5 else word, s0, s1))
+    mixed = rng.permutation(len(rows)).tolist()
+    rows = [(mixed[i], *rest) for i, *rest in rows]
+    df = spark.createDataFrame(rows, "id long, word long, s0 long, s1 long")
+    roots = {r.id: r.root for r in simhash.connected(simhash.index_links(df, 2, 24)).collect()}
+    rows.sort()
+    w, s0, s1 = (np.array([r[k] for r in rows]).view(np.uint64) for k in (1, 2, 3))
+    apart = np.bitwise_count(s0[:, None] ^ s0).astype(int) + np.bitwise_count(s1[:, None] ^ s1)
+    label = simhash.components(len(w), *np.nonzero((np.bitwise_count(w[:, None] ^ w) <= 2) & (apart <= 24)))
+    assert roots == {i: int(k) for i, k in enumerate(label) if k != i}
