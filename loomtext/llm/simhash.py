@@ -174,14 +174,18 @@ def _u64(column: pa.ChunkedArray) -> np.ndarray:
     return column.to_numpy().astype(np.int64).view(np.uint64)
 
 
-def index_links(words: DataFrame, limit: int, sketch_limit: int | None = None, least_nodes: int = LEAST_NODES) -> DataFrame:
-    """Spanning edges (a, b) of the links between rows (id, word [, s0, s1]).
+def index_links(words: DataFrame, limit: int, sketch_limit: int | None = None, least_nodes: int = LEAST_NODES, few: int = 0) -> DataFrame:
+    """Spanning edges (a, b, dense) of the links between rows (id, word [, s0, s1] [, root]).
 
     Rows link when their words differ in at most `limit` bits and, with a sketch limit,
     their sketches (s0, s1) in at most that many. Ids are distinct for each row's text.
+    With `few`, a range's components of at most so many rows give all their links; the
+    edges of larger ones are spanning ones, marked dense. With a root and a sketch limit,
+    the result is all links between rows of different roots instead.
     """
-    spark = words.sparkSession
     carried = ["s0", "s1"] if sketch_limit is not None else []
+    rooted = bool(carried) and "root" in words.columns
+    carried += ["root"] * rooted
     n = words.count()
     nodes = min(MAX_NODES, parts_for(n, NODE_ROWS, least_nodes))
     ranked = words.select("id", "word", *carried, gray_rank(F.col("word")).alias("rank"))
@@ -219,7 +223,7 @@ def index_links(words: DataFrame, limit: int, sketch_limit: int | None = None, l
         """The links of one range, as spanning edges."""
         ids, w = table["id"].to_numpy(), _u64(table["word"])
         member = table["member"].to_numpy(zero_copy_only=False)
-        sketch = np.stack([_u64(table[c]) for c in carried], axis=1) if carried else None
+        sketch = np.stack([_u64(table[c]) for c in carried[:2]], axis=1) if carried else None
 
         def alike(a, b):
             if sketch is None:
@@ -234,6 +238,9 @@ def index_links(words: DataFrame, limit: int, sketch_limit: int | None = None, l
         count = np.diff(np.append(starts, len(w)))
         label = np.repeat(starts, count)
         label = np.where(alike(np.arange(len(w)), label), label, np.arange(len(w)))
+        if rooted:
+            label = np.unique(table["root"].to_numpy()[order], return_inverse=True)[1]
+        far: list[tuple[np.ndarray, np.ndarray]] = []
         words_ = w[starts]
         inner = np.flatnonzero(member[starts])
         g = words_[inner].copy()
@@ -249,16 +256,31 @@ def index_links(words: DataFrame, limit: int, sketch_limit: int | None = None, l
                 keep = label[x] != label[y]
                 x, y = x[keep], y[keep]
                 keep = alike(x, y)
-                if keep.any():
+                if rooted:
+                    far.append((ids[x[keep]], ids[y[keep]]))
+                elif keep.any():
                     label = components(len(w), label[x[keep]], label[y[keep]])[label]
-        away = ids != ids[label]
-        return pa.table({"a": ids[away], "b": ids[label][away]})
+        if rooted:
+            a, b = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in far)]) for k in (0, 1))
+            return pa.table({"a": a, "b": b, "dense": np.zeros(len(a), bool)})
+        size = np.bincount(label, minlength=len(w))[label]
+        away = (ids != ids[label]) & (size > few)
+        found = [(ids[away], ids[label][away], np.ones(away.sum(), bool))]
+        some = np.flatnonzero((size > 1) & (size <= few))
+        some = some[np.argsort(label[some], kind="stable")]
+        for k in range(1, few):
+            x, y = some[:-k], some[k:]
+            keep = label[x] == label[y]
+            x, y = x[keep], y[keep]
+            keep = alike(x, y)
+            found.append((ids[x[keep]], ids[y[keep]], np.zeros(keep.sum(), bool)))
+        return pa.table({name: np.concatenate([f[k] for f in found]) for k, name in enumerate(("a", "b", "dense"))})
 
     schema = "at int, member boolean, id long, word long" + "".join(f", {c} long" for c in carried)
     visits = ordered.mapInArrow(route, schema)
     # A range with its visitors is a bounded group: NODE_ROWS members and the words
     # near them; beyond MAX_NODES ranges it grows with the input's share of a range.
-    return visits.repartition(nodes, "at").groupBy("at").applyInArrow(link, "a long, b long").where(F.col("a") != F.col("b")).distinct()
+    return visits.repartition(nodes, "at").groupBy("at").applyInArrow(link, "a long, b long, dense boolean").where(F.col("a") != F.col("b")).distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -303,29 +325,69 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 2) -> DataF
     return marked.join(named, "f0").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Tables of 32 sampled sketch bits, and the sketch bits in which likes may differ.
-TABLES, SKETCH_BITS = 24, 24
+#: Tables of so many sampled sketch bits, and the sketch bits in which candidates may differ.
+TABLES, SAMPLED, SKETCH_BITS = 64, 28, 32
+#: Rows of a range's component that gives all its pairs, and stars tried for a row of a larger one.
+FEW, STARS = 32, 8
 
 
 def _table_words(tables: int) -> list[list[int]]:
     """Which of 128 sketch bits each table samples: a fixed draw."""
     rng = np.random.default_rng(7)
-    return [sorted(rng.choice(128, 32, replace=False).tolist()) for _ in range(tables)]
+    return [sorted(rng.choice(128, SAMPLED, replace=False).tolist()) for _ in range(tables)]
+
+
+def set_sketches(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, k0, k1, s0, s1): digest and sketch of each text's set of shingles."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            out = []
+            for text in batch.column("text").to_pylist():
+                h = np.unique(shingle_hashes(text, width))
+                key = xxhash.xxh3_128_intdigest(h.tobytes())
+                out.append((key >> 64, key & (1 << 64) - 1, majority(h), majority(remix(h))))
+            columns = np.array(out, np.uint64).reshape(-1, 4).view(np.int64)
+            yield pa.record_batch([batch.column("doc_id"), *[pa.array(columns[:, k]) for k in range(4)]], names=["doc_id", "k0", "k1", "s0", "s1"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, k0 long, k1 long, s0 long, s1 long")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """Those of the pairs (a, b) of doc_ids whose shingle sets have Jaccard 0.8 or more.
+
+    Sets are made anew for the documents in pairs only, and joined to both ends. Shingles
+    are compared by their 64-bit hashes.
+    """
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            sets = [np.unique(shingle_hashes(text, width)).view(np.int64) for text in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    sets = materialize(texts.join(ids, "id", "left_semi").mapInArrow(run, "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
+    left, right = (sets.select(F.col("id").alias(end), F.col("shingles").alias(f"{end}_set")) for end in ("a", "b"))
+    joined = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("a_set", "b_set")))
+    return joined.where("5 * common >= 4 * (size(a_set) + size(b_set) - common)").select("a", "b")
 
 
 def similar_documents(docs: DataFrame, width: int = 5, tables: int = TABLES, sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """(doc_id, component_id) for near copies of `width`-word shingles at similarity 0.8.
 
-    Two fingerprints of 64 bits make a sketch of 128. Shingle sets of Jaccard similarity
-    J have a cosine near 2J/(1+J), so 0.8 means about 19 differing bits; SKETCH_BITS adds
-    one standard deviation. Each table indexes 32 sampled bits at two differences, and a
-    link needs the whole sketch to agree. Sets of equal text share one sketch.
+    Texts of one shingle set are one class. Two fingerprints of 64 bits make its sketch of
+    128; sets of Jaccard similarity J have a cosine near 2J/(1+J), so 0.8 means about 19
+    differing bits. Each table indexes SAMPLED sketch bits at two differences; candidates
+    may differ in SKETCH_BITS of the whole sketch. A link is a candidate whose exact sets
+    have a similarity of 0.8. In dense places stars are verified first, then every
+    candidate whose ends are not linked yet, so each candidate is linked or tested.
     """
-    marked = materialize(fingerprints(docs, width, lanes=2), "sketches")
-    distinct = materialize(marked.groupBy(F.col("f0").alias("s0"), F.col("f1").alias("s1")).agg(F.min("doc_id").alias("id")), "distinct")
+    marked = materialize(set_sketches(docs, width), "sketches")
+    distinct = materialize(marked.groupBy("k0", "k1", "s0", "s1").agg(F.min("doc_id").alias("id")), "distinct")
 
     def spread(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A word for each table: its number three times over, then its 32 bits."""
+        """A word for each table: its number three times over, then its sampled bits."""
         picks = _table_words(tables)
         for batch in rows:
             if not batch.num_rows:
@@ -335,10 +397,22 @@ def similar_documents(docs: DataFrame, width: int = 5, tables: int = TABLES, ske
             for t, pick in enumerate(picks):
                 low = np.ascontiguousarray(np.packbits(np.ascontiguousarray(bits[:, pick]), axis=1, bitorder="little")).view("<u4").ravel().astype(np.uint64)
                 tag = np.uint64((t << 54) | (t << 44) | (t << 34))
-                yield pa.record_batch([batch.column("id"), pa.array((low | tag).view(np.int64)), batch.column("s0"), batch.column("s1")], names=["id", "word", "s0", "s1"])
-
-    words = distinct.where("id is not null").mapInArrow(spread, "id long, word long, s0 long, s1 long")
-    roots = connected(index_links(materialize(words, "words"), 2, sketch_bits, 32 * tables))
-    classes = distinct.join(roots, "id", "left").select("s0", "s1", F.coalesce("root", "id").alias("component_id"))
-    found = marked.join(classes, [marked["f0"] == classes["s0"], marked["f1"] == classes["s1"]])
-    return found.select("doc_id", "component_id")
+                yield pa.record_batch([*batch.columns, pa.array((low | tag).view(np.int64))], names=[*batch.schema.names, "word"])
+
+    words = distinct.where("id is not null").select("id", "s0", "s1").mapInArrow(spread, "id long, s0 long, s1 long, word long")
+    found = materialize(index_links(materialize(words, "words"), 2, sketch_bits, 8 * tables, FEW), "found")
+    ordered = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "dense")
+    stars = ordered.where("dense").groupBy("a").agg(F.explode(F.slice(F.array_sort(F.collect_set("b")), 1, STARS)).alias("b"))
+    pairs = materialize(ordered.where("not dense").select("a", "b").unionByName(stars).distinct(), "pairs")
+    links = materialize(verified(docs, pairs, width), "links")
+    roots = connected(links)
+    dense = found.where("dense").select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    if not dense.isEmpty():
+        held = distinct.select("id", "s0", "s1").join(dense, "id", "left_semi").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        held = materialize(held.mapInArrow(spread, "id long, s0 long, s1 long, root long, word long"), "words")
+        rest = index_links(held, 2, sketch_bits, tables).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        links = materialize(links.unionByName(verified(docs, rest, width)), "links")
+        roots = connected(links)
+    classes = distinct.join(roots, "id", "left").select("k0", "k1", F.coalesce("root", "id").alias("component_id"))
+    return marked.join(classes, ["k0", "k1"]).select("doc_id", "component_id")

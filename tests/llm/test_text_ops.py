@@ -144,3 +144,27 @@ def test_index_links_with_sketches_equal_brute_force(spark, monkeypatch):
     apart = np.bitwise_count(s0[:, None] ^ s0).astype(int) + np.bitwise_count(s1[:, None] ^ s1)
     label = simhash.components(len(w), *np.nonzero((np.bitwise_count(w[:, None] ^ w) <= 2) & (apart <= 24)))
     assert roots == {i: int(k) for i, k in enumerate(label) if k != i}
+
+
+def test_similar_documents_are_verified_exactly(spark, monkeypatch):
+    """Pairs just over and just under 0.8, and a dense chain, as exact sets say."""
+    monkeypatch.setattr(simhash, "FEW", 4)
+    rng = np.random.default_rng(9)
+    word = lambda: hashlib.sha1(rng.bytes(8)).hexdigest()[:8]
+    texts = []
+    for edits in [6] * 40 + [7, 8, 9] * 20:  # 0.816; 0.789, 0.762, 0.736
+        words = [word() for _ in range(300)]
+        texts.append(" ".join(words))
+        for k in range(edits):
+            words[10 + 30 * k] = word()
+        texts.append(" ".join(words))
+    words = [word() for _ in range(300)]
+    for k in range(24):
+        words[10 + 12 * k] = word()
+        texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    label = simhash.components(len(sets), *np.array(near).T)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(table(spark, texts)).collect()}
+    wrong = [i for i in range(len(sets)) if got[i] != label[i]]
+    assert all(got[i] == i for i in wrong) and len(wrong) <= 1
