@@ -2,13 +2,12 @@
 
 Rates r of documents are as near to 1 as they can be in relative entropy while the words
 each source gives, the sum of r times size, equal its target, and no rate passes 2. The
-solution tilts exponentially, r = min(2, exp(l)), with a multiplier l per source that
-maximises a concave dual; Newton iterations over the cluster find it. Rates are then
-rounded to whole copies by spreading the error from the largest document to the smallest.
+solution tilts exponentially, r = min(2, exp(l * size)), with a multiplier l per source
+that maximises a concave dual; Newton iterations find it. Rates are then rounded to whole copies by spreading the error from the largest document to the smallest.
 
 Shape at scale. Documents are reduced to (doc_id, source, size) at once. Newton works on
-(source, size) sums, which the cluster adds up once; the dual splits by source, so its
-iterations are a fold on each source's row. Rounding deals a source's documents to groups of about GROUP
+exact (source, size) counts, which the cluster adds up once; the dual splits by source,
+so a task iterates over one source's distinct sizes, however many documents it has. Rounding deals a source's documents to groups of about GROUP
 rows, so a hot source is many groups; each group ends within its smallest documents of
 its share.
 
@@ -66,42 +65,70 @@ def targets(sources: DataFrame, share: float = SHARE, most: float = MOST, weight
     return ready.withColumn("t", level).withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("t") * F.col("weight"), F.col("cap")))).select("source", "words", "weight", "target")
 
 
-def tilt(sources: DataFrame, most: float = MOST) -> DataFrame:
-    """Add `rate` to (source, words, target): Newton on each source's dual.
+def multiplier(sizes: np.ndarray, counts: np.ndarray, target: float, most: float) -> float:
+    """The l at which the sum of counts * sizes * min(most, exp(l * sizes)) is the target.
 
-    The dual of source s is target * l - words * exp(l): its gradient is the words still
-    missing, its curvature the words given. The dual is a sum over sources, so each
-    iteration is an expression on its source's row; the largest gradient is checked.
+    Gradient and curvature of the dual are summed over the sizes in each round. A Newton
+    step that leaves the bracket known so far is replaced by its middle.
     """
-    words, target = F.col("words").cast("double"), F.col("target")
-
-    def newton(l: Column, _: Column) -> Column:
-        given = words * F.exp(l)
-        rise = (target - given) / given
-        # A step up overshoots a convex curve; the logarithm of its factor does not.
-        return F.greatest(F.lit(-60.0), l + F.when(rise > 0, F.log1p(rise)).otherwise(F.greatest(rise, F.lit(-4.0))))
-
-    solved = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.lit(0.0), newton)
-    done = materialize(sources.withColumn("l", F.when(words > 0, solved).otherwise(0.0)), "multipliers")
-    off = F.max(F.abs(words * F.exp("l") - target) / F.greatest(words, F.lit(1.0)))
-    if (done.agg(off.alias("off")).first()["off"] or 0.0) > CLOSE:
-        raise ArithmeticError("the dual did not converge")
-    return done.withColumn("rate", F.least(F.lit(most), F.exp("l"))).drop("l")
-
-
-def _round(sizes: np.ndarray, rate: float, most: int) -> np.ndarray:
-    """Copies of documents in descending size whose words stay near rate times size."""
-    whole = int(min(most, np.floor(rate + 1e-12)))
-    part = 0.0 if whole >= most else max(0.0, rate - whole)
-    copies = np.full(len(sizes), whole, np.int64)
-    if part > 1e-12:
-        owed, extra = 0.0, []
-        for size in sizes.tolist():
-            owed += part * size
-            give = size > 0 and owed >= size / 2
-            owed -= size if give else 0
-            extra.append(give)
-        copies += np.array(extra, np.int64)
+    counts, sizes = counts[sizes > 0].astype(np.float64), sizes[sizes > 0].astype(np.float64)
+    if not len(sizes):
+        return 0.0
+    words = counts @ sizes
+    top = np.log(most)
+
+    def given(l: float) -> tuple[float, float]:
+        e = np.exp(np.minimum(l * sizes, top))
+        return counts @ (sizes * e), counts @ (sizes * sizes * e * (l * sizes < top))
+
+    low, high = -1.0 / sizes.max(), top / sizes.min()
+    if target >= most * words * (1 - 1e-12):
+        return high
+    while given(low)[0] > target:
+        low *= 2
+    l = 0.0
+    for _ in range(ROUNDS):
+        have, slope = given(l)
+        if abs(have - target) <= CLOSE * words:
+            return l
+        low, high = (l, high) if have < target else (low, l)
+        l += (target - have) / slope if slope else np.inf
+        if not low < l < high:
+            l = (low + high) / 2
+    raise ArithmeticError("the dual did not converge")
+
+
+def tilt(counts: DataFrame, planned: DataFrame, most: float = MOST) -> DataFrame:
+    """(source, words, target, l): each source's multiplier, from (source, size, n)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("size")
+        l = multiplier(table["size"].to_numpy(), table["n"].to_numpy(), table["target"][0].as_py(), most)
+        return table.slice(0, 1).select(["source", "words", "target"]).append_column("l", pa.array([l], pa.float64()))
+
+    known = planned.select(F.col("source").alias("s"), "words", "target")
+    joined = counts.join(known, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    return joined.groupBy("source").applyInArrow(run, "source string, words long, target double, l double")
+
+
+def _round(sizes: np.ndarray, rates: np.ndarray, most: int) -> np.ndarray:
+    """Copies of documents in descending size whose words stay near rates times sizes."""
+    whole = np.minimum(most, np.floor(rates + 1e-12)).astype(np.int64)
+    part = np.where(whole >= most, 0.0, np.maximum(0.0, rates - whole))
+    part[part <= 1e-12] = 0.0
+    owed, extra = 0.0, []
+    for size, share in zip(sizes.tolist(), part.tolist()):
+        owed += share * size
+        give = size > 0 and share > 0 and owed >= size / 2
+        owed -= size if give else 0
+        extra.append(give)
+    # What is left over goes to, or comes from, documents whose rates are not whole.
+    for k in np.flatnonzero((part > 0) & (sizes > 0)).tolist():
+        size = int(sizes[k])
+        if abs(owed) >= size / 2 and extra[k] == (owed < 0):
+            owed += size if extra[k] else -size
+            extra[k] = not extra[k]
+    copies = whole + np.array(extra, np.int64)
     copies[sizes == 0] = 1
     return copies
 
@@ -119,10 +146,12 @@ def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tupl
     )
     sized = materialize(sized, "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"))
-    planned = materialize(tilt(targets(sources.select("source", "words"), share, most, weights), most), "plan")
+    counts = sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
+    planned = materialize(tilt(counts, targets(sources.select("source", "words"), share, most, weights), most), "plan")
     groups = sources.select(F.col("source").alias("s"), F.ceil(F.col("rows") / GROUP).cast("int").alias("groups"))
     # One row a source; a join that Spark may broadcast by size or split where skewed.
     joined = sized.join(planned.join(groups, F.col("source").eqNullSafe(F.col("s"))).drop("source"), F.col("source").eqNullSafe(F.col("s")))
+    joined = joined.withColumn("rate", F.least(F.lit(float(most)), F.exp(F.col("l") * F.col("size"))))
     dealt = joined.withColumn("group", F.pmod(F.xxhash64("doc_id"), F.col("groups")).cast("int"))
 
     def run(table: pa.Table) -> pa.Table:
@@ -130,7 +159,7 @@ def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tupl
         ids = table["doc_id"].combine_chunks().fill_null(-1).to_numpy()
         order = np.lexsort((ids, -sizes))
         copies = np.zeros(len(sizes), np.int64)
-        copies[order] = _round(sizes[order], table["rate"][0].as_py(), int(most))
+        copies[order] = _round(sizes[order], table["rate"].to_numpy()[order], int(most))
         return table.select(["doc_id", "source", "size"]).append_column("source_size", table["words"]).append_column("target", table["target"]).append_column("rate", table["rate"]).append_column("copies", pa.array(copies)).append_column("taken", pa.array(copies * sizes))
 
     schema = "doc_id long, source string, size long, source_size long, target double, rate double, copies long, taken long"

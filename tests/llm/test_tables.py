@@ -101,6 +101,25 @@ def test_mix(spark):
     assert {r["doc_id"]: r["count"] for r in kept} == {d: c for d, c in again.items() if c}
 
 
+def test_mix_tilts_documents(spark):
+    """Least relative entropy: log(rate) / size is one multiplier a source, up to the cap."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 200))), ["a", "b", "c", None][i % 9 % 4]) for i in range(600)]
+    of = {}
+    for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        of.setdefault(r.source, []).append(r)
+    tilted = 0
+    for these in of.values():
+        assert sum(r.rate * r.size for r in these) == pytest.approx(these[0].target, rel=1e-8)
+        assert sum(r.taken for r in these) == pytest.approx(these[0].target, rel=0.01)
+        assert all(r.rate - 1 < r.copies < r.rate + 1 for r in these)
+        free = [np.log(r.rate) / r.size for r in these if r.size and r.rate < 2]
+        assert free == pytest.approx([free[0]] * len(free), rel=1e-9) if free else True
+        assert all(r.rate == 1 for r in these if not r.size)
+        tilted += len({r.rate for r in these}) > 2
+    assert tilted
+
+
 def test_mix_empty(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
