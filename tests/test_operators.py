@@ -96,3 +96,13 @@ def test_metadata_stream(spark, tmp_path):
     assert {(r.month, r.entities) for r in state().collect()} == {("2024-01", 2)}
     add(event("a", 2, "2024-02-05"), event("b", 0, "2023-01-01"), event("b", 1, "2024-01-06"))
     assert {(r.month, r.entities) for r in state().collect()} == {("2024-01", 1), ("2024-02", 1)}
+
+
+def test_ledger_queries_see_every_document(spark, tmp_path):
+    from loomtext.plans import ledger_queries
+
+    rows = [(0, "plain"), (1, "real &amp; entity"), (2, "plain"), (4, "x\u0007y")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.rule: (r.edits, r.docs) for r in ledger_queries.x8(spark, str(tmp_path)).collect()}
+    assert got == {"control": (3, 2), "entity": (4, 2)}
+    assert tuple(ledger_queries.x12(spark, str(tmp_path)).first()) == (3, 0, 0)
