@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import batches_of, materialize
+from loomtext.llm.common import batches_of, lean, materialize
 
 RATE, TAPS = 16_000, 32
 FRAME, HOP, MELS, POOLED = 256, 128, 32, 8
@@ -136,7 +136,7 @@ def store_media(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id"), pa.array(list(map(len, raw)), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(text.mapInArrow(write, "doc_id long, n_bytes long, media binary"), "media")
+    return materialize(text.mapInArrow(lean(write), "doc_id long, n_bytes long, media binary"), "media")
 
 
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames long, spans array<struct<start_s:double,end_s:double,tensor:array<float>>>"
@@ -165,7 +165,7 @@ def features(media: DataFrame) -> DataFrame:
                 out.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), len(mel), spans))
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema)], schema=schema)
 
-    return media.mapInArrow(run, FEATURES)
+    return media.mapInArrow(lean(run), FEATURES)
 
 
 def tensors(column: pa.Array) -> pa.Array:

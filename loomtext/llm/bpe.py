@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import batches_of, flat_strings, parts_for, text_bytes
+from loomtext.llm.common import batches_of, flat_strings, lean, lean_group, lean_pair, parts_for, text_bytes
 
 #: Text bytes of a block, which one task holds in memory.
 BLOCK_BYTES = 6 << 20
@@ -150,29 +150,43 @@ def _block_words(packed: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def _word_hashes(words: pa.Array) -> np.ndarray:
     """A 64-bit polynomial hash of each word."""
     data, offsets = flat_strings(words)
-    up, down = _powers(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_LETTERS[data] * up[: len(data)], out=sums[1:])
-    x = (sums[offsets[1:]] - sums[offsets[:-1]]) * down[offsets[:-1]]
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    up, down = _power_table()
+    out = np.empty(len(words), np.uint64)
+    at = 0
+    while at < len(words):
+        # Words of at most a table's bytes are hashed at once; a longer one goes by pieces.
+        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + len(up) - 1, "right")) - 1)
+        a, b = offsets[at], offsets[stop]
+        if b - a < len(up):
+            sums = np.zeros(b - a + 1, np.uint64)
+            np.cumsum(_LETTERS[data[a:b]] * up[: b - a], out=sums[1:])
+            starts, ends = offsets[at:stop] - a, offsets[at + 1 : stop + 1] - a
+            out[at:stop] = (sums[ends] - sums[starts]) * down[starts]
+        else:
+            whole, scale, step = 0, 1, len(up) - 1
+            for k in range(a, b, step):
+                piece = data[k : min(k + step, b)]
+                whole += scale * int((_LETTERS[piece] * up[: len(piece)]).sum(dtype=np.uint64))
+                scale = scale * int(up[step]) % (1 << 64)
+            out[at] = whole % (1 << 64)
+        at = stop
+    x = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
 
 
 _LETTERS = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Powers of the hash base that a worker holds, whatever the size of a block.
+POWERS = 1 << 16
 
 
 @functools.lru_cache(maxsize=1)
-def _power_table(size: int) -> tuple[np.ndarray, np.ndarray]:
+def _power_table() -> tuple[np.ndarray, np.ndarray]:
     base = 0x9E3779B97F4A7C15
-    up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
+    up, down = np.full(POWERS, base, np.uint64), np.full(POWERS, pow(base, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up), np.cumprod(down)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _power_table(1 << max(16, (n + 1).bit_length()))
-
-
 def _by_part(distinct: pa.Array, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """Places of distinct words by partition of the word table, in order of their hashes."""
     hashes = _word_hashes(distinct)
@@ -268,9 +282,9 @@ def encode_blocks(dealt: DataFrame, blocks: int, tokenizer_path: str, finish, sc
         np.cumsum(counts, out=ends[1:])
         return finish(left, flat, np.diff(total[ends]))
 
-    pairs = dealt.groupBy("block").applyInArrow(vocabulary, "part int, block int, words binary")
-    answers = pairs.repartition(min(parts, 4 * blocks + 8), "part").groupBy("part").applyInArrow(encode_part, "part int, block int, ids binary")
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(join_back, schema)
+    pairs = dealt.groupBy("block").applyInArrow(lean_group(vocabulary), "part int, block int, words binary")
+    answers = pairs.repartition(min(parts, 4 * blocks + 8), "part").groupBy("part").applyInArrow(lean_group(encode_part), "part int, block int, ids binary")
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lean_pair(join_back), schema)
 
 
 def encode(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES, word_parts: int = WORD_PARTS) -> DataFrame:
@@ -288,7 +302,7 @@ def encode(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES,
         unusual(text).alias("rare"),
         F.when(unusual(text), text).otherwise(split_words(text)).alias("words"),
     )
-    dealt = rows.mapInArrow(packer(tokenizer_path, closed_words, lambda batch: batch.column("block")), "doc_id long, block int, packed binary").repartition(blocks, "block")
+    dealt = rows.mapInArrow(lean(packer(tokenizer_path, closed_words, lambda batch: batch.column("block"))), "doc_id long, block int, packed binary").repartition(blocks, "block")
 
     def finish(left: pa.Table, flat: np.ndarray, counts: np.ndarray) -> pa.Table:
         ids = _string_array(np.ascontiguousarray(flat).view(np.uint8), counts * 4)
@@ -330,4 +344,4 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     from pyspark.sql.types import StringType, StructField, StructType
 
     kept = encoded.select([c for c in encoded.columns if c != "decoded"])
-    return kept.mapInArrow(join_pieces, StructType([*kept.schema.fields, StructField("decoded", StringType())]))
+    return kept.mapInArrow(lean(join_pieces), StructType([*kept.schema.fields, StructField("decoded", StringType())]))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,20 +23,72 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where it is unset, as in tests on one machine, a temporary folder is made.
+    Where it is unset, a session on one machine (a local master) gets a folder in the
+    warehouse; on a cluster that is an error, as no folder is known to be shared.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         set_before = sc._jsc.sc().getCheckpointDir()
         if set_before.isDefined():
             return set_before.get().rstrip("/")
-        named = "file://" + tempfile.mkdtemp(prefix="loomtext-")
-        sc.setCheckpointDir(named)
+        sc.setCheckpointDir(f"file:///tmp/loomtext-{uuid.uuid4().hex[:12]}")
         named = sc._jsc.sc().getCheckpointDir().get()
     return named.rstrip("/")
 
 
+def _release() -> None:
+    """Give memory that a finished task has freed back to the system.
+
+    Python workers live on from task to task; what their allocators keep would add up
+    over the steps of a job.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A function for mapInArrow whose worker gives its memory back at the end of a task."""
+
+    def held(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(rows)
+        finally:
+            _release()
+
+    return held
+
+
+def lean_group(run: Callable[[pa.Table], pa.Table], least: int = 1 << 20):
+    """The same for applyInArrow, after groups of `least` bytes or more."""
+
+    def held(table: pa.Table) -> pa.Table:
+        out = run(table)
+        if table.nbytes >= least:
+            _release()
+        return out
+
+    return held
+
+
+def lean_pair(run: Callable[[pa.Table, pa.Table], pa.Table], least: int = 1 << 20):
+    """The same for applyInArrow on cogroups."""
+
+    def held(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = run(left, right)
+        if left.nbytes + right.nbytes >= least:
+            _release()
+        return out
+
+    return held
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"

@@ -35,11 +35,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from loomtext.llm.common import batches_of, materialize
+from loomtext.llm.common import batches_of, lean, lean_group, materialize
 
 #: Hash buckets of single n-grams and, as many again, of pairs.
 BUCKETS = 1 << 20
 SLICES = 64
+#: Text bytes whose n-grams a task holds at once.
+BATCH_BYTES = 1 << 20
 #: Labelled rows that are used, at most: the first by a hash of their doc_id.
 SAMPLE = 20_000
 #: Documents that a ratio must outweigh, and the surprise below which it counts nothing.
@@ -119,7 +121,7 @@ def count_models(docs: DataFrame, good_ids: np.ndarray) -> tuple[np.ndarray, np.
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, good = np.zeros(2 * BUCKETS, np.int32), np.zeros(2 * BUCKETS, np.int32)
-        for batch in batches_of(rows, "text", 4 << 20):
+        for batch in batches_of(rows, "text", BATCH_BYTES):
             doc, bucket = gram_buckets(batch.column("text").fill_null(""))
             raw += np.bincount(bucket, minlength=2 * BUCKETS).astype(np.int32)
             mine = np.isin(batch.column("doc_id").fill_null(-1).to_numpy(), good_ids)
@@ -136,9 +138,9 @@ def count_models(docs: DataFrame, good_ids: np.ndarray) -> tuple[np.ndarray, np.
         return pa.table({"slice": table["slice"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = text.mapInArrow(count, "slice int, counts binary").repartition(SLICES, "slice")
+    parts = text.mapInArrow(lean(count), "slice int, counts binary").repartition(SLICES, "slice")
     # SLICES rows of a fixed size, whatever the input.
-    sums = parts.groupBy("slice").applyInArrow(add, "slice int, counts binary").orderBy("slice").collect()
+    sums = parts.groupBy("slice").applyInArrow(lean_group(add), "slice int, counts binary").orderBy("slice").collect()
     tables = [np.frombuffer(r["counts"], np.int64).reshape(2, -1) for r in sums]
     if not tables:
         return np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64)
@@ -168,13 +170,13 @@ def weighed(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     model = spark.sparkContext.broadcast(ratios)
 
     def score(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(rows, "text", 4 << 20):
+        for batch in batches_of(rows, "text", BATCH_BYTES):
             doc, bucket = gram_buckets(batch.column("text").cast(pa.string()).fill_null(""))
             weights = np.bincount(doc, model.value[bucket], minlength=batch.num_rows).astype(np.float64)
             yield pa.record_batch([*batch.columns, pa.array(weights)], names=[*batch.schema.names, "log_weight"])
 
     plain = docs.drop("log_weight")
-    return plain.mapInArrow(score, StructType([*plain.schema.fields, StructField("log_weight", DoubleType())]))
+    return plain.mapInArrow(lean(score), StructType([*plain.schema.fields, StructField("log_weight", DoubleType())]))
 
 
 def calibrate(weights: np.ndarray, good: np.ndarray) -> tuple[float, float]:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import materialize, parts_for
+from loomtext.llm.common import lean, lean_group, materialize, parts_for
 
 SEED = 42
 #: Members of a range of the Gray order, and the least and most ranges.
@@ -88,7 +88,7 @@ def fingerprints(docs: DataFrame, width: int = 3, lanes: int = 1) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id"), *columns], names=["doc_id", *[f"f{k}" for k in range(lanes)]])
 
     schema = "doc_id long, " + ", ".join(f"f{k} long" for k in range(lanes))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), schema)
 
 
 def gray_rank(word: Column) -> Column:
@@ -277,10 +277,10 @@ def index_links(words: DataFrame, limit: int, sketch_limit: int | None = None, l
         return pa.table({name: np.concatenate([f[k] for f in found]) for k, name in enumerate(("a", "b", "dense"))})
 
     schema = "at int, member boolean, id long, word long" + "".join(f", {c} long" for c in carried)
-    visits = ordered.mapInArrow(route, schema)
+    visits = ordered.mapInArrow(lean(route), schema)
     # A range with its visitors is a bounded group: NODE_ROWS members and the words
     # near them; beyond MAX_NODES ranges it grows with the input's share of a range.
-    return visits.repartition(nodes, "at").groupBy("at").applyInArrow(link, "a long, b long, dense boolean").where(F.col("a") != F.col("b")).distinct()
+    return visits.repartition(nodes, "at").groupBy("at").applyInArrow(lean_group(link), "a long, b long, dense boolean").where(F.col("a") != F.col("b")).distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -350,7 +350,7 @@ def set_sketches(docs: DataFrame, width: int) -> DataFrame:
             columns = np.array(out, np.uint64).reshape(-1, 4).view(np.int64)
             yield pa.record_batch([batch.column("doc_id"), *[pa.array(columns[:, k]) for k in range(4)]], names=["doc_id", "k0", "k1", "s0", "s1"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, k0 long, k1 long, s0 long, s1 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, k0 long, k1 long, s0 long, s1 long")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
@@ -367,7 +367,7 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    sets = materialize(texts.join(ids, "id", "left_semi").mapInArrow(run, "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
+    sets = materialize(texts.join(ids, "id", "left_semi").mapInArrow(lean(run), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
     left, right = (sets.select(F.col("id").alias(end), F.col("shingles").alias(f"{end}_set")) for end in ("a", "b"))
     joined = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("a_set", "b_set")))
     return joined.where("5 * common >= 4 * (size(a_set) + size(b_set) - common)").select("a", "b")
@@ -399,7 +399,7 @@ def similar_documents(docs: DataFrame, width: int = 5, tables: int = TABLES, ske
                 tag = np.uint64((t << 54) | (t << 44) | (t << 34))
                 yield pa.record_batch([*batch.columns, pa.array((low | tag).view(np.int64))], names=[*batch.schema.names, "word"])
 
-    words = distinct.where("id is not null").select("id", "s0", "s1").mapInArrow(spread, "id long, s0 long, s1 long, word long")
+    words = distinct.where("id is not null").select("id", "s0", "s1").mapInArrow(lean(spread), "id long, s0 long, s1 long, word long")
     found = materialize(index_links(materialize(words, "words"), 2, sketch_bits, 8 * tables, FEW), "found")
     ordered = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "dense")
     stars = ordered.where("dense").groupBy("a").agg(F.explode(F.slice(F.array_sort(F.collect_set("b")), 1, STARS)).alias("b"))
@@ -409,7 +409,7 @@ def similar_documents(docs: DataFrame, width: int = 5, tables: int = TABLES, ske
     dense = found.where("dense").select(F.explode(F.array("a", "b")).alias("id")).distinct()
     if not dense.isEmpty():
         held = distinct.select("id", "s0", "s1").join(dense, "id", "left_semi").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        held = materialize(held.mapInArrow(spread, "id long, s0 long, s1 long, root long, word long"), "words")
+        held = materialize(held.mapInArrow(lean(spread), "id long, s0 long, s1 long, root long, word long"), "words")
         rest = index_links(held, 2, sketch_bits, tables).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
         links = materialize(links.unionByName(verified(docs, rest, width)), "links")

@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomtext.llm import bpe
-from loomtext.llm.common import make_dirs, materialize, new_path, parts_for, text_bytes, write_blob
+from loomtext.llm.common import lean, make_dirs, materialize, new_path, parts_for, text_bytes, write_blob
 
 MAGIC = b"TPLN1\n"
 BLOCK_IDS = 1 << 15
@@ -187,7 +187,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, pla
         return pa.array(np.searchsorted(bounds, ids, "right").astype(np.int32))
 
     blocks = len(bounds) + 1
-    dealt = rows.mapInArrow(bpe.packer(tokenizer_path, split_plain, place), "doc_id long, block int, packed binary").repartition(blocks, "block")
+    dealt = rows.mapInArrow(lean(bpe.packer(tokenizer_path, split_plain, place)), "doc_id long, block int, packed binary").repartition(blocks, "block")
 
     def finish(left: pa.Table, flat: np.ndarray, counts: np.ndarray) -> pa.Table:
         """Add the end ids and write the block's file."""
@@ -249,9 +249,9 @@ def read_token_files(spark, folder: str, digest: bool = False) -> DataFrame:
             yield pa.record_batch([batch.column("name"), pa.array(counts, pa.int64())], names=["name", "n"])
 
     # One row a file: sums over names, which sort as the documents do.
-    sums = materialize(named.mapInArrow(totals, "name string, n long"), "file-sums")
+    sums = materialize(named.mapInArrow(lean(totals), "name string, n long"), "file-sums")
     before = W.orderBy("name").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.select("name", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     last = "ids_crc32" if digest else "ids"
-    rows = named.mapInArrow(_unpack(digest), f"doc_id long, name string, local long, n_tokens long, {last} {'long' if digest else 'binary'}")
+    rows = named.mapInArrow(lean(_unpack(digest)), f"doc_id long, name string, local long, n_tokens long, {last} {'long' if digest else 'binary'}")
     return rows.join(starts, "name").select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", last)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import batches_of, make_dirs, materialize, new_path, parts_for, text_bytes, write_blob
+from loomtext.llm.common import batches_of, lean, make_dirs, materialize, new_path, parts_for, text_bytes, write_blob
 
 ARCHIVE_BYTES = 16 << 20
 #: Fields of the header line by ARC version: fixed values of the format.
@@ -192,7 +192,7 @@ def write_archives(pages: DataFrame, version: int = 1) -> str:
             write_blob(folder, f"part-{part:06d}-{number:05d}.warc.gz", b"".join(held))
         yield pa.record_batch([pa.array([done], pa.int64())], names=["records"])
 
-    materialize(dealt.mapInArrow(write, "records long"), "warc-written")
+    materialize(dealt.mapInArrow(lean(write), "records long"), "warc-written")
     return folder
 
 
@@ -223,4 +223,4 @@ def read_archives(spark, folder: str) -> DataFrame:
                 if rows:
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return files.mapInArrow(read, "page_id long, url string, date string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return files.mapInArrow(lean(read), "page_id long, url string, date string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
