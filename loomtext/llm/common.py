@@ -118,6 +118,18 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def row_keys(docs: DataFrame, name: str = "_row") -> DataFrame:
+    """Add a key that is distinct for every row: the doc_id where each row has its own.
+
+    Rows that share a doc_id, or have none, are rows of their own; the table is then
+    written with a number for each row, so that every later read sees the same numbers.
+    """
+    seen = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids")).first()
+    if seen["n"] == seen["ids"]:
+        return docs.withColumn(name, F.col("doc_id").cast("long"))
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
 def bitmap_of(values: DataFrame, column: str, size: int) -> np.ndarray:
     """Bits at value modulo size (a power of two) of a column of longs, as bytes.
 

@@ -97,7 +97,7 @@ def test_mix(spark):
         assert abs(taken[s] - want[s]) <= max(3, 0.01 * want[s])
     again = {r.doc_id: r.copies for r in mixing.mix(df.orderBy("text")).collect()}
     assert again == {r.doc_id: r.copies for r in got}
-    kept = mixing.take(df, mixing.mix(df)).groupBy("doc_id").count().collect()
+    kept = mixing.take(df).groupBy("doc_id").count().collect()
     assert {r["doc_id"]: r["count"] for r in kept} == {d: c for d, c in again.items() if c}
 
 
@@ -149,3 +149,11 @@ def test_shards_empty_and_few(spark):
     assert kdtree.assign(spark.createDataFrame([], "doc_id long, text string"), 40).count() == 0
     few = kdtree.assign(spark.createDataFrame([(1, "a"), (1, "a"), (None, "b")], "doc_id long, text string"), 40).collect()
     assert len(few) == 3 and all(0 <= r.shard < 40 for r in few)
+
+
+def test_take_gives_each_row_its_own_copies(spark):
+    rows = [(1, "w " * 100, "a"), (1, "x y z", "a"), (None, "p q", "a"), (None, "p q", "b"), (2, None, None)] + [(7, "k " * (3 + i), "b") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    words = lambda t: len((t or "").split())
+    wanted = sum(r.taken for r in mixing.mix(df).collect())
+    assert sum(words(r.text) for r in mixing.take(df).collect()) == wanted
