@@ -1,8 +1,8 @@
 """The training-data pipeline: STAGES over documents, each on what its predecessor kept.
 
 Every stage but the last takes and gives the columns of documents (doc_id, text, lang,
-source, n_chars); rows may miss any value. A row whose doc_id is null is kept by the
-stages that decide by doc_id.
+source, n_chars); rows may miss any value. Rows that share a doc_id, or have none, are
+documents of their own in every stage.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm import bpe, importance, mixing, simhash, suffixes
-from loomtext.llm.common import materialize, read_table
+from loomtext.llm.common import materialize, read_table, row_keys
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -24,18 +24,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group of near copies (five words, 0.8)."""
-    groups = simhash.similar_documents(docs.select("doc_id", "text"), width=5)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    rest = docs.where("doc_id is null")
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"]).unionByName(rest)
+    """Keep one row of each group of near copies (five words, 0.8): the smallest doc_id's."""
+    keyed = row_keys(docs)
+    groups = simhash.similar_documents(keyed.select(F.col("_row").alias("doc_id"), "text"), width=5)
+    rows = groups.select(F.col("doc_id").alias("_at"), "component_id").join(keyed.select("doc_id", "_row"), F.col("_at") == F.col("_row"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row"))
+    kept = rows.groupBy("component_id").agg(first.alias("one")).select(F.col("one._row").alias("_kept"))
+    return keyed.join(kept, F.col("_row") == F.col("_kept"), "left_semi").select(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut every repeated 400-byte string out of the texts; a character cut in part stays."""
-    cut = suffixes.remove_repeats(docs.where("doc_id is not null").select("doc_id", "text"), characters=True)
+    keyed = row_keys(docs)
+    cut = suffixes.remove_repeats(keyed.select(F.col("_row").alias("doc_id"), "text"), characters=True)
     cut = cut.where("n_removed > 0").select(F.col("doc_id").alias("_cut"), F.decode(F.col("kept"), "utf-8").alias("_text"))
-    joined = docs.join(cut, F.col("doc_id") == F.col("_cut"), "left")
+    joined = keyed.join(cut, F.col("_row") == F.col("_cut"), "left")
     text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.col("_text"))
     changed = joined.withColumn("text", text).withColumn("n_chars", F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("text")))
     return changed.select(*docs.columns)
@@ -43,7 +46,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take each document as often as the entropy-balanced mix says."""
-    return mixing.take(docs, mixing.mix(docs))
+    return mixing.take(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
