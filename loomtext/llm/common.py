@@ -102,14 +102,17 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a table that is no longer read."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of materialized tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def tidy(spark: SparkSession) -> None:

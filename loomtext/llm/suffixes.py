@@ -1,19 +1,32 @@
 """Removal of repeated byte strings by a distributed difference-cover suffix array.
 
 Every start s of a LENGTH-byte string points to an anchor: the leftmost smallest hash of
-the WINDOW k-grams from s on. The choice depends on the string alone, so equal strings
+the WINDOW grams from s on. The choice depends on the string alone, so equal strings
 point to their anchors at the same distance, and both anchors begin with the same
 LENGTH - WINDOW + 1 bytes. These bytes are the anchor's symbol; an anchor's suffix is the
 sequence of symbols from it to the end of its text. That is an alphabet of some sixty
 bytes a letter: a suffix array over it is small enough to sort at scale.
 
-1. Symbols that occur once in the corpus have no equal neighbour; they end a sequence.
-2. The difference-cover algorithm (mod 3) sorts the suffixes that remain: sampled triples
-   are sorted and named, names are sorted by recursion, the remaining suffixes are merged.
-3. Neighbours in the suffix array whose prefixes are equal are candidates.
-4. An exact check follows. If the whole reach of an anchor's strings occurs again, all of
-   them do; else each of its strings is counted by a 128-bit hash. This needs no pair of
-   documents and no group in one task: counts are combined before they are shuffled.
+1. Anchors whose symbol may occur again, by a filter of fixed size, are the sequences.
+2. The difference-cover algorithm (mod 3) sorts their suffixes: sampled triples are
+   sorted and named, names are sorted by recursion, the remaining suffixes are merged.
+   Recursion goes on, over what is undecided, until names differ or span NEED bytes.
+3. Adjacent suffixes are compared by hashes of their first SYMBOL and GRID bytes. Equal
+   prefixes of LENGTH bytes or more mark their starts as repeated. Anchors that share
+   their symbol with no neighbour are dropped: none of their strings occurs again.
+4. What the array cannot see is the bytes left of an anchor, so the edges of a match are
+   left: starts that point to an anchor with an equal neighbour and that no prefix marks.
+   They are counted by 128-bit hashes, together with the marked starts of the first
+   suffix of each run, which stand for all the others.
+
+Every marked start is repeated, and every repeated start is marked or counted, whatever
+the order of the array; the order only makes the counted part small.
+
+Shape at scale. Ranges of the sorts are cut between rows of one key, too, so a passage of
+every document is many ranges. Groups are one document's anchors; counts are combined
+before they are shuffled. Texts are parsed in segments of SEGMENT bytes, so a very long
+text needs little more memory than itself. Only filters of a fixed size are broadcast,
+and one row for each range of a sort.
 
 Offsets are bytes of UTF-8. Matches never cross texts and are judged on the input.
 
@@ -33,17 +46,23 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from loomtext.llm.common import bitmap_of, flat_strings, in_bitmap, materialize, parts_for, text_bytes, tidy
+from loomtext.llm.common import bitmap_of, discard, flat_strings, in_bitmap, lean, materialize, parts_for, row_keys, text_bytes, tidy
 
 LENGTH, WINDOW, GRAM = 400, 128, 16
-#: Rounds of recursion: names then span 3 ** (ROUNDS + 1) symbols, over LENGTH bytes.
-ROUNDS = 1
+SYMBOL = LENGTH - WINDOW + 1
+#: Bytes from an anchor within which the array's order counts, and the prefixes compared.
+NEED = LENGTH + WINDOW
+GRID = (400, 432, 464, 496, 528)
+#: Starts of a text that are parsed at once.
+SEGMENT = 1 << 18
 #: Bits of the filters of repeated hashes, at most (16 MB).
 FILTER_BITS = 1 << 27
 TEXT_BYTES = 16 << 20
-#: Two odd multipliers of the polynomial hashes.
+#: Two odd multipliers of the polynomial hashes, and three of the grams.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+MIXERS = tuple(np.uint64(m) for m in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 NONE = -(1 << 63)
 
 
@@ -53,132 +72,188 @@ def _letters(which: int) -> np.ndarray:
     return np.random.default_rng(11 + which).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
-@functools.lru_cache(maxsize=4)
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base ** 0..n and their inverses, modulo 2 ** 64."""
-    up = np.full(n + 1, base, np.uint64)
-    down = np.full(n + 1, pow(base, -1, 1 << 64), np.uint64)
+@functools.lru_cache(maxsize=2)
+def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """base ** 0..n and their inverses, modulo 2 ** 64, for the bytes of a segment."""
+    up = np.full(SEGMENT + 2 * NEED, base, np.uint64)
+    down = np.full(SEGMENT + 2 * NEED, pow(base, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
-    with np.errstate(over="ignore"):
-        return np.cumprod(up), np.cumprod(down)
+    return np.cumprod(up), np.cumprod(down)
 
 
 class Hashes:
-    """Hashes of any substring of one text in constant time each."""
+    """Hashes of any substring of one segment in constant time each."""
 
-    def __init__(self, data: np.ndarray) -> None:
-        size = 1 << max(12, int(len(data)).bit_length())
-        self.parts = []
-        for k, base in enumerate(BASES):
-            up, down = _powers(base, size)
+    def __init__(self, data: np.ndarray, which: tuple[int, ...] = (0, 1)) -> None:
+        self.parts = {}
+        for k in which:
+            up, down = _powers(BASES[k])
             sums = np.zeros(len(data) + 1, np.uint64)
             np.cumsum(_letters(k)[data] * up[: len(data)], out=sums[1:])
-            self.parts.append((sums, down))
+            self.parts[k] = (sums, down)
 
     def of(self, start: np.ndarray, stop: np.ndarray, which: int) -> np.ndarray:
         """Mixed hash of each [start, stop)."""
         sums, down = self.parts[which]
         x = (sums[stop] - sums[start]) * down[start]
         x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
+        x *= MIXERS[0]
         return x ^ (x >> np.uint64(32))
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, Hashes] | None:
-    """Anchor places with the first and last start of the strings that point to each."""
-    n = len(data)
-    if n < LENGTH:
-        return None
-    hashes = Hashes(data)
-    grams = np.arange(n - GRAM + 1)
-    h = hashes.of(grams, grams + GRAM, 0)
-    key = (h & np.uint64(0xFFFFFFFF00000000)) | grams.astype(np.uint64)
+def _chosen(data: np.ndarray) -> np.ndarray:
+    """The anchor of each start, as if the segment were one text."""
+    n = len(data) - GRAM + 1
+    eight = np.ndarray((len(data) - 7,), np.uint64, data, strides=(1,))
+    h = (eight[:n] ^ MIXERS[1]) * MIXERS[0]
+    h ^= (eight[8 : 8 + n] ^ MIXERS[2]) * MIXERS[1]
+    h ^= h >> np.uint64(29)
+    h *= MIXERS[2]
+    key = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
     width = 1
     while width < WINDOW:
         key = np.minimum(key[:-width], key[width:])
         width *= 2
-    chosen = (key[: n - LENGTH + 1] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
-    last = np.append(first[1:] - 1, len(chosen) - 1)
-    return chosen[first], first, last, hashes
+    return (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-ANCHOR_SCHEMA = "d long, i int, x long, lo int, hi int, c0 long, c1 long"
+def _segments(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pieces of some texts: bytes, and by piece the text, its begin, place and starts.
 
+    Short texts share a segment; a long one is many, each with the bytes its last prefixes
+    need. Texts without a string are left out.
+    """
+    sizes = np.diff(offsets)
+    held, total = [], 0
 
-def _parser(filtered: Broadcast | None):
-    """Anchors of each text: symbols alone, or all columns of those in the filter."""
+    def flush():
+        columns = (np.array(c, np.int64) for c in zip(*(h[:4] for h in held), strict=True))
+        return (np.concatenate([h[4] for h in held]), *columns)
+
+    for t in np.flatnonzero(sizes >= LENGTH).tolist():
+        a, n = int(offsets[t]), int(sizes[t])
+        for begin in range(0, n - LENGTH + 1, SEGMENT):
+            stop = min(n, begin + SEGMENT + WINDOW + NEED)
+            if total and total + stop - begin > SEGMENT:
+                yield flush()
+                held, total = [], 0
+            held.append((t, begin, total, min(SEGMENT, n - LENGTH + 1 - begin), data[a + begin : a + stop]))
+            total += stop - begin
+    if held:
+        yield flush()
 
-    def parse(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _parse(rows, None if filtered is None else filtered.value)
 
-    return parse
+def anchors(data: np.ndarray, offsets: np.ndarray, prefixes: bool) -> Iterator[dict[str, np.ndarray]]:
+    """Anchors of some texts, in order: text, at, lo, hi, x and, if asked, the prefixes g0...
 
+    lo and hi are the first and last start that point to an anchor.
+    """
+    rest: dict[str, np.ndarray] | None = None
+    for piece, number, begin, place, each in _segments(data, offsets):
+        starts = np.repeat(place - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        pos = _chosen(piece)[starts]
+        first = np.flatnonzero(np.concatenate([[True], pos[1:] != pos[:-1]]))
+        last = np.append(first[1:] - 1, len(pos) - 1)
+        at = pos[first]
+        where = np.searchsorted(place, at, "right") - 1
+        shift = begin[where] - place[where]
+        hashes = Hashes(piece, (0, 1) if prefixes else (0,))
+        out = {"text": number[where], "at": at + shift, "lo": starts[first] + shift, "hi": starts[last] + shift, "x": hashes.of(at, at + SYMBOL, 0)}
+        if prefixes:
+            ends = np.append(place[1:], len(piece))[where]
+            for k, n in enumerate(GRID):
+                stop = np.minimum(at + n, ends)
+                # Zero stands for a prefix that the text is too short for.
+                out[f"g{k}"] = np.where(stop - at == n, hashes.of(at, stop, 1) | np.uint64(1), np.uint64(0))
+        if rest is not None:
+            # The last anchor of a text's segment may be the first of its next one.
+            if rest["at"][0] == out["at"][0]:
+                out["lo"][0] = rest["lo"][0]
+            else:
+                out = {k: np.concatenate([rest[k], v]) for k, v in out.items()}
+        size = offsets[number[-1] + 1] - offsets[number[-1]]
+        rest = {k: v[-1:] for k, v in out.items()} if begin[-1] + each[-1] < size - LENGTH + 1 else None
+        yield out if rest is None else {k: v[:-1] for k, v in out.items()}
 
-def _parse(rows: Iterator[pa.RecordBatch], bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
 
-    def flush():
-        if bits is None:
-            return pa.record_batch([pa.array(np.concatenate(held).view(np.int64))], names=["x"])
-        d, *columns = (np.concatenate(c) for c in zip(*held, strict=True))
-        out = [pa.array(d), *[pa.array(c.astype(np.int32)) if k in (0, 2, 3) else pa.array(c.view(np.int64)) for k, c in enumerate(columns)]]
-        return pa.record_batch(out, names=["d", "i", "x", "lo", "hi", "c0", "c1"])
-
-    for batch in rows:
-        data, offsets = flat_strings(batch.column("text"))
-        for d, a, b in zip(batch.column("d").to_numpy().tolist(), offsets[:-1].tolist(), offsets[1:].tolist()):
-            found = anchors(data[a:b])
-            if found is None:
+GRID_COLUMNS = [f"g{k}" for k in range(len(GRID))]
+ANCHOR_COLUMNS = ["d", "i", "x", "at", "lo", "hi", *GRID_COLUMNS]
+ANCHOR_SCHEMA = "d long, i int, x long, at int, lo int, hi int, " + ", ".join(f"{g} long" for g in GRID_COLUMNS)
+
+
+def _parser(filtered: Broadcast | None):
+    """Anchors of each text: symbols alone, or all columns of those in the filter."""
+
+    def parse(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if filtered is None else filtered.value
+        for batch in rows:
+            if not batch.num_rows:
                 continue
-            at, lo, hi, hashes = found
-            x = hashes.of(at, at + LENGTH - WINDOW + 1, 0)
-            if bits is None:
-                held.append(x)
-            else:
-                keep = np.flatnonzero(in_bitmap(bits, x))
-                lo, hi = lo[keep], hi[keep]
-                reach = (hashes.of(lo, hi + LENGTH, k) for k in (0, 1))
-                held.append((np.full(len(keep), d), keep, x[keep], lo, hi, *reach))
-            size += len(at)
-            if size > 100_000:
-                yield flush()
-                held, size = [], 0
-    if held:
-        yield flush()
+            data, offsets = flat_strings(batch.column("text"))
+            ids = batch.column("d").to_numpy()
+            # The text of the segment before, and how many anchors it has so far.
+            text, count = -1, 0
+            for found in anchors(data, offsets, bits is not None):
+                if bits is None:
+                    yield pa.record_batch([pa.array(found["x"].view(np.int64))], names=["x"])
+                    continue
+                number = found["text"]
+                if not len(number):
+                    continue
+                new = np.concatenate([[True], number[1:] != number[:-1]])
+                i = np.arange(len(number)) - np.maximum.accumulate(np.where(new, np.arange(len(number)), 0))
+                i[number == text] += count
+                text, count = int(number[-1]), int(i[-1]) + 1
+                keep = in_bitmap(bits, found["x"])
+                columns = [ids[number], i.astype(np.int32), found["x"].view(np.int64), *(found[c].astype(np.int32) for c in ("at", "lo", "hi")), *(found[g].view(np.int64) for g in GRID_COLUMNS)]
+                yield pa.record_batch([pa.array(c[keep]) for c in columns], names=ANCHOR_COLUMNS)
 
+    return lean(parse)
 
-def numbered(df: DataFrame, keys: list[str], parts: int, name: str) -> DataFrame:
-    """Add `name`: the dense rank of the keys over the whole table, in ranges.
 
-    Equal keys share a range. Each range numbers its rows in order; the ranges' counts,
-    a row each, are added up as offsets.
+def numbered(df: DataFrame, keys: list[str], parts: int, name: str, trash: list[DataFrame]) -> DataFrame:
+    """Add `name`, the dense rank of the keys over the whole table, and `only`.
+
+    Rows of one key may lie in several ranges. Each range numbers its rows in order; one
+    row a range, with its first and last key, gives the offsets. `only` is true for keys
+    that occur once, as far as a row's own range shows. The table it reads joins `trash`.
     """
-    ordered = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
+    ordered = df.repartitionByRange(parts, *keys, "d", "c", "i").sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
 
     def number(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, last = 0, None
+        count, held, held_new, opening = 0, None, False, True
         for batch in rows:
             if not batch.num_rows:
                 continue
-            values = np.stack([batch.column(k).cast(pa.int64()).to_numpy() for k in keys], axis=1)
+            whole = batch if held is None else pa.concat_batches([held, batch])
+            values = np.stack([whole.column(k).cast(pa.int64()).to_numpy() for k in keys], axis=1)
             new = np.ones(len(values), bool)
             new[1:] = (values[1:] != values[:-1]).any(axis=1)
-            new[0] = last is None or (values[0] != last).any()
+            if held is not None:
+                new[0] = held_new
             rank = np.cumsum(new) + count
-            count, last = int(rank[-1]), values[-1]
-            yield pa.record_batch([*batch.columns, pa.array(rank)], names=[*batch.schema.names, "_rank"])
-
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    local = materialize(ordered.mapInArrow(number, StructType([*ordered.schema.fields, StructField("_rank", LongType())])), "ranks", "lz4")
-    counts = {r["_part"]: r["n"] for r in local.groupBy("_part").agg(F.max("_rank").alias("n")).collect()}
-    spark, before, rows = df.sparkSession, 0, []
-    for part in sorted(counts):
-        rows.append((part, before))
-        before += counts[part]
-    offsets = spark.createDataFrame(rows, "_part int, _before long")
-    # One row for each of `parts` ranges: a fixed bound, so it may be broadcast.
+            only = new[:-1] & new[1:]
+            # The first row of a range may have equals in the range before.
+            if opening and len(only):
+                only[0] = opening = False
+            yield pa.record_batch([*whole.slice(0, len(only)).columns, pa.array(rank[:-1]), pa.array(only)], names=[*batch.schema.names, "_rank", "only"])
+            held, held_new = whole.slice(len(only)), bool(new[-1])
+            count = int(rank[-1]) - held_new
+        if held is not None:
+            yield pa.record_batch([*held.columns, pa.array([count + held_new]), pa.array([False])], names=[*held.schema.names, "_rank", "only"])
+
+    schema = StructType([*ordered.schema.fields, StructField("_rank", LongType()), StructField("only", BooleanType())])
+    local = materialize(ordered.mapInArrow(lean(number), schema), "ranks", "lz4")
+    trash.append(local)
+    key = F.struct(*keys)
+    ends = local.groupBy("_part").agg(F.max("_rank").alias("n"), F.min_by(key, "_rank").alias("first"), F.max_by(key, "_rank").alias("last")).orderBy("_part").collect()
+    before, rows, last = 0, [], None
+    for r in ends:
+        before -= r["first"] == last
+        rows.append((r["_part"], before))
+        before, last = before + r["n"], r["last"]
+    offsets = df.sparkSession.createDataFrame(rows, "_part int, _before long")
+    # One row for each of `parts` ranges, so it may be broadcast.
     return local.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_rank") + F.col("_before")).drop("_part", "_rank", "_before")
 
 
@@ -192,54 +267,66 @@ def _following(df: DataFrame, values: dict[str, tuple[str, int]], default: int)
     return out
 
 
-def suffix_ranks(symbols: DataFrame, rounds: int, parts: int) -> DataFrame:
+#: A text's symbols: sequence (d, c), place i, symbol x, and the bytes [b, z) it covers.
+SYMBOLS = ("d", "c", "i", "x", "b", "z")
+
+
+def suffix_ranks(symbols: DataFrame, need: int, parts: int, trash: list[DataFrame]) -> DataFrame:
     """(d, c, i, x, r): rank r of each suffix of the sequences (d, c) by place i.
 
     Difference cover modulo 3: suffixes at places 1 and 2 modulo 3 are sorted by their
-    triples; unless all differ, their names make two shorter sequences that are sorted by
-    recursion. Suffixes at places 0 merge in: class 1 and class 0 compare by (x, rank of
-    the next suffix), classes 0 and 2 by (x, next x, rank of the suffix after it), which
-    orders what lies between two neighbours of class 1. After `rounds` recursions equal
-    names keep one rank: their first 3 ** (rounds + 1) symbols are equal.
+    triples; what stays undecided is sorted by recursion over the names. Suffixes at
+    places 0 merge in: class 1 and class 0 compare by (x, rank of the next suffix),
+    classes 0 and 2 by (x, next x, rank of the suffix after it), which orders what lies
+    between two neighbours of class 1. Suffixes that are equal for `need` bytes may keep
+    one rank. Tables that the result reads are added to `trash`.
     """
-    near = materialize(_following(symbols.select("d", "c", "i", "x"), {"x1": ("x", 1), "x2": ("x", 2)}, NONE), "triples", "lz4")
-    sampled = numbered(near.where("i % 3 <> 0"), ["x", "x1", "x2"], parts, "name")
-    if rounds:
-        sampled = materialize(sampled.select("d", "c", "i", "name"), "names", "lz4")
-        count = sampled.agg(F.count(F.lit(1)).alias("n"), F.max("name").alias("m")).first()
-        if (count["m"] or 0) < count["n"]:
-            shorter = sampled.select("d", (F.col("c") * 3 + F.col("i") % 3).cast("int").alias("c"), F.floor(F.col("i") / 3).cast("int").alias("i"), F.col("name").alias("x"))
-            deeper = suffix_ranks(shorter, rounds - 1, parts)
-            sampled = deeper.select("d", F.floor(F.col("c") / 3).cast("int").alias("c"), (F.col("i") * 3 + F.col("c") % 3).cast("int").alias("i"), F.col("r").alias("name"))
-    joined = near.join(sampled.select("d", "c", "i", "name"), ["d", "c", "i"], "left")
+    mine: list[DataFrame] = []
+    near = _following(symbols.select(*SYMBOLS), {"x1": ("x", 1), "x2": ("x", 2), "z1": ("z", 1), "z2": ("z", 2)}, NONE)
+    near = materialize(near.withColumn("z2", F.greatest("z", "z1", "z2")).drop("z1"), "triples", "lz4")
+    sampled = numbered(near.where("i % 3 <> 0"), ["x", "x1", "x2"], parts, "name", mine)
+    sampled = materialize(sampled.select("d", "c", "i", "name", "b", F.col("z2").alias("z"), (F.col("only") | (F.col("x1") == NONE) | (F.col("x2") == NONE) | (F.col("z2") - F.col("b") >= need)).alias("fixed")), "names", "lz4")
+    discard(*mine)
+    gone, mine = [near, sampled], []
+    left = sampled.where("not fixed").count()
+    if left:
+        # Names to sort further, each with what follows up to the next fixed one.
+        shorter = sampled.select("d", (F.col("c") * 3 + F.col("i") % 3).cast("int").alias("c"), F.floor(F.col("i") / 3).cast("int").alias("i"), F.col("name").alias("x"), "b", "z", "fixed")
+        w = W.partitionBy("d", "c").orderBy("i")
+        closes = (F.lag("i").over(w) == F.col("i") - 1) & ~F.lag("fixed").over(w)
+        shorter = shorter.withColumn("closes", closes).where("not fixed or closes")
+        deeper = suffix_ranks(shorter, need, min(parts, parts_for(2 * left, 100_000, 4)), mine)
+        finer = deeper.select("d", F.floor(F.col("c") / 3).cast("int").alias("c"), (F.col("i") * 3 + F.col("c") % 3).cast("int").alias("i"), F.col("r").alias("finer"))
+        named = sampled.select("d", "c", "i", "name", "fixed").join(finer, ["d", "c", "i"], "left")
+        named = named.select("d", "c", "i", F.col("name").alias("coarse"), F.when(F.col("fixed"), 0).otherwise(F.col("finer")).alias("finer"))
+        sampled = numbered(named, ["coarse", "finer"], parts, "name", mine)
+    joined = near.select("d", "c", "i", "x", "x1").join(sampled.select("d", "c", "i", "name"), ["d", "c", "i"], "left")
     ready = materialize(_following(joined, {"r1": ("name", 1), "r2": ("name", 2)}, 0), "ready", "lz4")
+    discard(*gone, *mine)
+    mine = []
     # The place of each class-1 suffix among its own, and of the others between them.
-    ones = numbered(ready.where("i % 3 = 1").select("d", "c", "i", "name"), ["name"], parts, "g").select("d", "c", "i", F.col("name"), "g")
-    by_next = _spread_down(
-        ready.where("i % 3 = 0").select("d", "c", "i", "x", "r1").withColumn("g", F.lit(None).cast("long")).unionByName(
-            ready.where("i % 3 = 1").select("d", "c", "i", "x", "r1").join(ones.select("d", "c", "i", "g"), ["d", "c", "i"])
-        ),
-        ["x", "r1"],
-        parts,
-    )
-    by_name = _spread_down(
-        ready.where("i % 3 = 2").select("d", "c", "i", "name").withColumn("g", F.lit(None).cast("long")).unionByName(ones.select("d", "c", "i", "name", "g")),
-        ["name"],
-        parts,
-    )
+    ones = materialize(numbered(ready.where("i % 3 = 1").select("d", "c", "i", "name", "x", "r1"), ["name"], parts, "g", mine), "ones", "lz4")
+    discard(*mine)
+    mine = [ready, ones]
+    nothing = F.lit(None).cast("long").alias("g")
+    by_next = _spread_down(ready.where("i % 3 = 0").select("d", "c", "i", "x", "r1", nothing).unionByName(ones.select("d", "c", "i", "x", "r1", "g")), ["x", "r1"], parts, mine)
+    by_name = _spread_down(ready.where("i % 3 = 2").select("d", "c", "i", "name", nothing).unionByName(ones.select("d", "c", "i", "name", "g")), ["name"], parts, mine)
     places = by_next.where("i % 3 <> 2").select("d", "c", "i", "g").unionByName(by_name.where("i % 3 = 2").select("d", "c", "i", "g"))
     merged = ready.join(places, ["d", "c", "i"]).select(
         "d", "c", "i", "x", "g",
         F.when(F.col("i") % 3 == 1, NONE).otherwise(F.col("x")).alias("k0"),
         F.when(F.col("i") % 3 == 1, NONE).otherwise(F.col("x1")).alias("k1"),
         F.when(F.col("i") % 3 == 1, 0).otherwise(F.col("r2")).alias("k2"),
-    )
-    return numbered(merged, ["g", "k0", "k1", "k2"], parts, "r").select("d", "c", "i", "x", "r")
+    )
+    ranked = numbered(merged, ["g", "k0", "k1", "k2"], parts, "r", trash).select("d", "c", "i", "x", "r")
+    discard(*mine)
+    return ranked
 
 
-def _spread_down(df: DataFrame, keys: list[str], parts: int) -> DataFrame:
+def _spread_down(df: DataFrame, keys: list[str], parts: int, trash: list[DataFrame]) -> DataFrame:
     """Fill g in key order from the last row that has one; 0 before the first."""
-    ordered = df.withColumn("_later", F.col("g").isNull().cast("int")).repartitionByRange(parts, *keys).sortWithinPartitions(*keys, "_later").withColumn("_part", F.spark_partition_id())
+    later = df.withColumn("_later", F.col("g").isNull().cast("int"))
+    ordered = later.repartitionByRange(parts, *keys, "_later", "d", "i").sortWithinPartitions(*keys, "_later").withColumn("_part", F.spark_partition_id())
 
     def fill(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = -1
@@ -251,7 +338,9 @@ def _spread_down(df: DataFrame, keys: list[str], parts: int) -> DataFrame:
             last = int(g[-1])
             yield batch.set_column(batch.schema.get_field_index("g"), "g", pa.array(g))
 
-    local = materialize(ordered.drop("_later").mapInArrow(fill, ordered.drop("_later").schema), "filled", "lz4")
+    kept = ordered.select("d", "c", "i", "g", "_part")
+    local = materialize(kept.mapInArrow(lean(fill), kept.schema), "filled", "lz4")
+    trash.append(local)
     tops = {r["_part"]: r["g"] for r in local.groupBy("_part").agg(F.max("g").alias("g")).collect()}
     before, rows = 0, []
     for part in sorted(tops):
@@ -261,36 +350,41 @@ def _spread_down(df: DataFrame, keys: list[str], parts: int) -> DataFrame:
     return local.join(F.broadcast(first), "_part").withColumn("g", F.greatest("g", "_first")).drop("_part", "_first")
 
 
-def candidates(ranked: DataFrame, parts: int) -> DataFrame:
-    """(d, i): suffixes that share their first symbol with a neighbour in the suffix array.
+def adjacent_prefixes(ranked: DataFrame, parts: int) -> DataFrame:
+    """(d, at, lo, hi, prev, most): anchors with an equal neighbour in the suffix array.
 
-    The first and last row of a range are candidates without a look at the next range.
+    `prev` and `most` are the bytes, of SYMBOL and GRID, that a suffix shares with the one
+    before it and with the closer of its two neighbours. The two ends of a range share
+    nothing with the next range and are kept whatever they are.
     """
-    ordered = ranked.select("d", "i", "x", "r").repartitionByRange(parts, "r").sortWithinPartitions("r", "x")
+    names = ["x", *GRID_COLUMNS]
+    ordered = ranked.repartitionByRange(parts, "r", "d", "i").sortWithinPartitions("r", "d", "i").select("d", "at", "lo", "hi", *names)
 
-    def adjacent(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None
-        held = None
+    def compare(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, held_prev, opening = None, 0, True
         for batch in rows:
             if not batch.num_rows:
                 continue
-            x = batch.column("x").to_numpy()
+            whole = batch if held is None else pa.concat_batches([held, batch])
+            x, *grid = (whole.column(c).to_numpy() for c in names)
             same = x[1:] == x[:-1]
-            good = np.zeros(len(x), bool)
-            good[1:] |= same
-            good[:-1] |= same
-            good[0] |= before is None or x[0] == before
-            if held is not None:
-                keep, last, alike = held
-                alike[-1] |= x[0] == last
-                yield keep.filter(pa.array(alike)).select(["d", "i"])
-            held, before = (batch, x[-1], good), x[-1]
+            shared = np.where(same, SYMBOL, 0).astype(np.int32)
+            for n, g in zip(GRID, grid):
+                same = same & (g[1:] == g[:-1]) & (g[1:] != 0)
+                shared[same] = n
+            prev = np.concatenate([[held_prev], shared[:-1]]).astype(np.int32) if len(shared) else np.zeros(0, np.int32)
+            keep = (prev > 0) | (shared > 0)
+            if opening and len(keep):
+                keep[0], opening = True, False
+            out = whole.slice(0, len(shared)).select(["d", "at", "lo", "hi"])
+            yield pa.record_batch([*out.columns, pa.array(prev), pa.array(np.maximum(prev, shared))], names=["d", "at", "lo", "hi", "prev", "most"]).filter(pa.array(keep))
+            held = whole.slice(len(shared))
+            held_prev = int(shared[-1]) if len(shared) else held_prev
         if held is not None:
-            keep, _, alike = held
-            alike[-1] = True
-            yield keep.filter(pa.array(alike)).select(["d", "i"])
+            end = pa.array([held_prev], pa.int32())
+            yield pa.record_batch([*held.select(["d", "at", "lo", "hi"]).columns, end, end], names=["d", "at", "lo", "hi", "prev", "most"])
 
-    return ordered.mapInArrow(adjacent, "d long, i int")
+    return ordered.mapInArrow(lean(compare), "d long, at int, lo int, hi int, prev int, most int")
 
 
 def _filter_bits(count: int) -> int:
@@ -298,20 +392,71 @@ def _filter_bits(count: int) -> int:
     return min(FILTER_BITS, max(1 << 16, 1 << (16 * count).bit_length()))
 
 
-def _repeated(values: DataFrame, column: str):
+def _repeated(values: DataFrame, column: str) -> Broadcast:
     """A filter of the column's values that occur more than once, for all tasks."""
     spark = values.sparkSession
     twice = materialize(values.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(column), "twice")
-    return spark.sparkContext.broadcast(bitmap_of(twice, column, _filter_bits(twice.count())))
+    bits = bitmap_of(twice, column, _filter_bits(twice.count()))
+    discard(twice)
+    return spark.sparkContext.broadcast(bits)
 
 
-def _runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last starts of all rows' runs, and where each row's begin."""
+def _lists(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """The fields of all rows' structs in one, and where each row's begin."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     sizes = np.array(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
     flat = column.flatten()
-    lo, hi = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
-    return lo, hi, np.concatenate([[0], np.cumsum(sizes)])
+    fields = [flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(flat.type.num_fields)]
+    return fields, np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _covered(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places lie in one of [first, last]; empty runs cover none."""
+    some = first <= last
+    edge = np.zeros(n + 1, np.int32)
+    np.add.at(edge, first[some], 1)
+    np.add.at(edge, last[some] + 1, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def open_starts(n: int, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, prev: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Starts of a text of n bytes that have to be counted, in order.
+
+    Those that point to one of the anchors and that no prefix marks, and the marked ones
+    of a suffix that is the first of its run to have so long a prefix.
+    """
+    places = n - LENGTH + 1
+    marked = _covered(at, np.where(most >= LENGTH, at + most - LENGTH, -1), places)
+    opening = (most >= LENGTH) & (prev < most)
+    stands = _covered(at + np.maximum(0, prev - LENGTH + 1), np.where(opening, at + most - LENGTH, -1), places)
+    return np.flatnonzero((_covered(lo, hi, places) & ~marked) | stands)
+
+
+def _strings(filtered: Broadcast | None):
+    """Hashes of the open starts' strings: 64 bits, or 128 of those in the filter."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            data, offsets = flat_strings(batch.column("text"))
+            fields, cuts = _lists(batch.column("anchors"))
+            for k, d in enumerate(batch.column("d").to_pylist()):
+                text = data[offsets[k] : offsets[k + 1]]
+                starts = open_starts(len(text), *(f[cuts[k] : cuts[k + 1]] for f in fields))
+                for a in range(0, len(text), SEGMENT):
+                    s = starts[np.searchsorted(starts, a) : np.searchsorted(starts, a + SEGMENT)] - a
+                    if not len(s):
+                        continue
+                    hashes = Hashes(text[a : a + SEGMENT + LENGTH - 1], (0,) if filtered is None else (0, 1))
+                    h0 = hashes.of(s, s + LENGTH, 0)
+                    if filtered is None:
+                        yield pa.record_batch([pa.array(h0.view(np.int64))], names=["h0"])
+                        continue
+                    keep = in_bitmap(filtered.value, h0)
+                    s, h0 = s[keep], h0[keep]
+                    h1 = hashes.of(s, s + LENGTH, 1)
+                    yield pa.record_batch([pa.array(np.full(len(s), d)), pa.array((s + a).astype(np.int32)), pa.array(h0.view(np.int64)), pa.array(h1.view(np.int64))], names=["d", "lo", "h0", "h1"])
+
+    return lean(run)
 
 
 def repeated_starts(docs: DataFrame, parts: int) -> DataFrame:
@@ -323,67 +468,51 @@ def repeated_starts(docs: DataFrame, parts: int) -> DataFrame:
     size = F.octet_length("text")
     digests = docs.where(size >= LENGTH).select("d", size.alias("n"), F.sha2(F.encode("text", "utf-8"), 256).alias("h"))
     digests = materialize(digests, "digests")
-    equal = digests.groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min("d").alias("first")).where("copies > 1")
+    equal = materialize(digests.groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min("d").alias("first")).where("copies > 1"), "equal")
     copies = materialize(digests.join(equal, "h").select("d", "n", "first"), "copies")
+    discard(digests, equal)
     symbols = docs.select("d", "text").mapInArrow(_parser(None), "x long")
     parsed = docs.select("d", "text").mapInArrow(_parser(_repeated(symbols, "x")), ANCHOR_SCHEMA)
     alive = materialize(parsed.join(copies.where("d <> first").select("d"), "d", "left_anti"), "anchors", "lz4")
     tidy(spark)
-    twice = alive.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x")
-    alive = materialize(alive.join(twice, "x"), "anchors", "lz4")
-    ranked = suffix_ranks(alive.select("d", F.lit(0).alias("c"), "i", "x"), ROUNDS, parts)
-    found = materialize(alive.join(candidates(ranked, parts), ["d", "i"]).select("d", "lo", "hi", "x", "c0", "c1"), "candidates", "lz4")
+    trash = [alive]
+    at = F.col("at").cast("long")
+    symbols = alive.select("d", F.lit(0).alias("c"), "i", "x", at.alias("b"), (at + SYMBOL).alias("z"))
+    ranked = suffix_ranks(symbols, NEED, parts, trash).select("d", "i", "r")
+    found = materialize(adjacent_prefixes(alive.join(ranked, ["d", "i"]), parts), "adjacent", "lz4")
+    discard(*trash)
     tidy(spark)
-    # One anchor stands for all of an equal reach where others' strings are counted.
-    reaches = found.groupBy("c0", "c1").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "lo", "hi", "x")).alias("one"))
-    reaches = materialize(reaches, "reaches", "lz4")
-    whole = reaches.where("n > 1")
-    sure = materialize(found.join(whole.select("c0", "c1"), ["c0", "c1"]).select("d", "lo", "hi"), "sure")
-    single = reaches.where("n = 1").select("one.*")
-    stands = whole.select("one.*").join(single.select("x").distinct(), "x", "left_semi")
-    unsure = single.unionByName(stands).groupBy("d").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    anchors_of = found.groupBy("d").agg(F.collect_list(F.struct("at", "lo", "hi", "prev", "most")).alias("anchors"))
+    texts = materialize(docs.select("d", "text").join(anchors_of, "d"), "open")
     tidy(spark)
-    texts = materialize(docs.select("d", "text").join(unsure, "d"), "unsure")
+    filtered = _repeated(texts.mapInArrow(_strings(None), "h0 long"), "h0")
     tidy(spark)
-
-    def strings(filtered: Broadcast | None):
-        def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """A hash of each string of an unsure anchor: 64 bits, or 128 if it passes the filter."""
-            for batch in rows:
-                data, offsets = flat_strings(batch.column("text"))
-                lo, hi, cuts = _runs(batch.column("runs"))
-                for k, d in enumerate(batch.column("d").to_pylist()):
-                    hashes = Hashes(data[offsets[k] : offsets[k + 1]])
-                    first, each = lo[cuts[k] : cuts[k + 1]], (hi - lo + 1)[cuts[k] : cuts[k + 1]]
-                    ends = np.cumsum(each)
-                    s = np.repeat(first - (ends - each), each) + np.arange(ends[-1])
-                    h0 = hashes.of(s, s + LENGTH, 0)
-                    if filtered is None:
-                        yield pa.record_batch([pa.array(h0.view(np.int64))], names=["h0"])
-                        continue
-                    keep = in_bitmap(filtered.value, h0)
-                    s, h0 = s[keep], h0[keep]
-                    h1 = hashes.of(s, s + LENGTH, 1)
-                    yield pa.record_batch([pa.array(np.full(len(s), d)), pa.array(s.astype(np.int32)), pa.array(h0.view(np.int64)), pa.array(h1.view(np.int64))], names=["d", "lo", "h0", "h1"])
-
-        return run
-
-    filtered = _repeated(texts.mapInArrow(strings(None), "h0 long"), "h0")
-    tidy(spark)
-    each = texts.mapInArrow(strings(filtered), "d long, lo int, h0 long, h1 long")
-    again = each.groupBy("h0", "h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h0", "h1")
+    each = materialize(texts.mapInArrow(_strings(filtered), "d long, lo int, h0 long, h1 long"), "strings", "lz4")
+    discard(texts)
+    again = materialize(each.groupBy("h0", "h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h0", "h1"), "again", "lz4")
     checked = materialize(each.join(again, ["h0", "h1"]).select("d", "lo"), "checked")
+    discard(each, again)
     tidy(spark)
-    return sure.unionByName(checked.select("d", "lo", F.col("lo").alias("hi"))).unionByName(copies.select("d", F.lit(0).alias("lo"), (F.col("n") - LENGTH).cast("int").alias("hi")))
-
-
-def _whole_characters(text: np.ndarray, gone: np.ndarray) -> np.ndarray:
-    """Removed bytes less those of characters that do not go as a whole."""
-    starts = np.flatnonzero((text & 0xC0) != 0x80)
-    if not len(starts):
-        return gone
-    starts[0] = 0
-    return np.repeat(np.logical_and.reduceat(gone, starts), np.diff(starts, append=len(text)))
+    marked = found.where(F.col("most") >= LENGTH).select("d", F.col("at").alias("lo"), (F.col("at") + F.col("most") - LENGTH).alias("hi"))
+    whole = copies.select("d", F.lit(0).alias("lo"), (F.col("n") - LENGTH).cast("int").alias("hi"))
+    return marked.unionByName(checked.select("d", "lo", F.col("lo").alias("hi"))).unionByName(whole)
+
+
+def _spans(lo: np.ndarray, hi: np.ndarray, text: np.ndarray, characters: bool) -> np.ndarray:
+    """Maximal runs of bytes that the strings at runs of starts cover, as (n, 2)."""
+    if not len(lo):
+        return np.zeros((0, 2), np.int32)
+    order = np.argsort(lo, kind="stable")
+    start, stop = lo[order], np.maximum.accumulate(hi[order] + LENGTH)
+    new = np.concatenate([[True], start[1:] > stop[:-1]])
+    start, stop = start[new], stop[np.append(np.flatnonzero(new)[1:] - 1, len(stop) - 1)]
+    if characters:
+        inner = np.append((text & 0xC0) == 0x80, False)
+        for _ in range(3):
+            start = start + inner[start]
+            stop = stop - inner[stop]
+        start, stop = start[start < stop], stop[start < stop]
+    return np.stack([start, stop], axis=1).astype(np.int32)
 
 
 def remove_repeats(docs: DataFrame, characters: bool = False) -> DataFrame:
@@ -393,45 +522,31 @@ def remove_repeats(docs: DataFrame, characters: bool = False) -> DataFrame:
     A repeated string may begin or end inside a character of several bytes. With
     `characters` such a character stays as a whole, so that `kept` is UTF-8 again.
     """
-    rows, size = text_bytes(docs)
+    _, size = text_bytes(docs)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ids = docs.agg(F.count_distinct("doc_id").alias("n")).first()["n"] if rows else 0
-    if ids == rows:
-        keyed = plain.withColumn("d", F.col("doc_id"))
-    else:
-        # Rows that share an id, or have none, are texts of their own: number them once.
-        keyed = materialize(plain.withColumn("d", F.monotonically_increasing_id()), "keyed")
-    parts = parts_for(size, TEXT_BYTES, 8)
-    starts = repeated_starts(keyed, parts)
+    # Rows that share an id, or have none, are texts of their own.
+    keyed = row_keys(plain, "d")
+    starts = repeated_starts(keyed, parts_for(size, TEXT_BYTES, 8))
     spans = starts.groupBy("d").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             data, offsets = flat_strings(batch.column("text"))
-            lo, hi, cuts = _runs(batch.column("runs"))
-            removed = np.zeros(batch.num_rows, np.int64)
+            (lo, hi), cuts = _lists(batch.column("runs"))
             spans, kept = [], []
             for k in range(batch.num_rows):
                 text = data[offsets[k] : offsets[k + 1]]
-                if cuts[k] == cuts[k + 1]:
-                    spans.append(np.zeros((0, 2), np.int32))
-                    kept.append(text.tobytes())
-                    continue
                 some = slice(cuts[k], cuts[k + 1])
-                edge = np.bincount(lo[some], minlength=len(text) + 1) - np.bincount(hi[some] + LENGTH, minlength=len(text) + 1)
-                gone = np.cumsum(edge)[:-1] > 0
-                if characters:
-                    gone = _whole_characters(text, gone)
-                step = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
-                removed[k] = gone.sum()
-                spans.append(np.stack([np.flatnonzero(step == 1), np.flatnonzero(step == -1)], axis=1).astype(np.int32))
-                kept.append(text[~gone].tobytes())
-            flat = np.concatenate(spans)
+                spans.append(_spans(lo[some], hi[some], text, characters))
+                raw, edges = text.tobytes(), [0, *spans[-1].ravel().tolist(), len(text)]
+                kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+            flat = np.concatenate([np.zeros((0, 2), np.int32), *spans])
             ends = np.concatenate([[0], np.cumsum([len(s) for s in spans])]).astype(np.int32)
             items = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["start", "stop"])
+            removed = np.array([int((s[:, 1] - s[:, 0]).sum()) for s in spans], np.int64)
             yield pa.record_batch(
                 [batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(removed), pa.ListArray.from_arrays(pa.array(ends), items), pa.array(kept, pa.binary())],
                 names=["doc_id", "n_bytes", "n_removed", "spans", "kept"],
             )
 
-    return keyed.join(spans, "d", "left").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:int,stop:int>>, kept binary")
+    return keyed.join(spans, "d", "left").mapInArrow(lean(cut), "doc_id long, n_bytes long, n_removed long, spans array<struct<start:int,stop:int>>, kept binary")

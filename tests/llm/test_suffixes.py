@@ -73,10 +73,49 @@ def test_empty_and_unrepeated(spark):
 def test_suffix_ranks_sort_suffixes(spark):
     rng = np.random.default_rng(8)
     sequences = [rng.integers(1, 4, n).tolist() for n in (1, 2, 3, 7, 20, 40)] + [[1, 2, 3] * 6, [2] * 11]
-    rows = [(d, 0, i, x) for d, s in enumerate(sequences) for i, x in enumerate(s)]
-    df = spark.createDataFrame(rows, "d long, c int, i int, x long")
-    got = {(r.d, r.i): r.r for r in suffixes.suffix_ranks(df, 4, 3).collect()}
+    rows = [(d, 0, i, x, i, i + 1) for d, s in enumerate(sequences) for i, x in enumerate(s)]
+    df = spark.createDataFrame(rows, "d long, c int, i int, x long, b long, z long")
+    got = {(r.d, r.i): r.r for r in suffixes.suffix_ranks(df, 1 << 40, 3, []).collect()}
     assert len(got) == len(rows)
     ordered = sorted(got, key=got.get)
     keys = [sequences[d][i:] for d, i in ordered]
     assert keys == sorted(keys)
+
+
+def test_long_texts_go_by_segments(spark, monkeypatch):
+    """Segments of a long text give the anchors of the whole."""
+    rng = np.random.default_rng(9)
+    text = "".join(rng.choice(list("abcd \u00e9"), 9_000)) + "ab" * 900 + "x" * 700
+    data = np.frombuffer(text.encode(), np.uint8)
+    offsets = np.array([0, 0, len(data)])
+
+    def all_of():
+        parts = list(suffixes.anchors(data, offsets, True))
+        return {k: np.concatenate([p[k] for p in parts]).tolist() for k in parts[0]}
+
+    suffixes._powers.cache_clear()
+    whole = all_of()
+    monkeypatch.setattr(suffixes, "SEGMENT", 1 << 10)
+    suffixes._powers.cache_clear()
+    assert all_of() == whole
+    suffixes._powers.cache_clear()
+    assert whole["lo"][1:] == [h + 1 for h in whole["hi"][:-1]]
+
+
+def test_adjacency_drops_rows(spark):
+    """Anchors without an equal neighbour leave the array; equal ones carry their prefix."""
+    rng = np.random.default_rng(10)
+    g = {k: rng.integers(1, 1 << 60, 2).tolist() for k in range(3)}
+    rows = []
+    for d in range(40):
+        shared = d % 4 == 0
+        grids = [g[0][0], g[1][0], g[2][0] if d % 8 else 0, 0, 0] if shared else [0] * 5
+        rows.append((d, 0, 7 if shared else 100 + d, 10, 0, 10, *grids, (0 if shared else 100 + d)))
+    names = ["g0", "g1", "g2", "g3", "g4"]
+    df = spark.createDataFrame(rows, "d long, i int, x long, at int, lo int, hi int, " + ", ".join(f"{n} long" for n in names) + ", r long")
+    got = suffixes.adjacent_prefixes(df, 2).collect()
+    ends = [r for r in got if r.most == 0]
+    assert len(ends) <= 4
+    rest = [r for r in got if r.most]
+    assert {r.d for r in rest} == {d for d in range(40) if d % 4 == 0}
+    assert all(r.most == 432 for r in rest) and sum(r.prev == 0 for r in rest) <= 2
