@@ -7,9 +7,10 @@ adds up the differences from the shared bits on its way down and drops a whole g
 soon as they pass the limit.
 
 Shape at scale. Only distinct fingerprints (16 bytes and a doc_id) are indexed, never
-texts. Upper nodes are at most MAX_NODES rows, the only thing held by every task. A
-fingerprint visits the ranges that its upper-node differences allow, about the square of
-the logarithm of the node count. A word has a bounded number of words within the limit,
+texts. An upper node has NODE_ROWS members however many there are; the shared bits of
+all upper nodes, 16 bytes each, are held by every task and searched as a tree of their
+own. A fingerprint visits the nodes that its differences from their shared bits allow,
+about the square of the logarithm of the node count. A word has a bounded number of words within the limit,
 so links are linear in the input; a task reports spanning edges of its links only.
 Components come from alternating large-star and small-star rounds on those edges.
 
@@ -21,6 +22,7 @@ while another member has an id. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +31,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import lean, lean_group, materialize, parts_for
+from loomtext.llm.common import discard, lean, lean_group, materialize, parts_for
 
 SEED = 42
-#: Members of a range of the Gray order, and the least and most ranges.
-NODE_ROWS, LEAST_NODES, MAX_NODES = 8192, 64, 1024
+#: Members of an upper node, the least such nodes, and the most ranges of the sort that they lie in.
+NODE_ROWS, LEAST_NODES, MAX_RANGES = 8192, 64, 1024
 LEAF, FANOUT = 16, 4
 #: Frontier entries that a search holds at once.
 FRONTIER = 1 << 20
@@ -99,31 +101,33 @@ def gray_rank(word: Column) -> Column:
 
 
 class GrayTree:
-    """The lower nodes of one range: words in Gray order, shared bits by level."""
+    """Nodes over items in Gray order, shared bits by level.
 
-    def __init__(self, words: np.ndarray) -> None:
-        self.words, self.levels = words, []
-        low, high = words, words
+    An item is a word, or a group of words that share the bits in which low and high agree.
+    """
+
+    def __init__(self, low: np.ndarray, high: np.ndarray | None = None) -> None:
+        high = low if high is None else high
+        self.size, self.items, levels = len(low), (~(low ^ high), low), []
         width = LEAF
         while True:
             starts = np.arange(0, len(low), width)
             low, high = np.bitwise_and.reduceat(low, starts), np.bitwise_or.reduceat(high, starts)
-            self.levels.append((~(low ^ high), low))
+            levels.append((~(low ^ high), low))
             if len(low) <= FANOUT:
                 break
             width = FANOUT
-        self.levels.reverse()
-        own = []
-        for k, (mask, pattern) in enumerate(self.levels):
-            above = np.repeat(self.levels[k - 1][0], FANOUT)[: len(mask)] if k else np.zeros(len(mask), np.uint64)
-            own.append((mask & ~above, pattern))
-        self.own = own
+        levels.reverse()
+        self.own = []
+        for k, (mask, pattern) in enumerate(levels):
+            above = np.repeat(levels[k - 1][0], FANOUT)[: len(mask)] if k else np.zeros(len(mask), np.uint64)
+            self.own.append((mask & ~above, pattern))
 
     def search(self, queries: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query, member) places of all words within `limit` bits."""
+        """(query, item) places of all items within `limit` bits, as far as they are shared."""
         step = max(64, FRONTIER // 512)
         for a in range(0, len(queries), step):
-            yield from self._down(queries, np.arange(a, min(a + step, len(queries))), limit)
+            yield self._down(queries, np.arange(a, min(a + step, len(queries))), limit)
 
     def _down(self, queries, some, limit):
         tops = len(self.own[0][0])
@@ -133,13 +137,14 @@ class GrayTree:
             acc = gone if acc is None else acc + gone
             keep = acc <= limit
             q, node, acc = q[keep], node[keep], acc[keep]
-            width, size = (FANOUT, len(self.own[k + 1][0])) if k + 1 < len(self.own) else (LEAF, len(self.words))
+            width, size = (FANOUT, len(self.own[k + 1][0])) if k + 1 < len(self.own) else (LEAF, self.size)
             node = (node[:, None] * width + np.arange(width)).ravel()
             q, acc = np.repeat(q, width), np.repeat(acc, width)
             inside = node < size
             q, node, acc = q[inside], node[inside], acc[inside]
-        close = np.bitwise_count(queries[q] ^ self.words[node]) <= limit
-        yield q[close], node[close]
+        mask, pattern = self.items
+        close = np.bitwise_count((queries[q] ^ pattern[node]) & mask[node]) <= limit
+        return q[close], node[close]
 
 
 def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -174,7 +179,7 @@ def _u64(column: pa.ChunkedArray) -> np.ndarray:
     return column.to_numpy().astype(np.int64).view(np.uint64)
 
 
-def index_links(words: DataFrame, limit: int, sketch_limit: int | None = None, least_nodes: int = LEAST_NODES, few: int = 0) -> DataFrame:
+def index_links(words: DataFrame, limit: int, sketch_limit: int | None = None, least_nodes: int = LEAST_NODES, few: int = 0, node_rows: int = NODE_ROWS) -> DataFrame:
     """Spanning edges (a, b, dense) of the links between rows (id, word [, s0, s1] [, root]).
 
     Rows link when their words differ in at most `limit` bits and, with a sketch limit,
@@ -187,37 +192,45 @@ def index_links(words: DataFrame, limit: int, sketch_limit: int | None = None, l
     rooted = bool(carried) and "root" in words.columns
     carried += ["root"] * rooted
     n = words.count()
-    nodes = min(MAX_NODES, parts_for(n, NODE_ROWS, least_nodes))
+    ranges = min(MAX_RANGES, parts_for(n, node_rows, least_nodes))
     ranked = words.select("id", "word", *carried, gray_rank(F.col("word")).alias("rank"))
-    ordered = ranked.repartitionByRange(nodes, "rank").sortWithinPartitions("rank")
-    ordered = materialize(ordered.withColumn("node", F.spark_partition_id()).drop("rank"), "gray")
+    ordered = ranked.repartitionByRange(ranges, "rank").sortWithinPartitions("rank").withColumn("node", F.spark_partition_id().cast("long")).drop("rank")
+
+    def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cut a range into nodes of consecutive rows."""
+        at = 0
+        for batch in rows:
+            node = batch.column("node").to_numpy() * (1 << 32) + (at + np.arange(batch.num_rows)) // node_rows
+            at += batch.num_rows
+            yield batch.set_column(batch.schema.get_field_index("node"), "node", pa.array(node))
+
+    ordered = materialize(ordered.mapInArrow(lean(cut), ordered.schema), "gray", "lz4")
     top = ordered.groupBy("node").agg(F.bit_and("word").alias("low"), F.bit_or("word").alias("high")).orderBy("node").collect()
+    if not top:
+        return words.sparkSession.createDataFrame([], "a long, b long, dense boolean")
     names = np.array([r["node"] for r in top], np.int64)
     low = np.array([r["low"] for r in top], np.int64).view(np.uint64)
     high = np.array([r["high"] for r in top], np.int64).view(np.uint64)
-    masks = ~(low ^ high)
+    uppers = words.sparkSession.sparkContext.broadcast((names, low, high))
 
     def route(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Send each word to its own range and to the later ones its shared bits allow."""
+        """Send each word to its own node and to the later ones their shared bits allow."""
+        names, low, high = uppers.value
+        tree = GrayTree(low, high)
         for batch in rows:
             if not batch.num_rows:
                 continue
             w = batch.column("word").to_numpy().view(np.uint64)
-            own = batch.column("node").to_numpy().astype(np.int64)
-            step = max(1, FRONTIER // len(names))
-            at, to = [], []
-            for a in range(0, len(w), step):
-                gone = np.bitwise_count((w[a : a + step, None] ^ low) & masks) <= limit
-                gone &= names >= own[a : a + step, None]
-                i, j = np.nonzero(gone)
-                at.append(i + a)
-                to.append(names[j])
-            at, to = np.concatenate(at), np.concatenate(to)
-            out = batch.take(pa.array(at))
-            yield pa.record_batch(
-                [pa.array(to.astype(np.int32)), pa.array(own[at] == to), *[out.column(c) for c in ("id", "word", *carried)]],
-                names=["at", "member", "id", "word", *carried],
-            )
+            own = batch.column("node").to_numpy()
+            for at, item in tree.search(w, limit):
+                to = names[item]
+                later = to >= own[at]
+                at, to = at[later], to[later]
+                out = batch.take(pa.array(at))
+                yield pa.record_batch(
+                    [pa.array(to), pa.array(own[at] == to), *[out.column(c) for c in ("id", "word", *carried)]],
+                    names=["at", "member", "id", "word", *carried],
+                )
 
     def link(table: pa.Table) -> pa.Table:
         """The links of one range, as spanning edges."""
@@ -276,11 +289,10 @@ def index_links(words: DataFrame, limit: int, sketch_limit: int | None = None, l
             found.append((ids[x[keep]], ids[y[keep]], np.zeros(keep.sum(), bool)))
         return pa.table({name: np.concatenate([f[k] for f in found]) for k, name in enumerate(("a", "b", "dense"))})
 
-    schema = "at int, member boolean, id long, word long" + "".join(f", {c} long" for c in carried)
+    schema = "at long, member boolean, id long, word long" + "".join(f", {c} long" for c in carried)
     visits = ordered.mapInArrow(lean(route), schema)
-    # A range with its visitors is a bounded group: NODE_ROWS members and the words
-    # near them; beyond MAX_NODES ranges it grows with the input's share of a range.
-    return visits.repartition(nodes, "at").groupBy("at").applyInArrow(lean_group(link), "a long, b long, dense boolean").where(F.col("a") != F.col("b")).distinct()
+    # A node with its visitors is a bounded group: node_rows members and the words near them.
+    return visits.repartition(ranges, "at").groupBy("at").applyInArrow(lean_group(link), "a long, b long, dense boolean").where(F.col("a") != F.col("b")).distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -325,16 +337,27 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 2) -> DataF
     return marked.join(named, "f0").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Tables of so many sampled sketch bits, and the sketch bits in which candidates may differ.
-TABLES, SAMPLED, SKETCH_BITS = 64, 28, 32
+#: Sampled sketch bits and tables for FEW_TEXTS distinct texts, and the growth of the tables with each further bit.
+SAMPLED, TABLES, FEW_TEXTS, MORE = 24, 24, 1 << 18, 1.28
+#: Sketch bits in which candidates may differ, and members of a node of the tables.
+SKETCH_BITS, TABLE_NODE_ROWS = 32, 1 << 15
 #: Rows of a range's component that gives all its pairs, and stars tried for a row of a larger one.
 FEW, STARS = 32, 8
 
 
-def _table_words(tables: int) -> list[list[int]]:
+def table_plan(texts: int) -> tuple[int, int]:
+    """(sampled bits, tables): one more bit for each doubling keeps chance candidates few.
+
+    The tables grow so that the share of pairs at 0.8 that meet in one stays near 98 %.
+    """
+    more = max(0, min(10, math.ceil(math.log2(max(1, texts) / FEW_TEXTS))))
+    return SAMPLED + more, round(TABLES * MORE**more)
+
+
+def _table_words(sampled: int, tables: int) -> list[list[int]]:
     """Which of 128 sketch bits each table samples: a fixed draw."""
     rng = np.random.default_rng(7)
-    return [sorted(rng.choice(128, SAMPLED, replace=False).tolist()) for _ in range(tables)]
+    return [sorted(rng.choice(128, sampled, replace=False).tolist()) for _ in range(tables)]
 
 
 def set_sketches(docs: DataFrame, width: int) -> DataFrame:
@@ -373,34 +396,38 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     return joined.where("5 * common >= 4 * (size(a_set) + size(b_set) - common)").select("a", "b")
 
 
-def similar_documents(docs: DataFrame, width: int = 5, tables: int = TABLES, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+def similar_documents(docs: DataFrame, width: int = 5, sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """(doc_id, component_id) for near copies of `width`-word shingles at similarity 0.8.
 
     Texts of one shingle set are one class. Two fingerprints of 64 bits make its sketch of
     128; sets of Jaccard similarity J have a cosine near 2J/(1+J), so 0.8 means about 19
-    differing bits. Each table indexes SAMPLED sketch bits at two differences; candidates
+    differing bits. Each table indexes sampled sketch bits at two differences; candidates
     may differ in SKETCH_BITS of the whole sketch. A link is a candidate whose exact sets
     have a similarity of 0.8. In dense places stars are verified first, then every
     candidate whose ends are not linked yet, so each candidate is linked or tested.
     """
     marked = materialize(set_sketches(docs, width), "sketches")
     distinct = materialize(marked.groupBy("k0", "k1", "s0", "s1").agg(F.min("doc_id").alias("id")), "distinct")
+    sampled, tables = table_plan(distinct.count())
 
     def spread(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A word for each table: its number three times over, then its sampled bits."""
-        picks = _table_words(tables)
+        picks = _table_words(sampled, tables)
         for batch in rows:
             if not batch.num_rows:
                 continue
             s = np.stack([batch.column(c).to_numpy() for c in ("s0", "s1")], axis=1)
             bits = np.unpackbits(np.ascontiguousarray(s).view(np.uint8), axis=1, bitorder="little")
             for t, pick in enumerate(picks):
-                low = np.ascontiguousarray(np.packbits(np.ascontiguousarray(bits[:, pick]), axis=1, bitorder="little")).view("<u4").ravel().astype(np.uint64)
+                picked = np.pad(np.ascontiguousarray(bits[:, pick]), ((0, 0), (0, 64 - sampled)))
+                low = np.ascontiguousarray(np.packbits(picked, axis=1, bitorder="little")).view("<u8").ravel()
                 tag = np.uint64((t << 54) | (t << 44) | (t << 34))
                 yield pa.record_batch([*batch.columns, pa.array((low | tag).view(np.int64))], names=[*batch.schema.names, "word"])
 
     words = distinct.where("id is not null").select("id", "s0", "s1").mapInArrow(lean(spread), "id long, s0 long, s1 long, word long")
-    found = materialize(index_links(materialize(words, "words"), 2, sketch_bits, 8 * tables, FEW), "found")
+    words = materialize(words, "words", "lz4")
+    found = materialize(index_links(words, 2, sketch_bits, 2 * tables, FEW, TABLE_NODE_ROWS), "found")
+    discard(words)
     ordered = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "dense")
     stars = ordered.where("dense").groupBy("a").agg(F.explode(F.slice(F.array_sort(F.collect_set("b")), 1, STARS)).alias("b"))
     pairs = materialize(ordered.where("not dense").select("a", "b").unionByName(stars).distinct(), "pairs")
@@ -410,7 +437,7 @@ def similar_documents(docs: DataFrame, width: int = 5, tables: int = TABLES, ske
     if not dense.isEmpty():
         held = distinct.select("id", "s0", "s1").join(dense, "id", "left_semi").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         held = materialize(held.mapInArrow(lean(spread), "id long, s0 long, s1 long, root long, word long"), "words")
-        rest = index_links(held, 2, sketch_bits, tables).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        rest = index_links(held, 2, sketch_bits, 2 * tables, 0, TABLE_NODE_ROWS).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
         links = materialize(links.unionByName(verified(docs, rest, width)), "links")
         roots = connected(links)

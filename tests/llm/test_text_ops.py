@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pytest
 import public_tokenizers
 import xxhash
 from tokenizers import Tokenizer
@@ -95,13 +96,15 @@ def test_gray_tree_finds_all_pairs():
         assert found == want
 
 
-def test_simhash_many_ranges(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "NODE_ROWS", 16)
+@pytest.mark.parametrize("ranges", [1024, 3])
+def test_simhash_many_ranges(spark, monkeypatch, ranges):
+    """Nodes of few rows, one or many to a range of the sort."""
+    monkeypatch.setattr(simhash, "MAX_RANGES", ranges)
     rng = np.random.default_rng(3)
     base = rng.integers(-(2**63), 2**63 - 1, 80)
     words = sorted({int(x) for x in base} | {int(x) ^ (1 << int(a)) ^ (1 << int(b)) for x in base[:50] for a, b in rng.integers(0, 62, (3, 2))})
     df = spark.createDataFrame([(w, w) for w in words], "id long, word long")
-    roots = {r.id: r.root for r in simhash.connected(simhash.index_links(df, 2)).collect()}
+    roots = {r.id: r.root for r in simhash.connected(simhash.index_links(df, 2, node_rows=16)).collect()}
     w = np.array(words).view(np.uint64)
     a, b = np.nonzero(np.bitwise_count(w[:, None] ^ w) <= 2)
     label = simhash.components(len(w), a, b)
@@ -123,9 +126,8 @@ def test_similar_documents(spark):
     assert all(got[3 * k] == 3 * k and got[3 * k + 2] == 3 * k + 2 for k in range(30))
 
 
-def test_index_links_with_sketches_equal_brute_force(spark, monkeypatch):
+def test_index_links_with_sketches_equal_brute_force(spark):
     """Rows of one word keep links of their own that their word's first row lacks."""
-    monkeypatch.setattr(simhash, "NODE_ROWS", 16)
     rng = np.random.default_rng(11)
     rows = []
     for word in rng.integers(-(2**62), 2**62, 40).tolist():
@@ -138,7 +140,7 @@ def test_index_links_with_sketches_equal_brute_force(spark, monkeypatch):
     mixed = rng.permutation(len(rows)).tolist()
     rows = [(mixed[i], *rest) for i, *rest in rows]
     df = spark.createDataFrame(rows, "id long, word long, s0 long, s1 long")
-    roots = {r.id: r.root for r in simhash.connected(simhash.index_links(df, 2, 24)).collect()}
+    roots = {r.id: r.root for r in simhash.connected(simhash.index_links(df, 2, 24, node_rows=16)).collect()}
     rows.sort()
     w, s0, s1 = (np.array([r[k] for r in rows]).view(np.uint64) for k in (1, 2, 3))
     apart = np.bitwise_count(s0[:, None] ^ s0).astype(int) + np.bitwise_count(s1[:, None] ^ s1)
