@@ -110,9 +110,13 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Remove the files of materialized tables that nothing reads any more."""
     for table in tables:
-        spark = table.sparkSession
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.written_to)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        discard_path(table.sparkSession, table.written_to)
+
+
+def discard_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def tidy(spark: SparkSession) -> None:

@@ -6,28 +6,32 @@ The converter parses version-specific ARC header lines and declared lengths:
     version 2: URL IP date type status checksum location offset file length
 
 and makes WARC records with identifiers from the content, ISO timestamps, types and
-SHA-1 digests. Records with equal payloads keep one response, the one with the smallest
-page_id; the others become revisits that name it.
+SHA-1 digests. Records with equal payloads keep a response, the one with the smallest
+page_id; the others become revisits that name it. Pages are first laid down as ARC files
+of both versions, and the converter reads nothing but these files.
 
 Shape at scale. Digests alone are grouped, with a minimum that combines before the
-shuffle; only revisits join back, by page_id. Payloads are dealt once into archives of
-about ARCHIVE_BYTES. Files are gzip members, one a record, replaced as a whole by a
-retried task.
+shuffle; only revisits join back, by page_id and digest. Payloads are dealt once, by
+page_id and digest, into archives of about ARCHIVE_BYTES, so rows that share an id are
+spread. Files are gzip members, one a record, replaced as a whole by a retried task.
 
 Edge cases. A null html is an empty payload and takes part like any other. A null
-page_id is kept as text "-"; it is response only where no id is. Repeated rows: the
-first by page_id is response, rows that tie with it are responses too. A null or odd URL
+page_id is kept as text "-" and counts as greater than all others: it revisits whatever
+id has its payload, and is a response where none has. Rows that share a page_id are
+judged by their own payloads; rows that share both are all responses, or all revisits. A null or odd URL
 is percent-escaped or "-". An empty table writes no archive. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import datetime
 import gzip
 import hashlib
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
@@ -35,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import batches_of, lean, make_dirs, materialize, new_path, parts_for, text_bytes, write_blob
+from loomtext.llm.common import batches_of, discard, discard_path, lean, make_dirs, materialize, new_path, parts_for, text_bytes, write_blob
 
 ARCHIVE_BYTES = 16 << 20
 #: Fields of the header line by ARC version: fixed values of the format.
@@ -109,8 +113,9 @@ def iso_date(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def warc_record(arc: dict, page_id: int | None, refers_to: int | None, refers: bool) -> bytes:
+def warc_record(arc: dict, page_id: int | None, refers_to: int | None) -> bytes:
     """The WARC record of an ARC record: a response, or a revisit of another page's."""
+    refers = refers_to is not None
     digest = payload_digest(arc["payload"])
     name = uuid.uuid5(uuid.NAMESPACE_URL, f"{arc['url']} {arc['date']} {page_id} {digest}")
     head = [
@@ -151,48 +156,107 @@ def parse_warc(content: bytes) -> Iterator[tuple[dict, bytes]]:
         at = start + size + 4
 
 
-def write_archives(pages: DataFrame, version: int = 1) -> str:
-    """Convert pages (page_id, url, html) through ARC to WARC files; gives their folder.
+#: The record of an ARC file that names its other records' pages, one line each.
+PAGES = "metadata://pages"
 
-    The pages stand in for a legacy archive: each is laid down as an ARC record of the
-    given version, and the converter works on those bytes alone.
+
+def _dates(page: int | None) -> tuple[str, str]:
+    """The date and address of a page's record, where the table has none: both from its id."""
+    k = zlib.crc32(str(page).encode())
+    day = datetime.datetime(1996, 1, 1) + datetime.timedelta(seconds=k % (15 * 365 * 86_400))
+    return day.strftime("%Y%m%d%H%M%S"), f"10.{k >> 8 & 255}.{k >> 16 & 255}.{k >> 24}"
+
+
+def write_arcs(pages: DataFrame, versions: tuple[int, ...] = (1, 2)) -> str:
+    """Lay pages (page_id, url, html) down as ARC files, their versions taking turns.
+
+    Each file ends with a record that has, for each of the others, its page_id and the
+    page_id that it revisits, if any. Gives the folder.
     """
     spark = pages.sparkSession
     _, size = text_bytes(pages, "html")
-    folder = new_path(spark, "warc")
+    folder = new_path(spark, "arc")
     make_dirs(spark, folder)
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("-")).alias("url"), html.alias("html"))
-    digests = rows.select("page_id", F.sha1(F.encode("html", "utf-8")).alias("digest"), F.octet_length("html").alias("size"))
-    groups = digests.groupBy("digest", "size").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).where("n > 1").drop("n")
-    revisits = digests.join(groups, ["digest", "size"]).where(F.col("page_id") != F.col("first"))
-    revisits = revisits.groupBy(F.col("page_id").alias("again")).agg(F.min("first").alias("refers_to")).withColumn("refers", F.lit(True))
+    rows = rows.withColumn("digest", F.sha1(F.encode("html", "utf-8"))).withColumn("size", F.octet_length("html").cast("long"))
+    # Null is a page_id after all others, so it keeps a payload only where no id does.
+    rows = rows.withColumn("key", F.coalesce("page_id", F.lit((1 << 63) - 1)))
+    digests = rows.select("key", "page_id", "digest", "size")
+    groups = digests.groupBy("digest", "size").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"), F.min("page_id").alias("refers_to")).where("n > 1").drop("n")
+    again = digests.join(groups, ["digest", "size"]).where(F.col("key") != F.col("first")).select(F.col("key").alias("k"), F.col("digest").alias("g"), F.col("size").alias("s"), "refers_to").distinct()
     parts = parts_for(size, ARCHIVE_BYTES)
-    # Payloads are dealt once: the join takes them as they lie. A null page_id revisits none.
-    joined = rows.repartition(parts, "page_id").join(revisits, F.col("page_id") == F.col("again"), "left")
-    joined = joined.select("page_id", "url", "html", "refers_to", F.coalesce("refers", F.lit(False)).alias("refers"))
-    dealt = joined.sortWithinPartitions("page_id").withColumn("part", F.spark_partition_id())
+    # Payloads are dealt once, by id and payload: the join takes them as they lie.
+    joined = rows.repartition(parts, "key", "digest", "size").join(again, (F.col("key") == F.col("k")) & (F.col("digest") == F.col("g")) & (F.col("size") == F.col("s")), "left")
+    dealt = joined.select("key", "page_id", "url", "html", "refers_to").sortWithinPartitions("key").withColumn("part", F.spark_partition_id())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, number, part = [], 0, 0, 0
-        done = 0
+        held, notes, size, number, done = [], [], 0, 0, 0
+
+        def close() -> None:
+            name = f"part-{part:06d}-{number:05d}"
+            held.append(gzip.compress(arc_record(version, PAGES, "0.0.0.0", "20240101000000", "text/plain", "\n".join(notes).encode(), file=name), 1, mtime=0))
+            write_blob(folder, f"{name}.arc.gz", b"".join(held))
+
         for batch in batches_of(batches, "html", 1 << 20):
             part = batch.column("part")[0].as_py()
-            for page, url, html, to, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to", "refers")), strict=True):
+            version = versions[(part + number) % len(versions)]
+            for page, url, html, to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
+                if not held:
+                    version = versions[(part + number) % len(versions)]
+                    held.append(gzip.compress(arc_header(version, f"part-{part:06d}-{number:05d}"), 1, mtime=0))
                 payload = html.encode()
-                arc = arc_header(version, "pages") + arc_record(version, quote(url, safe=":/?#[]@!$&'()*+,;=%~"), "0.0.0.0", "20240101000000", "text/html", payload)
-                for record in parse_arc(arc):
-                    held.append(gzip.compress(warc_record(record, page, to, refers), 5, mtime=0))
+                date, ip = _dates(page)
+                held.append(gzip.compress(arc_record(version, quote(url, safe=":/?#[]@!$&'()*+,;=%~"), ip, date, "text/html", payload, offset=size), 1, mtime=0))
+                notes.append(f"{'-' if page is None else page} {'-' if to is None else to}")
                 size += len(payload)
                 done += 1
                 if size > 2 * ARCHIVE_BYTES:
-                    write_blob(folder, f"part-{part:06d}-{number:05d}.warc.gz", b"".join(held))
-                    held, size, number = [], 0, number + 1
+                    close()
+                    held, notes, size, number = [], [], 0, number + 1
         if held:
-            write_blob(folder, f"part-{part:06d}-{number:05d}.warc.gz", b"".join(held))
+            close()
         yield pa.record_batch([pa.array([done], pa.int64())], names=["records"])
 
-    materialize(dealt.mapInArrow(lean(write), "records long"), "warc-written")
+    discard(materialize(dealt.mapInArrow(lean(write), "records long"), "arc-written"))
+    return folder
+
+
+def convert_arcs(spark, arcs: str) -> str:
+    """Convert each ARC file of a folder to a WARC file; gives the folder of these."""
+    folder = new_path(spark, "warc")
+    make_dirs(spark, folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.arc.gz").load(arcs)
+    named = files.select(F.regexp_extract("path", r"([^/]+)\.arc\.gz$", 1).alias("name"), "content")
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                with gzip.GzipFile(fileobj=io.BytesIO(content)) as members:
+                    content = members.read()
+                records = list(parse_arc(content))
+                if not records or records[-1]["url"] != PAGES:
+                    raise ValueError("an ARC file without the record of its pages")
+                notes = records.pop()["payload"].decode().split("\n")
+                out = []
+                for record, note in zip(records, notes, strict=True):
+                    page, to = (None if x == "-" else int(x) for x in note.split(" "))
+                    out.append(gzip.compress(warc_record(record, page, to), 5, mtime=0))
+                write_blob(folder, f"{name}.warc.gz", b"".join(out))
+                yield pa.record_batch([pa.array([len(out)], pa.int64())], names=["records"])
+
+    discard(materialize(named.mapInArrow(lean(convert), "records long"), "warc-written"))
+    return folder
+
+
+def write_archives(pages: DataFrame, versions: tuple[int, ...] = (1, 2)) -> str:
+    """Pages as ARC files, converted to WARC files; gives the folder of the WARC files.
+
+    The pages stand in for a legacy archive; its files go once they are converted.
+    """
+    arcs = write_arcs(pages, versions)
+    folder = convert_arcs(pages.sparkSession, arcs)
+    discard_path(pages.sparkSession, arcs)
     return folder
 
 

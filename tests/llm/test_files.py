@@ -1,8 +1,10 @@
 """Token files, archives and media: exact round trips."""
 
 import base64
+import gzip
 import hashlib
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -56,12 +58,13 @@ def test_token_files_empty_null_and_repeats(spark):
     assert sorted(got, key=lambda r: r[1]) == want_tokens(rows, path)
 
 
-@pytest.mark.parametrize("version", [1, 2])
-def test_archives(spark, version):
+@pytest.mark.parametrize("versions", [(1,), (2,), (1, 2)])
+def test_archives(spark, versions, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 90_000)
     html = ["<p>a</p>", "é" * 50, None, "", "<p>a</p>", "x\r\n\r\ny\nWARC/1.1", "<p>a</p>", "a" * 300_000, "é" * 50]
     rows = [(10 - i, f"http://h/{i} b" if i else None, t, 7) for i, t in enumerate(html)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, refers_to int")
-    got = {r.page_id: r for r in warc.read_archives(spark, warc.write_archives(df, version)).collect()}
+    got = {r.page_id: r for r in warc.read_archives(spark, warc.write_archives(df, versions)).collect()}
     first = {}
     for page, _, t, _ in sorted(rows):
         first.setdefault(t or "", page)
@@ -76,6 +79,37 @@ def test_archives(spark, version):
         assert r.url == (url or "-")
 
 
+def test_archives_of_shared_and_missing_ids(spark):
+    """Brute force over rows that share ids, payloads, both or neither; no payload is lost."""
+    rng = np.random.default_rng(3)
+    rows = [(None if rng.random() < 0.2 else int(rng.integers(0, 12)), "u", [None, "", "a", "b", "c" * 50, "d"][int(rng.integers(0, 6))]) for _ in range(120)]
+    rows += [(1, "u", "A"), (5, "u", "A"), (5, "u", "B-unique"), (None, "u", "A"), (None, "u", "only null"), (None, "u", "only null")]
+    got = warc.read_archives(spark, warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    first = {}
+    for page, _, t in rows:
+        first.setdefault(t or "", []).append(page)
+    first = {t: min((p for p in pages if p is not None), default=None) for t, pages in first.items()}
+    want = []
+    for page, _, t in rows:
+        leads = page == first[t or ""]
+        digest = base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
+        want.append((page, len((t or "").encode()), digest, "response" if leads else "revisit", None if leads else first[t or ""]))
+    assert sorted(map(str, ((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got))) == sorted(map(str, want))
+    assert {bytes(r.payload).decode() for r in got if r.payload is not None} == set(first)
+
+
+def test_arc_files_of_both_versions(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2_000)
+    df = spark.createDataFrame([(i, f"http://h/{i}", "w" * 700 + str(i)) for i in range(60)], "page_id long, url string, html string")
+    folder = warc.write_arcs(df).removeprefix("file:")
+    seen, dates = set(), set()
+    for path in Path(folder).glob("*.arc.gz"):
+        records = list(warc.parse_arc(gzip.decompress(path.read_bytes())))
+        seen |= {r["version"] for r in records}
+        dates |= {r["date"] for r in records[:-1]}
+    assert seen == {1, 2} and len(dates) == 60
+
+
 def test_archives_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_archives(spark, warc.write_archives(df)).count() == 0
