@@ -1,13 +1,14 @@
 """Audio columns: lossless media rows and log-mel features as fixed-shape tensors.
 
 A payload of 8-bit samples is stored as a mono WAV row. From the stored bytes the
-features are: polyphase resampling by 1/2 (a windowed-sinc low pass split into phases),
+features are: polyphase resampling by a ratio (a windowed-sinc low pass split into phases),
 overlapped Hann frames, log-mel filterbank energies, and hysteresis segmentation of the
 frame energy into spans with start and end times. Each span carries its mel frames
-pooled into a tensor of fixed shape (POOLED, MELS).
+pooled into a tensor of fixed shape (POOLED, MELS), stored as an Arrow stream of that
+tensor type with the times, and read back from there.
 
 Shape at scale. Every row is its own work: no shuffle but the write of the media table.
-Frames are made in stretches, so a long sample is never expanded as a whole.
+Samples are resampled and framed in stretches, so a long one is never expanded as a whole.
 
 Edge cases. A null or empty text is 64 zero bytes. The bytes are padded with zeros to a
 positive multiple of 64. A constant signal has one span or none. Repeated rows give equal
@@ -57,47 +58,69 @@ def wav_samples(media: bytes) -> tuple[bytes, int]:
     raise ValueError("a WAV file without samples")
 
 
-@functools.lru_cache(maxsize=1)
-def _phases() -> np.ndarray:
-    """The two phases of the low-pass filter at a quarter of the rate."""
-    t = np.arange(2 * TAPS) - (2 * TAPS - 1) / 2
-    taps = np.sinc(t / 2) * np.hamming(2 * TAPS)
-    return (taps / taps.sum()).reshape(-1, 2).T.astype(np.float32)
+@functools.lru_cache(maxsize=8)
+def low_pass(up: int, down: int) -> np.ndarray:
+    """A windowed sinc below the lower of the two Nyquist rates, at `up` times the rate."""
+    wide = max(up, down)
+    t = np.arange(TAPS * wide) - (TAPS * wide - 1) / 2
+    taps = np.sinc(t / wide) * np.hamming(TAPS * wide)
+    return taps * up / taps.sum()
 
 
-@functools.lru_cache(maxsize=1)
-def _bank() -> np.ndarray:
-    """Triangular mel filters over the spectrum of a frame at half the rate."""
+def resample(samples: np.ndarray, up: int = 1, down: int = 2) -> np.ndarray:
+    """up / down times the rate, by a polyphase filter.
+
+    An output of phase r is a sum over `down` phases of the input, each a convolution
+    with every (up * down)-th tap; nothing is computed that is thrown away.
+    """
+    taps = low_pass(up, down)
+    size = -(-len(samples) * up // down)
+    pad = len(taps) // up + down + 1
+    late = len(taps) // 2 // up
+    x = np.concatenate([np.zeros(pad), samples, np.zeros(pad + late + down)])
+    out = np.zeros(size)
+    for r in range(min(up, size)):
+        own = taps[r * down % up :: up]
+        count = -(-(size - r) // up)
+        for s in range(down):
+            part = own[s::down]
+            begin = pad + r * down // up + late - s - down * (len(part) - 1)
+            if len(part):
+                out[r::up] += np.convolve(x[begin::down][: count + len(part) - 1], part, "valid")
+    return out
+
+
+@functools.lru_cache(maxsize=8)
+def mel_bank(rate: float) -> np.ndarray:
+    """Triangular mel filters over the spectrum of a frame at `rate`."""
     mel = lambda f: 2595 * np.log10(1 + f / 700)
-    edges = 700 * (10 ** (np.linspace(0, mel(RATE / 4), MELS + 2) / 2595) - 1)
-    bins = np.linspace(0, RATE / 4, FRAME // 2 + 1)
+    edges = 700 * (10 ** (np.linspace(0, mel(rate / 2), MELS + 2) / 2595) - 1)
+    bins = np.linspace(0, rate / 2, FRAME // 2 + 1)
     up = (bins[None] - edges[:-2, None]) / (edges[1:-1] - edges[:-2])[:, None]
     down = (edges[2:, None] - bins[None]) / (edges[2:] - edges[1:-1])[:, None]
-    return np.maximum(0, np.minimum(up, down)).T.astype(np.float32)
-
-
-def resample(samples: np.ndarray) -> np.ndarray:
-    """Half the rate: each phase filters every second sample, and the phases are added."""
-    x = np.concatenate([np.zeros(TAPS, np.float32), samples, np.zeros(TAPS, np.float32)])
-    even, odd = x[0::2], x[1::2]
-    n = -(-len(samples) // 2)
-    a, b = (np.convolve(part, taps, "valid") for part, taps in zip((even, odd), _phases()[:, ::-1]))
-    return (a[:n] + b[:n]).astype(np.float32)
-
-
-def log_mel(payload: bytes) -> np.ndarray:
-    """(frames, MELS) log-mel energies of the samples."""
-    samples = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
-    x = resample(samples)
-    if len(x) < FRAME:
-        x = np.pad(x, (0, FRAME - len(x)))
-    n = 1 + (len(x) - FRAME) // HOP
-    window, bank, out = np.hanning(FRAME).astype(np.float32), _bank(), []
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP][:n]
-    for a in range(0, n, STRETCH // HOP):
-        spectrum = np.fft.rfft(frames[a : a + STRETCH // HOP] * window)
-        power = (spectrum.real**2 + spectrum.imag**2).astype(np.float32)
-        out.append(np.log(power @ bank + np.float32(1e-6)))
+    return np.maximum(0, np.minimum(up, down)).T
+
+
+def log_mel(payload: bytes, rate: int = RATE, up: int = 1, down: int = 2) -> np.ndarray:
+    """(frames, MELS) log-mel energies of 8-bit samples; the last frame is filled with zeros.
+
+    A long signal is resampled and framed by stretches, so memory holds one of them and
+    the energies. All is done in double precision: equal signals give equal values.
+    """
+    samples = np.frombuffer(payload, np.uint8)
+    total = -(-len(samples) * up // down)
+    n = 1 + max(0, -(-(total - FRAME) // HOP))
+    window, bank, out = np.hanning(FRAME), mel_bank(rate * up / down), []
+    step = STRETCH // HOP
+    for a in range(0, n, step):
+        # Outputs [low, high) of the whole signal, from the inputs that they depend on.
+        low, high = a * HOP, min(total, (min(n, a + step) - 1) * HOP + FRAME)
+        first = max(0, low * down // up - 2 * TAPS * down) // (down * up) * (down * up)
+        last = min(len(samples), high * down // up + 2 * TAPS * down)
+        x = resample((samples[first:last] - 128.0) / 128, up, down)[low - first * up // down :][: high - low]
+        x = np.pad(x, (0, (min(n, a + step) - 1) * HOP + FRAME - low - len(x)))
+        spectrum = np.fft.rfft(np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP] * window)
+        out.append(np.log((spectrum.real**2 + spectrum.imag**2) @ bank + 1e-6))
     return np.concatenate(out)
 
 
@@ -123,7 +146,27 @@ def pool(mel: np.ndarray) -> np.ndarray:
     return np.stack([mel[min(a, len(mel) - 1) : max(b, min(a, len(mel) - 1) + 1)].mean(axis=0) for a, b in zip(cuts, cuts[1:])])
 
 
-TENSOR = pa.fixed_shape_tensor(pa.float32(), [POOLED, MELS])
+TENSOR = pa.fixed_shape_tensor(pa.float16(), [POOLED, MELS])
+SPANS = pa.schema([("start_s", pa.float64()), ("end_s", pa.float64()), ("mel", TENSOR)])
+
+
+def pack_spans(times: np.ndarray, mels: np.ndarray) -> bytes:
+    """An Arrow stream of spans: (n, 2) seconds and (n, POOLED, MELS) energies."""
+    flat = pa.array(mels.astype(np.float16).ravel(), pa.float16())
+    tensors = pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(flat, POOLED * MELS))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, SPANS) as out:
+        out.write_batch(pa.record_batch([pa.array(times[:, 0]), pa.array(times[:, 1]), tensors], schema=SPANS))
+    return sink.getvalue().to_pybytes()
+
+
+def unpack_spans(stored: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The times and tensors of such a stream."""
+    table = pa.ipc.open_stream(stored).read_all()
+    if table.schema.field("mel").type != TENSOR:
+        raise ValueError("the stored spans are not tensors of the fixed shape")
+    times = np.stack([table["start_s"].to_numpy(), table["end_s"].to_numpy()], axis=1)
+    return times, table["mel"].combine_chunks().to_numpy_ndarray()
 
 
 def store_media(docs: DataFrame) -> DataFrame:
@@ -139,42 +182,45 @@ def store_media(docs: DataFrame) -> DataFrame:
     return materialize(text.mapInArrow(lean(write), "doc_id long, n_bytes long, media binary"), "media")
 
 
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames long, spans array<struct<start_s:double,end_s:double,tensor:array<float>>>"
+KEPT = [
+    ("doc_id", pa.int64(), "long"), ("n_bytes", pa.int64(), "long"), ("payload_bytes", pa.int64(), "long"), ("payload_sha256", pa.string(), "string"), ("tail_crc32", pa.int64(), "long"),
+    ("media_bytes", pa.int64(), "long"), ("media_sha256", pa.string(), "string"), ("frames", pa.int64(), "long"), ("spans", pa.binary(), "binary"),
+]
 
 
-def features(media: DataFrame) -> DataFrame:
-    """Features of stored media: digests, frames, and spans with their tensors.
+def features(media: DataFrame, up: int = 1, down: int = 2) -> DataFrame:
+    """Features of stored media, as a table in the shared folder.
 
-    `tensor` holds POOLED x MELS values in row order; tensors() gives the Arrow type. A
-    signal without a span has one over its whole length.
+    (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
+    frames, spans binary): spans is an Arrow stream of start_s, end_s and a fixed-shape
+    tensor of POOLED x MELS. A signal without a span has one over its whole length.
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([
-            ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("frames", pa.int64()),
-            ("spans", pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("tensor", pa.list_(pa.float32()))]))),
-        ])
-        for batch in batches_of(rows, "media", 2 << 20):
+        schema = pa.schema([(name, kind) for name, kind, _ in KEPT])
+        for batch in batches_of(rows, "media", 1 << 20):
             out = []
             for doc, n, m in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
                 payload, rate = wav_samples(m)
-                mel = log_mel(payload)
-                found = segments(mel.mean(axis=1)) or [(0, len(mel))]
-                step = 2 * HOP / rate
-                spans = [{"start_s": a * step, "end_s": b * step, "tensor": pool(mel[a:b]).ravel()} for a, b in found]
-                out.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), len(mel), spans))
+                mel = log_mel(payload, rate, up, down)
+                found = np.array(segments(mel.mean(axis=1)) or [(0, len(mel))])
+                packed = pack_spans(found * (HOP * down / up / rate), np.stack([pool(mel[a:b]) for a, b in found.tolist()]))
+                out.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), len(mel), packed))
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema)], schema=schema)
 
-    return media.mapInArrow(lean(run), FEATURES)
-
+    return materialize(media.mapInArrow(lean(run), ", ".join(f"{name} {kind}" for name, _, kind in KEPT)), "features")
 
-def tensors(column: pa.Array) -> pa.Array:
-    """A list column of tensors as Arrow's fixed-shape tensor type."""
-    flat = column.flatten() if not isinstance(column, pa.ChunkedArray) else column.combine_chunks().flatten()
-    return pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(flat.cast(pa.float32()), POOLED * MELS))
 
+def read_features(stored: DataFrame) -> DataFrame:
+    """Add `n_spans` and `feature`, a digest of the times and tensors that the bytes hold."""
 
-def feature_digest(spans: str = "spans", frames: str = "frames"):
-    """A short text of the features: frames, spans, and a hash of rounded values."""
-    rounded = F.transform(F.col(spans), lambda s: F.concat_ws(",", F.format_number(s["start_s"], 4), F.format_number(s["end_s"], 4), F.sha2(F.concat_ws(",", F.transform(s["tensor"], lambda v: F.round(v * 100).cast("int").cast("string"))), 256)))
-    return F.concat_ws(":", F.col(frames).cast("string"), F.size(spans).cast("string"), F.sha2(F.concat_ws(";", rounded), 256))
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            count, digest = [], []
+            for frames, raw in zip(batch.column("frames").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                times, mels = unpack_spans(raw)
+                count.append(len(times))
+                digest.append(f"{frames}:{len(times)}:{hashlib.sha256(times.tobytes() + mels.tobytes()).hexdigest()}")
+            yield pa.record_batch([*batch.columns, pa.array(count, pa.int64()), pa.array(digest, pa.string())], names=[*batch.schema.names, "n_spans", "feature"])
+
+    return stored.mapInArrow(lean(run), ", ".join(f"{name} {kind}" for name, _, kind in KEPT) + ", n_spans long, feature string")

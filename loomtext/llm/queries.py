@@ -47,8 +47,8 @@ def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store every text as 8-bit samples, read it back and compute features."""
-    found = audio.features(audio.store_media(read_table(spark, sf_dir, "documents")))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", audio.feature_digest().alias("feature"))
+    found = audio.read_features(audio.features(audio.store_media(read_table(spark, sf_dir, "documents"))))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

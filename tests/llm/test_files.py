@@ -3,13 +3,14 @@
 import base64
 import gzip
 import hashlib
+import math
 import zlib
 from pathlib import Path
 
 import numpy as np
 import public_tokenizers
-import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomtext.llm import audio, token_files, warc
@@ -126,10 +127,64 @@ def test_arc_versions_and_damage():
     assert warc.iso_date("20010203040506") == "2001-02-03T04:05:06Z"
 
 
+def plain_features(payload: bytes, up: int, down: int):
+    """Log-mel energies written out: zeros put in, one long filter, sums over a discrete spectrum."""
+    x = np.array([(b - 128) / 128 for b in payload])
+    h = audio.low_pass(up, down)
+    stuffed = np.zeros(len(x) * up)
+    stuffed[::up] = x
+    late = len(h) // 2 // up * up
+    full = np.convolve(np.concatenate([stuffed, np.zeros(2 * len(h))]), h)[late:]
+    y = full[: len(stuffed)][::down]
+    rate = audio.RATE * up / down
+    frames = 1
+    while (frames - 1) * audio.HOP + audio.FRAME < len(y):
+        frames += 1
+    y = np.concatenate([y, np.zeros(audio.FRAME + frames * audio.HOP)])
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(audio.FRAME // 2 + 1), np.arange(audio.FRAME)) / audio.FRAME)
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(audio.FRAME) / (audio.FRAME - 1))
+    top = 2595 * math.log10(1 + rate / 2 / 700)
+    edges = [700 * (10 ** (top * k / (audio.MELS + 1) / 2595) - 1) for k in range(audio.MELS + 2)]
+    out = []
+    for f in range(frames):
+        power = np.abs(turn @ (y[f * audio.HOP : f * audio.HOP + audio.FRAME] * hann)) ** 2
+        row = []
+        for a, b, c in zip(edges, edges[1:], edges[2:]):
+            freq = [rate / 2 * k / (audio.FRAME // 2) for k in range(audio.FRAME // 2 + 1)]
+            row.append(math.log(sum(p * max(0.0, min((g - a) / (b - a), (c - g) / (c - b))) for g, p in zip(freq, power)) + 1e-6))
+        out.append(row)
+    return np.array(out)
+
+
+@pytest.mark.parametrize("up,down", [(1, 2), (2, 3), (1, 1), (3, 2)])
+def test_log_mel_equals_a_plain_computation(up, down, monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(audio, "STRETCH", 8 * audio.HOP)
+    for n in (64, 500, 3000, 7001):
+        payload = rng.integers(0, 256, n).astype(np.uint8).tobytes()
+        got, want = audio.log_mel(payload, audio.RATE, up, down), plain_features(payload, up, down)
+        assert got.shape == want.shape
+        assert np.abs(got - want).max() < 1e-8
+
+
+def plain_spans(energy):
+    """Hysteresis frame by frame."""
+    z, inside, begin, out = (energy - energy.mean()) / max(energy.std(), 1e-12), False, 0, []
+    for k, v in enumerate([*z, -9.0]):
+        if not inside and v > audio.RISE:
+            inside, begin = True, k
+        elif inside and v < audio.FALL:
+            inside = False
+            if k - begin >= audio.LEAST:
+                out.append((begin, k))
+    return out
+
+
 def test_media(spark):
     rows = [None, "", "a" * 64, "b" * 65, "é" * 4000, "loud quiet " * 900, "x" * 200_000, ""]
-    out = audio.features(audio.store_media(table(spark, rows))).select("*", audio.feature_digest().alias("feature")).collect()
-    got = {r.doc_id: r for r in out}
+    docs = table(spark, rows).withColumn("media", F.lit(1)).withColumn("frames", F.lit("x"))
+    got = {r.doc_id: r for r in audio.read_features(audio.features(audio.store_media(docs))).collect()}
+    assert len(got) == len(rows)
     for i, t in enumerate(rows):
         raw = (t or "").encode()
         padded = raw + bytes(-len(raw) % 64 or (64 if not raw else 0))
@@ -139,10 +194,15 @@ def test_media(spark):
         assert r.payload_sha256 == hashlib.sha256(padded).hexdigest()
         assert r.media_sha256 == hashlib.sha256(media).hexdigest()
         assert r.tail_crc32 == zlib.crc32(padded[-64:])
-        assert all(len(s.tensor) == audio.POOLED * audio.MELS and s.end_s > s.start_s for s in r.spans)
+        times, mels = audio.unpack_spans(bytes(r.spans))
+        assert mels.shape == (r.n_spans, audio.POOLED, audio.MELS) and (times[:, 1] > times[:, 0]).all()
+        if len(padded) < 10_000:
+            want = plain_features(padded, 1, 2)
+            spans = (plain_spans(want.mean(axis=1)) if want.mean(axis=1).std() >= 1e-6 else []) or [(0, len(want))]
+            assert r.frames == len(want) and times.tolist() == [[a * 0.016, b * 0.016] for a, b in spans]
+            assert np.abs(mels - np.stack([audio.pool(want[a:b]) for a, b in spans])).max() < 0.01
     assert got[0].feature == got[1].feature == got[7].feature != got[5].feature
-    column = pa.array([list(s.tensor) for s in got[5].spans], pa.list_(pa.float32()))
-    assert audio.tensors(column).to_numpy_ndarray().shape == (len(column), audio.POOLED, audio.MELS)
+    assert audio.read_features(audio.features(audio.store_media(docs.limit(0)))).count() == 0
 
 
 def test_resample_and_segments():
