@@ -24,6 +24,14 @@ NEGATED = r"\b(?:not|never|no)\b.{0,24}\b(?:fear|afraid|panic|worr(?:y|ied)|anxi
 MARKERS = {"entity": r"&[A-Za-z]+;|&#\d+;", "tag": r"<[A-Za-z/][^>]*>", "url": r"https?://\S+", "rule": r"[-=_*]{4,}", "pipe": r"\|"}
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once however often `use` names it.
+
+    A lambda that names a computed column would compute it again for every element.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 @F.pandas_udf(StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     """Compatibility composition, which Spark has no expression for."""
@@ -36,8 +44,9 @@ def collapse_space(text: Column) -> Column:
 
 
 def normalise(text: Column) -> Column:
-    """NFKC, then collapsed white space; ASCII texts skip the Python worker's work."""
-    return collapse_space(nfkc(text))
+    """NFKC, then collapsed white space; the worker gets null for texts of ASCII alone."""
+    plain = text.rlike(r"^\p{ASCII}*$")
+    return collapse_space(F.when(plain, text).otherwise(nfkc(F.when(~plain, text))))
 
 
 def stable_id(prefix: str, *parts: Column) -> Column:
@@ -69,21 +78,32 @@ def words(text: Column, rule: str = r"[\p{L}\p{N}]+") -> Column:
 
 def shingles(tokens: Column, width: int = 5) -> Column:
     """Distinct runs of `width` words; fewer words give none."""
-    n = F.size(tokens)
-    runs = F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.array_join(F.slice(tokens, i, width), " "))
-    return F.when(n >= width, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+    def runs(words: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda i: F.array_join(F.slice(words, i, width), " "))
+        return F.when(F.size(words) >= width, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+    return bound(tokens, runs)
+
+
+def _bottom(grams: Column, hashed, kind: str, k: int, least: int) -> Column:
+    """The k smallest hashes of a set of at least `least` shingles, else none."""
+
+    def smallest(runs: Column) -> Column:
+        some = F.slice(F.array_sort(F.array_distinct(F.transform(runs, hashed))), 1, k)
+        return F.when(F.size(runs) >= least, some).otherwise(F.array().cast(f"array<{kind}>"))
+
+    return bound(grams, smallest)
 
 
 def bottom_sketch(grams: Column, k: int = 12, least: int = 30) -> Column:
     """The k smallest CRC-32 values of a set of at least `least` shingles, else none."""
-    hashed = F.slice(F.array_sort(F.array_distinct(F.transform(grams, lambda g: F.crc32(g.cast("binary"))))), 1, k)
-    return F.when(F.size(grams) >= least, hashed).otherwise(F.array().cast("array<bigint>"))
+    return _bottom(grams, lambda g: F.crc32(g.cast("binary")), "bigint", k, least)
 
 
 def bottom_sketch_md5(grams: Column, k: int = 12, least: int = 30) -> Column:
     """The same sketch over MD5 digits, for engines without CRC-32."""
-    hashed = F.slice(F.array_sort(F.array_distinct(F.transform(grams, F.md5))), 1, k)
-    return F.when(F.size(grams) >= least, hashed).otherwise(F.array().cast("array<string>"))
+    return _bottom(grams, lambda g: F.md5(g), "string", k, least)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -142,6 +142,23 @@ def c12(spark, sf_dir):
     return _scores(neardup.contained_pairs(table(spark, sf_dir, "documents"), md5=True))
 
 
+@query("c11_suppressed_values", f"WITH {GRAMS}, b AS (SELECT v, count(*) AS n FROM posting GROUP BY v HAVING count(*) > 32) SELECT count(*) AS buckets, CAST(coalesce(sum(n), 0) AS BIGINT) AS postings FROM b")
+def c11d(spark, sf_dir):
+    return neardup.suppressed(neardup.signatures(table(spark, sf_dir, "documents"), md5=True))
+
+
+@query("c11_membership", "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS representative FROM documents")
+def c11e(spark, sf_dir):
+    return neardup.membership(table(spark, sf_dir, "documents"))
+
+
+@query("c11_prefix_pairs", f"""WITH {GRAMS}, e AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS x FROM k), p AS (SELECT a.doc_id AS left_id, b.doc_id AS right_id, a.n AS na, b.n AS nb, count(*) AS inter FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2, 3, 4)
+SELECT left_id, right_id, round(inter * 1.0 / (na + nb - inter), 8) AS jaccard FROM p WHERE inter * 1.0 / (na + nb - inter) >= 0.8""")
+def c11f(spark, sf_dir):
+    pairs = neardup.prefix_pairs(table(spark, sf_dir, "documents"))
+    return pairs.select("left_id", "right_id", F.round("jaccard", 8).alias("jaccard"))
+
+
 @query("c13_overlap_status", f"""WITH near AS ({_pair_oracle(0.5, 2, "inter * 1.0 / (na + nb - inter) >= 0.5 AND inter >= 30")}),
  d AS (SELECT left_id AS doc_id FROM near UNION SELECT right_id FROM near), g AS (SELECT DISTINCT source FROM documents WHERE doc_id IN (SELECT doc_id FROM d))
 SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM d) THEN 'direct' WHEN source IN (SELECT source FROM g) THEN 'related_group' ELSE 'none' END AS overlap_status FROM documents""")
@@ -150,11 +167,22 @@ def c13(spark, sf_dir):
     return neardup.overlap_status(docs, neardup.near_duplicate_pairs(docs, similarity=0.5, md5=True, shared=2, ratio=0.5))
 
 
-@query("c14_delta_pairs")
+C14 = """WITH v AS (SELECT doc_id, 'old' AS ver, text FROM documents UNION ALL SELECT doc_id, 'new', CASE WHEN doc_id % 9 = 0 THEN substring(text, 1, 200) || reverse(text) ELSE text END FROM documents),
+ w AS (SELECT ver, doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM v),
+ g AS (SELECT ver, doc_id, list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' '))) AS grams FROM w WHERE len(ws) >= 5),
+ k AS (SELECT *, list_slice(list_sort(list_distinct(list_transform(grams, lambda x: md5(x)))), 1, 12) AS sketch FROM g WHERE len(grams) >= 30), o AS (SELECT ver, doc_id, unnest(sketch) AS val FROM k),
+ l AS (SELECT o.* FROM o JOIN (SELECT ver, val FROM o GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 2048) USING (ver, val)), c AS (SELECT a.doc_id FROM v a JOIN v b ON a.doc_id = b.doc_id AND a.ver = 'old' AND b.ver = 'new' AND a.text <> b.text),
+ p AS (SELECT DISTINCT x.ver, least(x.doc_id, y.doc_id) AS left_id, greatest(x.doc_id, y.doc_id) AS right_id FROM l x JOIN l y ON x.ver = y.ver AND x.val = y.val AND x.doc_id <> y.doc_id WHERE x.doc_id IN (SELECT doc_id FROM c)),
+ s AS (SELECT p.*, len(list_intersect(a.grams, b.grams)) AS i, len(a.grams) + len(b.grams) AS n FROM p JOIN k a ON a.ver = p.ver AND a.doc_id = left_id JOIN k b ON b.ver = p.ver AND b.doc_id = right_id),
+ m AS (SELECT left_id, right_id, bool_or(ver = 'old') AS was, bool_or(ver = 'new') AS now FROM s WHERE i * 1.0 / (n - i) >= 0.5 GROUP BY 1, 2)
+SELECT left_id, right_id, CASE WHEN NOT was THEN 'new' WHEN NOT now THEN 'resolved' ELSE 'kept' END AS state FROM m"""
+
+
+@query("c14_delta_pairs", C14)
 def c14(spark, sf_dir):
     before = table(spark, sf_dir, "documents").select("doc_id", "text")
     changed = F.when(F.col("doc_id") % 9 == 0, F.concat(F.substring("text", 1, 200), F.reverse("text"))).otherwise(F.col("text"))
-    return neardup.delta_pairs(before, before.withColumn("text", changed), similarity=0.5)
+    return neardup.delta_pairs(before, before.withColumn("text", changed), similarity=0.5, md5=True)
 
 
 @query("c15_group_split_conflicts", f"""SELECT sha256(text) AS sha, count(DISTINCT {SPLIT}) AS splits, count(*) AS members FROM documents GROUP BY text HAVING count(DISTINCT {SPLIT}) > 1""")
@@ -244,9 +272,9 @@ def x22(spark, sf_dir):
 
 @query("x26_emotion_rules", """SELECT doc_id, nullif(lower(regexp_extract(text, '(?i)\\b(fear|afraid|frighten(?:ed|ing)?|worr(?:y|ied|ies)|anxious|anxiety)\\b', 0)), '') AS emotion_cue,
  regexp_matches(text, '(?i)\\b(future|decade|century|children|grandchildren|inherit|will|could|coming|long[- ]term|next fifty years)\\b') AS future_horizon_cue,
- regexp_matches(text, '(?i)\\b(today|tonight|this week|heatwave|heat emergency|extreme temperature|immediate)\\b') AS immediate_heat_cue FROM documents WHERE lang = 'en'""")
+ regexp_matches(text, '(?i)\\b(today|tonight|this week|heatwave|heat emergency|extreme temperature|immediate)\\b') AS immediate_heat_cue FROM documents""")
 def x26(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", text.emotion_rules(F.col("text")).alias("e"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.emotion_rules(F.col("text")).alias("e"))
     return docs.select("doc_id", "e.emotion_cue", "e.future_horizon_cue", "e.immediate_heat_cue")
 
 
@@ -291,40 +319,115 @@ def v7(spark, sf_dir):
     return retrieval.kmeans_topics(table(spark, sf_dir, "embeddings"))
 
 
-CASES = ["2020-02-29", "2021-02-30", "2020-02", "2020", "2019–2020", "2020–2019", "2020-01-01T00:01:00+11:00", "2020-01-01T00:01:00", None, "", "2020-12-31T23:30:00-0500", "2018-01-01"]
-VALUES = ", ".join(f"({i}, {'NULL' if c is None else repr(c)})" for i, c in enumerate(CASES))
+#: How orders' dates are written, by o_orderkey modulo 12; the twin knows the day itself.
+DATED = "SELECT o_orderkey, o_orderkey % 12 AS form, CAST(o_orderdate AS DATE) AS day FROM orders"
 
 
-def _cases(spark):
-    return spark.createDataFrame(list(enumerate(CASES)), "id int, raw string")
+def _written(spark, sf_dir):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    year = F.date_format("o_orderdate", "yyyy")
+    forms = [
+        day, F.date_format("o_orderdate", "yyyy-MM"), year, F.concat(year, F.lit("–"), (F.year("o_orderdate") + 1).cast("string")), F.concat(day, F.lit("T23:30:00-0500")), F.concat(day, F.lit("T00:01:00+11:00")),
+        F.concat(F.lit(" "), day, F.lit("T12:00:00.5Z ")), F.concat(day, F.lit("T12:00:00")), F.concat(year, F.lit("-13-01")), F.concat((F.year("o_orderdate") + 1).cast("string"), F.lit("/"), year), F.lit("  "), F.lit(None).cast("string"),
+    ]
+    raw = F.lit(None).cast("string")
+    for k, form in enumerate(forms):
+        raw = F.when(F.col("o_orderkey") % 12 == k, form).otherwise(raw)
+    return table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw"))
 
 
-@query("d2_calendar_precision", f"""WITH c(id, raw) AS (VALUES {VALUES}), p AS (SELECT id, raw, CASE WHEN regexp_full_match(raw, '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN try_cast(raw AS DATE) END AS d,
- CASE WHEN regexp_full_match(raw, '\\d{{4}}-\\d{{2}}') THEN try_cast(raw || '-01' AS DATE) END AS m, regexp_full_match(raw, '\\d{{4}}') AS y,
- regexp_full_match(raw, '\\d{{4}}[–/-]\\d{{4}}') AND substring(raw, 1, 4) <= right(raw, 4) AS r, CASE WHEN regexp_full_match(raw, '\\d{{4}}-\\d{{2}}-\\d{{2}}[T ]\\d{{2}}:\\d{{2}}:\\d{{2}}(\\.\\d+)?(Z|[+-]\\d{{2}}:?\\d{{2}})') THEN try_cast(substring(raw, 1, 10) AS DATE) END AS i FROM c)
-SELECT CAST(id AS INT) AS id, CASE WHEN d IS NOT NULL THEN 'day' WHEN m IS NOT NULL THEN 'month' WHEN y THEN 'year' WHEN r THEN 'year_range' WHEN i IS NOT NULL THEN 'instant' WHEN raw IS NULL OR raw = '' THEN 'unknown' ELSE 'invalid' END AS precision,
- CAST(coalesce(d, m, CASE WHEN y OR r THEN try_cast(substring(raw, 1, 4) || '-01-01' AS DATE) END, i) AS VARCHAR) AS first_day,
- CAST(coalesce(d, last_day(m), CASE WHEN y OR r THEN try_cast(right(raw, 4) || '-12-31' AS DATE) END, i) AS VARCHAR) AS last_day FROM p""")
+PRECISION = "CASE form WHEN 0 THEN 'day' WHEN 1 THEN 'month' WHEN 2 THEN 'year' WHEN 3 THEN 'year_range' WHEN 4 THEN 'instant' WHEN 5 THEN 'instant' WHEN 6 THEN 'instant' WHEN 10 THEN 'unknown' WHEN 11 THEN 'unknown' ELSE 'invalid' END"
+FIRST_DAY = "CASE WHEN form IN (0, 4, 5, 6) THEN day WHEN form = 1 THEN date_trunc('month', day) WHEN form IN (2, 3) THEN date_trunc('year', day) END"
+LAST_DAY = "CASE WHEN form IN (0, 4, 5, 6) THEN day WHEN form = 1 THEN last_day(day) WHEN form = 2 THEN make_date(year(day), 12, 31) WHEN form = 3 THEN make_date(year(day) + 1, 12, 31) END"
+BOUNDED = f"WITH w AS ({DATED}), p AS (SELECT o_orderkey, form, day, {PRECISION} AS precision, CAST({FIRST_DAY} AS DATE) AS a, CAST({LAST_DAY} AS DATE) AS b FROM w)"
+
+
+@query("d2_calendar_precision", BOUNDED + " SELECT o_orderkey, precision, CAST(a AS VARCHAR) AS first_day, CAST(b AS VARCHAR) AS last_day, CASE WHEN form <> 3 THEN year(a) END AS year FROM p")
 def d2(spark, sf_dir):
-    return _cases(spark).select("id", dates.calendar_parts(F.col("raw")).alias("p")).select("id", "p.precision", F.col("p.start").cast("string").alias("first_day"), F.col("p.end").cast("string").alias("last_day"))
+    read = _written(spark, sf_dir).select("o_orderkey", dates.calendar_parts(F.col("raw")).alias("p"))
+    return read.select("o_orderkey", "p.precision", F.col("p.start").cast("string").alias("first_day"), F.col("p.end").cast("string").alias("last_day"), "p.year")
+
+
+WINDOW = (F.lit("1994-07-01").cast("date"), F.lit("1996-06-30").cast("date"))
 
 
-@query("d5_scope_offset_day", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(["verified", "pending", "verified", "pending", "outside" if False else "pending", "pending", "verified", "pending", "pending", "pending", "outside", "outside"])) + ") t(id, scope)")
+@query("d5_scope_offset_day", BOUNDED + """ SELECT o_orderkey, CASE WHEN a IS NULL THEN 'pending' WHEN greatest(a, DATE '1994-07-01') > least(b, DATE '1996-06-30') THEN 'outside'
+ WHEN a BETWEEN DATE '1994-07-01' AND DATE '1996-06-30' AND b BETWEEN DATE '1994-07-01' AND DATE '1996-06-30' THEN 'verified' ELSE 'pending' END AS scope FROM p""")
 def d5(spark, sf_dir):
     p = dates.calendar_parts(F.col("raw"))
-    first, last = F.lit("2020-01-01").cast("date"), F.lit("2020-06-30").cast("date")
-    return _cases(spark).select("id", dates.window_scope(p["start"], p["end"], first, last).alias("scope"))
+    return _written(spark, sf_dir).select("o_orderkey", dates.window_scope(p["start"], p["end"], *WINDOW).alias("scope"))
 
 
-@query("d6_scope_utc_day", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(["included", "invalid", "included", "uncertain", "uncertain", "invalid", "outside", "invalid", "missing", "missing", "outside", "outside"])) + ") t(id, scope)")
+@query("d6_scope_utc_day", BOUNDED + """, u AS (SELECT o_orderkey, precision, CASE form WHEN 4 THEN day + 1 WHEN 5 THEN day - 1 ELSE a END AS a, CASE form WHEN 4 THEN day + 1 WHEN 5 THEN day - 1 ELSE b END AS b FROM p)
+ SELECT o_orderkey, CASE WHEN precision = 'unknown' THEN 'missing' WHEN precision = 'invalid' THEN 'invalid' WHEN greatest(a, DATE '1994-07-01') > least(b, DATE '1996-06-30') THEN 'outside'
+ WHEN a >= DATE '1994-07-01' AND b <= DATE '1996-06-30' THEN 'included' ELSE 'uncertain' END AS scope FROM u""")
 def d6(spark, sf_dir):
-    first, last = F.lit("2020-01-01").cast("date"), F.lit("2020-06-30").cast("date")
-    return _cases(spark).select("id", dates.scope_utc(F.col("raw"), first, last).alias("scope"))
+    return _written(spark, sf_dir).select("o_orderkey", dates.scope_utc(F.col("raw"), *WINDOW).alias("scope"))
 
 
-@query("d7_placeholder_dates", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(["day", "invalid", "month", "year", "year_range", "invalid", "instant", "invalid", "unknown", "unknown", "instant", "year"])) + ") t(id, precision)")
+@query("d7_placeholder_dates", BOUNDED + " SELECT CASE WHEN precision = 'day' AND strftime(day, '%m%d') = '0101' THEN 'year' ELSE precision END AS precision, count(*) AS n FROM p GROUP BY 1")
 def d7(spark, sf_dir):
-    return _cases(spark).select("id", dates.placeholder_year(F.col("raw")).alias("precision"))
+    return _written(spark, sf_dir).groupBy(dates.placeholder_year(F.col("raw")).alias("precision")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("d1_exact_instants", f"WITH w AS ({DATED}) SELECT o_orderkey, CAST(epoch(day) AS BIGINT) + CASE form WHEN 4 THEN 102600 WHEN 5 THEN -39540 ELSE 43200 END AS second FROM w WHERE form IN (4, 5, 6)")
+def d1(spark, sf_dir):
+    at = dates.exact_utc(F.col("raw"))
+    return _written(spark, sf_dir).where(at.isNotNull()).select("o_orderkey", F.unix_timestamp(at).alias("second"))
+
+
+@query("d3_utc_rendering", f"WITH w AS ({DATED}) SELECT o_orderkey, strftime(day + INTERVAL 1 SECOND * CASE form WHEN 4 THEN 102600 WHEN 5 THEN -39540 ELSE 43200 END, '%Y-%m-%dT%H:%M:%SZ') AS utc, TRUE AS same FROM w WHERE form IN (4, 5, 6)")
+def d3(spark, sf_dir):
+    """Rendered in UTC, read again, the same second."""
+    at = dates.exact_utc(F.col("raw"))
+    read = _written(spark, sf_dir).where(at.isNotNull()).select("o_orderkey", at.alias("at"))
+    utc = F.date_format(F.col("at"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return read.select("o_orderkey", utc.alias("utc"), (F.unix_timestamp(dates.exact_utc(utc)) == F.unix_timestamp("at")).alias("same"))
+
+
+@query("d4_source_day_differs", f"WITH w AS ({DATED}) SELECT form IN (4, 5) AS differs, count(*) AS n FROM w WHERE form IN (4, 5, 6) GROUP BY 1")
+def d4(spark, sf_dir):
+    at = dates.exact_utc(F.col("raw"))
+    own = dates.calendar_parts(F.col("raw"))["start"]
+    return _written(spark, sf_dir).where(at.isNotNull()).groupBy((F.to_date(at) != own).alias("differs")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("d8_month_days_in_scope", """SELECT year(o_orderdate) * 12 + month(o_orderdate) - 1 AS m, count(*) AS n,
+ max(greatest(0, date_diff('day', greatest(CAST(date_trunc('month', o_orderdate) AS DATE), DATE '1994-07-15'), least(last_day(o_orderdate), DATE '1996-06-10')) + 1)) AS days FROM orders GROUP BY 1""")
+def d8(spark, sf_dir):
+    day = F.to_date("o_orderdate")
+    days = dates.scope_days(day, F.lit("1994-07-15").cast("date"), F.lit("1996-06-10").cast("date"))
+    return table(spark, sf_dir, "orders").groupBy(dates.month_index(day).cast("long").alias("m")).agg(F.count(F.lit(1)).alias("n"), F.max(days).cast("long").alias("days"))
+
+
+@query("d10_year_partitions", """WITH e AS (SELECT min(o_orderdate) AS a, max(o_orderdate) AS b FROM orders), y AS (SELECT unnest(generate_series(year(a), year(b))) AS y, CAST(a AS DATE) AS a, CAST(b AS DATE) AS b FROM e)
+SELECT y AS year, CAST(greatest(a, make_date(y, 1, 1)) AS VARCHAR) AS first_day, CAST(least(b, make_date(y, 12, 31)) AS VARCHAR) AS last_day FROM y""")
+def d10(spark, sf_dir):
+    """The extent of a column, cut into calendar years."""
+    ends = table(spark, sf_dir, "orders").agg(F.min(F.to_date("o_orderdate")).alias("a"), F.max(F.to_date("o_orderdate")).alias("b"))
+    years = ends.select("a", "b", F.explode(F.sequence(F.year("a"), F.year("b"))).alias("y"))
+    first, last = F.make_date("y", F.lit(1), F.lit(1)), F.make_date("y", F.lit(12), F.lit(31))
+    return years.select(F.col("y").cast("long").alias("year"), F.greatest("a", first).cast("string").alias("first_day"), F.least("b", last).cast("string").alias("last_day"))
+
+
+@query("d12_month_floor", "SELECT CAST(date_trunc('month', ts) AS DATE)::VARCHAR AS month_start, count(*) AS n FROM events GROUP BY 1")
+def d12(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy(dates.period(F.col("ts"), "month").cast("string").alias("month_start")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("d13_day_differences", "SELECT l_orderkey, l_linenumber, date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS days, strftime(l_shipdate, '%Y%m%d') AS shipped FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
+def d13(spark, sf_dir):
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    joined = lines.join(orders, F.col("o_orderkey") == F.col("l_orderkey"))
+    return joined.select("l_orderkey", "l_linenumber", F.datediff("l_shipdate", "o_orderdate").cast("long").alias("days"), F.date_format("l_shipdate", "yyyyMMdd").alias("shipped"))
+
+
+@query("d14_eligible_day", BOUNDED + " SELECT o_orderkey, CAST(a AS VARCHAR) AS day FROM p WHERE precision IN ('day', 'instant') AND a BETWEEN DATE '1994-07-01' AND DATE '1996-06-30'")
+def d14(spark, sf_dir):
+    """The reported calendar day, not moved to UTC, where it lies in the window."""
+    p = dates.calendar_parts(F.col("raw"))
+    read = _written(spark, sf_dir).select("o_orderkey", p.alias("p")).where(F.col("p.precision").isin("day", "instant"))
+    return read.where(F.col("p.start").between(*WINDOW)).select("o_orderkey", F.col("p.start").cast("string").alias("day"))
 
 
 @query("d9_period_buckets", """SELECT CAST(date_trunc('quarter', o_orderdate) AS VARCHAR)[1:10] AS quarter_start, CAST(floor(year(o_orderdate) / 10.0) * 10 AS INT) AS decade, count(*) AS n,

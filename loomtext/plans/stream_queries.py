@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from loomtext.plans.registry import query, table
+from loomtext.sources.barrier import fresh_path
 from loomtext.streaming import monitor
 
 
-def _shared(spark) -> str:
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{named.rstrip('/')}/{next(tempfile._get_candidate_names())}" if named else "file://" + tempfile.mkdtemp(prefix="loomtext-stream-")
-
-
 def _to_end(spark, frame, mode: str):
     """Run a stream over what is there and give the table it wrote."""
-    folder = _shared(spark)
+    folder = fresh_path(spark, "stream")
 
     def write(batch, number):
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/out")
