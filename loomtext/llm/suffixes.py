@@ -146,7 +146,8 @@ def _segments(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarra
 def anchors(data: np.ndarray, offsets: np.ndarray, prefixes: bool) -> Iterator[dict[str, np.ndarray]]:
     """Anchors of some texts, in order: text, at, lo, hi, x and, if asked, the prefixes g0...
 
-    lo and hi are the first and last start that point to an anchor.
+    lo and hi are the first and last start that point to an anchor; x1, x2, at1 and at2
+    are of the next two anchors of the text, with at -1 where there is none.
     """
     rest: dict[str, np.ndarray] | None = None
     for piece, number, begin, place, each in _segments(data, offsets):
@@ -167,18 +168,24 @@ def anchors(data: np.ndarray, offsets: np.ndarray, prefixes: bool) -> Iterator[d
                 out[f"g{k}"] = np.where(stop - at == n, hashes.of(at, stop, 1) | np.uint64(1), np.uint64(0))
         if rest is not None:
             # The last anchor of a text's segment may be the first of its next one.
-            if rest["at"][0] == out["at"][0]:
-                out["lo"][0] = rest["lo"][0]
-            else:
-                out = {k: np.concatenate([rest[k], v]) for k, v in out.items()}
+            if rest["at"][-1] == out["at"][0]:
+                out["lo"][0] = rest["lo"][-1]
+                rest = {k: v[:-1] for k, v in rest.items()}
+            out = {k: np.concatenate([rest[k], v]) for k, v in out.items()}
         size = offsets[number[-1] + 1] - offsets[number[-1]]
-        rest = {k: v[-1:] for k, v in out.items()} if begin[-1] + each[-1] < size - LENGTH + 1 else None
-        yield out if rest is None else {k: v[:-1] for k, v in out.items()}
+        # Anchors whose followers are in the next segment wait for it.
+        more = begin[-1] + each[-1] < size - LENGTH + 1
+        rest = {k: v[-3:] for k, v in out.items()} if more else None
+        for n in (1, 2):
+            there = out["text"][n:] == out["text"][:-n]
+            out[f"x{n}"] = np.concatenate([np.where(there, out["x"][n:], 0), np.zeros(min(n, len(there) + n), np.uint64)])[: len(out["x"])]
+            out[f"at{n}"] = np.concatenate([np.where(there, out["at"][n:], -1), np.full(n, -1)])[: len(out["x"])]
+        yield {k: v[:-3] for k, v in out.items()} if more else out
 
 
 GRID_COLUMNS = [f"g{k}" for k in range(len(GRID))]
-ANCHOR_COLUMNS = ["d", "i", "x", "at", "lo", "hi", *GRID_COLUMNS]
-ANCHOR_SCHEMA = "d long, i int, x long, at int, lo int, hi int, " + ", ".join(f"{g} long" for g in GRID_COLUMNS)
+ANCHOR_COLUMNS = ["d", "i", "x", "x1", "x2", "z2", "at", "lo", "hi", *GRID_COLUMNS]
+ANCHOR_SCHEMA = "d long, i int, x long, x1 long, x2 long, z2 long, at int, lo int, hi int, " + ", ".join(f"{g} long" for g in GRID_COLUMNS)
 
 
 def _parser(filtered: Broadcast | None):
@@ -205,23 +212,31 @@ def _parser(filtered: Broadcast | None):
                 i[number == text] += count
                 text, count = int(number[-1]), int(i[-1]) + 1
                 keep = in_bitmap(bits, found["x"])
-                columns = [ids[number], i.astype(np.int32), found["x"].view(np.int64), *(found[c].astype(np.int32) for c in ("at", "lo", "hi")), *(found[g].view(np.int64) for g in GRID_COLUMNS)]
+                # A sequence ends where a symbol is not in the filter.
+                one = (found["at1"] >= 0) & in_bitmap(bits, found["x1"])
+                two = one & (found["at2"] >= 0) & in_bitmap(bits, found["x2"])
+                x1, x2 = (np.where(there, found[c].view(np.int64), NONE) for there, c in ((one, "x1"), (two, "x2")))
+                z2 = np.where(two, found["at2"], np.where(one, found["at1"], found["at"])) + SYMBOL
+                columns = [ids[number], i.astype(np.int32), found["x"].view(np.int64), x1, x2, z2, *(found[c].astype(np.int32) for c in ("at", "lo", "hi")), *(found[g].view(np.int64) for g in GRID_COLUMNS)]
                 yield pa.record_batch([pa.array(c[keep]) for c in columns], names=ANCHOR_COLUMNS)
 
     return lean(parse)
 
 
 def numbered(df: DataFrame, keys: list[str], parts: int, name: str, trash: list[DataFrame]) -> DataFrame:
-    """Add `name`, the dense rank of the keys over the whole table, and `only`.
+    """Add `name`, the dense rank of the keys over the whole table, `only` and `one`.
 
     Rows of one key may lie in several ranges. Each range numbers its rows in order; one
     row a range, with its first and last key, gives the offsets. `only` is true for keys
-    that occur once, as far as a row's own range shows. The table it reads joins `trash`.
+    that occur once, as far as a row's own range shows. `one` is the last rank up to the
+    row's own that a suffix at a place 1 modulo 3 has, 0 before the first. The table that
+    the result reads joins `trash`.
     """
-    ordered = df.repartitionByRange(parts, *keys, "d", "c", "i").sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
+    classed = df.withColumn("_class", F.pmod(F.col("i") + 2, F.lit(3)).cast("int"))
+    ordered = classed.repartitionByRange(parts, *keys, "_class", "d", "c", "i").sortWithinPartitions(*keys, "_class").withColumn("_part", F.spark_partition_id())
 
     def number(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, held, held_new, opening = 0, None, False, True
+        count, one, held, held_new, opening = 0, 0, None, False, True
         for batch in rows:
             if not batch.num_rows:
                 continue
@@ -236,25 +251,32 @@ def numbered(df: DataFrame, keys: list[str], parts: int, name: str, trash: list[
             # The first row of a range may have equals in the range before.
             if opening and len(only):
                 only[0] = opening = False
-            yield pa.record_batch([*whole.slice(0, len(only)).columns, pa.array(rank[:-1]), pa.array(only)], names=[*batch.schema.names, "_rank", "only"])
+            first = whole.column("_class").to_numpy() == 0
+            ones = np.maximum.accumulate(np.maximum(np.where(first, rank, 0), one))
+            yield pa.record_batch([*whole.slice(0, len(only)).columns, pa.array(rank[:-1]), pa.array(ones[:-1]), pa.array(only)], names=[*batch.schema.names, "_rank", "_one", "only"])
             held, held_new = whole.slice(len(only)), bool(new[-1])
             count = int(rank[-1]) - held_new
+            one = int(ones[-2]) if len(ones) > 1 else one
         if held is not None:
-            yield pa.record_batch([*held.columns, pa.array([count + held_new]), pa.array([False])], names=[*held.schema.names, "_rank", "only"])
+            rank = count + held_new
+            one = rank if held.column("_class")[0].as_py() == 0 else one
+            yield pa.record_batch([*held.columns, pa.array([rank]), pa.array([one]), pa.array([False])], names=[*held.schema.names, "_rank", "_one", "only"])
 
-    schema = StructType([*ordered.schema.fields, StructField("_rank", LongType()), StructField("only", BooleanType())])
+    schema = StructType([*ordered.schema.fields, StructField("_rank", LongType()), StructField("_one", LongType()), StructField("only", BooleanType())])
     local = materialize(ordered.mapInArrow(lean(number), schema), "ranks", "lz4")
     trash.append(local)
     key = F.struct(*keys)
-    ends = local.groupBy("_part").agg(F.max("_rank").alias("n"), F.min_by(key, "_rank").alias("first"), F.max_by(key, "_rank").alias("last")).orderBy("_part").collect()
-    before, rows, last = 0, [], None
+    ends = local.groupBy("_part").agg(F.max("_rank").alias("n"), F.max("_one").alias("one"), F.min_by(key, "_rank").alias("first"), F.max_by(key, "_rank").alias("last")).orderBy("_part").collect()
+    before, one, rows, last = 0, 0, [], None
     for r in ends:
         before -= r["first"] == last
-        rows.append((r["_part"], before))
+        rows.append((r["_part"], before, one))
+        one = r["one"] + before if r["one"] else one
         before, last = before + r["n"], r["last"]
-    offsets = df.sparkSession.createDataFrame(rows, "_part int, _before long")
+    offsets = df.sparkSession.createDataFrame(rows, "_part int, _before long, _ones long")
     # One row for each of `parts` ranges, so it may be broadcast.
-    return local.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_rank") + F.col("_before")).drop("_part", "_rank", "_before")
+    joined = local.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_rank") + F.col("_before"))
+    return joined.withColumn("one", F.when(F.col("_one") > 0, F.col("_one") + F.col("_before")).otherwise(F.col("_ones"))).drop("_part", "_rank", "_one", "_before", "_ones", "_class")
 
 
 def _following(df: DataFrame, values: dict[str, tuple[str, int]], default: int) -> DataFrame:
@@ -267,58 +289,63 @@ def _following(df: DataFrame, values: dict[str, tuple[str, int]], default: int)
     return out
 
 
-#: A text's symbols: sequence (d, c), place i, symbol x, and the bytes [b, z) it covers.
-SYMBOLS = ("d", "c", "i", "x", "b", "z")
+def followed(symbols: DataFrame) -> DataFrame:
+    """Symbols (d, c, i, x, b, z) with the next two and the end of the bytes they cover."""
+    near = _following(symbols.select("d", "c", "i", "x", "b", "z"), {"x1": ("x", 1), "x2": ("x", 2), "z1": ("z", 1), "z2": ("z", 2)}, NONE)
+    return near.withColumn("z2", F.greatest("z", "z1", "z2")).drop("z", "z1")
 
 
-def suffix_ranks(symbols: DataFrame, need: int, parts: int, trash: list[DataFrame]) -> DataFrame:
-    """(d, c, i, x, r): rank r of each suffix of the sequences (d, c) by place i.
+def suffix_ranks(near: DataFrame, need: int | None, parts: int, trash: list[DataFrame]) -> DataFrame:
+    """(d, c, i, r): rank r of each suffix of the sequences (d, c) by place i.
 
-    Difference cover modulo 3: suffixes at places 1 and 2 modulo 3 are sorted by their
-    triples; what stays undecided is sorted by recursion over the names. Suffixes at
-    places 0 merge in: class 1 and class 0 compare by (x, rank of the next suffix),
-    classes 0 and 2 by (x, next x, rank of the suffix after it), which orders what lies
-    between two neighbours of class 1. Suffixes that are equal for `need` bytes may keep
-    one rank. Tables that the result reads are added to `trash`.
+    `near` has for each place its symbol x, the next two (NONE past the end), and the
+    bytes [b, z2) that the three cover. Difference cover modulo 3: suffixes at places 1
+    and 2 modulo 3 are sorted by their triples; what stays undecided is sorted by
+    recursion over the names. Suffixes at places 0 merge in: class 1 and class 0 compare
+    by (x, rank of the next suffix), classes 0 and 2 by (x, next x, rank of the suffix
+    after it), which orders what lies between two neighbours of class 1.
+
+    With `need`, suffixes that are equal for so many bytes, or whose text is periodic
+    (a symbol follows itself), may keep one rank. Tables that the result reads are added
+    to `trash`.
     """
     mine: list[DataFrame] = []
-    near = _following(symbols.select(*SYMBOLS), {"x1": ("x", 1), "x2": ("x", 2), "z1": ("z", 1), "z2": ("z", 2)}, NONE)
-    near = materialize(near.withColumn("z2", F.greatest("z", "z1", "z2")).drop("z1"), "triples", "lz4")
-    sampled = numbered(near.where("i % 3 <> 0"), ["x", "x1", "x2"], parts, "name", mine)
-    sampled = materialize(sampled.select("d", "c", "i", "name", "b", F.col("z2").alias("z"), (F.col("only") | (F.col("x1") == NONE) | (F.col("x2") == NONE) | (F.col("z2") - F.col("b") >= need)).alias("fixed")), "names", "lz4")
-    discard(*mine)
-    gone, mine = [near, sampled], []
+    fixed = F.col("only") | (F.col("x1") == NONE) | (F.col("x2") == NONE)
+    if need is not None:
+        fixed = fixed | (F.col("z2") - F.col("b") >= need) | (F.col("x1") == F.col("x"))
+    sampled = numbered(near.where("i % 3 <> 0").select("d", "c", "i", "x", "x1", "x2", "b", "z2"), ["x", "x1", "x2"], parts, "name", mine)
+    sampled = sampled.withColumn("fixed", fixed)
     left = sampled.where("not fixed").count()
     if left:
         # Names to sort further, each with what follows up to the next fixed one.
-        shorter = sampled.select("d", (F.col("c") * 3 + F.col("i") % 3).cast("int").alias("c"), F.floor(F.col("i") / 3).cast("int").alias("i"), F.col("name").alias("x"), "b", "z", "fixed")
+        shorter = sampled.select("d", (F.col("c") * 3 + F.col("i") % 3).cast("int").alias("c"), F.floor(F.col("i") / 3).cast("int").alias("i"), F.col("name").alias("x"), "b", F.col("z2").alias("z"), "fixed")
         w = W.partitionBy("d", "c").orderBy("i")
         closes = (F.lag("i").over(w) == F.col("i") - 1) & ~F.lag("fixed").over(w)
-        shorter = shorter.withColumn("closes", closes).where("not fixed or closes")
-        deeper = suffix_ranks(shorter, need, min(parts, parts_for(2 * left, 100_000, 4)), mine)
+        kept = materialize(shorter.withColumn("closes", closes).where("not fixed or closes").drop("closes", "fixed"), "shorter", "lz4")
+        deeper_near = materialize(followed(kept), "triples", "lz4")
+        discard(kept)
+        deeper = suffix_ranks(deeper_near, need, min(parts, parts_for(2 * left, 100_000, 4)), mine)
+        mine.append(deeper_near)
         finer = deeper.select("d", F.floor(F.col("c") / 3).cast("int").alias("c"), (F.col("i") * 3 + F.col("c") % 3).cast("int").alias("i"), F.col("r").alias("finer"))
-        named = sampled.select("d", "c", "i", "name", "fixed").join(finer, ["d", "c", "i"], "left")
-        named = named.select("d", "c", "i", F.col("name").alias("coarse"), F.when(F.col("fixed"), 0).otherwise(F.col("finer")).alias("finer"))
+        named = sampled.select("d", "c", "i", "x", "x1", "fixed", F.col("name").alias("coarse")).join(finer, ["d", "c", "i"], "left")
+        named = named.withColumn("finer", F.when(F.col("fixed"), 0).otherwise(F.col("finer"))).drop("fixed")
         sampled = numbered(named, ["coarse", "finer"], parts, "name", mine)
-    joined = near.select("d", "c", "i", "x", "x1").join(sampled.select("d", "c", "i", "name"), ["d", "c", "i"], "left")
-    ready = materialize(_following(joined, {"r1": ("name", 1), "r2": ("name", 2)}, 0), "ready", "lz4")
-    discard(*gone, *mine)
-    mine = []
-    # The place of each class-1 suffix among its own, and of the others between them.
-    ones = materialize(numbered(ready.where("i % 3 = 1").select("d", "c", "i", "name", "x", "r1"), ["name"], parts, "g", mine), "ones", "lz4")
+    nothing = F.lit(None).cast("long")
+    whole = near.where("i % 3 = 0").select("d", "c", "i", "x", "x1", nothing.alias("name"), nothing.alias("one")).unionByName(sampled.select("d", "c", "i", "x", "x1", "name", "one"))
+    ready = materialize(_following(whole, {"r1": ("name", 1), "r2": ("name", 2)}, 0), "ready", "lz4")
     discard(*mine)
-    mine = [ready, ones]
-    nothing = F.lit(None).cast("long").alias("g")
-    by_next = _spread_down(ready.where("i % 3 = 0").select("d", "c", "i", "x", "r1", nothing).unionByName(ones.select("d", "c", "i", "x", "r1", "g")), ["x", "r1"], parts, mine)
-    by_name = _spread_down(ready.where("i % 3 = 2").select("d", "c", "i", "name", nothing).unionByName(ones.select("d", "c", "i", "name", "g")), ["name"], parts, mine)
-    places = by_next.where("i % 3 <> 2").select("d", "c", "i", "g").unionByName(by_name.where("i % 3 = 2").select("d", "c", "i", "g"))
-    merged = ready.join(places, ["d", "c", "i"]).select(
-        "d", "c", "i", "x", "g",
-        F.when(F.col("i") % 3 == 1, NONE).otherwise(F.col("x")).alias("k0"),
-        F.when(F.col("i") % 3 == 1, NONE).otherwise(F.col("x1")).alias("k1"),
-        F.when(F.col("i") % 3 == 1, 0).otherwise(F.col("r2")).alias("k2"),
-    )
-    ranked = numbered(merged, ["g", "k0", "k1", "k2"], parts, "r", trash).select("d", "c", "i", "x", "r")
+    mine = [ready]
+    # The last name of class 1 up to each suffix: class 2 has it from its own numbering.
+    zeros = ready.where("i % 3 = 0").select("d", "c", "i", "x", "x1", "r1", "r2", nothing.alias("g"))
+    ones = ready.where("i % 3 = 1").select("d", "c", "i", "x", "x1", "r1", "r2", F.col("name").alias("g"))
+    placed = _spread_down(zeros.unionByName(ones), ["x", "r1"], parts, mine).where("i % 3 = 0")
+    low = F.lit(NONE)
+    merged = (
+        placed.select("d", "c", "i", "g", F.col("x").alias("k0"), F.col("x1").alias("k1"), F.col("r2").alias("k2"))
+        .unionByName(ones.select("d", "c", "i", "g", low.alias("k0"), low.alias("k1"), F.lit(0).cast("long").alias("k2")))
+        .unionByName(ready.where("i % 3 = 2").select("d", "c", "i", F.col("one").alias("g"), F.col("x").alias("k0"), F.col("x1").alias("k1"), F.col("r2").alias("k2")))
+    )
+    ranked = numbered(merged, ["g", "k0", "k1", "k2"], parts, "r", trash).select("d", "c", "i", "r")
     discard(*mine)
     return ranked
 
@@ -338,7 +365,7 @@ def _spread_down(df: DataFrame, keys: list[str], parts: int, trash: list[DataFra
             last = int(g[-1])
             yield batch.set_column(batch.schema.get_field_index("g"), "g", pa.array(g))
 
-    kept = ordered.select("d", "c", "i", "g", "_part")
+    kept = ordered.drop("_later")
     local = materialize(kept.mapInArrow(lean(fill), kept.schema), "filled", "lz4")
     trash.append(local)
     tops = {r["_part"]: r["g"] for r in local.groupBy("_part").agg(F.max("g").alias("g")).collect()}
@@ -476,10 +503,9 @@ def repeated_starts(docs: DataFrame, parts: int) -> DataFrame:
     alive = materialize(parsed.join(copies.where("d <> first").select("d"), "d", "left_anti"), "anchors", "lz4")
     tidy(spark)
     trash = [alive]
-    at = F.col("at").cast("long")
-    symbols = alive.select("d", F.lit(0).alias("c"), "i", "x", at.alias("b"), (at + SYMBOL).alias("z"))
-    ranked = suffix_ranks(symbols, NEED, parts, trash).select("d", "i", "r")
-    found = materialize(adjacent_prefixes(alive.join(ranked, ["d", "i"]), parts), "adjacent", "lz4")
+    near = alive.select("d", F.lit(0).alias("c"), "i", "x", "x1", "x2", F.col("at").cast("long").alias("b"), "z2")
+    ranked = suffix_ranks(near, NEED, parts, trash).select("d", "i", "r")
+    found = materialize(adjacent_prefixes(alive.drop("x1", "x2", "z2").join(ranked, ["d", "i"]), parts), "adjacent", "lz4")
     discard(*trash)
     tidy(spark)
     anchors_of = found.groupBy("d").agg(F.collect_list(F.struct("at", "lo", "hi", "prev", "most")).alias("anchors"))

@@ -75,7 +75,7 @@ def test_suffix_ranks_sort_suffixes(spark):
     sequences = [rng.integers(1, 4, n).tolist() for n in (1, 2, 3, 7, 20, 40)] + [[1, 2, 3] * 6, [2] * 11]
     rows = [(d, 0, i, x, i, i + 1) for d, s in enumerate(sequences) for i, x in enumerate(s)]
     df = spark.createDataFrame(rows, "d long, c int, i int, x long, b long, z long")
-    got = {(r.d, r.i): r.r for r in suffixes.suffix_ranks(df, 1 << 40, 3, []).collect()}
+    got = {(r.d, r.i): r.r for r in suffixes.suffix_ranks(suffixes.followed(df), None, 3, []).collect()}
     assert len(got) == len(rows)
     ordered = sorted(got, key=got.get)
     keys = [sequences[d][i:] for d, i in ordered]
