@@ -139,7 +139,7 @@ class _Segments(HTMLParser):
         if tag in self.DROP:
             self.depth += 1
         elif tag in self.KEEP and not self.depth:
-            self.close()
+            self.end_piece()
             self.tag = tag
             self.seen[tag] = self.seen.get(tag, 0) + 1
 
@@ -147,13 +147,13 @@ class _Segments(HTMLParser):
         if tag in self.DROP:
             self.depth = max(0, self.depth - 1)
         elif tag == self.tag:
-            self.close()
+            self.end_piece()
 
     def handle_data(self, data):
         if self.tag and not self.depth:
             self.parts.append(data)
 
-    def close(self):
+    def end_piece(self):
         text = " ".join("".join(self.parts).split())
         if text:
             if self.tag[0] == "h":
@@ -172,7 +172,9 @@ def html_segments(pages: pd.Series) -> pd.Series:
     def one(page):
         parser = _Segments()
         parser.feed(page or "")
+        # What the parser has buffered comes out when it is closed, before the last piece ends.
         parser.close()
+        parser.end_piece()
         return parser.out
 
     return pages.map(one)

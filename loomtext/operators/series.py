@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomtext.sources.barrier import materialize
+
 
 def least_squares(df: DataFrame, target: str, terms: list[str]) -> dict[str, float]:
     """Coefficients of `target` on `terms` by normal equations."""
@@ -43,7 +45,7 @@ def held_out_error(series: DataFrame, time: str, values: list[str], lags: int =
     for v in values:
         for k in range(1, lags + 1):
             df = df.withColumn(f"{v}_{k}", F.lag(v, k).over(w))
-    df = df.dropna().cache()
+    df = materialize(df.dropna(), "lags")
     last = df.count() * share + lags
     out = {}
     for name, used in (("ar", values[:1]), ("var", values)):
@@ -51,30 +53,50 @@ def held_out_error(series: DataFrame, time: str, values: list[str], lags: int =
         fit = least_squares(df.where(F.col("trend") <= last), values[0], terms)
         guess = sum((F.col(c) * F.lit(b) for c, b in fit.items()), F.lit(0.0))
         out[name] = df.where(F.col("trend") > last).agg(F.avg(F.pow(F.col(values[0]) - guess, 2)).alias("e")).first()["e"]
-    df.unpersist()
     return out
 
 
-def greedy_pick(rows: list[dict], most: int = 20, by_source: int = 4, by_month: int = 2) -> list[dict]:
-    """The strongest rows (by |z|) under limits a source and a month; the input is a short list."""
-    taken, sources, months = [], {}, {}
-    for r in sorted(rows, key=lambda r: (-abs(r["z"]), r["source"], r["month"])):
-        if len(taken) < most and sources.get(r["source"], 0) < by_source and months.get(r["month"], 0) < by_month:
-            taken.append(r)
-            sources[r["source"]] = sources.get(r["source"], 0) + 1
-            months[r["month"]] = months.get(r["month"], 0) + 1
+def greedy_pick(rows: DataFrame, most: int = 20, by_source: int = 4, by_month: int = 2, step: int = 500) -> list[dict]:
+    """The strongest rows (source, month, z) by |z| under limits a source and a month.
+
+    Rows are looked at in order, `step` of them at once; those of a source or month that
+    is full are left out by the cluster. It ends when enough are taken or none is left,
+    so no row that the limits admit is missed.
+    """
+    ranked = rows.select("source", "month", "z", F.abs("z").alias("size"))
+    taken, sources, months, after = [], {}, {}, None
+    while len(taken) < most:
+        full = [s for s, n in sources.items() if n >= by_source], [m for m, n in months.items() if n >= by_month]
+        left = ranked.where(~F.col("source").isin(full[0]) & ~F.col("month").isin(full[1]))
+        if after is not None:
+            size, source, month = (F.lit(after[k]) for k in ("size", "source", "month"))
+            left = left.where((F.col("size") < size) | ((F.col("size") == size) & ((F.col("source") > source) | ((F.col("source") == source) & (F.col("month") > month)))))
+        some = [r.asDict() for r in left.orderBy(F.desc("size"), "source", "month").limit(step).collect()]
+        if not some:
+            break
+        for r in some:
+            if len(taken) < most and sources.get(r["source"], 0) < by_source and months.get(r["month"], 0) < by_month:
+                taken.append(r)
+                sources[r["source"]] = sources.get(r["source"], 0) + 1
+                months[r["month"]] = months.get(r["month"], 0) + 1
+        after = some[-1]
     return taken
 
 
-def resolve_aliases(aliases: DataFrame, limit: int = 50) -> DataFrame:
-    """(alias, target) with chains followed to their ends; cycles have a null target."""
-    now = aliases.select("alias", "target")
-    for _ in range(limit):
-        step = now.alias("a").join(aliases.alias("b"), F.col("a.target") == F.col("b.alias"), "left")
-        after = step.select("a.alias", F.coalesce("b.target", "a.target").alias("target"), (F.col("b.target").isNotNull() & (F.col("b.target") != F.col("a.target"))).alias("moved"))
-        after = after.checkpoint() if aliases.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else after.cache()
-        if not after.where("moved").limit(1).count():
+def resolve_aliases(aliases: DataFrame) -> DataFrame:
+    """(alias, target) with chains followed to their ends; a chain that ends in a cycle has a null target.
+
+    Each round doubles the steps that every alias has taken, so the rounds are the
+    logarithm of the longest chain. A chain that still moves after as many steps as there
+    are aliases is a cycle.
+    """
+    now = materialize(aliases.select("alias", "target"), "aliases")
+    count, steps = now.count(), 1
+    while True:
+        step = now.alias("a").join(now.alias("b"), F.col("a.target") == F.col("b.alias"), "left")
+        after = materialize(step.select("a.alias", F.coalesce("b.target", "a.target").alias("target"), F.col("b.target").isNotNull().alias("moved")), "aliases")
+        if after.where("moved").isEmpty():
             return after.select("alias", "target")
-        now = after.select("alias", "target")
-    loops = now.alias("a").join(aliases.alias("b"), F.col("a.target") == F.col("b.alias"), "left_semi").select("alias")
-    return now.join(loops.withColumn("_loop", F.lit(True)), "alias", "left").select("alias", F.when(F.col("_loop").isNull(), F.col("target")).alias("target"))
+        if steps > count:
+            return after.select("alias", F.when(~F.col("moved"), F.col("target")).alias("target"))
+        now, steps = after.select("alias", "target"), 2 * steps

@@ -194,12 +194,9 @@ def c15(spark, sf_dir):
 @query("c19_benchmark_contamination", """WITH s AS (SELECT item_id, b.text AS t, md5(substring(b.text, 1, 60)) AS k FROM benchmark b)
 SELECT d.doc_id, s.item_id FROM documents d JOIN s ON contains(d.text, s.t)""")
 def c19(spark, sf_dir):
-    # The benchmark is a fixed list; a document is searched for each whole item.
+    """Documents that hold a whole benchmark item."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    if items.count() <= 10_000:
-        items = F.broadcast(items)
-    return docs.join(items, F.contains("text", "item")).select("doc_id", "item_id")
+    return retrieval.containing(table(spark, sf_dir, "documents").select("doc_id", "text"), items)
 
 
 sql("p10_multi_reason_tags", """

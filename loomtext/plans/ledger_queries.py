@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomtext.operators import ledger, series
-from loomtext.plans.registry import query, table
+from loomtext.plans.registry import QUERIES, query, table
 
 
 def _edited(spark, sf_dir):
@@ -44,12 +44,18 @@ def x31(spark, sf_dir):
 
 
 def _daily(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.dayofmonth("ts").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "click").alias("clicks"))
+    """Counts a day; d is the number of days since the first."""
+    days = table(spark, sf_dir, "events").groupBy(F.datediff(F.to_date("ts"), F.lit("1970-01-01")).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "click").alias("clicks"))
+    first = days.agg(F.min("day").alias("first"))
+    return days.join(F.broadcast(first)).select((F.col("day") - F.col("first")).alias("d"), "n", "clicks")
 
 
 @query("n14_segmented_trend")
 def n14(spark, sf_dir):
-    found = series.segmented_trend(_daily(spark, sf_dir), "d", "n", 15)
+    """Level and slope, and their changes half-way through the series."""
+    daily = _daily(spark, sf_dir)
+    cut = daily.agg(F.ceil(F.max("d") / 2).alias("c")).first()["c"]
+    found = series.segmented_trend(daily, "d", "n", cut or 0)
     return spark.createDataFrame([(k, round(v, 6)) for k, v in found.items()], "term string, coefficient double")
 
 
@@ -61,10 +67,8 @@ def n15(spark, sf_dir):
 
 @query("a28_greedy_pick")
 def a28(spark, sf_dir):
-    from loomtext.plans.registry import QUERIES
-
-    rows = QUERIES["a27_seasonal_anomaly"](spark, sf_dir).where("abs(z) >= 1").orderBy(F.desc(F.abs("z")), "source", "m").limit(500).collect()
-    picked = series.greedy_pick([{"source": r["source"], "month": r["m"], "z": r["z"]} for r in rows])
+    rows = QUERIES["a27_seasonal_anomaly"](spark, sf_dir).where("abs(z) >= 1").select("source", F.col("m").alias("month"), "z")
+    picked = series.greedy_pick(rows)
     return spark.createDataFrame([(p["source"], p["month"], p["z"]) for p in picked], "source string, month int, z double")
 
 

@@ -227,7 +227,7 @@ sql("a21_role_time_panel", """
 WITH e AS (SELECT CAST(ts AS DATE) AS day, event_type, user_id, value > 50 AS relevant, value > 80 AS worry FROM {events}),
      g AS (SELECT day, event_type, count(*) AS eligible_n, count(*) FILTER (WHERE relevant) AS relevant_n, count(*) FILTER (WHERE relevant AND worry) AS worry_n,
            count(DISTINCT user_id) AS source_n FROM e GROUP BY day, event_type),
-     grid AS (SELECT d.day, r.event_type FROM (SELECT explode(sequence(DATE '2024-01-01', DATE '2024-02-02', INTERVAL 1 DAY)) AS day) d CROSS JOIN (SELECT DISTINCT event_type FROM e) r)
+     grid AS (SELECT d.day, r.event_type FROM (SELECT explode(sequence(min(day), date_add(max(day), 3), INTERVAL 1 DAY)) AS day FROM e) d CROSS JOIN (SELECT DISTINCT event_type FROM e) r)
 SELECT CAST(grid.day AS STRING) AS day, grid.event_type, coalesce(eligible_n, 0) AS eligible_n, coalesce(relevant_n, 0) AS relevant_n, coalesce(worry_n, 0) AS worry_n, coalesce(source_n, 0) AS source_n,
  CASE WHEN eligible_n > 0 THEN round(relevant_n * 1.0 / eligible_n, 8) END AS attention_s, CASE WHEN relevant_n > 0 THEN round(worry_n * 1.0 / relevant_n, 8) END AS emotion_e,
  CASE WHEN eligible_n > 0 THEN round(worry_n * 1.0 / eligible_n, 8) END AS joint_b,
@@ -236,7 +236,7 @@ FROM grid LEFT JOIN g ON g.day = grid.day AND g.event_type = grid.event_type""",
     """WITH e AS (SELECT CAST(ts AS DATE) AS day, event_type, user_id, value > 50 AS relevant, value > 80 AS worry FROM events),
      g AS (SELECT day, event_type, count(*) AS eligible_n, count(*) FILTER (WHERE relevant) AS relevant_n, count(*) FILTER (WHERE relevant AND worry) AS worry_n,
            count(DISTINCT user_id) AS source_n FROM e GROUP BY day, event_type),
-     grid AS (SELECT CAST(d.day AS DATE) AS day, r.event_type FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-02-02', INTERVAL 1 DAY)) AS day) d CROSS JOIN (SELECT DISTINCT event_type FROM e) r)
+     grid AS (SELECT CAST(d.day AS DATE) AS day, r.event_type FROM (SELECT unnest(generate_series(min(day), max(day) + 3, INTERVAL 1 DAY)) AS day FROM e) d CROSS JOIN (SELECT DISTINCT event_type FROM e) r)
 SELECT CAST(grid.day AS VARCHAR) AS day, grid.event_type, coalesce(eligible_n, 0) AS eligible_n, coalesce(relevant_n, 0) AS relevant_n, coalesce(worry_n, 0) AS worry_n, coalesce(source_n, 0) AS source_n,
  CASE WHEN eligible_n > 0 THEN round(relevant_n * 1.0 / eligible_n, 8) END AS attention_s, CASE WHEN relevant_n > 0 THEN round(worry_n * 1.0 / relevant_n, 8) END AS emotion_e,
  CASE WHEN eligible_n > 0 THEN round(worry_n * 1.0 / eligible_n, 8) END AS joint_b,
@@ -244,23 +244,26 @@ SELECT CAST(grid.day AS VARCHAR) AS day, grid.event_type, coalesce(eligible_n, 0
 FROM grid LEFT JOIN g ON g.day = grid.day AND g.event_type = grid.event_type""")
 
 
+MONTH = "CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS INT)"
+
+
 def months(name: str, text: str) -> None:
-    """A query over `grid`: every month of 1992 to 1998, as a month number m."""
-    grid = "SELECT explode(sequence(1992 * 12, 1998 * 12 + 11)) AS m"
-    duck = "SELECT unnest(generate_series(1992 * 12, 1998 * 12 + 11)) AS m"
+    """A query over `grid`: every month from the first to the last of the orders, as a number m."""
+    ends = f"(SELECT min({MONTH}) AS a, max({MONTH}) AS b FROM {{orders}})"
+    grid = f"SELECT explode(sequence(a, b)) AS m FROM {ends}"
+    duck = f"SELECT unnest(generate_series(a, b)) AS m FROM {ends}"
     sql(name, text.replace("$GRID", grid), text.replace("$GRID", duck))
 
 
-MONTH = "CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS INT)"
 months("a24_calendar_fill", f"""
 WITH g AS (SELECT CAST(m AS INT) AS m FROM ($GRID) x), o AS (SELECT {MONTH} AS m, count(*) AS n FROM {{orders}} WHERE o_totalprice > 300000 GROUP BY 1)
 SELECT g.m, coalesce(o.n, 0) AS n, CASE WHEN o.n IS NULL THEN 'zero_observed' ELSE 'observed' END AS label FROM g LEFT JOIN o ON o.m = g.m""")
 months("a25_interior_zeros", f"""
-WITH g AS (SELECT CAST(m AS INT) AS m FROM ($GRID) x), o AS (SELECT {MONTH} AS m, count(*) AS n FROM {{orders}} WHERE o_totalprice > 400000 GROUP BY 1),
+WITH g AS (SELECT CAST(m AS INT) AS m FROM ($GRID) x), o AS (SELECT {MONTH} AS m, count(*) AS n FROM {{orders}} WHERE o_totalprice > 400000 AND o_custkey % 50 = 7 GROUP BY 1),
      f AS (SELECT g.m, coalesce(o.n, 0) AS n FROM g LEFT JOIN o ON o.m = g.m), e AS (SELECT min(m) AS a, max(m) AS b FROM f WHERE n > 0)
 SELECT m FROM f, e WHERE n = 0 AND m > a AND m < b""")
 months("w14_gaps_and_islands", f"""
-WITH g AS (SELECT CAST(m AS INT) AS m FROM ($GRID) x), o AS (SELECT DISTINCT {MONTH} AS m FROM {{orders}} WHERE o_totalprice > 400000),
+WITH g AS (SELECT CAST(m AS INT) AS m FROM ($GRID) x), o AS (SELECT DISTINCT {MONTH} AS m FROM {{orders}} WHERE o_totalprice > 400000 AND o_custkey % 50 = 7),
      f AS (SELECT g.m, g.m - row_number() OVER (ORDER BY g.m) AS island FROM g LEFT JOIN o ON o.m = g.m WHERE o.m IS NULL)
 SELECT min(m) AS first_month, max(m) AS last_month, count(*) AS length FROM f GROUP BY island""")
 sql("a26_matrix_membership", """
@@ -278,7 +281,7 @@ WITH y AS (SELECT p_brand, CAST(year(l_shipdate) AS INT) AS yr, count(*) AS n FR
 SELECT p_brand, min(yr) AS first_year, count(*) AS years, max(n) AS peak, max(yr) AS latest_year, CASE WHEN count(*) = 0 THEN 'ZERO' WHEN count(*) < 5 THEN 'SPARSE' ELSE 'DENSE' END AS flag FROM y GROUP BY p_brand""")
 sql("a30_anchor_window_stats", """
 WITH y AS (SELECT p_brand, CAST(year(l_shipdate) AS INT) AS yr, count(*) AS n FROM {part} JOIN {lineitem} ON l_partkey = p_partkey GROUP BY 1, 2),
-     anchors AS (SELECT 'A' AS anchor, 1993 AS s0, 1994 AS s1, 1992 AS c0, 1996 AS c1 UNION ALL SELECT 'B', 1995, 1996, 1993, 1998)
+     ends AS (SELECT min(yr) AS y0, max(yr) AS y1 FROM y), anchors AS (SELECT 'A' AS anchor, y0 + 1 AS s0, y0 + 2 AS s1, y0 AS c0, y0 + 4 AS c1 FROM ends UNION ALL SELECT 'B', y1 - 3, y1 - 2, y1 - 5, y1 FROM ends)
 SELECT p_brand, anchor, round(avg(n) FILTER (WHERE yr BETWEEN s0 AND s1), 6) AS strict_mean, round(avg(n), 6) AS context_mean, round(median(n), 4) AS context_median, max(n) AS context_max,
  CASE WHEN count(*) = c1 - c0 + 1 THEN round(avg(n), 6) END AS complete_mean FROM y JOIN anchors ON yr BETWEEN c0 AND c1 GROUP BY p_brand, anchor, c0, c1""")
 sql("a31_family_summary", """
@@ -301,16 +304,16 @@ WITH y AS (SELECT p_partkey, CAST(year(l_shipdate) AS INT) AS yr FROM {part} JOI
      r AS (SELECT p_partkey, yr, count(*) OVER (PARTITION BY p_partkey ORDER BY yr RANGE BETWEEN CURRENT ROW AND 2 FOLLOWING) AS k FROM y)
 SELECT p_partkey, min(yr) AS first_run FROM r WHERE k = 3 GROUP BY p_partkey""")
 sql("w9_composition_decomposition", """
-WITH c AS (SELECT event_type AS stream, CAST(dayofmonth(ts) AS INT) AS d, user_id AS source, count(*) AS n FROM {events} GROUP BY 1, 2, 3),
+WITH c AS (SELECT event_type AS stream, datediff(CAST(ts AS DATE), DATE '1970-01-01') AS d, user_id AS source, count(*) AS n FROM {events} GROUP BY 1, 2, 3),
      j AS (SELECT coalesce(a.stream, b.stream) AS stream, coalesce(a.d, b.d - 1) AS d, a.n AS p, b.n AS q FROM c a FULL OUTER JOIN c b ON a.stream = b.stream AND a.source = b.source AND b.d = a.d + 1)
 SELECT stream, d AS from_day, CAST(sum(coalesce(q, 0) - coalesce(p, 0)) AS BIGINT) AS count_change, CAST(coalesce(sum(CASE WHEN p IS NOT NULL AND q IS NOT NULL THEN q - p END), 0) AS BIGINT) AS common_change,
  CAST(coalesce(sum(CASE WHEN p IS NULL THEN q END), 0) AS BIGINT) AS entering, CAST(coalesce(sum(CASE WHEN q IS NULL THEN p END), 0) AS BIGINT) AS leaving,
- round(count(*) FILTER (WHERE p IS NOT NULL AND q IS NOT NULL) * 1.0 / count(*), 8) AS jaccard FROM j WHERE d BETWEEN 1 AND 29 GROUP BY stream, d""",
-    """WITH c AS (SELECT event_type AS stream, CAST(day(ts) AS INT) AS d, user_id AS source, count(*) AS n FROM events GROUP BY 1, 2, 3),
+ round(count(*) FILTER (WHERE p IS NOT NULL AND q IS NOT NULL) * 1.0 / count(*), 8) AS jaccard FROM j WHERE d >= (SELECT min(d) FROM c) AND d < (SELECT max(d) FROM c) GROUP BY stream, d""",
+    """WITH c AS (SELECT event_type AS stream, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INT) AS d, user_id AS source, count(*) AS n FROM events GROUP BY 1, 2, 3),
      j AS (SELECT coalesce(a.stream, b.stream) AS stream, coalesce(a.d, b.d - 1) AS d, a.n AS p, b.n AS q FROM c a FULL OUTER JOIN c b ON a.stream = b.stream AND a.source = b.source AND b.d = a.d + 1)
 SELECT stream, d AS from_day, CAST(sum(coalesce(q, 0) - coalesce(p, 0)) AS BIGINT) AS count_change, CAST(coalesce(sum(CASE WHEN p IS NOT NULL AND q IS NOT NULL THEN q - p END), 0) AS BIGINT) AS common_change,
  CAST(coalesce(sum(CASE WHEN p IS NULL THEN q END), 0) AS BIGINT) AS entering, CAST(coalesce(sum(CASE WHEN q IS NULL THEN p END), 0) AS BIGINT) AS leaving,
- round(count(*) FILTER (WHERE p IS NOT NULL AND q IS NOT NULL) * 1.0 / count(*), 8) AS jaccard FROM j WHERE d BETWEEN 1 AND 29 GROUP BY stream, d""")
+ round(count(*) FILTER (WHERE p IS NOT NULL AND q IS NOT NULL) * 1.0 / count(*), 8) AS jaccard FROM j WHERE d >= (SELECT min(d) FROM c) AND d < (SELECT max(d) FROM c) GROUP BY stream, d""")
 sql("w15_event_window", f"""
 WITH ev AS (SELECT 'e1' AS event, 1994 * 12 + 5 AS mid UNION ALL SELECT 'e2', 1996 * 12), o AS (SELECT {MONTH} AS m, count(*) AS n FROM {{orders}} GROUP BY 1)
 SELECT event, o.m - mid AS offset_months, CASE WHEN o.m < mid THEN 'pre' WHEN o.m = mid THEN 'event' ELSE 'post' END AS phase, n FROM ev JOIN o ON o.m BETWEEN mid - 24 AND mid + 24""")
@@ -356,10 +359,10 @@ sql("n12_frontier", """
 SELECT o_orderpriority, count(*) AS candidates, count(*) FILTER (WHERE o_totalprice > 50000) AS eligible, count(*) FILTER (WHERE o_totalprice > 50000 AND o_orderstatus = 'F') AS recovered,
  round(count(*) FILTER (WHERE o_totalprice > 50000 AND o_orderstatus = 'F') * 1.0 / nullif(count(*) FILTER (WHERE o_totalprice > 50000), 0), 8) AS recovery FROM {orders} GROUP BY 1""")
 sql("n13_cross_correlation", """
-WITH d AS (SELECT CAST(dayofmonth(ts) AS INT) AS d, CAST(count(*) FILTER (WHERE event_type = 'click') AS DOUBLE) AS x, CAST(count(*) FILTER (WHERE event_type = 'purchase') AS DOUBLE) AS y FROM {events} GROUP BY 1),
+WITH d AS (SELECT datediff(CAST(ts AS DATE), DATE '1970-01-01') AS d, CAST(count(*) FILTER (WHERE event_type = 'click') AS DOUBLE) AS x, CAST(count(*) FILTER (WHERE event_type = 'purchase') AS DOUBLE) AS y FROM {events} GROUP BY 1),
      l AS (SELECT -2 AS lag UNION ALL SELECT -1 UNION ALL SELECT 0 UNION ALL SELECT 1 UNION ALL SELECT 2)
 SELECT l.lag, count(*) AS pairs, round(corr(a.x, b.y), 6) AS r FROM l JOIN d a ON TRUE JOIN d b ON b.d = a.d + l.lag GROUP BY l.lag""",
-    """WITH d AS (SELECT CAST(day(ts) AS INT) AS d, CAST(count(*) FILTER (WHERE event_type = 'click') AS DOUBLE) AS x, CAST(count(*) FILTER (WHERE event_type = 'purchase') AS DOUBLE) AS y FROM events GROUP BY 1),
+    """WITH d AS (SELECT CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INT) AS d, CAST(count(*) FILTER (WHERE event_type = 'click') AS DOUBLE) AS x, CAST(count(*) FILTER (WHERE event_type = 'purchase') AS DOUBLE) AS y FROM events GROUP BY 1),
      l AS (SELECT -2 AS lag UNION ALL SELECT -1 UNION ALL SELECT 0 UNION ALL SELECT 1 UNION ALL SELECT 2)
 SELECT l.lag, count(*) AS pairs, round(corr(a.x, b.y), 6) AS r FROM l JOIN d a ON TRUE JOIN d b ON b.d = a.d + l.lag GROUP BY l.lag""")
 sql("n18_scaled_counts", "SELECT p_brand, round(log10(count(*) + 1), 8) AS log_n, round(count(*) * 1000000.0 / (SELECT count(*) FROM {lineitem}), 4) AS per_million FROM {part} JOIN {lineitem} ON l_partkey = p_partkey GROUP BY p_brand")

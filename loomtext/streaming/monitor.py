@@ -7,9 +7,13 @@ State is kept by key, so a corrected date moves a record without counting it twi
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.sources.publish import get_text, put_text
+
 SCHEMA = "kind string, key string, revision long, day string, source string, value double"
 
 
@@ -24,11 +28,17 @@ def valid() -> Column:
 
 
 def latest(events: DataFrame) -> DataFrame:
-    """One row a key: the payload of its highest revision, and whether that one conflicts."""
-    payload = F.struct("day", "source", "value")
-    top = events.where(valid()).groupBy("kind", "key").agg(F.max_by(F.struct("revision", payload.alias("p")), F.col("revision")).alias("t"), F.max("revision").alias("top"))
-    rivals = events.where(valid()).join(top.select("kind", "key", "top"), ["kind", "key"]).where("revision = top").groupBy("kind", "key").agg((F.count_distinct(F.xxhash64("day", "source", "value")) > 1).alias("conflict"))
-    return top.join(rivals, ["kind", "key"]).select("kind", "key", F.col("t.revision").alias("revision"), "t.p.day", "t.p.source", "t.p.value", "conflict")
+    """One row a key: the payload of its highest revision, and whether that one conflicts.
+
+    Rows may carry a `conflict` of an earlier state; it holds until a higher revision.
+    """
+    known = events.withColumn("conflict", F.lit(False)) if "conflict" not in events.columns else events
+    sound = known.where(valid()).withColumn("payload", F.xxhash64("day", "source", "value"))
+    # Of one revision the payload with the least hash stands, so replays agree.
+    top = F.max(F.struct("revision", (-F.col("payload").cast("decimal(20,0)")).alias("p"), "day", "source", "value"))
+    grouped = sound.groupBy("kind", "key", "revision").agg(top.alias("t"), F.min("payload").alias("a"), F.max("payload").alias("b"), F.bool_or("conflict").alias("was"))
+    one = grouped.groupBy("kind", "key").agg(F.max_by(F.struct("t", ((F.col("a") != F.col("b")) | F.col("was")).alias("conflict")), F.col("revision")).alias("s"))
+    return one.select("kind", "key", F.col("s.t.revision").alias("revision"), "s.t.day", "s.t.source", "s.t.value", "s.conflict")
 
 
 def snapshot(state: DataFrame) -> DataFrame:
@@ -45,27 +55,51 @@ def snapshot_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.where(~F.col("was").eqNullSafe(F.col("now")))
 
 
-def follow(events: DataFrame, state_path: str, checkpoint: str):
+def follow(events: DataFrame, state_path: str, checkpoint: str, parts: int = 64):
     """Fold each micro-batch into the state table; a batch that is replayed changes nothing.
 
-    The state is written beside the old one under the batch's number, so a failed batch
-    leaves the last good state in place.
+    The state lies in `parts` slices by a hash of the key, each in a folder for every
+    version; POINTERS says which version of a slice holds. A batch rewrites only the
+    slices that its keys fall into, beside the old versions, and the pointers move last,
+    so a failed batch leaves the last good state in place. Conflicted keys stay in the
+    state with their revision: a lower revision that comes later is stale.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.where(valid()).select("kind", "key", "revision", "day", "source", "value")
-        jvm = spark.sparkContext._jvm
-        old = jvm.org.apache.hadoop.fs.Path(f"{state_path}/{number - 1}")
-        fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if fs.exists(old):
-            kept = spark.read.parquet(f"{state_path}/{number - 1}").where("not conflict").select(fresh.columns)
-            fresh = fresh.unionByName(kept)
-        latest(fresh).write.mode("overwrite").parquet(f"{state_path}/{number}")
+        fresh = batch.where(valid()).select("kind", "key", "revision", "day", "source", "value", F.lit(False).alias("conflict"), _slice(parts).alias("slice"))
+        touched = sorted(r["slice"] for r in fresh.select("slice").distinct().collect())
+        pointers = read_pointers(spark, state_path, number)
+        old = [f"{state_path}/version={pointers[s]}/slice={s}" for s in touched if s in pointers]
+        if old:
+            fresh = fresh.drop("slice").unionByName(spark.read.parquet(*old).select("kind", "key", "revision", "day", "source", "value", "conflict"))
+        folded = latest(fresh).withColumn("slice", _slice(parts))
+        folded.write.mode("overwrite").partitionBy("slice").parquet(f"{state_path}/version={number}")
+        moved = pointers | dict.fromkeys(touched, number)
+        put_text(spark, f"{state_path}/POINTERS-{number:012d}.json", json.dumps(moved))
 
     return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _slice(parts: int) -> Column:
+    return F.pmod(F.xxhash64("kind", "key"), F.lit(parts)).cast("int")
+
+
+def read_pointers(spark: SparkSession, state_path: str, before: int | None = None) -> dict[int, int]:
+    """Which version of each slice holds, as of the last batch, or the last before a number."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{state_path}/POINTERS-*.json")
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where) or []
+    names = sorted(f.getPath().toString() for f in found)
+    names = [n for n in names if before is None or int(n.rsplit("-", 1)[1][:-5]) < before]
+    return {int(s): v for s, v in json.loads(get_text(spark, names[-1])).items()} if names else {}
+
+
+def read_state(spark: SparkSession, state_path: str) -> DataFrame:
+    """The current state of all keys."""
+    pointers = read_pointers(spark, state_path)
+    return spark.read.parquet(*[f"{state_path}/version={v}/slice={s}" for s, v in sorted(pointers.items())])
+
+
 def tumbling(events: DataFrame, size: str = "1 day", late: str = "2 days") -> DataFrame:
     """Extension: counts and sums by event-time window and type."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
