@@ -3,9 +3,10 @@
 Two generative models count, by hashed n-gram, the documents that hold it: one over all
 raw documents, one over labelled good ones (quality 1, not toxic). A document's log
 importance weight is the sum over its n-grams of the log ratio of the two. A logistic
-curve fitted on the labelled sample calibrates it; Gumbel noise, fixed by the doc_id, is
-added, and the k documents of the largest sums are kept, with k the expected number of
-good ones.
+curve fitted on the labelled sample calibrates it, its logit l being the log odds of a good
+document. Gumbel noise, fixed by the doc_id and a seed, is added to l / TEMPERATURE, and
+the k documents of the largest sums are kept, with k the expected number of good ones:
+a draw without replacement by the odds to the power 1 / TEMPERATURE.
 
 N-grams are words without their outer symbols, their first four and five letters, runs of
 outer symbols, pairs of adjacent words, and marks for the share of repeated and of
@@ -46,7 +47,8 @@ BATCH_BYTES = 1 << 20
 SAMPLE = 20_000
 #: Documents that a ratio must outweigh, and the surprise below which it counts nothing.
 PRIOR, ERRORS = 3.0, 3.0
-MARGIN = 12.0
+#: Documents are drawn by their weight to the power 1 / TEMPERATURE: 1 is the plain weight, 0 a threshold.
+TEMPERATURE = 0.5
 #: Shares of words equal to the one before that are marked.
 REPEATED = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 SYMBOLS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -182,7 +184,7 @@ def weighed(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
 def calibrate(weights: np.ndarray, good: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the logistic curve, by Newton steps with a slight penalty."""
     if len(set(good.tolist())) < 2:
-        return 1.0, MARGIN
+        return 1.0, 12.0
     x = np.stack([np.clip(weights, -50, 50), np.ones(len(weights))], axis=1)
     b = np.zeros(2)
     for _ in range(50):
@@ -236,7 +238,7 @@ def kth_largest(keys: DataFrame, k: int, by_id: bool = False) -> tuple[float, in
     return -key, doc
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, narrow: bool = False) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, narrow: bool = False, seed: int = 1) -> DataFrame:
     """Every row of `docs` with log_weight, logit, key and the decision `kept`.
 
     `narrow` leaves the text out of the result, and so out of the table between.
@@ -250,9 +252,9 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, narrow: b
     pairs = scored.select(F.col("doc_id").cast("long").alias("doc_id"), "log_weight").join(F.broadcast(frame), "doc_id").select("log_weight", "good").toPandas()
     slope, offset = calibrate(pairs["log_weight"].to_numpy(float), pairs["good"].to_numpy(float))
     logit = F.lit(slope) * F.greatest(F.col("log_weight"), F.lit(-50.0)) + F.lit(offset)
-    # Weights are sharpened so that sampling noise does not undo clear decisions.
-    keyed = scored.withColumn("logit", logit).withColumn("key", F.lit(MARGIN) * F.col("logit") + gumbel(F.col("doc_id").cast("long")))
-    expected = keyed.agg(F.sum(1 / (1 + F.exp(-F.lit(MARGIN) * F.col("logit")))).alias("k")).first()["k"] or 0.0
+    sharp = F.col("logit") / F.lit(TEMPERATURE)
+    keyed = scored.withColumn("logit", logit).withColumn("key", sharp + gumbel(F.col("doc_id").cast("long"), seed))
+    expected = keyed.agg(F.sum(1 / (1 + F.exp(-sharp))).alias("k")).first()["k"] or 0.0
     edge = kth_largest(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "key"), round(expected))
     if edge is None:
         return keyed.withColumn("kept", F.lit(False))

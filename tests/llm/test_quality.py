@@ -1,7 +1,10 @@
 """The classifier on held-out labels, its sampling against a plain sort, and the pipeline."""
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -37,6 +40,51 @@ def test_grams_by_hand():
     assert len({*bucket[doc == 0].tolist()} & {*bucket[doc == 2].tolist()}) >= 3
 
 
+def test_sampling_equals_a_plain_draw(spark):
+    """Counts, ratios, weights and the draw, written out over all documents."""
+    rng = np.random.default_rng(3)
+    good = [" ".join(rng.choice(["apple", "pear", "plum", "fig", "the"], int(rng.integers(5, 40)))) for _ in range(260)]
+    bad = [" ".join(rng.choice(["spam", "win", "cash", "the"], int(rng.integers(5, 40)))) for _ in range(140)]
+    texts = [*good, *bad, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    marked = [(i, int(i < 260), int(i % 50 == 3)) for i in range(0, 400, 2)]
+    labels = spark.createDataFrame(marked, "doc_id long, quality int, toxic int")
+    rows = {r.doc_id: r for r in importance.classify(docs, labels, seed=5).collect()}
+    own = [set(importance.gram_buckets(pa.array([t or ""]))[1].tolist()) for t in texts]
+    raw, of_good = np.zeros(2 * importance.BUCKETS), np.zeros(2 * importance.BUCKETS)
+    for i, grams in enumerate(own):
+        raw[list(grams)] += 1
+        of_good[list(grams)] += (i, 1, 0) in marked
+    ratio = importance.log_ratios(raw, of_good)
+    for i, grams in enumerate(own):
+        assert rows[i].log_weight == pytest.approx(sum(float(ratio[g]) for g in grams), rel=1e-4, abs=1e-4)
+    noise = {r.doc_id: r.g for r in docs.select("doc_id", importance.gumbel(F.col("doc_id"), 5).alias("g")).collect()}
+    keys = {i: rows[i].logit / importance.TEMPERATURE + noise[i] for i in rows}
+    k = round(sum(1 / (1 + math.exp(-r.logit / importance.TEMPERATURE)) for r in rows.values()))
+    first = set(sorted(keys, key=lambda i: (-keys[i], i))[:k])
+    assert {i for i, r in rows.items() if r.kept} == first
+
+
+def test_noise_draws_by_the_odds(spark):
+    """Of many documents of equal odds some are drawn; another seed draws others; odds order the shares."""
+    df = spark.range(40_000).select(F.col("id").alias("doc_id"), (F.col("id") % 4 - 2).cast("double").alias("logit"))
+    drawn = []
+    for seed in (1, 2):
+        keyed = df.withColumn("key", F.col("logit") / importance.TEMPERATURE + importance.gumbel(F.col("doc_id"), seed))
+        key, _ = importance.kth_largest(keyed.select("doc_id", "key"), 4_000)
+        drawn.append({r.doc_id for r in keyed.where(F.col("key") >= key).collect()})
+    # Without replacement: a document of odds w is among the first k with 1 - exp(-w / t).
+    w = np.exp(np.array([-2, -1, 0, 1]) / importance.TEMPERATURE)
+    low, high = 1e-6, 1e6
+    for _ in range(200):
+        t = (low * high) ** 0.5
+        low, high = (t, high) if (10_000 * (1 - np.exp(-w / t))).sum() > 4_000 else (low, t)
+    for some in drawn:
+        shares = np.bincount([i % 4 for i in some], minlength=4) / 10_000
+        assert np.abs(shares - (1 - np.exp(-w / t))).max() < 0.02
+    assert len(drawn[0] & drawn[1]) < 3_000
+
+
 def test_kth_largest(spark):
     rng = np.random.default_rng(0)
     keys = np.concatenate([rng.normal(size=3000), np.full(400, 0.25), [5.0, 5.0]])
