@@ -4,7 +4,7 @@ Words are split in Spark, each distinct word is encoded once, and its ids are jo
 back to the documents by position; decoding joins ids to the vocabulary's pieces.
 
 Shape at scale. Texts are dealt once into blocks of about BLOCK_BYTES by a hash of
-doc_id. A block sends each of its distinct words once to the word's partition, packed
+doc_id and text, so rows that share an id, or have none, are spread. A block sends each of its distinct words once to the word's partition, packed
 by (partition, block), so a frequent word costs a row per block and not one per
 occurrence. The word's partition encodes it once and answers every block. Nothing is
 broadcast but the tokenizer, whose vocabulary is fixed.
@@ -298,7 +298,7 @@ def encode(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES,
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(blocks)).cast("int").alias("block"),
+        F.pmod(F.xxhash64(F.col("doc_id").cast("long"), text), F.lit(blocks)).cast("int").alias("block"),
         unusual(text).alias("rare"),
         F.when(unusual(text), text).otherwise(split_words(text)).alias("words"),
     )

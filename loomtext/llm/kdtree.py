@@ -5,14 +5,17 @@ Leaves are shards. A node that stands for several shards is split at the weighte
 a level at once, until each leaf is one shard of near the target bytes.
 
 Groups of equal texts are one point: they stay in one shard. A group above HEAVY of the
-target is placed first, whole if it fits and else in pieces of near equal bytes, and the
-shards it fills take less from the tree.
+target is placed first, the largest into the emptiest shard. It is cut only where even
+that shard has no room for it: then no shard could take it whole without passing the
+target by over HEAVY, and sizes would not be near equal. The shards that such groups fill
+take less from the tree.
 
 Shape at scale. The table is reduced to (doc_id, size, digest, metadata) and to groups.
 Medians are found by counting: each pass sums bytes by node and bin of the dimension and
 narrows to the bin that holds the cut, so a pass moves nodes times bins sums. Heavy
-groups are at most shards / HEAVY rows. A group's pieces are cut by a hash of doc_id.
-Slots are numbered within pieces of a shard and offset by the pieces' counts.
+groups are at most shards / HEAVY rows. A group's pieces are cut by a hash of doc_id, or
+of the row where rows share ids, so one id may hold any part of the table. Slots are
+numbered within pieces of a shard and offset by the pieces' counts.
 
 Edge cases. A null text has no bytes (size 16) and is a group of its own, apart from empty
 texts. Repeated rows share a group. Null metadata counts as the smallest value. An empty
@@ -159,7 +162,10 @@ def _split_level(now: DataFrame, nodes: dict[int, tuple[int, int]], room: np.nda
 def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, crc, shard, slot) for every row; see the module for the law."""
     spark = docs.sparkSession
-    rows = materialize(points(docs), "points")
+    rows = materialize(points(docs).withColumn("at", F.monotonically_increasing_id()), "points")
+    seen = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids")).first()
+    # The number of a row is fixed by the write; it stands in where ids are not distinct.
+    keys = ["doc_id"] if seen["n"] == seen["ids"] else ["doc_id", "at"]
     groups = materialize(_groups(rows), "scaled")
     total = groups.agg(F.sum("bytes").alias("b")).first()["b"] or 0
     weight = F.col("bytes") > F.lit(HEAVY * total / shards)
@@ -185,21 +191,21 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         spread.append((name, [(s, float(u)) for (s, _), u in zip(parts, steps, strict=True)]))
     placed = spark.createDataFrame(spread, "name string, pieces array<struct<shard:int,upto:double>>").select(F.unhex("name").alias("digest"), "pieces")
     where = light.unionByName(placed)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 40)) / float(1 << 40)
+    draw = F.pmod(F.xxhash64(*keys, F.lit(5)), F.lit(1 << 40)) / float(1 << 40)
     first = F.filter("pieces", lambda p: p["upto"] > F.col("draw"))
     found = rows.join(where, "digest").withColumn("draw", draw).withColumn("shard", F.coalesce(F.get(first, F.lit(0))["shard"], F.element_at("pieces", -1)["shard"]))
-    found = materialize(found.select("doc_id", "size", "crc", "shard"), "shards")
-    return _with_slots(found)
+    found = materialize(found.select("doc_id", "size", "crc", "shard", "at"), "shards")
+    return _with_slots(found, keys)
 
 
-def _with_slots(found: DataFrame) -> DataFrame:
+def _with_slots(found: DataFrame, keys: list[str]) -> DataFrame:
     """Number the rows of each shard without gaps: by pieces, offset by earlier pieces."""
     n = found.count()
     cut = max(1, -(-n // SLOT_ROWS))
-    keyed = found.withColumn("piece", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(cut)).cast("int"))
+    keyed = found.withColumn("piece", F.pmod(F.xxhash64(*keys, F.lit(9)), F.lit(cut)).cast("int"))
     counts = keyed.groupBy("shard", "piece").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("shard").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    order = W.partitionBy("shard", "piece").orderBy("doc_id", "crc", "size")
-    numbered = keyed.withColumn("at", F.row_number().over(order) - 1).join(offsets, ["shard", "piece"])
-    return numbered.select("doc_id", "size", "crc", "shard", (F.col("at") + F.col("before")).cast("long").alias("slot"))
+    order = W.partitionBy("shard", "piece").orderBy("doc_id", "crc", "size", "at")
+    numbered = keyed.withColumn("place", F.row_number().over(order) - 1).join(offsets, ["shard", "piece"])
+    return numbered.select("doc_id", "size", "crc", "shard", (F.col("place") + F.col("before")).cast("long").alias("slot"))
