@@ -120,8 +120,8 @@ def discard_path(spark: SparkSession, path: str) -> None:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let Spark remove shuffle files that no live table needs any more."""
-    gc.collect()
+    """Let Spark remove shuffle files that no live table needs, and the driver its garbage."""
+    _release()
     spark.sparkContext._jvm.System.gc()
 
 

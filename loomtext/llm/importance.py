@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from loomtext.llm.common import batches_of, lean, lean_group, materialize
+from loomtext.llm.common import batches_of, lean, lean_group, materialize, tidy
 
 #: Hash buckets of single n-grams and, as many again, of pairs.
 BUCKETS = 1 << 20
@@ -156,13 +156,18 @@ def log_ratios(raw: np.ndarray, good: np.ndarray) -> np.ndarray:
     if not len(seen):
         return np.zeros(len(raw), np.float32)
     scale = float(np.median(seen / raw[common & (good > 0)]))
-    expected = raw * scale
-    ratio = np.log((good + PRIOR) / (expected + PRIOR))
-    # Signed root of the Poisson deviance of what is seen from what is expected.
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = np.where(good > 0, good * np.log(np.maximum(good, 1) / np.maximum(expected, 1e-9)), 0.0)
-    surprise = np.sqrt(np.maximum(0.0, 2 * (gain - good + expected)))
-    return (ratio * np.maximum(0.0, 1 - ERRORS / np.maximum(surprise, 1e-9))).astype(np.float32)
+    out = np.zeros(len(raw), np.float32)
+    # In pieces: the driver holds the counts, not a dozen arrays of their size.
+    for a in range(0, len(raw), 1 << 17):
+        some = good[a : a + (1 << 17)].astype(np.float64)
+        expected = raw[a : a + (1 << 17)] * scale
+        ratio = np.log((some + PRIOR) / (expected + PRIOR))
+        # Signed root of the Poisson deviance of what is seen from what is expected.
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = np.where(some > 0, some * np.log(np.maximum(some, 1) / np.maximum(expected, 1e-9)), 0.0)
+        surprise = np.sqrt(np.maximum(0.0, 2 * (gain - some + expected)))
+        out[a : a + (1 << 17)] = ratio * np.maximum(0.0, 1 - ERRORS / np.maximum(surprise, 1e-9))
+    return out
 
 
 def weighed(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
@@ -245,9 +250,11 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, narrow: b
     """
     known = labelled(labels, sample)
     good_ids = np.array(sorted(i for i, g in known.items() if g), np.int64)
-    raw, good = count_models(docs, good_ids)
-    scored = weighed(docs, log_ratios(raw, good))
+    ratios = log_ratios(*count_models(docs, good_ids))
+    scored = weighed(docs, ratios)
     scored = materialize(scored.drop("text") if narrow else scored, "weights")
+    del ratios
+    tidy(docs.sparkSession)
     frame = docs.sparkSession.createDataFrame(list(known.items()) or [(None, None)], "doc_id long, good int")
     pairs = scored.select(F.col("doc_id").cast("long").alias("doc_id"), "log_weight").join(F.broadcast(frame), "doc_id").select("log_weight", "good").toPandas()
     slope, offset = calibrate(pairs["log_weight"].to_numpy(float), pairs["good"].to_numpy(float))

@@ -22,6 +22,7 @@ while another member has an id. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import discard, lean, lean_group, materialize, parts_for
+from loomtext.llm.common import discard, lean, lean_group, materialize, parts_for, tidy
 
 SEED = 42
 #: Members of an upper node, the least such nodes, and the most ranges of the sort that they lie in.
@@ -207,7 +208,7 @@ def index_links(words: DataFrame, limit: int, sketch_limit: int | None = None, l
     ordered = materialize(ordered.mapInArrow(lean(cut), ordered.schema), "gray", "lz4")
     top = ordered.groupBy("node").agg(F.bit_and("word").alias("low"), F.bit_or("word").alias("high")).orderBy("node").collect()
     if not top:
-        return words.sparkSession.createDataFrame([], "a long, b long, dense boolean")
+        return materialize(words.sparkSession.createDataFrame([], "a long, b long, dense boolean"), "found")
     names = np.array([r["node"] for r in top], np.int64)
     low = np.array([r["low"] for r in top], np.int64).view(np.uint64)
     high = np.array([r["high"] for r in top], np.int64).view(np.uint64)
@@ -292,7 +293,12 @@ def index_links(words: DataFrame, limit: int, sketch_limit: int | None = None, l
     schema = "at long, member boolean, id long, word long" + "".join(f", {c} long" for c in carried)
     visits = ordered.mapInArrow(lean(route), schema)
     # A node with its visitors is a bounded group: node_rows members and the words near them.
-    return visits.repartition(ranges, "at").groupBy("at").applyInArrow(lean_group(link), "a long, b long, dense boolean").where(F.col("a") != F.col("b")).distinct()
+    edges = visits.repartition(ranges, "at").groupBy("at").applyInArrow(lean_group(link), "a long, b long, dense boolean").where(F.col("a") != F.col("b")).distinct()
+    edges = materialize(edges, "found")
+    discard(ordered)
+    uppers.destroy()
+    tidy(words.sparkSession)
+    return edges
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -313,7 +319,8 @@ def connected(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        now = materialize(small.where("u <> v").distinct(), "edges")
+        before, now = now, materialize(small.where("u <> v").distinct(), "edges")
+        discard(before)
         mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             return now.select(F.col("u").alias("id"), F.col("v").alias("root"))
@@ -330,6 +337,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 2) -> DataF
     distinct = marked.groupBy(F.col("f0").alias("word")).agg(F.min("doc_id").alias("least"))
     edges = index_links(distinct.select(F.col("word").alias("id"), "word"), max_bits)
     roots = connected(edges)
+    discard(edges)
     least = distinct.join(roots, distinct["word"] == roots["id"], "left").select("word", "least", F.coalesce("root", "word").alias("root"))
     least = materialize(least, "classes")
     classes = least.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -338,9 +346,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 2) -> DataF
 
 
 #: Sampled sketch bits and tables for FEW_TEXTS distinct texts, and the growth of the tables with each further bit.
-SAMPLED, TABLES, FEW_TEXTS, MORE = 24, 24, 1 << 18, 1.28
+SAMPLED, TABLES, FEW_TEXTS, MORE = 24, 24, 1 << 24, 1.28
 #: Sketch bits in which candidates may differ, and members of a node of the tables.
-SKETCH_BITS, TABLE_NODE_ROWS = 32, 1 << 15
+SKETCH_BITS, TABLE_NODE_ROWS = 32, 1 << 18
+#: Tables that are searched at once: the disk that visits take is that of one such pass.
+PASS_TABLES = 8
 #: Rows of a range's component that gives all its pairs, and stars tried for a row of a larger one.
 FEW, STARS = 32, 8
 
@@ -393,7 +403,9 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     sets = materialize(texts.join(ids, "id", "left_semi").mapInArrow(lean(run), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
     left, right = (sets.select(F.col("id").alias(end), F.col("shingles").alias(f"{end}_set")) for end in ("a", "b"))
     joined = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("a_set", "b_set")))
-    return joined.where("5 * common >= 4 * (size(a_set) + size(b_set) - common)").select("a", "b")
+    links = materialize(joined.where("5 * common >= 4 * (size(a_set) + size(b_set) - common)").select("a", "b"), "links")
+    discard(sets)
+    return links
 
 
 def similar_documents(docs: DataFrame, width: int = 5, sketch_bits: int = SKETCH_BITS) -> DataFrame:
@@ -410,36 +422,55 @@ def similar_documents(docs: DataFrame, width: int = 5, sketch_bits: int = SKETCH
     distinct = materialize(marked.groupBy("k0", "k1", "s0", "s1").agg(F.min("doc_id").alias("id")), "distinct")
     sampled, tables = table_plan(distinct.count())
 
-    def spread(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A word for each table: its number three times over, then its sampled bits."""
-        picks = _table_words(sampled, tables)
-        for batch in rows:
-            if not batch.num_rows:
-                continue
-            s = np.stack([batch.column(c).to_numpy() for c in ("s0", "s1")], axis=1)
-            bits = np.unpackbits(np.ascontiguousarray(s).view(np.uint8), axis=1, bitorder="little")
-            for t, pick in enumerate(picks):
-                picked = np.pad(np.ascontiguousarray(bits[:, pick]), ((0, 0), (0, 64 - sampled)))
-                low = np.ascontiguousarray(np.packbits(picked, axis=1, bitorder="little")).view("<u8").ravel()
-                tag = np.uint64((t << 54) | (t << 44) | (t << 34))
-                yield pa.record_batch([*batch.columns, pa.array((low | tag).view(np.int64))], names=[*batch.schema.names, "word"])
-
-    words = distinct.where("id is not null").select("id", "s0", "s1").mapInArrow(lean(spread), "id long, s0 long, s1 long, word long")
-    words = materialize(words, "words", "lz4")
-    found = materialize(index_links(words, 2, sketch_bits, 2 * tables, FEW, TABLE_NODE_ROWS), "found")
-    discard(words)
-    ordered = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "dense")
-    stars = ordered.where("dense").groupBy("a").agg(F.explode(F.slice(F.array_sort(F.collect_set("b")), 1, STARS)).alias("b"))
-    pairs = materialize(ordered.where("not dense").select("a", "b").unionByName(stars).distinct(), "pairs")
-    links = materialize(verified(docs, pairs, width), "links")
+    picks = _table_words(sampled, tables)
+
+    def words(rows: DataFrame, first: int) -> DataFrame:
+        """A word for each table of a pass: its number three times over, then its sampled bits."""
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                s = np.stack([batch.column(c).to_numpy() for c in ("s0", "s1")], axis=1)
+                bits = np.unpackbits(np.ascontiguousarray(s).view(np.uint8), axis=1, bitorder="little")
+                for t in range(first, min(first + PASS_TABLES, tables)):
+                    picked = np.pad(np.ascontiguousarray(bits[:, picks[t]]), ((0, 0), (0, 64 - sampled)))
+                    low = np.ascontiguousarray(np.packbits(picked, axis=1, bitorder="little")).view("<u8").ravel()
+                    tag = np.uint64((t << 54) | (t << 44) | (t << 34))
+                    yield pa.record_batch([*batch.columns, pa.array((low | tag).view(np.int64))], names=[*batch.schema.names, "word"])
+
+        schema = ", ".join(f"{name} long" for name in [*rows.columns, "word"])
+        return materialize(rows.mapInArrow(lean(spread), schema), "words", "lz4")
+
+    def search(rows: DataFrame, few: int) -> DataFrame:
+        """The links of all tables, pass by pass."""
+        out = []
+        for first in range(0, tables, PASS_TABLES):
+            some = words(rows, first)
+            out.append(index_links(some, 2, sketch_bits, 2 * PASS_TABLES, few, TABLE_NODE_ROWS))
+            discard(some)
+        found = functools.reduce(DataFrame.unionByName, out).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "dense").distinct()
+        found = materialize(found, "found")
+        discard(*out)
+        return found
+
+    found = search(distinct.where("id is not null").select("id", "s0", "s1"), FEW)
+    stars = found.where("dense").groupBy("a").agg(F.explode(F.slice(F.array_sort(F.collect_set("b")), 1, STARS)).alias("b"))
+    pairs = materialize(found.where("not dense").select("a", "b").unionByName(stars).distinct(), "pairs")
+    links = verified(docs, pairs, width)
     roots = connected(links)
     dense = found.where("dense").select(F.explode(F.array("a", "b")).alias("id")).distinct()
     if not dense.isEmpty():
         held = distinct.select("id", "s0", "s1").join(dense, "id", "left_semi").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        held = materialize(held.mapInArrow(lean(spread), "id long, s0 long, s1 long, root long, word long"), "words")
-        rest = index_links(held, 2, sketch_bits, 2 * tables, 0, TABLE_NODE_ROWS).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        links = materialize(links.unionByName(verified(docs, rest, width)), "links")
-        roots = connected(links)
+        held = materialize(held, "held")
+        candidates = search(held, 0)
+        rest = materialize(candidates.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        more = verified(docs, rest, width)
+        discard(held, candidates, rest)
+        roots = connected(links.unionByName(more))
+        discard(more)
     classes = distinct.join(roots, "id", "left").select("k0", "k1", F.coalesce("root", "id").alias("component_id"))
-    return marked.join(classes, ["k0", "k1"]).select("doc_id", "component_id")
+    named = materialize(marked.join(classes, ["k0", "k1"]).select("doc_id", "component_id"), "components")
+    discard(marked, distinct, found, pairs, links)
+    tidy(docs.sparkSession)
+    return named

@@ -499,8 +499,10 @@ def repeated_starts(docs: DataFrame, parts: int) -> DataFrame:
     copies = materialize(digests.join(equal, "h").select("d", "n", "first"), "copies")
     discard(digests, equal)
     symbols = docs.select("d", "text").mapInArrow(_parser(None), "x long")
-    parsed = docs.select("d", "text").mapInArrow(_parser(_repeated(symbols, "x")), ANCHOR_SCHEMA)
+    filtered = _repeated(symbols, "x")
+    parsed = docs.select("d", "text").mapInArrow(_parser(filtered), ANCHOR_SCHEMA)
     alive = materialize(parsed.join(copies.where("d <> first").select("d"), "d", "left_anti"), "anchors", "lz4")
+    filtered.destroy()
     tidy(spark)
     trash = [alive]
     near = alive.select("d", F.lit(0).alias("c"), "i", "x", "x1", "x2", F.col("at").cast("long").alias("b"), "z2")
@@ -514,6 +516,7 @@ def repeated_starts(docs: DataFrame, parts: int) -> DataFrame:
     filtered = _repeated(texts.mapInArrow(_strings(None), "h0 long"), "h0")
     tidy(spark)
     each = materialize(texts.mapInArrow(_strings(filtered), "d long, lo int, h0 long, h1 long"), "strings", "lz4")
+    filtered.destroy()
     discard(texts)
     again = materialize(each.groupBy("h0", "h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h0", "h1"), "again", "lz4")
     checked = materialize(each.join(again, ["h0", "h1"]).select("d", "lo"), "checked")
