@@ -345,21 +345,22 @@ def d2(spark, sf_dir):
     return read.select("o_orderkey", "p.precision", F.col("p.start").cast("string").alias("first_day"), F.col("p.end").cast("string").alias("last_day"), "p.year")
 
 
-WINDOW = (F.lit("1994-07-01").cast("date"), F.lit("1996-06-30").cast("date"))
+def _window():
+    return F.lit("1994-07-01").cast("date"), F.lit("1996-06-30").cast("date")
 
 
 @query("d5_scope_offset_day", BOUNDED + """ SELECT o_orderkey, CASE WHEN a IS NULL THEN 'pending' WHEN greatest(a, DATE '1994-07-01') > least(b, DATE '1996-06-30') THEN 'outside'
  WHEN a BETWEEN DATE '1994-07-01' AND DATE '1996-06-30' AND b BETWEEN DATE '1994-07-01' AND DATE '1996-06-30' THEN 'verified' ELSE 'pending' END AS scope FROM p""")
 def d5(spark, sf_dir):
     p = dates.calendar_parts(F.col("raw"))
-    return _written(spark, sf_dir).select("o_orderkey", dates.window_scope(p["start"], p["end"], *WINDOW).alias("scope"))
+    return _written(spark, sf_dir).select("o_orderkey", dates.window_scope(p["start"], p["end"], *_window()).alias("scope"))
 
 
 @query("d6_scope_utc_day", BOUNDED + """, u AS (SELECT o_orderkey, precision, CASE form WHEN 4 THEN day + 1 WHEN 5 THEN day - 1 ELSE a END AS a, CASE form WHEN 4 THEN day + 1 WHEN 5 THEN day - 1 ELSE b END AS b FROM p)
  SELECT o_orderkey, CASE WHEN precision = 'unknown' THEN 'missing' WHEN precision = 'invalid' THEN 'invalid' WHEN greatest(a, DATE '1994-07-01') > least(b, DATE '1996-06-30') THEN 'outside'
  WHEN a >= DATE '1994-07-01' AND b <= DATE '1996-06-30' THEN 'included' ELSE 'uncertain' END AS scope FROM u""")
 def d6(spark, sf_dir):
-    return _written(spark, sf_dir).select("o_orderkey", dates.scope_utc(F.col("raw"), *WINDOW).alias("scope"))
+    return _written(spark, sf_dir).select("o_orderkey", dates.scope_utc(F.col("raw"), *_window()).alias("scope"))
 
 
 @query("d7_placeholder_dates", BOUNDED + " SELECT CASE WHEN precision = 'day' AND strftime(day, '%m%d') = '0101' THEN 'year' ELSE precision END AS precision, count(*) AS n FROM p GROUP BY 1")
@@ -424,7 +425,7 @@ def d14(spark, sf_dir):
     """The reported calendar day, not moved to UTC, where it lies in the window."""
     p = dates.calendar_parts(F.col("raw"))
     read = _written(spark, sf_dir).select("o_orderkey", p.alias("p")).where(F.col("p.precision").isin("day", "instant"))
-    return read.where(F.col("p.start").between(*WINDOW)).select("o_orderkey", F.col("p.start").cast("string").alias("day"))
+    return read.where(F.col("p.start").between(*_window())).select("o_orderkey", F.col("p.start").cast("string").alias("day"))
 
 
 @query("d9_period_buckets", """SELECT CAST(date_trunc('quarter', o_orderdate) AS VARCHAR)[1:10] AS quarter_start, CAST(floor(year(o_orderdate) / 10.0) * 10 AS INT) AS decade, count(*) AS n,
