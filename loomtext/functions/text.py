@@ -6,10 +6,11 @@ do. Every function maps null to null unless it says otherwise.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -137,6 +138,19 @@ def emotion_rules(text: Column) -> Column:
     )
 
 
+def term_rule(term: str) -> str:
+    """A pattern of a term with its plural, and with hyphens or blanks between its words."""
+    parts = [re.escape(p) for p in re.split(r"[- ]+", term.lower())]
+    return "(?<![a-z0-9])" + "[- ]".join(parts) + "(?:e?s)?(?![a-z0-9])"
+
+
+def term_matches(docs: DataFrame, terms: list[str], key: str = "doc_id") -> DataFrame:
+    """(key, term, position, hits) of the terms in each text, the position of the first one-based."""
+    low = F.lower("text")
+    found = F.array(*[F.struct(F.lit(t).alias("term"), F.regexp_instr(low, F.lit(term_rule(t))).alias("position"), F.regexp_count(low, F.lit(term_rule(t))).alias("hits")) for t in terms])
+    return docs.select(key, F.explode(found).alias("m")).select(key, "m.*").where("position > 0")
+
+
 def snippet(text: Column, position: Column, before: int = 180, size: int = 500) -> Column:
     """At most `size` characters about a one-based position, verbatim."""
     return F.substring(text, F.greatest(F.lit(1), position - before), F.lit(size))

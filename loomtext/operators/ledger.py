@@ -101,24 +101,58 @@ def project(offset: Column, ledger: Column) -> Column:
     return (offset + before).cast("int")
 
 
-def pack_tokens(text: str, cap: int) -> list[int]:
-    """Ends of chunks of at most `cap` words: at a paragraph, a sentence or a blank.
+def pack_tokens(text: str, cap: int, spans: list[tuple[int, int]] | None = None) -> list[int]:
+    """Ends of chunks of at most `cap` tokens: at a paragraph, a sentence, a blank, or any token.
 
-    A boundary must fill a third of the cap; the strongest kind that does wins, the last
-    of its kind. A single word is never cut.
+    `spans` are the tokens' offsets in order; without them, words are the tokens. A
+    boundary must fill a third of the cap; the strongest kind that does wins, the last of
+    its kind. No token is cut.
     """
-    words = [m.span() for m in re.finditer(r"\S+", text)]
+    tokens = [m.span() for m in re.finditer(r"\S+", text)] if spans is None else [s for s in spans if s[1] > s[0]]
     ends, at = [], 0
-    while len(words) - at > cap:
+    while len(tokens) - at > cap:
         best = at + cap
-        for kind in (r"\n\s*\n", r"[.!?][\"')\]]*\s"):
-            found = [k for k in range(at + max(1, cap // 3), at + cap + 1) if re.search(kind, text[words[k - 1][1] - 1 : words[k][0]])]
+        for kind in (r"\n\s*\n", r"[.!?][\"')\]]*\s", r"\s"):
+            found = [k for k in range(at + max(1, cap // 3), at + cap + 1) if re.search(kind, text[tokens[k - 1][1] - 1 : tokens[k][0] + 1])]
             if found:
                 best = found[-1]
                 break
-        ends.append(words[best][0])
+        # Tokens of one character share its offsets; a chunk ends where a character begins.
+        while best > at + 1 and tokens[best][0] < tokens[best - 1][1]:
+            best -= 1
+        ends.append(tokens[best][0])
         at = best
-    return [*ends, len(text)] if words else []
+    return [*ends, len(text)] if tokens else []
+
+
+def tokenizer_ends(path: str, cap: int):
+    """A column function: chunk ends under a cap of the tokens of a tokenizer file."""
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def run(texts: pd.Series) -> pd.Series:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        return texts.map(lambda t: pack_tokens(t or "", cap, tokenizer.encode(t or "", add_special_tokens=False).offsets))
+
+    return run
+
+
+def tokenizer_counts(path: str):
+    """A column function: how many tokens of a tokenizer file begin in each chunk of a plan."""
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def run(texts: pd.Series, plans: pd.Series) -> pd.Series:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        out = []
+        for text, ends in zip(texts, plans, strict=True):
+            begins = [a for a, b in tokenizer.encode(text or "", add_special_tokens=False).offsets if b > a]
+            out.append([sum(low <= a < high for a in begins) for low, high in zip([0, *ends], ends)])
+        return pd.Series(out)
+
+    return run
 
 
 @F.pandas_udf(ArrayType(IntegerType()))

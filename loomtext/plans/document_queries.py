@@ -88,7 +88,8 @@ def c9b(spark, sf_dir):
     return held.agg(F.count(F.lit(1)).alias("held")).join(left.agg(F.count(F.lit(1)).alias("survivors"))).join(again)
 
 
-@query("c7_boundary_risk")
+@query("c7_boundary_risk", FOLD + r"""SELECT e.target, CASE WHEN chunk_end = length(text) THEN 'text_end' WHEN regexp_matches(substring(text, greatest(chunk_end - 20, 1), least(chunk_end, 20)), '[.!?]\s*$') THEN 'sentence'
+ WHEN substring(text, chunk_end, 1) = chr(10) THEN 'paragraph' ELSE 'inside' END AS kind, count(*) AS n FROM ends e JOIN lines l ON l.doc_id = e.doc_id GROUP BY 1, 2""")
 def c7(spark, sf_dir):
     return chunks.boundary_risk(_planned(spark, sf_dir))
 
@@ -99,10 +100,13 @@ def r6(spark, sf_dir):
     return chunks.tiling_windows(table(spark, sf_dir, "documents"))
 
 
-@query("c10_exact_reuse_groups", """WITH e AS (SELECT doc_id, 'body' AS kind, sha256(text) AS sha FROM documents UNION ALL SELECT doc_id, 'first_line', sha256(string_split(text, chr(10))[1]) FROM documents
- UNION ALL SELECT doc_id, 'last_line', sha256(string_split(text, chr(10))[-1]) FROM documents) SELECT kind, sha, count(*) AS members, min(doc_id) AS first_id FROM e GROUP BY 1, 2 HAVING count(*) > 1""")
+@query("c10_exact_reuse_groups", r"""WITH p AS (SELECT doc_id, unnest(list_distinct(string_split(text, chr(10)))) AS t FROM documents), e AS (SELECT doc_id, 'release_group' AS kind, sha256(coalesce(source, '') || chr(31) || coalesce(lang, '')) AS sha FROM documents
+ UNION ALL SELECT doc_id, 'body', sha256(text) FROM documents UNION ALL SELECT doc_id, 'cleaned_body', sha256(lower(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')))) FROM documents
+ UNION ALL SELECT doc_id, 'first_line', sha256(string_split(text, chr(10))[1]) FROM documents UNION ALL SELECT doc_id, 'last_line', sha256(string_split(text, chr(10))[-1]) FROM documents
+ UNION ALL SELECT doc_id, 'long_passage', sha256(t) FROM p WHERE length(t) >= 300 AND len(regexp_extract_all(t, '[^ \t\n\r]+')) >= 40)
+SELECT kind, sha, count(*) AS members, min(doc_id) AS first_id FROM e GROUP BY 1, 2 HAVING count(*) > 1""")
 def c10(spark, sf_dir):
-    return neardup.exact_reuse_groups(table(spark, sf_dir, "documents"))
+    return neardup.exact_reuse_groups(table(spark, sf_dir, "documents"), long_chars=300, long_words=40)
 
 
 GRAMS = """first AS (SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text), w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM first),
@@ -185,6 +189,12 @@ def c14(spark, sf_dir):
     return neardup.delta_pairs(before, before.withColumn("text", changed), similarity=0.5, md5=True)
 
 
+@query("j10_changed_probes", "SELECT state, count(*) AS pairs FROM (" + C14 + ") GROUP BY state")
+def j10(spark, sf_dir):
+    """Changed bodies alone probe the index of all; pairs by what became of them."""
+    return c14(spark, sf_dir).groupBy("state").agg(F.count(F.lit(1)).alias("pairs"))
+
+
 @query("c15_group_split_conflicts", f"""SELECT sha256(text) AS sha, count(DISTINCT {SPLIT}) AS splits, count(*) AS members FROM documents GROUP BY text HAVING count(DISTINCT {SPLIT}) > 1""")
 def c15(spark, sf_dir):
     docs = chunks.with_split(table(spark, sf_dir, "documents")).withColumn("sha", F.sha2("text", 256))
@@ -275,16 +285,22 @@ def x26(spark, sf_dir):
     return docs.select("doc_id", "e.emotion_cue", "e.future_horizon_cue", "e.immediate_heat_cue")
 
 
-@query("x27_term_matches", "SELECT doc_id, strpos(lower(text), 'license') AS position FROM documents WHERE contains(lower(text), 'license')")
+TERMS = ["license", "of the", "der", "and", "que"]
+HITS = "WITH d AS (SELECT doc_id, text, lower(text) AS low FROM documents), t(term, rule) AS (VALUES " + ", ".join(f"('{t}', '{t.replace(' ', '[- ]')}')" for t in TERMS) + r"""),
+ h AS (SELECT doc_id, text, term, length(regexp_extract(low, '(?s)^(.*?(?:^|[^a-z0-9]))' || rule || '(?:e?s)?(?:[^a-z0-9]|$)', 1)) + 1 AS position FROM d, t WHERE regexp_matches(low, '(^|[^a-z0-9])' || rule || '(e?s)?([^a-z0-9]|$)'))"""
+
+
+@query("x27_term_matches", HITS + " SELECT doc_id, term, position FROM h")
 def x27(spark, sf_dir):
-    low = F.lower("text")
-    return table(spark, sf_dir, "documents").where(F.contains(low, F.lit("license"))).select("doc_id", F.instr(low, "license").cast("long").alias("position"))
+    found = text.term_matches(table(spark, sf_dir, "documents"), TERMS)
+    return found.select("doc_id", "term", F.col("position").cast("long").alias("position"))
 
 
-@query("x28_snippets", "SELECT doc_id, md5(substring(text, greatest(1, strpos(lower(text), 'license') - 180), 500)) AS snippet_md5 FROM documents WHERE contains(lower(text), 'license')")
+@query("x28_snippets", HITS + " SELECT doc_id, term, md5(substring(text, greatest(1, position - 180), 500)) AS snippet_md5 FROM h")
 def x28(spark, sf_dir):
-    low = F.lower("text")
-    return table(spark, sf_dir, "documents").where(F.contains(low, F.lit("license"))).select("doc_id", F.md5(text.snippet(F.col("text"), F.instr(low, "license"))).alias("snippet_md5"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = text.term_matches(docs, TERMS).join(docs, "doc_id")
+    return found.select("doc_id", "term", F.md5(text.snippet(F.col("text"), F.col("position"))).alias("snippet_md5"))
 
 
 @query("x29_html_strip", """SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \\t\\n\\r]+', ' ', 'g'))) AS text_md5 FROM pages""")
@@ -299,7 +315,11 @@ def x30(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.url_key(F.col("url")).alias("url_key"))
 
 
-@query("v1_tfidf_topk")
+@query("v1_tfidf_topk", r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents),
+ t AS (SELECT doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM w), c AS (SELECT doc_id, term, count(*) AS c FROM t GROUP BY 1, 2),
+ i AS (SELECT term, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) + 1 AS idf FROM c GROUP BY term), x AS (SELECT doc_id, term, (ln(c) + 1) * idf AS w, idf FROM c JOIN i USING (term)), n AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM x GROUP BY 1),
+ q AS (SELECT term, idf FROM i WHERE term IN ('the', 'license', 'of', 'this', 'work', 'the license', 'license of', 'of this', 'this work')), z AS (SELECT sqrt(sum(idf * idf)) AS z FROM q)
+SELECT doc_id, round(sum(x.w * q.idf) / any_value(z) / any_value(norm), 6) AS score FROM x JOIN q USING (term) JOIN n USING (doc_id), z GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10""")
 def v1(spark, sf_dir):
     found = retrieval.tfidf_top_k(table(spark, sf_dir, "documents"), "the license of this work", 10)
     return found.select("doc_id", F.round("score", 6).alias("score"))

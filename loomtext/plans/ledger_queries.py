@@ -37,6 +37,20 @@ def c5(spark, sf_dir):
     return sized.agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.exists("sizes", lambda n: n > 512)).alias("over_cap"), F.count_if((F.size("ends") > 0) & (F.element_at("ends", -1) != F.length("text"))).alias("untiled"))
 
 
+@query("c5_tokenizer_packer", "SELECT count(*) AS docs, CAST(0 AS BIGINT) AS over_cap, CAST(0 AS BIGINT) AS untiled, CAST(0 AS BIGINT) AS unordered FROM documents")
+def c5b(spark, sf_dir):
+    """Plans by the tokens of a vocabulary file, counted again chunk by chunk."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("ends", ledger.tokenizer_ends(path, 512)(F.col("text")))
+    docs = docs.withColumn("sizes", ledger.tokenizer_counts(path)(F.col("text"), F.col("ends")))
+    return docs.agg(
+        F.count(F.lit(1)).alias("docs"), F.count_if(F.exists("sizes", lambda n: n > 512)).alias("over_cap"),
+        F.count_if((F.size("ends") > 0) & (F.element_at("ends", -1) != F.length("text"))).alias("untiled"), F.count_if(F.array_sort(F.array_distinct("ends")) != F.col("ends")).alias("unordered"),
+    )
+
+
 @query("x31_html_segments")
 def x31(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", F.posexplode(ledger.html_segments(F.col("html"))).alias("ordinal", "s"))

@@ -182,3 +182,13 @@ def v3(spark, sf_dir):
         found = one if found is None else found.unionByName(one)
     judged = vectors.select("vec_id", "label").join(F.broadcast(wanted)).select("vec_id", (F.col("label") == F.col("wanted")).alias("relevant"))
     return retrieval.summary_at_k(found, judged)
+
+
+@query("v4_hashed_vectors", "SELECT doc_id, CASE WHEN regexp_matches(text, '\\S') THEN 1.0 ELSE 0.0 END AS norm, TRUE AS same_as_upper FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7f]*')")
+def v4(spark, sf_dir):
+    """Vectors of unit length that do not see letter case."""
+    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\A\p{ASCII}*\z")).select("doc_id", "text")
+    a = retrieval.hashed_vectors(docs)
+    b = retrieval.hashed_vectors(docs.withColumn("text", F.upper("text"))).withColumnRenamed("vector", "other")
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x * x))
+    return a.join(b, "doc_id").select("doc_id", F.round(norm, 6).alias("norm"), (F.col("vector") == F.col("other")).alias("same_as_upper"))

@@ -375,7 +375,7 @@ def x35(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(F.lower("text").rlike(r"(?<![a-z0-9_])that(?![a-z0-9_])")).select("doc_id")
 
 
-@query("x1_normalised_text", "SELECT doc_id, sha256('fi1⁄2 ' || trim(regexp_replace(text, '\s+', ' ', 'g'))) AS h FROM documents WHERE regexp_full_match(text, '[\x00-\x7f]*')")
+@query("x1_normalised_text", r"SELECT doc_id, sha256('fi1⁄2 ' || trim(regexp_replace(text, '\s+', ' ', 'g'))) AS h FROM documents WHERE regexp_full_match(text, '[\x00-\x7f]*')")
 def x1(spark, sf_dir):
     plain = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\A\p{ASCII}*\z"))
     return plain.select("doc_id", F.sha2(texts.normalise(F.concat(F.lit(" ﬁ½\u00a0\u2003"), F.col("text"), F.lit("\n"))), 256).alias("h"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomtext.operators.relational import checked
 from loomtext.plans.registry import query, table
+from loomtext.session import doctor
 from loomtext.sources import publish, records
 from loomtext.sources.barrier import fresh_path, materialize
 from loomtext.streaming import monitor
@@ -280,3 +281,8 @@ def z16(spark, sf_dir):
     """Codes of what stands against a run, from what it needs and what there is."""
     need = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("job"), F.when(F.col("n_nationkey") % 2 == 0, 90).otherwise(10).alias("disk"), F.when(F.col("n_nationkey") % 3 == 0, 9).otherwise(1).alias("memory"), F.col("n_nationkey").alias("rows"))
     return need.select("job", F.concat_ws(",", F.when(F.col("disk") > 50, "low_disk"), F.when(F.col("memory") > 4, "low_memory"), F.when(F.col("rows") > 20, "too_many_rows")).alias("issues"))
+
+
+@query("z17_doctor", "SELECT unnest(['python', 'pyspark', 'numpy', 'pandas', 'pyarrow', 'xxhash', 'shared_folder', 'arrow_workers']) AS \"check\", TRUE AS ok")
+def z17(spark, sf_dir):
+    return doctor(spark).select("check", "ok")

@@ -59,7 +59,9 @@ def z3(spark, sf_dir):
     return monitor.snapshot(monitor.latest(_as_metadata(spark, sf_dir))).withColumn("value", F.round("value", 3))
 
 
-@query("z4_snapshot_delta")
+@query("z4_snapshot_delta", """WITH e AS (SELECT user_id AS k, event_id AS r, CAST(ts AS DATE) AS d, event_type AS source FROM events), x AS (SELECT FALSE AS later, * FROM e WHERE d < DATE '2024-01-15' UNION ALL SELECT TRUE, * FROM e),
+ l AS (SELECT later, k, max_by(source, r) AS source, strftime(max_by(d, r), '%Y-%m') AS month FROM x GROUP BY 1, 2), s AS (SELECT later, source, month, count(*) AS n FROM l GROUP BY 1, 2, 3)
+SELECT source, month, max(n) FILTER (WHERE NOT later) AS was, max(n) FILTER (WHERE later) AS now FROM s GROUP BY 1, 2 HAVING was IS DISTINCT FROM now""")
 def z4(spark, sf_dir):
     all_ = _as_metadata(spark, sf_dir)
     return monitor.snapshot_delta(monitor.snapshot(monitor.latest(all_.where("day < '2024-01-15'"))), monitor.snapshot(monitor.latest(all_)))

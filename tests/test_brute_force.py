@@ -8,6 +8,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
+from loomtext.functions import text
 from loomtext.operators import cleaning, ledger, neardup, planning, relational, retrieval, series
 
 
@@ -160,3 +161,33 @@ def test_neighbour_panel_by_hand(spark):
             base = float(np.median([sum(seen[o, s] for s in common) / 30 for o in near]))
             rate = r.panel_n / 30
             assert abs(r.deviation - (rate - base) / (rate + base)) < 1e-12
+
+
+def test_term_matches_equal_a_scan(spark):
+    texts = ["Licenses, a license", "sub-license licensed", "Of-the of the", "oF  the", "", None, "glasses glass", "ends with glass"]
+    terms = ["license", "of the", "glass"]
+    got = {(r.doc_id, r.term): (r.position, r.hits) for r in text.term_matches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), terms).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        for term in terms:
+            forms = {f + end for f in (term, term.replace(" ", "-")) for end in ("", "s", "es")}
+            low = (t or "").lower()
+            spots = sorted({k for f in forms for k in range(len(low)) if low.startswith(f, k) and (k == 0 or not low[k - 1].isalnum()) and not low[k + len(f) : k + len(f) + 1].isalnum()})
+            if spots:
+                want[i, term] = (spots[0] + 1, len(spots))
+    assert got == want
+
+
+def test_token_plans_tile_and_prefer_strong_ends():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        text = "".join(rng.choice(["word", " ", " ", ". ", "\n\n", "é", "\U0001f600"], int(rng.integers(0, 60))))
+        spans = [m.span() for m in re.finditer(r"\s?\S{1,2}", text)]
+        for cap in (1, 3, 9):
+            for given in (None, spans):
+                ends = ledger.pack_tokens(text, cap, given)
+                tokens = spans if given else [m.span() for m in re.finditer(r"\S+", text)]
+                assert ends == sorted(set(ends)) and (not ends or ends[-1] == len(text))
+                assert all(sum(a <= t < b for t, _ in tokens) <= cap for a, b in zip([0, *ends], ends))
+    assert ledger.pack_tokens("a b c. d e f", 4) == [7, 12]
+    assert ledger.pack_tokens("a b\n\nc. d e f", 4) == [5, 13]
