@@ -31,13 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import materialize, parts_for
+from loomtext.llm.common import lean_pair, materialize, parts_for
 
 #: Vectors that centres are fitted on, at most; every vector is indexed.
 SAMPLE, MAX_LISTS, LIST_ROWS = 20_000, 4096, 400
 #: Share of neighbours that probing should meet, queries it is measured on, fewest probes.
 COVER, TRIALS, LEAST_PROBES = 0.97, 400, 12
 CELL, BLOCK = 4096, 16
+#: Rows that are tested against one threshold before it is brought down.
+STRETCH = 512
 #: Significance of the test: standard deviations of a scaled partial distance.
 EPSILON = 2.1
 
@@ -88,30 +90,36 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def adaptive_scan(base: np.ndarray, queries: np.ndarray, k: int, epsilon: float = EPSILON) -> list[np.ndarray]:
-    """For each query, rows of `base` that the test did not abandon before all dimensions.
+    """For each query, the rows of `base` within the k-th smallest distance that the scan met.
 
-    Both sides are rotated unit vectors. The threshold is the k-th smallest distance of a
-    first stretch of rows, which is scanned whole.
+    Both sides are rotated unit vectors. A first stretch of rows is scanned whole; each
+    further one is tested against the k-th best so far, which the rows that survive all
+    dimensions bring down for the next.
     """
     n, dims = base.shape
     blocks = [np.ascontiguousarray(base[:, a : a + BLOCK]) for a in range(0, dims, BLOCK)]
     first = min(n, max(64, 8 * k))
     out = []
     for q in queries:
-        head = ((base[:first] - q) ** 2).sum(axis=1)
-        worst = np.partition(head, k - 1)[k - 1] if first > k else np.inf
-        alive = np.arange(n)
-        partial = np.zeros(n)
-        seen = 0
-        for b, block in enumerate(blocks):
-            part = block[alive] if len(alive) < n else block
-            partial = partial + ((part - q[b * BLOCK : b * BLOCK + part.shape[1]]) ** 2).sum(axis=1)
-            seen += part.shape[1]
-            # A projection of `seen` of `dims` rotated dimensions deviates by 1/sqrt(seen).
-            limit = worst * (seen / dims) * (1 + epsilon / np.sqrt(seen)) ** 2 if seen < dims else worst * (1 + 1e-9) + 1e-12
-            keep = partial <= limit
-            alive, partial = alive[keep], partial[keep]
-        out.append(alive)
+        met, far = np.arange(first), ((base[:first] - q) ** 2).sum(axis=1)
+        for a in range(first, n, STRETCH):
+            worst = np.partition(far, k - 1)[k - 1] if len(far) > k else np.inf
+            near = far <= worst * (1 + 1e-9) + 1e-12
+            met, far = met[near], far[near]
+            alive = np.arange(a, min(n, a + STRETCH))
+            partial = np.zeros(len(alive))
+            seen = 0
+            for b, block in enumerate(blocks):
+                part = block[alive]
+                partial = partial + ((part - q[b * BLOCK : b * BLOCK + part.shape[1]]) ** 2).sum(axis=1)
+                seen += part.shape[1]
+                # A projection of `seen` of `dims` rotated dimensions deviates by 1/sqrt(seen).
+                limit = worst * (seen / dims) * (1 + epsilon / np.sqrt(seen)) ** 2 if seen < dims else worst * (1 + 1e-9) + 1e-12
+                keep = partial <= limit
+                alive, partial = alive[keep], partial[keep]
+            met, far = np.concatenate([met, alive]), np.concatenate([far, partial])
+        worst = np.partition(far, k - 1)[k - 1] if len(far) > k else np.inf
+        out.append(met[far <= worst * (1 + 1e-9) + 1e-12])
     return out
 
 
@@ -209,7 +217,7 @@ def _search(usable: DataFrame, dims: int, k: int, every: int) -> DataFrame:
                         out_v.append(v)
         return pa.table([pa.array(out_q, pa.int64()), pa.array(out_s, pa.float64()), pa.array(out_v, pa.int64())], schema=schema)
 
-    hits = dealt.groupBy("list", "cell").cogroup(probed.groupBy("list", "cell")).applyInArrow(scan, "query_id long, score double, vec_id long")
+    hits = dealt.groupBy("list", "cell").cogroup(probed.groupBy("list", "cell")).applyInArrow(lean_pair(scan), "query_id long, score double, vec_id long")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     hits = materialize(hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1).drop("rank"), "hits")
     # Each query of a vector takes its scan's candidates without its own row.
