@@ -40,3 +40,8 @@ def sql(name: str, text: str, oracle: str | None = None) -> None:
 
     QUERIES[name] = run
     ORACLES[name] = re.sub(r"\{(\w+)\}", r"\1", oracle or text)
+
+
+def twin(name: str, text: str, oracle: str | None = None) -> None:
+    """The DuckDB twin of a query that is registered elsewhere."""
+    ORACLES[name] = re.sub(r"\{(\w+)\}", r"\1", oracle or text)

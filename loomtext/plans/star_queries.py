@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomtext.plans.registry import sql
+from loomtext.plans.registry import sql, twin
 
 # --- joins -----------------------------------------------------------------------------
 
@@ -107,23 +107,23 @@ SELECT l_returnflag, count(*) FILTER (WHERE l_linestatus = 'O') AS open_lines, c
 sql("a19_ordered_string_agg", """
 SELECT n_regionkey, array_join(sort_array(collect_set(n_name)), '; ') AS nations FROM {nation} GROUP BY n_regionkey""",
     "SELECT n_regionkey, string_agg(DISTINCT n_name, '; ' ORDER BY n_name) AS nations FROM nation GROUP BY n_regionkey")
-sql("a20_fractional_counting", """
+twin("a20_fractional_counting", """
 WITH links AS (SELECT DISTINCT l_orderkey, l_suppkey FROM {lineitem}),
      w AS (SELECT l_suppkey, 1.0 / count(*) OVER (PARTITION BY l_orderkey) AS part FROM links)
 SELECT l_suppkey, count(*) AS whole, round(sum(CAST(part AS DOUBLE)), 5) AS fractional FROM w GROUP BY l_suppkey""")
-sql("a32_compatible_sum", """
+twin("a32_compatible_sum", """
 SELECT l_returnflag, CASE WHEN count(DISTINCT l_linestatus) = 1 THEN CAST(count(*) AS BIGINT) END AS compatible_n, count(DISTINCT l_linestatus) AS frames
 FROM {lineitem} GROUP BY l_returnflag""")
-sql("a34_largest_share", """
+twin("a34_largest_share", """
 WITH c AS (SELECT lang, source, CAST(count(*) AS DOUBLE) AS n FROM {documents} GROUP BY lang, source),
      t AS (SELECT lang, n, sum(n) OVER (PARTITION BY lang) AS total FROM c)
 SELECT lang, round(max(n * 1.0 / total), 8) AS largest_share, round(1.0 / sum((n * 1.0 / total) * (n * 1.0 / total)), 4) AS effective_sources FROM t GROUP BY lang""")
 sql("a35_table_counts", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {{{t}}}" for t in (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")))
-sql("a37_membership_conflicts", """
+twin("a37_membership_conflicts", """
 SELECT l_orderkey AS entity, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_returnflag) AS flags
 FROM {lineitem} GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey) > 6 OR count(DISTINCT l_returnflag) > 2""")
-sql("a39_row_shares", """
+twin("a39_row_shares", """
 WITH c AS (SELECT lang, count(*) FILTER (WHERE n_chars < 1200) AS a, count(*) FILTER (WHERE n_chars >= 1200 AND n_chars < 5000) AS b, count(*) AS n FROM {documents} GROUP BY lang)
 SELECT lang, round(a * 1.0 / n, 8) AS short_share, round(b * 1.0 / n, 8) AS middle_share, round((n - a - b) * 1.0 / n, 8) AS long_share FROM c""")
 
@@ -137,19 +137,23 @@ def draws(name: str, text: str) -> None:
     sql(name, text.replace("$DRAW", DRAW), text.replace("$DRAW", DUCK_DRAW))
 
 
-draws("w1_one_per_group_draw", """
+def draws_twin(name: str, text: str) -> None:
+    twin(name, text.replace("$DRAW", DUCK_DRAW))
+
+
+draws_twin("w1_one_per_group_draw", """
 SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY $DRAW) AS k FROM {documents}) t WHERE k = 1""")
-draws("w2_chained_ranks", """
+draws_twin("w2_chained_ranks", """
 WITH a AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source, lang ORDER BY $DRAW) AS in_group, $DRAW AS draw FROM {documents}),
      b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY in_group, draw) AS in_source FROM a),
      c AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY in_source, draw) AS in_lang FROM b)
 SELECT doc_id, in_group, in_source, in_lang FROM c WHERE in_lang <= 40""")
-draws("w3_stratified_sample", """
+draws_twin("w3_stratified_sample", """
 WITH q AS (SELECT lang, greatest(2, CAST(floor(count(*) * 0.05) AS INT)) AS quota FROM {documents} GROUP BY lang),
      r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY $DRAW) AS k FROM {documents})
 SELECT r.lang, r.doc_id FROM r JOIN q ON q.lang = r.lang WHERE r.k <= q.quota""")
 draws("t4_hash_sample", "SELECT doc_id, n_chars FROM {documents} ORDER BY $DRAW LIMIT 50")
-sql("t5_largest_remainder", """
+twin("t5_largest_remainder", """
 WITH s AS (SELECT lang, count(*) AS n, sum(count(*)) OVER () AS total FROM {documents} GROUP BY lang),
      f AS (SELECT lang, n, 2 + CAST(floor(92.0 * n / total) AS BIGINT) AS base, 92.0 * n / total - floor(92.0 * n / total) AS rest FROM s),
      r AS (SELECT *, row_number() OVER (ORDER BY rest DESC, lang) AS k, 92 + 2 * count(*) OVER () - sum(base) OVER () AS open_places FROM f)
@@ -161,14 +165,14 @@ FROM {customer} ORDER BY need DESC, c_custkey LIMIT 1""")
 sql("w4_partitioned_sum", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY o_orderstatus) AS BIGINT) AS in_status FROM {orders} GROUP BY 1, 2")
 sql("w5_latest_per_key", """
 SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS k FROM {conversations}) t WHERE k = 1""")
-sql("w12_current_version", """
+twin("w12_current_version", """
 SELECT user_id, event_id, k AS version_no, k = n AS is_current FROM (
  SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM {events} WHERE event_type = 'purchase') t""")
 sql("u1_union_by_name", """
 SELECT 'customer' AS kind, c_nationkey AS nationkey, round(sum(c_acctbal), 2) AS balance FROM {customer} GROUP BY c_nationkey
 UNION ALL SELECT 'supplier', s_nationkey, round(sum(s_acctbal), 2) FROM {supplier} GROUP BY s_nationkey""")
 sql("u2_endpoint_set", "SELECT c_nationkey AS nationkey FROM {customer} WHERE c_acctbal > 9900 UNION SELECT s_nationkey FROM {supplier} WHERE s_acctbal > 9500")
-sql("u5_overlay_view", """
+twin("u5_overlay_view", """
 WITH fixes AS (SELECT o_orderkey, o_custkey, 'X' AS o_orderstatus, o_totalprice * 0.5 AS o_totalprice FROM {orders} WHERE o_orderkey % 50 = 0)
 SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM {orders} o WHERE NOT EXISTS (SELECT 1 FROM fixes f WHERE f.o_orderkey = o.o_orderkey)
 UNION ALL SELECT * FROM fixes""")
@@ -187,18 +191,18 @@ sql("p6_layered_override", """
 SELECT d.doc_id, coalesce(CASE WHEN l.toxic = 1 THEN 'toxic' END, CASE WHEN l.quality = 0 THEN 'poor' END, d.source) AS tag
 FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id""")
 sql("p8_modular_subsample", "SELECT o_orderkey, o_custkey FROM {orders} WHERE o_orderkey % 16 = 0 OR o_orderkey IN (1, 2, 3)")
-sql("p12_window_status", """
+twin("p12_window_status", """
 SELECT CASE WHEN d IS NULL THEN 'UNKNOWN' WHEN d < DATE '1994-01-01' THEN 'BEFORE' WHEN d > DATE '1997-12-31' THEN 'AFTER' ELSE 'INSIDE' END AS status, count(*) AS n
 FROM (SELECT CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS d FROM {lineitem}) t GROUP BY 1""")
 sql("p13_rule_audit", """
 SELECT count(*) FILTER (WHERE NOT (l_quantity BETWEEN 1 AND 50)) AS quantity_out, count(*) FILTER (WHERE l_discount < 0 OR l_discount > 0.1) AS discount_out,
  count(*) FILTER (WHERE l_returnflag NOT IN ('A', 'N', 'R')) AS flag_out, count(*) FILTER (WHERE l_linenumber IS NULL) AS number_null, count(*) AS n FROM {lineitem}""")
-sql("c22_admission_disposition", """
+twin("c22_admission_disposition", """
 WITH checks AS (SELECT o_orderkey, o_totalprice > 0 AS priced, o_orderstatus <> 'P' AS settled, o_custkey % 5 <> 0 AS licensed, o_orderdate >= TIMESTAMP '1993-01-01' AS in_window,
   o_orderkey % 13 <> 0 AS readable FROM {orders})
 SELECT CASE WHEN NOT readable THEN 'quarantine' WHEN NOT in_window THEN 'archive_only' WHEN NOT licensed THEN 'restricted' WHEN NOT settled THEN 'pending'
  WHEN NOT priced THEN 'context' ELSE 'admitted' END AS disposition, count(*) AS n FROM checks GROUP BY 1""")
-sql("c24_version_history", """
+twin("c24_version_history", """
 SELECT user_id, event_id, event_type FROM (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM {events}) t
 WHERE before IS NULL OR before <> event_type""")
 sql("c27_candidate_view", """
@@ -217,13 +221,13 @@ sql("c30_adjacent_pairs", """
 SELECT yr, next_yr, n, next_n, next_n - n AS change FROM (
  SELECT yr, n, lead(yr) OVER (ORDER BY yr) AS next_yr, lead(n) OVER (ORDER BY yr) AS next_n FROM (SELECT CAST(year(o_orderdate) AS INT) AS yr, count(*) AS n FROM {orders} GROUP BY 1) t) u
 WHERE next_yr IS NOT NULL""")
-sql("c32_coverage_status", """
+twin("c32_coverage_status", """
 WITH d AS (SELECT user_id, count(*) AS seen, count(*) FILTER (WHERE event_type = 'purchase') AS done, count(*) FILTER (WHERE event_type = 'error') AS failed FROM {events} GROUP BY user_id)
 SELECT CASE WHEN failed > 0 THEN 'partial' WHEN done = 0 THEN 'verified_zero' ELSE 'processed' END AS status, count(*) AS n, CAST(sum(seen) AS BIGINT) AS events FROM d GROUP BY 1""")
 
 # --- time series over events and orders ------------------------------------------------
 
-sql("a21_role_time_panel", """
+twin("a21_role_time_panel", """
 WITH e AS (SELECT CAST(ts AS DATE) AS day, event_type, user_id, value > 50 AS relevant, value > 80 AS worry FROM {events}),
      g AS (SELECT day, event_type, count(*) AS eligible_n, count(*) FILTER (WHERE relevant) AS relevant_n, count(*) FILTER (WHERE relevant AND worry) AS worry_n,
            count(DISTINCT user_id) AS source_n FROM e GROUP BY day, event_type),
@@ -247,63 +251,60 @@ FROM grid LEFT JOIN g ON g.day = grid.day AND g.event_type = grid.event_type""")
 MONTH = "CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS INT)"
 
 
-def months(name: str, text: str) -> None:
-    """A query over `grid`: every month from the first to the last of the orders, as a number m."""
-    ends = f"(SELECT min({MONTH}) AS a, max({MONTH}) AS b FROM {{orders}})"
-    grid = f"SELECT explode(sequence(a, b)) AS m FROM {ends}"
-    duck = f"SELECT unnest(generate_series(a, b)) AS m FROM {ends}"
-    sql(name, text.replace("$GRID", grid), text.replace("$GRID", duck))
+def months_twin(name: str, text: str) -> None:
+    """A twin over `grid`: every month from the first to the last of the orders, as a number m."""
+    twin(name, text.replace("$GRID", f"SELECT unnest(generate_series(a, b)) AS m FROM (SELECT min({MONTH}) AS a, max({MONTH}) AS b FROM {{orders}})"))
 
 
-months("a24_calendar_fill", f"""
+months_twin("a24_calendar_fill", f"""
 WITH g AS (SELECT CAST(m AS INT) AS m FROM ($GRID) x), o AS (SELECT {MONTH} AS m, count(*) AS n FROM {{orders}} WHERE o_totalprice > 300000 GROUP BY 1)
 SELECT g.m, coalesce(o.n, 0) AS n, CASE WHEN o.n IS NULL THEN 'zero_observed' ELSE 'observed' END AS label FROM g LEFT JOIN o ON o.m = g.m""")
-months("a25_interior_zeros", f"""
+months_twin("a25_interior_zeros", f"""
 WITH g AS (SELECT CAST(m AS INT) AS m FROM ($GRID) x), o AS (SELECT {MONTH} AS m, count(*) AS n FROM {{orders}} WHERE o_totalprice > 400000 AND o_custkey % 50 = 7 GROUP BY 1),
      f AS (SELECT g.m, coalesce(o.n, 0) AS n FROM g LEFT JOIN o ON o.m = g.m), e AS (SELECT min(m) AS a, max(m) AS b FROM f WHERE n > 0)
 SELECT m FROM f, e WHERE n = 0 AND m > a AND m < b""")
-months("w14_gaps_and_islands", f"""
+months_twin("w14_gaps_and_islands", f"""
 WITH g AS (SELECT CAST(m AS INT) AS m FROM ($GRID) x), o AS (SELECT DISTINCT {MONTH} AS m FROM {{orders}} WHERE o_totalprice > 400000 AND o_custkey % 50 = 7),
      f AS (SELECT g.m, g.m - row_number() OVER (ORDER BY g.m) AS island FROM g LEFT JOIN o ON o.m = g.m WHERE o.m IS NULL)
 SELECT min(m) AS first_month, max(m) AS last_month, count(*) AS length FROM f GROUP BY island""")
-sql("a26_matrix_membership", """
+twin("a26_matrix_membership", """
 WITH t AS (SELECT p_partkey, p_type LIKE '%BRASS%' AS baseline, p_type LIKE '%BRASS%' OR p_type LIKE '%TIN%' AS extended FROM {part})
 SELECT count(*) FILTER (WHERE baseline) AS baseline, count(*) FILTER (WHERE extended) AS extended, count(*) FILTER (WHERE extended AND NOT baseline) AS extended_only,
  count(*) FILTER (WHERE baseline AND NOT extended) AS violations FROM t""")
-sql("a27_seasonal_anomaly", f"""
+twin("a27_seasonal_anomaly", f"""
 WITH s AS (SELECT o_orderpriority AS source, {MONTH} AS m, count(*) AS n FROM {{orders}} GROUP BY 1, 2), y AS (SELECT source, m, n, ln(1 + n) AS v FROM s),
      p AS (SELECT a.source, a.m, a.n, a.v, b.v AS r FROM y a JOIN y b ON b.source = a.source AND (b.m - a.m) % 12 = 0 AND b.m <> a.m AND abs(b.m - a.m) <= 60),
      c AS (SELECT source, m, n, v, median(r) AS mid, count(*) AS refs FROM p GROUP BY source, m, n, v HAVING count(*) >= 4),
      d AS (SELECT c.source, c.m, c.n, c.v, c.mid, c.refs, median(abs(p.r - c.mid)) AS mad FROM c JOIN p ON p.source = c.source AND p.m = c.m GROUP BY c.source, c.m, c.n, c.v, c.mid, c.refs)
 SELECT source, m, n, refs, round((v - mid) / greatest(0.35, 1.4826 * mad), 6) AS z, abs((v - mid) / greatest(0.35, 1.4826 * mad)) >= 2.5 AS anomalous FROM d""")
-sql("a29_series_summary", """
+twin("a29_series_summary", """
 WITH y AS (SELECT p_brand, CAST(year(l_shipdate) AS INT) AS yr, count(*) AS n FROM {part} JOIN {lineitem} ON l_partkey = p_partkey AND l_quantity = 50 GROUP BY 1, 2)
 SELECT p_brand, min(yr) AS first_year, count(*) AS years, max(n) AS peak, max(yr) AS latest_year, CASE WHEN count(*) = 0 THEN 'ZERO' WHEN count(*) < 5 THEN 'SPARSE' ELSE 'DENSE' END AS flag FROM y GROUP BY p_brand""")
-sql("a30_anchor_window_stats", """
+twin("a30_anchor_window_stats", """
 WITH y AS (SELECT p_brand, CAST(year(l_shipdate) AS INT) AS yr, count(*) AS n FROM {part} JOIN {lineitem} ON l_partkey = p_partkey GROUP BY 1, 2),
      ends AS (SELECT min(yr) AS y0, max(yr) AS y1 FROM y), anchors AS (SELECT 'A' AS anchor, y0 + 1 AS s0, y0 + 2 AS s1, y0 AS c0, y0 + 4 AS c1 FROM ends UNION ALL SELECT 'B', y1 - 3, y1 - 2, y1 - 5, y1 FROM ends)
 SELECT p_brand, anchor, round(avg(n) FILTER (WHERE yr BETWEEN s0 AND s1), 6) AS strict_mean, round(avg(n), 6) AS context_mean, round(median(n), 4) AS context_median, max(n) AS context_max,
  CASE WHEN count(*) = c1 - c0 + 1 THEN round(avg(n), 6) END AS complete_mean FROM y JOIN anchors ON yr BETWEEN c0 AND c1 GROUP BY p_brand, anchor, c0, c1""")
-sql("a31_family_summary", """
+twin("a31_family_summary", """
 WITH t AS (SELECT p_partkey, p_brand, count(*) AS peak FROM {part} JOIN {lineitem} ON l_partkey = p_partkey GROUP BY 1, 2),
      r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY peak DESC, p_partkey) AS k FROM t)
 SELECT p_brand, count(*) AS members, count(*) FILTER (WHERE peak < 10) AS sparse, min(p_partkey) AS earliest, max(p_partkey) FILTER (WHERE k = 1) AS top1,
  max(p_partkey) FILTER (WHERE k = 2) AS top2, max(p_partkey) FILTER (WHERE k = 3) AS top3 FROM r GROUP BY p_brand""")
-sql("a36_worst_status", """
+twin("a36_worst_status", """
 WITH u AS (SELECT CAST(ts AS DATE) AS day, user_id, CASE WHEN count(*) FILTER (WHERE value > 99) > 0 THEN 1 WHEN count(*) FILTER (WHERE value > 90) > 0 THEN 2 ELSE 3 END AS state FROM {events} GROUP BY 1, 2)
 SELECT CAST(day AS STRING) AS day, min(state) AS worst, count(*) AS units FROM u GROUP BY day""")
-sql("a38_presence_any_all", """
+twin("a38_presence_any_all", """
 WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) FILTER (WHERE event_type = 'click') > 0 AS a, count(*) FILTER (WHERE event_type = 'purchase' AND value > 95) > 0 AS b,
   count(*) FILTER (WHERE value > 99.5) > 0 AS c FROM {events} GROUP BY 1)
 SELECT CAST(day AS STRING) AS day, a OR b OR c AS any_frame, a AND b AND c AS all_frames FROM d""")
-sql("w7_centered_mean", """
+twin("w7_centered_mean", """
 WITH y AS (SELECT p_brand, CAST(year(l_shipdate) AS INT) AS yr, count(*) AS n FROM {part} JOIN {lineitem} ON l_partkey = p_partkey GROUP BY 1, 2)
 SELECT p_brand, yr, round(avg(n) OVER (PARTITION BY p_brand ORDER BY yr RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING), 6) AS smooth FROM y""")
-sql("w8_first_sustained_run", """
+twin("w8_first_sustained_run", """
 WITH y AS (SELECT p_partkey, CAST(year(l_shipdate) AS INT) AS yr FROM {part} JOIN {lineitem} ON l_partkey = p_partkey GROUP BY 1, 2),
      r AS (SELECT p_partkey, yr, count(*) OVER (PARTITION BY p_partkey ORDER BY yr RANGE BETWEEN CURRENT ROW AND 2 FOLLOWING) AS k FROM y)
 SELECT p_partkey, min(yr) AS first_run FROM r WHERE k = 3 GROUP BY p_partkey""")
-sql("w9_composition_decomposition", """
+twin("w9_composition_decomposition", """
 WITH c AS (SELECT event_type AS stream, datediff(CAST(ts AS DATE), DATE '1970-01-01') AS d, user_id AS source, count(*) AS n FROM {events} GROUP BY 1, 2, 3),
      j AS (SELECT coalesce(a.stream, b.stream) AS stream, coalesce(a.d, b.d - 1) AS d, a.n AS p, b.n AS q FROM c a FULL OUTER JOIN c b ON a.stream = b.stream AND a.source = b.source AND b.d = a.d + 1)
 SELECT stream, d AS from_day, CAST(sum(coalesce(q, 0) - coalesce(p, 0)) AS BIGINT) AS count_change, CAST(coalesce(sum(CASE WHEN p IS NOT NULL AND q IS NOT NULL THEN q - p END), 0) AS BIGINT) AS common_change,
@@ -314,51 +315,51 @@ SELECT stream, d AS from_day, CAST(sum(coalesce(q, 0) - coalesce(p, 0)) AS BIGIN
 SELECT stream, d AS from_day, CAST(sum(coalesce(q, 0) - coalesce(p, 0)) AS BIGINT) AS count_change, CAST(coalesce(sum(CASE WHEN p IS NOT NULL AND q IS NOT NULL THEN q - p END), 0) AS BIGINT) AS common_change,
  CAST(coalesce(sum(CASE WHEN p IS NULL THEN q END), 0) AS BIGINT) AS entering, CAST(coalesce(sum(CASE WHEN q IS NULL THEN p END), 0) AS BIGINT) AS leaving,
  round(count(*) FILTER (WHERE p IS NOT NULL AND q IS NOT NULL) * 1.0 / count(*), 8) AS jaccard FROM j WHERE d >= (SELECT min(d) FROM c) AND d < (SELECT max(d) FROM c) GROUP BY stream, d""")
-sql("w15_event_window", f"""
+twin("w15_event_window", f"""
 WITH ev AS (SELECT 'e1' AS event, 1994 * 12 + 5 AS mid UNION ALL SELECT 'e2', 1996 * 12), o AS (SELECT {MONTH} AS m, count(*) AS n FROM {{orders}} GROUP BY 1)
 SELECT event, o.m - mid AS offset_months, CASE WHEN o.m < mid THEN 'pre' WHEN o.m = mid THEN 'event' ELSE 'post' END AS phase, n FROM ev JOIN o ON o.m BETWEEN mid - 24 AND mid + 24""")
-sql("n1_effective_groups", """
+twin("n1_effective_groups", """
 WITH c AS (SELECT source, count(*) AS n FROM {documents} GROUP BY source), t AS (SELECT n * 1.0 / sum(n) OVER () AS p FROM c)
 SELECT count(*) AS groups, round(1.0 / sum(p * p), 6) AS effective_groups, round(1.0 - sum(p * p), 8) AS diversity_01 FROM t""")
-sql("n2_parent_bounds", """
+twin("n2_parent_bounds", """
 WITH c AS (SELECT lang, source, count(*) AS n FROM {documents} GROUP BY lang, source), k AS (SELECT lang, n, source NOT IN ('src1', 'src2', 'src3') AS known FROM c),
      t AS (SELECT lang, sum(n) AS total, sum(CASE WHEN known THEN n ELSE 0 END) AS mapped, max(CASE WHEN known THEN n ELSE 0 END) AS top,
            sum(CASE WHEN known THEN n * n ELSE 0 END) AS squares, sum(CASE WHEN known THEN 0 ELSE n END) AS unknown, sum(n * n) AS all_squares FROM k GROUP BY lang)
 SELECT lang, CAST(total AS BIGINT) AS n, round(mapped * 1.0 / total, 8) AS mapped_fraction,
  round(CAST(total AS DOUBLE) * total / (squares - top * top + (top + unknown) * (top + unknown)), 6) AS effective_low, round(CAST(total AS DOUBLE) * total / all_squares, 6) AS effective_high FROM t""")
-sql("n3_effective_n", """
+twin("n3_effective_n", """
 WITH c AS (SELECT lang, source, count(*) AS n FROM {documents} GROUP BY lang, source), t AS (SELECT lang, CAST(sum(n) AS DOUBLE) AS n, sum(n) * CAST(sum(n) AS DOUBLE) / sum(n * n) AS p FROM c GROUP BY lang)
 SELECT lang, round(n / (1 + 0.05 * (n / p - 1)), 6) AS n_eff FROM t""")
-sql("n4_precision", """
+twin("n4_precision", """
 WITH t AS (SELECT lang, CAST(count(*) AS DOUBLE) AS n FROM {documents} GROUP BY lang), h AS (SELECT lang, n, 1.959963984540054 / (2 * sqrt(n + 1.959963984540054 * 1.959963984540054)) AS half FROM t)
 SELECT lang, round(half, 8) AS half_width, round(0.1 / (0.1 + half), 8) AS amount_index FROM h""")
-sql("n6_js_divergence", """
+twin("n6_js_divergence", """
 WITH a AS (SELECT source, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM {documents} WHERE lang = 'en') AS p FROM {documents} WHERE lang = 'en' GROUP BY source),
      b AS (SELECT source, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM {documents} WHERE lang = 'de') AS q FROM {documents} WHERE lang = 'de' GROUP BY source),
      m AS (SELECT coalesce(p, 0) AS p, coalesce(q, 0) AS q FROM a FULL OUTER JOIN b ON a.source = b.source)
 SELECT round(sum(CASE WHEN p > 0 THEN 0.5 * p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN 0.5 * q * log2(2 * q / (p + q)) ELSE 0 END), 8) AS js FROM m""")
-sql("n7_signed_deviation", """
+twin("n7_signed_deviation", """
 WITH c AS (SELECT lang, CAST(count(*) FILTER (WHERE n_chars < 2000) AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE n_chars >= 2000) AS DOUBLE) AS b FROM {documents} GROUP BY lang)
 SELECT lang, CASE WHEN a + b > 0 THEN round((a - b) / (a + b), 8) END AS deviation FROM c""")
-sql("n9_tempering_weights", """
+twin("n9_tempering_weights", """
 WITH c AS (SELECT CAST(year(o_orderdate) AS INT) AS y, o_orderpriority AS g, CAST(count(*) AS DOUBLE) AS n FROM {orders} GROUP BY 1, 2), t AS (SELECT y, sum(n) AS ny FROM c GROUP BY y),
      s AS (SELECT y, ny, power(ny / sum(ny) OVER (), 0.5) AS mass FROM t), q AS (SELECT y, ny, mass / sum(mass) OVER () AS target FROM s)
 SELECT c.y, c.g, CAST(c.n AS BIGINT) AS n, round(q.target * (c.n / q.ny) / (c.n / (SELECT sum(n) FROM c)), 8) AS per_unit_weight FROM c JOIN q ON q.y = c.y""")
-sql("n10_design_requirements", """
+twin("n10_design_requirements", """
 WITH c AS (SELECT lang, source, count(*) AS n FROM {documents} GROUP BY lang, source),
      t AS (SELECT lang, CAST(sum(n) AS DOUBLE) AS n, sum(n) * CAST(sum(n) AS DOUBLE) / sum(n * n) AS p, max(n) AS top, count(*) AS groups FROM c GROUP BY lang),
      e AS (SELECT *, n / (1 + 0.05 * (n / p - 1)) AS n_eff, greatest(1.0, ceil(1.959963984540054 * 1.959963984540054 / (4 * 0.1 * 0.1) - 1.959963984540054 * 1.959963984540054)) AS target FROM t)
 SELECT lang, CAST(n AS BIGINT) AS n, groups AS nominal_groups, round(p, 6) AS effective_groups, round(top / n, 8) AS largest_share, CAST(target AS BIGINT) AS independent_n_requirement,
  round(least(1.0, n_eff / target), 8) AS amount_attainment, round(least(1.0, 0.2 / (top / n)), 8) AS influence_attainment, CAST(greatest(0, ceil(top / 0.2 - n - 0.00000001)) AS BIGINT) AS append_mass FROM e""")
-sql("n11_coverage_bounds", """
+twin("n11_coverage_bounds", """
 WITH k AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'click') AS a, count(*) FILTER (WHERE event_type = 'purchase') AS b FROM {events} GROUP BY user_id),
      d AS (SELECT user_id, least(1.0, n / 20.0) AS inventory, CASE WHEN a > 0 THEN a * 1.0 / n END AS body, CASE WHEN b > 0 THEN b * 1.0 / n END AS dated, CASE WHEN user_id % 3 = 0 THEN 1.0 END AS parent FROM k)
 SELECT user_id, round(0.40 * inventory + 0.25 * coalesce(body, 0) + 0.20 * coalesce(dated, 0) + 0.15 * coalesce(parent, 0), 8) AS low,
  round(0.40 * inventory + 0.25 * coalesce(body, 1) + 0.20 * coalesce(dated, 1) + 0.15 * coalesce(parent, 1), 8) AS high FROM d""")
-sql("n12_frontier", """
+twin("n12_frontier", """
 SELECT o_orderpriority, count(*) AS candidates, count(*) FILTER (WHERE o_totalprice > 50000) AS eligible, count(*) FILTER (WHERE o_totalprice > 50000 AND o_orderstatus = 'F') AS recovered,
  round(count(*) FILTER (WHERE o_totalprice > 50000 AND o_orderstatus = 'F') * 1.0 / nullif(count(*) FILTER (WHERE o_totalprice > 50000), 0), 8) AS recovery FROM {orders} GROUP BY 1""")
-sql("n13_cross_correlation", """
+twin("n13_cross_correlation", """
 WITH d AS (SELECT datediff(CAST(ts AS DATE), DATE '1970-01-01') AS d, CAST(count(*) FILTER (WHERE event_type = 'click') AS DOUBLE) AS x, CAST(count(*) FILTER (WHERE event_type = 'purchase') AS DOUBLE) AS y FROM {events} GROUP BY 1),
      l AS (SELECT -2 AS lag UNION ALL SELECT -1 UNION ALL SELECT 0 UNION ALL SELECT 1 UNION ALL SELECT 2)
 SELECT l.lag, count(*) AS pairs, round(corr(a.x, b.y), 6) AS r FROM l JOIN d a ON TRUE JOIN d b ON b.d = a.d + l.lag GROUP BY l.lag""",
