@@ -6,8 +6,11 @@ back to the documents by position; decoding joins ids to the vocabulary's pieces
 Shape at scale. Texts are dealt once into blocks of about BLOCK_BYTES by a hash of
 doc_id and text, so rows that share an id, or have none, are spread. A block sends each of its distinct words once to the word's partition, packed
 by (partition, block), so a frequent word costs a row per block and not one per
-occurrence. The word's partition encodes it once and answers every block. Nothing is
-broadcast but the tokenizer, whose vocabulary is fixed.
+occurrence. The word's partition encodes it once and answers every block. Every SPAN
+blocks have a word table of their own: a frequent word's partition has at most a row for
+each of these blocks, and exchanged rows grow with the input, not with its square. So
+beyond SPAN blocks a word is encoded once a table. Nothing is broadcast but the tokenizer,
+whose vocabulary is fixed.
 
 Edge cases. A null text counts as empty and gives no ids. Repeated rows give repeated
 results. A null doc_id is a value like any other. Extra columns are ignored. An empty
@@ -36,6 +39,8 @@ BLOCK_BYTES = 6 << 20
 PIECE_BYTES = 2 << 20
 #: Partitions of the distinct-word table, at least.
 WORD_PARTS = 48
+#: Blocks that share one distinct-word table (about 3 GB of text).
+SPAN = 512
 
 # The word-end tokenizer's split rule and white space below U+0300.
 WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}++|\p{N}|[^\t-\r \x{85}\x{a0}\p{L}\p{N}]++"
@@ -209,7 +214,8 @@ def encode_blocks(dealt: DataFrame, blocks: int, tokenizer_path: str, finish, sc
 
     finish(block rows, ids, ids per row) makes the result of a block, with `schema`.
     """
-    parts = max(word_parts, blocks)
+    parts = max(word_parts, min(blocks, SPAN))
+    whole_parts = parts * -(-blocks // SPAN)
 
     def vocabulary(table: pa.Table) -> pa.Table:
         """The distinct words of a block, packed by partition of the word table."""
@@ -218,7 +224,7 @@ def encode_blocks(dealt: DataFrame, blocks: int, tokenizer_path: str, finish, sc
         out = []
         for p, places in _by_part(words, parts):
             data, offsets = flat_strings(words.take(pa.array(places)))
-            out.append((p, block, pack_words(data, np.diff(offsets))))
+            out.append((block // SPAN * parts + p, block, pack_words(data, np.diff(offsets))))
         p, b, w = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"part": pa.array(p, pa.int32()), "block": pa.array(b, pa.int32()), "words": pa.array(w, pa.binary())})
 
@@ -257,7 +263,7 @@ def encode_blocks(dealt: DataFrame, blocks: int, tokenizer_path: str, finish, sc
         words, counts = _block_words(left["packed"].combine_chunks())
         coded = words.dictionary_encode()
         unz = zstandard.ZstdDecompressor()
-        answers = dict(zip(right["part"].to_pylist(), right["ids"].to_pylist(), strict=True))
+        answers = {p % parts: ids for p, ids in zip(right["part"].to_pylist(), right["ids"].to_pylist(), strict=True)}
         n = len(coded.dictionary)
         lengths, chunks, order = np.zeros(n, np.int64), [], []
         for p, at in _by_part(coded.dictionary, parts):
@@ -283,7 +289,7 @@ def encode_blocks(dealt: DataFrame, blocks: int, tokenizer_path: str, finish, sc
         return finish(left, flat, np.diff(total[ends]))
 
     pairs = dealt.groupBy("block").applyInArrow(lean_group(vocabulary), "part int, block int, words binary")
-    answers = pairs.repartition(min(parts, 4 * blocks + 8), "part").groupBy("part").applyInArrow(lean_group(encode_part), "part int, block int, ids binary")
+    answers = pairs.repartition(min(whole_parts, 4 * blocks + 8), "part").groupBy("part").applyInArrow(lean_group(encode_part), "part int, block int, ids binary")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lean_pair(join_back), schema)
 
 

@@ -96,6 +96,16 @@ def test_gray_tree_finds_all_pairs():
         assert found == want
 
 
+def test_word_tables_of_few_blocks(spark, monkeypatch):
+    """Blocks beyond a table's span have tables of their own; the ids stay the library's."""
+    monkeypatch.setattr(bpe, "SPAN", 3)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
+    got = {r.doc_id: bytes(r.ids) for r in bpe.encode(table(spark, texts), path, block_bytes=9_000, word_parts=2).collect()}
+    tok = Tokenizer.from_file(path)
+    assert got == {i: np.array(tok.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for i, t in enumerate(texts)}
+
+
 @pytest.mark.parametrize("ranges", [1024, 3])
 def test_simhash_many_ranges(spark, monkeypatch, ranges):
     """Nodes of few rows, one or many to a range of the sort."""
