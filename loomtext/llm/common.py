@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -165,6 +166,36 @@ def bitmap_of(values: DataFrame, column: str, size: int) -> np.ndarray:
     return np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8) if rows else np.zeros(size // 8, np.uint8)
 
 
+#: Bits of a filter of keys, at most (16 MB).
+FILTER_BITS = 1 << 27
+
+
+def filter_bits(count: int) -> int:
+    """A filter's bits: sixteen for each value, as a power of two, up to FILTER_BITS."""
+    return min(FILTER_BITS, max(1 << 16, 1 << (16 * count).bit_length()))
+
+
+def key_filter(keys: DataFrame, column: str) -> Broadcast:
+    """A filter of fixed size that holds all values of a long column, for all tasks."""
+    return keys.sparkSession.sparkContext.broadcast(bitmap_of(keys, column, filter_bits(keys.count())))
+
+
+def passing(df: DataFrame, column: str, bits: Broadcast, inside: bool = True) -> DataFrame:
+    """Rows whose key may be in a filter, or those whose key is surely not.
+
+    Texts that a join does not concern are so kept out of its shuffle; what passes still
+    has to be joined.
+    """
+
+    def choose(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            if batch.num_rows:
+                held = in_bitmap(bits.value, batch.column(column).cast(pa.int64()).to_numpy())
+                yield batch.filter(pa.array(held if inside else ~held))
+
+    return df.mapInArrow(lean(choose), df.schema)
+
+
 def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Which 64-bit values have their bit set."""
     at = values.view(np.uint64) & np.uint64(8 * len(bits) - 1)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import discard, lean, lean_group, materialize, parts_for, tidy
+from loomtext.llm.common import discard, key_filter, lean, lean_group, materialize, parts_for, passing, tidy
 
 SEED = 42
 #: Members of an upper node, the least such nodes, and the most ranges of the sort that they lie in.
@@ -180,6 +180,23 @@ def _u64(column: pa.ChunkedArray) -> np.ndarray:
     return column.to_numpy().astype(np.int64).view(np.uint64)
 
 
+def _centres(sketch: np.ndarray, label: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """For each row of some components, the row nearest to the majority of their sketch bits.
+
+    Copies of one text differ from each other more than from what they have in common.
+    """
+    out = label.copy()
+    rows = np.flatnonzero(some)
+    rows = rows[np.argsort(label[rows], kind="stable")]
+    for part in np.split(rows, np.flatnonzero(np.diff(label[rows])) + 1) if len(rows) else ():
+        votes = np.zeros(128, np.int64)
+        for a in range(0, len(part), 1 << 15):
+            votes += np.unpackbits(sketch[part[a : a + (1 << 15)]].view(np.uint8).reshape(-1, 16), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        middle = np.packbits(2 * votes > len(part), bitorder="little").view("<u8")
+        out[part] = part[np.argmin(np.bitwise_count(sketch[part] ^ middle).sum(axis=1))]
+    return out
+
+
 def index_links(words: DataFrame, limit: int, sketch_limit: int | None = None, least_nodes: int = LEAST_NODES, few: int = 0, node_rows: int = NODE_ROWS) -> DataFrame:
     """Spanning edges (a, b, dense) of the links between rows (id, word [, s0, s1] [, root]).
 
@@ -278,8 +295,9 @@ def index_links(words: DataFrame, limit: int, sketch_limit: int | None = None, l
             a, b = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in far)]) for k in (0, 1))
             return pa.table({"a": a, "b": b, "dense": np.zeros(len(a), bool)})
         size = np.bincount(label, minlength=len(w))[label]
-        away = (ids != ids[label]) & (size > few)
-        found = [(ids[away], ids[label][away], np.ones(away.sum(), bool))]
+        centre = label if sketch is None else _centres(sketch, label, size > max(few, 1))
+        away = (ids != ids[centre]) & (size > few)
+        found = [(ids[away], ids[centre][away], np.ones(away.sum(), bool))]
         some = np.flatnonzero((size > 1) & (size <= few))
         some = some[np.argsort(label[some], kind="stable")]
         for k in range(1, few):
@@ -400,11 +418,14 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    sets = materialize(texts.join(ids, "id", "left_semi").mapInArrow(lean(run), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
+    ids = materialize(ids, "ids")
+    concerned = key_filter(ids, "id")
+    sets = materialize(passing(texts.where("id is not null"), "id", concerned).join(ids, "id", "left_semi").mapInArrow(lean(run), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
     left, right = (sets.select(F.col("id").alias(end), F.col("shingles").alias(f"{end}_set")) for end in ("a", "b"))
     joined = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("a_set", "b_set")))
     links = materialize(joined.where("5 * common >= 4 * (size(a_set) + size(b_set) - common)").select("a", "b"), "links")
-    discard(sets)
+    concerned.destroy()
+    discard(sets, ids)
     return links
 
 
@@ -449,13 +470,16 @@ def similar_documents(docs: DataFrame, width: int = 5, sketch_bits: int = SKETCH
             some = words(rows, first)
             out.append(index_links(some, 2, sketch_bits, 2 * PASS_TABLES, few, TABLE_NODE_ROWS))
             discard(some)
-        found = functools.reduce(DataFrame.unionByName, out).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "dense").distinct()
-        found = materialize(found, "found")
+        every = functools.reduce(DataFrame.unionByName, out)
+        # Dense links go from a row to its centre; others have no direction.
+        a, b = (F.when(F.col("dense"), F.col(end)).otherwise(pick("a", "b")) for end, pick in (("a", F.greatest), ("b", F.least)))
+        found = materialize(every.select(a.alias("a"), b.alias("b"), "dense").groupBy("a", "b", "dense").agg(F.count(F.lit(1)).alias("met")), "found")
         discard(*out)
         return found
 
     found = search(distinct.where("id is not null").select("id", "s0", "s1"), FEW)
-    stars = found.where("dense").groupBy("a").agg(F.explode(F.slice(F.array_sort(F.collect_set("b")), 1, STARS)).alias("b"))
+    first = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("met")).alias("m"), "b"))), 1, STARS)
+    stars = found.where("dense").groupBy("a").agg(F.explode(first).alias("s")).select(F.greatest("a", "s.b").alias("a"), F.least("a", "s.b").alias("b"))
     pairs = materialize(found.where("not dense").select("a", "b").unionByName(stars).distinct(), "pairs")
     links = verified(docs, pairs, width)
     roots = connected(links)

@@ -48,7 +48,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from loomtext.llm.common import bitmap_of, discard, flat_strings, in_bitmap, lean, materialize, parts_for, row_keys, text_bytes, tidy
+from loomtext.llm.common import bitmap_of, discard, filter_bits, flat_strings, in_bitmap, key_filter, lean, materialize, parts_for, passing, row_keys, text_bytes, tidy
 
 LENGTH, WINDOW, GRAM = 400, 128, 16
 SYMBOL = LENGTH - WINDOW + 1
@@ -57,8 +57,6 @@ NEED = LENGTH + WINDOW
 GRID = (400, 432, 464, 496, 528)
 #: Starts of a text that are parsed at once.
 SEGMENT = 1 << 18
-#: Bits of the filters of repeated hashes, at most (16 MB).
-FILTER_BITS = 1 << 27
 TEXT_BYTES = 16 << 20
 #: Two odd multipliers of the polynomial hashes, and three of the grams.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -414,16 +412,11 @@ def adjacent_prefixes(ranked: DataFrame, parts: int) -> DataFrame:
     return ordered.mapInArrow(lean(compare), "d long, at int, lo int, hi int, prev int, most int")
 
 
-def _filter_bits(count: int) -> int:
-    """A filter's bits: sixteen for each value, as a power of two, up to FILTER_BITS."""
-    return min(FILTER_BITS, max(1 << 16, 1 << (16 * count).bit_length()))
-
-
 def _repeated(values: DataFrame, column: str) -> Broadcast:
     """A filter of the column's values that occur more than once, for all tasks."""
     spark = values.sparkSession
     twice = materialize(values.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(column), "twice")
-    bits = bitmap_of(twice, column, _filter_bits(twice.count()))
+    bits = bitmap_of(twice, column, filter_bits(twice.count()))
     discard(twice)
     return spark.sparkContext.broadcast(bits)
 
@@ -510,8 +503,11 @@ def repeated_starts(docs: DataFrame, parts: int) -> DataFrame:
     found = materialize(adjacent_prefixes(alive.drop("x1", "x2", "z2").join(ranked, ["d", "i"]), parts), "adjacent", "lz4")
     discard(*trash)
     tidy(spark)
-    anchors_of = found.groupBy("d").agg(F.collect_list(F.struct("at", "lo", "hi", "prev", "most")).alias("anchors"))
-    texts = materialize(docs.select("d", "text").join(anchors_of, "d"), "open")
+    anchors_of = materialize(found.groupBy("d").agg(F.collect_list(F.struct("at", "lo", "hi", "prev", "most")).alias("anchors")), "anchors-of")
+    concerned = key_filter(anchors_of, "d")
+    texts = materialize(passing(docs.select("d", "text"), "d", concerned).join(anchors_of, "d"), "open")
+    concerned.destroy()
+    discard(anchors_of)
     tidy(spark)
     filtered = _repeated(texts.mapInArrow(_strings(None), "h0 long"), "h0")
     tidy(spark)
@@ -556,7 +552,11 @@ def remove_repeats(docs: DataFrame, characters: bool = False) -> DataFrame:
     # Rows that share an id, or have none, are texts of their own.
     keyed = row_keys(plain, "d")
     starts = repeated_starts(keyed, parts_for(size, TEXT_BYTES, 8))
-    spans = starts.groupBy("d").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    spans = materialize(starts.groupBy("d").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "spans")
+    # Texts without a repeat are not shuffled; they go through the cut as they are.
+    concerned = key_filter(spans, "d")
+    touched = passing(keyed, "d", concerned).join(spans, "d", "left").select("doc_id", "text", "runs")
+    others = passing(keyed, "d", concerned, inside=False).select("doc_id", "text", F.lit(None).cast(spans.schema["runs"].dataType).alias("runs"))
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -578,4 +578,4 @@ def remove_repeats(docs: DataFrame, characters: bool = False) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_removed", "spans", "kept"],
             )
 
-    return keyed.join(spans, "d", "left").mapInArrow(lean(cut), "doc_id long, n_bytes long, n_removed long, spans array<struct<start:int,stop:int>>, kept binary")
+    return touched.unionByName(others).mapInArrow(lean(cut), "doc_id long, n_bytes long, n_removed long, spans array<struct<start:int,stop:int>>, kept binary")
