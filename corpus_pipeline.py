@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm import bpe, importance, mixing, simhash, suffixes
-from loomtext.llm.common import materialize, read_table, row_keys
+from loomtext.llm.common import key_filter, materialize, passing, read_table, row_keys
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -29,19 +29,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = simhash.similar_documents(keyed.select(F.col("_row").alias("doc_id"), "text"), width=5)
     rows = groups.select(F.col("doc_id").alias("_at"), "component_id").join(keyed.select("doc_id", "_row"), F.col("_at") == F.col("_row"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row"))
-    kept = rows.groupBy("component_id").agg(first.alias("one")).select(F.col("one._row").alias("_kept"))
-    return keyed.join(kept, F.col("_row") == F.col("_kept"), "left_semi").select(*docs.columns)
+    kept = rows.groupBy("component_id").agg(first.alias("one")).select(F.col("one._row").alias("_at"))
+    gone = materialize(groups.select(F.col("doc_id").alias("_at")).join(kept, "_at", "left_anti"), "gone")
+    # Few rows go: only those that a filter of them lets through are joined.
+    concerned = key_filter(gone, "_at")
+    left = passing(keyed, "_row", concerned).join(gone, F.col("_row") == F.col("_at"), "left_anti")
+    return passing(keyed, "_row", concerned, inside=False).unionByName(left).select(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut every repeated 400-byte string out of the texts; a character cut in part stays."""
     keyed = row_keys(docs)
     cut = suffixes.remove_repeats(keyed.select(F.col("_row").alias("doc_id"), "text"), characters=True)
-    cut = cut.where("n_removed > 0").select(F.col("doc_id").alias("_cut"), F.decode(F.col("kept"), "utf-8").alias("_text"))
-    joined = keyed.join(cut, F.col("_row") == F.col("_cut"), "left")
+    cut = materialize(cut.where("n_removed > 0").select(F.col("doc_id").alias("_cut"), F.decode(F.col("kept"), "utf-8").alias("_text")), "cut")
+    concerned = key_filter(cut, "_cut")
+    joined = passing(keyed, "_row", concerned).join(cut, F.col("_row") == F.col("_cut"), "left")
     text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.col("_text"))
-    changed = joined.withColumn("text", text).withColumn("n_chars", F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("text")))
-    return changed.select(*docs.columns)
+    changed = joined.withColumn("text", text).withColumn("n_chars", F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return passing(keyed, "_row", concerned, inside=False).select(*docs.columns).unionByName(changed.select(*docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
