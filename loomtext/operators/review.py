@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.sources.barrier import materialize
+
 STATUSES = ("accept", "adjust", "escalate")
 
 
@@ -18,18 +20,20 @@ def packets(queue: DataFrame, size: int = 2000, context: int = 200, policy: str
     `ends` is the plan under review, `candidates` the offsets that may end a chunk. Inner
     plan ends are candidates too; the body's own end is never chosen.
     """
-    n = F.length("text")
+    # The plan and the candidates are folds over the text: they are made once.
+    queue = materialize(queue.select("doc_id", "text", F.length("text").alias("n"), "ends", "candidates"), "review-queue")
+    n = F.col("n")
     inner = F.filter("ends", lambda e: e < n)
     allowed = F.array_sort(F.array_union(inner, F.filter("candidates", lambda c: (c > 0) & (c < n))))
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
-    each = queue.select("doc_id", "text", n.alias("n"), inner.alias("inner"), allowed.alias("allowed"), F.sha2("text", 256).alias("body_sha256"), F.posexplode(starts).alias("unit_ordinal", "start"))
+    each = queue.select("doc_id", "text", "n", inner.alias("inner"), allowed.alias("allowed"), F.sha2("text", 256).alias("body_sha256"), F.posexplode(starts).alias("unit_ordinal", "start"))
     end = F.least(F.col("start") + size, F.col("n"))
     within = lambda c: F.filter(c, lambda x: (x >= F.col("start")) & (x < F.col("end")))
     sized = each.withColumn("end", end).withColumn("baseline", F.array_sort(within("inner"))).withColumn("choices", within("allowed"))
     low, high = F.greatest(F.col("start") - context, F.lit(0)), F.least(F.col("end") + context, F.col("n"))
     shown = sized.withColumn("context_text", F.substring("text", low + 1, high - low))
     bound = F.struct(F.lit(policy).alias("policy"), "doc_id", "body_sha256", "unit_ordinal", "start", "end", "baseline", "choices", "context_text")
-    return shown.select("doc_id", "unit_ordinal", "start", "end", "n", "baseline", "choices", "context_text", F.sha2(F.to_json(bound), 256).alias("packet_sha256"))
+    return materialize(shown.select("doc_id", "unit_ordinal", "start", "end", "n", "baseline", "choices", "context_text", F.sha2(F.to_json(bound), 256).alias("packet_sha256")), "packets")
 
 
 def judged(packet: DataFrame, decisions: DataFrame) -> DataFrame:
