@@ -404,6 +404,33 @@ def set_sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, k0 long, k1 long, s0 long, s1 long")
 
 
+def may_have_partners(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """Those of the ids whose shingle set can have a partner of similarity 0.8 among them.
+
+    A partner shares at least 0.8 of a set's n shingles. Shingles that no other of the ids
+    has are shared with none, so a set with over n - ceil(0.8 n) of them has no partner.
+    Nothing is lost: this is a count, not a guess.
+    """
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            sets = [np.unique(shingle_hashes(text, width)).view(np.int64) for text in batch.column("text").to_pylist()]
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+            names = np.repeat(batch.column("id").to_numpy(), sizes)
+            yield pa.record_batch([pa.array(names), pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], names=["id", "h"])
+
+    concerned = key_filter(ids, "id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
+    each = materialize(passing(texts, "id", concerned).join(ids, "id", "left_semi").mapInArrow(lean(run), "id long, h long").distinct(), "shingles", "lz4")
+    own = each.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count(F.lit(1)).alias("u"))
+    sized = each.groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(own, "id", "left")
+    lonely = sized.where(F.col("u") > F.col("n") - F.floor((4 * F.col("n") + 4) / 5)).select("id")
+    left = materialize(ids.join(lonely, "id", "left_anti"), "ids")
+    concerned.destroy()
+    discard(each)
+    return left
+
+
 def verified(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     """Those of the pairs (a, b) of doc_ids whose shingle sets have Jaccard 0.8 or more.
 
@@ -485,6 +512,7 @@ def similar_documents(docs: DataFrame, width: int = 5, sketch_bits: int = SKETCH
     roots = connected(links)
     dense = found.where("dense").select(F.explode(F.array("a", "b")).alias("id")).distinct()
     if not dense.isEmpty():
+        dense = may_have_partners(docs, materialize(dense, "dense"), width)
         held = distinct.select("id", "s0", "s1").join(dense, "id", "left_semi").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         held = materialize(held, "held")
         candidates = search(held, 0)

@@ -180,3 +180,21 @@ def test_similar_documents_are_verified_exactly(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(table(spark, texts)).collect()}
     wrong = [i for i in range(len(sets)) if got[i] != label[i]]
     assert all(got[i] == i for i in wrong) and len(wrong) <= 1
+
+
+def test_partners_by_counts_lose_none(spark):
+    """What is left out has no partner at 0.8 in a group of copies with ever more edits."""
+    rng = np.random.default_rng(12)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for k in range(90):
+        words = list(base)
+        for at in rng.choice(120, k // 4, replace=False):
+            words[at] = f"x{int(rng.integers(0, 10**9))}" if k % 3 else f"y{at}"
+        texts.append(" ".join(words))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(116)} for t in texts]
+    paired = {i for i, a in enumerate(sets) if any(i != j and a != b and len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets))}
+    first = {frozenset(a): i for i, a in reversed(list(enumerate(sets)))}
+    ids = spark.createDataFrame([(i,) for i in sorted(first.values())], "id long")
+    left = {r.id for r in simhash.may_have_partners(table(spark, texts), ids, 5).collect()}
+    assert {first[frozenset(sets[i])] for i in paired} <= left < set(first.values())
