@@ -95,12 +95,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Rows of the Arrow batches that go to Python workers, where the session has the default.
+BATCH_ROWS = 2_500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Pass texts to Python in smaller batches than Spark's default of 10,000 rows.
+
+    A batch is held by the executor and by the worker; whole texts make the default many
+    times larger than a row of numbers would. A session's own setting stays.
+    """
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting) == "10000":
+        spark.conf.set(setting, str(BATCH_ROWS))
+
+
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write a table to the shared folder and read it back, which cuts its lineage.
 
     A lost executor then costs a reread only; nothing depends on its local disk.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
