@@ -208,7 +208,8 @@ def index_links(words: DataFrame, limit: int, sketch_limit: int | None = None, l
     """
     carried = ["s0", "s1"] if sketch_limit is not None else []
     rooted = bool(carried) and "root" in words.columns
-    carried += ["root"] * rooted
+    sized = rooted and {"n", "m"} <= set(words.columns)
+    carried += ["root"] * rooted + ["n", "m"] * sized
     n = words.count()
     ranges = min(MAX_RANGES, parts_for(n, node_rows, least_nodes))
     ranked = words.select("id", "word", *carried, gray_rank(F.col("word")).alias("rank"))
@@ -271,6 +272,8 @@ def index_links(words: DataFrame, limit: int, sketch_limit: int | None = None, l
         label = np.where(alike(np.arange(len(w)), label), label, np.arange(len(w)))
         if rooted:
             label = np.unique(table["root"].to_numpy()[order], return_inverse=True)[1]
+        if sized:
+            n, m = (table[c].to_numpy()[order] for c in ("n", "m"))
         far: list[tuple[np.ndarray, np.ndarray]] = []
         words_ = w[starts]
         inner = np.flatnonzero(member[starts])
@@ -287,6 +290,10 @@ def index_links(words: DataFrame, limit: int, sketch_limit: int | None = None, l
                 keep = label[x] != label[y]
                 x, y = x[keep], y[keep]
                 keep = alike(x, y)
+                if sized:
+                    # Two sets share at most what the one has that is not its own alone.
+                    most = np.minimum(m[x], m[y])
+                    keep &= 5 * most >= 4 * (n[x] + n[y] - most)
                 if rooted:
                     far.append((ids[x[keep]], ids[y[keep]]))
                 elif keep.any():
@@ -405,7 +412,9 @@ def set_sketches(docs: DataFrame, width: int) -> DataFrame:
 
 
 def may_have_partners(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """Those of the ids whose shingle set can have a partner of similarity 0.8 among them.
+    """(id, n, m) of the ids whose shingle set can have a partner of similarity 0.8 among them.
+
+    n is the set's size and m how many of its shingles any other of the ids has.
 
     A partner shares at least 0.8 of a set's n shingles. Shingles that no other of the ids
     has are shared with none, so a set with over n - ceil(0.8 n) of them has no partner.
@@ -424,8 +433,10 @@ def may_have_partners(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     each = materialize(passing(texts, "id", concerned).join(ids, "id", "left_semi").mapInArrow(lean(run), "id long, h long").distinct(), "shingles", "lz4")
     own = each.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count(F.lit(1)).alias("u"))
     sized = each.groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(own, "id", "left")
-    lonely = sized.where(F.col("u") > F.col("n") - F.floor((4 * F.col("n") + 4) / 5)).select("id")
-    left = materialize(ids.join(lonely, "id", "left_anti"), "ids")
+    own = F.coalesce("u", F.lit(0))
+    few = own <= F.col("n") - F.floor((4 * F.col("n") + 4) / 5)
+    bare = ids.join(sized.select("id", "n", (F.col("n") - own).alias("m"), few.alias("few")), "id", "left")
+    left = materialize(bare.where("few is null or few").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("m", F.lit(0)).cast("long").alias("m")), "ids")
     concerned.destroy()
     discard(each)
     return left
@@ -513,7 +524,7 @@ def similar_documents(docs: DataFrame, width: int = 5, sketch_bits: int = SKETCH
     dense = found.where("dense").select(F.explode(F.array("a", "b")).alias("id")).distinct()
     if not dense.isEmpty():
         dense = may_have_partners(docs, materialize(dense, "dense"), width)
-        held = distinct.select("id", "s0", "s1").join(dense, "id", "left_semi").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        held = distinct.select("id", "s0", "s1").join(dense, "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         held = materialize(held, "held")
         candidates = search(held, 0)
         rest = materialize(candidates.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
