@@ -281,8 +281,8 @@ def index_links(words: DataFrame, limit: int, sketch_limit: int | None = None, l
         for shift in (1, 2, 4, 8, 16, 32):
             g ^= g >> np.uint64(shift)
         inner = inner[np.argsort(g, kind="stable")]
-        for q, m in GrayTree(words_[inner]).search(words_, limit) if len(inner) else ():
-            v = inner[m]
+        for q, near in GrayTree(words_[inner]).search(words_, limit) if len(inner) else ():
+            v = inner[near]
             once = ~member[starts[q]] | (q <= v)
             least, most = np.minimum.reduceat(label, starts), np.maximum.reduceat(label, starts)
             once &= np.minimum(least[q], least[v]) != np.maximum(most[q], most[v])

@@ -198,3 +198,22 @@ def test_partners_by_counts_lose_none(spark):
     ids = spark.createDataFrame([(i,) for i in sorted(first.values())], "id long")
     left = {r.id for r in simhash.may_have_partners(table(spark, texts), ids, 5).collect()}
     assert {first[frozenset(sets[i])] for i in paired} <= left < set(first.values())
+
+
+def test_sized_links_equal_brute_force(spark):
+    """Of rows of different roots, exactly those pairs that the counts of their sets allow."""
+    rng = np.random.default_rng(21)
+    rows = []
+    for word in rng.integers(-(2**62), 2**62, 12).tolist():
+        for _ in range(30):
+            n = int(rng.integers(80, 120))
+            rows.append((len(rows), word ^ (1 << int(rng.integers(0, 60))), 5, 9, len(rows) % 7, n, n - int(rng.integers(0, 25))))
+    df = spark.createDataFrame(rows, "id long, word long, s0 long, s1 long, root long, n long, m long")
+    got = {(min(r.a, r.b), max(r.a, r.b)) for r in simhash.index_links(df, 2, 24, node_rows=16).collect()}
+    want = set()
+    for i, v, _, _, root, n, m in rows:
+        for j, w, _, _, other, k, l in rows[:i]:
+            most = min(m, l)
+            if (v ^ w).bit_count() <= 2 and root != other and 5 * most >= 4 * (n + k - most):
+                want.add((j, i))
+    assert want and got == want
