@@ -204,12 +204,13 @@ def index_links(words: DataFrame, limit: int, sketch_limit: int | None = None, l
     their sketches (s0, s1) in at most that many. Ids are distinct for each row's text.
     With `few`, a range's components of at most so many rows give all their links; the
     edges of larger ones are spanning ones, marked dense. With a root and a sketch limit,
-    the result is all links between rows of different roots instead.
+    the result is all links between rows of different roots instead; of rows (n, m, parity)
+    as may_have_partners gives them, those that may have a similarity of 0.8.
     """
     carried = ["s0", "s1"] if sketch_limit is not None else []
     rooted = bool(carried) and "root" in words.columns
-    sized = rooted and {"n", "m"} <= set(words.columns)
-    carried += ["root"] * rooted + ["n", "m"] * sized
+    sized = rooted and {"n", "m", "parity"} <= set(words.columns)
+    carried += ["root"] * rooted + ["n", "m", "parity"] * sized
     n = words.count()
     ranges = min(MAX_RANGES, parts_for(n, node_rows, least_nodes))
     ranked = words.select("id", "word", *carried, gray_rank(F.col("word")).alias("rank"))
@@ -274,6 +275,7 @@ def index_links(words: DataFrame, limit: int, sketch_limit: int | None = None, l
             label = np.unique(table["root"].to_numpy()[order], return_inverse=True)[1]
         if sized:
             n, m = (table[c].to_numpy()[order] for c in ("n", "m"))
+            parity = np.frombuffer(b"".join(table["parity"].to_pylist()), np.uint64).reshape(len(order), -1)[order]
         far: list[tuple[np.ndarray, np.ndarray]] = []
         words_ = w[starts]
         inner = np.flatnonzero(member[starts])
@@ -290,14 +292,19 @@ def index_links(words: DataFrame, limit: int, sketch_limit: int | None = None, l
                 keep = label[x] != label[y]
                 x, y = x[keep], y[keep]
                 keep = alike(x, y)
+                x, y = x[keep], y[keep]
                 if sized:
                     # Two sets share at most what the one has that is not its own alone.
                     most = np.minimum(m[x], m[y])
-                    keep &= 5 * most >= 4 * (n[x] + n[y] - most)
+                    keep = 5 * most >= 4 * (n[x] + n[y] - most)
+                    x, y = x[keep], y[keep]
+                    # Similarity 0.8 is a difference of a ninth of both sizes at most.
+                    keep = 9 * unequal(parity, x, y) <= n[x] + n[y]
+                    x, y = x[keep], y[keep]
                 if rooted:
-                    far.append((ids[x[keep]], ids[y[keep]]))
-                elif keep.any():
-                    label = components(len(w), label[x[keep]], label[y[keep]])[label]
+                    far.append((ids[x], ids[y]))
+                elif len(x):
+                    label = components(len(w), label[x], label[y])[label]
         if rooted:
             a, b = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in far)]) for k in (0, 1))
             return pa.table({"a": a, "b": b, "dense": np.zeros(len(a), bool)})
@@ -315,7 +322,7 @@ def index_links(words: DataFrame, limit: int, sketch_limit: int | None = None, l
             found.append((ids[x[keep]], ids[y[keep]], np.zeros(keep.sum(), bool)))
         return pa.table({name: np.concatenate([f[k] for f in found]) for k, name in enumerate(("a", "b", "dense"))})
 
-    schema = "at long, member boolean, id long, word long" + "".join(f", {c} long" for c in carried)
+    schema = "at long, member boolean, id long, word long" + "".join(f", {c} {words.schema[c].dataType.simpleString()}" for c in carried)
     visits = ordered.mapInArrow(lean(route), schema)
     # A node with its visitors is a bounded group: node_rows members and the words near them.
     edges = visits.repartition(ranges, "at").groupBy("at").applyInArrow(lean_group(link), "a long, b long, dense boolean").where(F.col("a") != F.col("b")).distinct()
@@ -376,6 +383,8 @@ SAMPLED, TABLES, FEW_TEXTS, MORE = 24, 24, 1 << 24, 1.28
 SKETCH_BITS, TABLE_NODE_ROWS = 32, 1 << 18
 #: Tables that are searched at once: the disk that visits take is that of one such pass.
 PASS_TABLES = 8
+#: Bits of a set's parities.
+PARITY = 2048
 #: Rows of a range's component that gives all its pairs, and stars tried for a row of a larger one.
 FEW, STARS = 32, 8
 
@@ -411,10 +420,30 @@ def set_sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, k0 long, k1 long, s0 long, s1 long")
 
 
+def parities(hashes: np.ndarray) -> bytes:
+    """PARITY bits of a set: each tells whether an odd number of members fall on it.
+
+    The bits in which two sets differ are those of their symmetric difference, so there
+    are at most as many as that has members: a bound, not an estimate.
+    """
+    count = np.bincount((remix(hashes) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY)
+    return np.packbits((count & 1).astype(bool), bitorder="little").tobytes()
+
+
+def unequal(parity: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many parities the rows x and y differ."""
+    out = np.zeros(len(x), np.int64)
+    for a in range(0, len(x), 1 << 15):
+        some = slice(a, a + (1 << 15))
+        out[some] = np.bitwise_count(parity[x[some]] ^ parity[y[some]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def may_have_partners(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, n, m) of the ids whose shingle set can have a partner of similarity 0.8 among them.
+    """(id, n, m, parity) of the ids whose shingle set can have a partner of similarity 0.8 among them.
 
-    n is the set's size and m how many of its shingles any other of the ids has.
+    n is the set's size, m how many of its shingles any other of the ids has, and parity
+    the set's parities.
 
     A partner shares at least 0.8 of a set's n shingles. Shingles that no other of the ids
     has are shared with none, so a set with over n - ceil(0.8 n) of them has no partner.
@@ -439,7 +468,23 @@ def may_have_partners(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     left = materialize(bare.where("few is null or few").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("m", F.lit(0)).cast("long").alias("m")), "ids")
     concerned.destroy()
     discard(each)
-    return left
+
+    def odd(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            found = [parities(np.unique(shingle_hashes(text, width))) for text in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("id"), pa.array(found, pa.binary())], names=["id", "parity"])
+
+    concerned = key_filter(left, "id")
+    bits = passing(texts, "id", concerned).mapInArrow(lean(odd), "id long, parity binary").dropDuplicates(["id"])
+    whole = materialize(left.join(bits, "id"), "parities")
+    concerned.destroy()
+    discard(left)
+    return whole
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(id): each end of the pairs (a, b) once."""
+    return pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).distinct()
 
 
 def verified(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
@@ -454,7 +499,7 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
             sets = [np.unique(shingle_hashes(text, width)).view(np.int64) for text in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = _ends(pairs)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     ids = materialize(ids, "ids")
     concerned = key_filter(ids, "id")
@@ -475,7 +520,8 @@ def similar_documents(docs: DataFrame, width: int = 5, sketch_bits: int = SKETCH
     differing bits. Each table indexes sampled sketch bits at two differences; candidates
     may differ in SKETCH_BITS of the whole sketch. A link is a candidate whose exact sets
     have a similarity of 0.8. In dense places stars are verified first, then every
-    candidate whose ends are not linked yet, so each candidate is linked or tested.
+    candidate whose ends are not linked yet, so each candidate is linked or tested; what
+    counts and parities of the two sets rule out for certain is not tested any further.
     """
     marked = materialize(set_sketches(docs, width), "sketches")
     distinct = materialize(marked.groupBy("k0", "k1", "s0", "s1").agg(F.min("doc_id").alias("id")), "distinct")
@@ -498,7 +544,7 @@ def similar_documents(docs: DataFrame, width: int = 5, sketch_bits: int = SKETCH
                     tag = np.uint64((t << 54) | (t << 44) | (t << 34))
                     yield pa.record_batch([*batch.columns, pa.array((low | tag).view(np.int64))], names=[*batch.schema.names, "word"])
 
-        schema = ", ".join(f"{name} long" for name in [*rows.columns, "word"])
+        schema = ", ".join(f"{name} {kind}" for name, kind in [*rows.dtypes, ("word", "bigint")])
         return materialize(rows.mapInArrow(lean(spread), schema), "words", "lz4")
 
     def search(rows: DataFrame, few: int) -> DataFrame:
@@ -521,7 +567,7 @@ def similar_documents(docs: DataFrame, width: int = 5, sketch_bits: int = SKETCH
     pairs = materialize(found.where("not dense").select("a", "b").unionByName(stars).distinct(), "pairs")
     links = verified(docs, pairs, width)
     roots = connected(links)
-    dense = found.where("dense").select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    dense = _ends(found.where("dense"))
     if not dense.isEmpty():
         dense = may_have_partners(docs, materialize(dense, "dense"), width)
         held = distinct.select("id", "s0", "s1").join(dense, "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))

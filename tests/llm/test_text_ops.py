@@ -207,13 +207,45 @@ def test_sized_links_equal_brute_force(spark):
     for word in rng.integers(-(2**62), 2**62, 12).tolist():
         for _ in range(30):
             n = int(rng.integers(80, 120))
-            rows.append((len(rows), word ^ (1 << int(rng.integers(0, 60))), 5, 9, len(rows) % 7, n, n - int(rng.integers(0, 25))))
-    df = spark.createDataFrame(rows, "id long, word long, s0 long, s1 long, root long, n long, m long")
+            rows.append((len(rows), word ^ (1 << int(rng.integers(0, 60))), 5, 9, len(rows) % 7, n, n - int(rng.integers(0, 25)), bytes(256)))
+    df = spark.createDataFrame(rows, "id long, word long, s0 long, s1 long, root long, n long, m long, parity binary")
     got = {(min(r.a, r.b), max(r.a, r.b)) for r in simhash.index_links(df, 2, 24, node_rows=16).collect()}
     want = set()
-    for i, v, _, _, root, n, m in rows:
-        for j, w, _, _, other, k, l in rows[:i]:
+    for i, v, _, _, root, n, m, _ in rows:
+        for j, w, _, _, other, k, l, _ in rows[:i]:
             most = min(m, l)
             if (v ^ w).bit_count() <= 2 and root != other and 5 * most >= 4 * (n + k - most):
                 want.add((j, i))
     assert want and got == want
+
+
+def test_dense_groups_test_few_pairs(spark, monkeypatch):
+    """Copies that all differ, by edits that others have too, are not tested pair by pair."""
+    monkeypatch.setattr(simhash, "FEW", 4)
+    tested = []
+    verify = simhash.verified
+    monkeypatch.setattr(simhash, "verified", lambda docs, pairs, width: tested.append(pairs.count()) or verify(docs, pairs, width))
+    rng = np.random.default_rng(23)
+    texts = []
+    for k in range(120):
+        words = [f"w{i}" for i in range(300)]
+        for at in rng.choice(300, 14 if k % 10 else 5, replace=False):
+            words[at] = f"y{at}"
+        texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    label = simhash.components(len(sets), *np.array(near).T)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(sets))] == label.tolist()
+    assert len(tested) == 2 and tested[1] < 1000
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(22)
+    for size, swapped in ((0, 0), (3, 1), (200, 22), (2000, 300), (9000, 4000)):
+        a = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        b = np.concatenate([a[swapped:], rng.integers(0, 1 << 63, swapped // 2, dtype=np.uint64)])
+        parity = np.frombuffer(simhash.parities(a) + simhash.parities(b), np.uint64).reshape(2, -1)
+        apart = len(set(a.tolist()) ^ set(b.tolist()))
+        assert 0 <= simhash.unequal(parity, np.array([0]), np.array([1]))[0] <= apart
+        assert size or not parity.any()
