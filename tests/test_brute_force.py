@@ -191,3 +191,34 @@ def test_token_plans_tile_and_prefer_strong_ends():
                 assert all(sum(a <= t < b for t, _ in tokens) <= cap for a, b in zip([0, *ends], ends))
     assert ledger.pack_tokens("a b c. d e f", 4) == [7, 12]
     assert ledger.pack_tokens("a b\n\nc. d e f", 4) == [5, 13]
+
+
+def test_delta_pairs_equal_brute_force(spark, monkeypatch):
+    """Copies, near copies and texts with one passage in common; the last are not scored."""
+    rng = np.random.default_rng(31)
+    word = lambda: f"w{int(rng.integers(0, 10**9))}"
+    common = [f"c{i}" for i in range(60)]
+    rows = []
+    for k in range(60):
+        words = [word() for _ in range(40)]
+        rows.append(" ".join([*words, *common, *(word() for _ in range(200))]))
+        if k % 4 == 0:
+            rows += [rows[-1], rows[-1].replace(words[5], "edited"), "x y " + rows[-1]]
+    old = dict(enumerate(rows))
+    new = {i: t + " z" * 5 if i % 7 == 0 else " ".join(word() for _ in range(90)) if i % 7 == 1 else t for i, t in old.items()}
+    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    moved = {i for i in old if old[i] != new[i]}
+
+    def near(texts):
+        sets = {i: grams(t) for i, t in texts.items()}
+        return {(i, j) for i in sets for j in sets if i < j and {i, j} & moved and len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j])}
+
+    was, now = near(old), near(new)
+    want = {(*p, "new" if p not in was else "resolved" if p not in now else "kept") for p in was | now}
+    counts = {}
+    write = neardup.materialize
+    monkeypatch.setattr(neardup, "materialize", lambda df, name: counts.setdefault(name, write(df, name)))
+    frames = [spark.createDataFrame(list(x.items()), "doc_id long, text string") for x in (old, new)]
+    got = {tuple(r) for r in neardup.delta_pairs(*frames, similarity=0.5, md5=True).collect()}
+    assert got == want and {"resolved", "kept"} <= {s for *_, s in want}
+    assert counts["pairs"].count() < 150
