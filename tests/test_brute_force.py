@@ -222,3 +222,24 @@ def test_delta_pairs_equal_brute_force(spark, monkeypatch):
     got = {tuple(r) for r in neardup.delta_pairs(*frames, similarity=0.5, md5=True).collect()}
     assert got == want and {"resolved", "kept"} <= {s for *_, s in want}
     assert counts["pairs"].count() < 150
+
+
+def test_sets_go_once_a_tile(spark, monkeypatch):
+    """All pairs of a group of 100 and some others: right, and far fewer sets sent than pairs."""
+    rng = np.random.default_rng(37)
+    base = rng.integers(0, 1 << 40, 60)
+    sets = {bytes([k]) * 16: np.unique(np.concatenate([base[k % 9 :], rng.integers(0, 1 << 40, k % 50)])) for k in range(100)}
+    sets |= {bytes([k]) * 16: rng.integers(0, 1 << 40, 40) for k in range(100, 104)}
+    names = sorted(sets)
+    rows = [(p, q, True, k % 2 == 0) for k, (p, q) in enumerate((p, q) for p in names[:100] for q in names[:100] if p < q)]
+    rows += [(names[0], names[100], True, True), (names[101], names[102], True, False), (names[102], names[103], False, True)]
+    ratio = lambda p, q: len(np.intersect1d(sets[p], sets[q])) / len(np.union1d(sets[p], sets[q]))
+    counts = {}
+    write = neardup.materialize
+    monkeypatch.setattr(neardup, "materialize", lambda df, name: counts.setdefault(name, write(df, name)))
+    pairs = spark.createDataFrame(rows, "x binary, y binary, old boolean, new boolean")
+    held = spark.createDataFrame([(b, g.tolist()) for b, g in sets.items()], "body binary, grams array<long>")
+    got = {(bytes(r.x), bytes(r.y), r.old, r.new) for r in neardup.alike_pairs(pairs, held, 0.7).collect()}
+    want = {r for r in rows if ratio(r[0], r[1]) >= 0.7}
+    assert got == want and 0 < len(want) < len(rows)
+    assert 104 <= counts["tiles"].count() < 500 < len(rows)
