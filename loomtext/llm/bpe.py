@@ -92,16 +92,37 @@ def _rare_words(text: str, path: str) -> list[str]:
     return out
 
 
+@functools.lru_cache(maxsize=1)
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """A compressor and a decompressor, once per worker process."""
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def pack_words(data: np.ndarray, lengths: np.ndarray) -> bytes:
     """Words as one compressed string: their lengths, then their bytes."""
-    short = np.minimum(lengths, 255).astype(np.uint8)
-    head = np.array([len(lengths)], "<u4").tobytes() + short.tobytes() + lengths[lengths >= 255].astype("<u4").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + data.tobytes())
+    return pack_texts(data, lengths, np.array([len(lengths)]))[0]
+
+
+def pack_texts(data: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """The words of some texts, `counts` of them each, packed text by text."""
+    z, _ = _zstd()
+    short, raw = np.minimum(lengths, 255).astype(np.uint8).tobytes(), data.tobytes()
+    long = np.flatnonzero(lengths >= 255)
+    wide = lengths[long].astype("<u4").tobytes()
+    ends = np.cumsum(counts)
+    bytes_to = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], ends])].tolist()
+    long_to = [0, *(4 * np.searchsorted(long, ends)).tolist()]
+    out, at = [], 0
+    for k, n in enumerate(counts.tolist()):
+        head = n.to_bytes(4, "little") + short[at : at + n] + wide[long_to[k] : long_to[k + 1]]
+        out.append(z.compress(head + raw[bytes_to[k] : bytes_to[k + 1]]))
+        at += n
+    return out
 
 
 def unpack_words(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and lengths of packed words."""
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    raw = np.frombuffer(_zstd()[1].decompress(packed), np.uint8)
     n = int(raw[:4].view("<u4")[0])
     lengths = raw[4 : 4 + n].astype(np.int64)
     long = np.flatnonzero(lengths == 255)
@@ -119,37 +140,47 @@ def _string_array(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
 def packer(path: str, split, place):
     """Compress each document's words; unusual ones are split by the tokenizer's own rules.
 
-    `split` gives a plain text's words as bytes and lengths, `place` each row's block.
+    `split` gives the words of plain texts, from their bytes and offsets, as bytes, lengths
+    and each text's number of them; `place` gives each row's block.
     """
 
     def pack(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in rows:
             for batch in batches_of([whole], "words", PIECE_BYTES):
-                data, offsets = flat_strings(batch.column("words"))
-                out = []
-                for a, b, odd in zip(offsets[:-1].tolist(), offsets[1:].tolist(), batch.column("rare").to_pylist(), strict=True):
-                    text = data[a:b]
-                    if odd:
-                        words = [w.encode() for w in _rare_words(text.tobytes().decode(), path)]
-                        out.append(pack_words(np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words))))
-                    else:
-                        out.append(pack_words(*split(text)))
+                rare = np.array(batch.column("rare").to_pylist(), bool)
+                texts = batch.column("words")
+                plain = pack_texts(*split(*flat_strings(texts.filter(pa.array(~rare)) if rare.any() else texts)))
+                out = np.empty(batch.num_rows, object)
+                out[~rare] = plain
+                for k in np.flatnonzero(rare).tolist():
+                    words = [w.encode() for w in _rare_words(texts[k].as_py(), path)]
+                    out[k] = pack_words(np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words)))
                 yield pa.record_batch([batch.column("doc_id"), place(batch), pa.array(out, pa.binary())], names=["doc_id", "block", "packed"])
 
     return pack
 
 
-def closed_words(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words that a line feed closes, as bytes and lengths."""
-    ends = np.flatnonzero(text == 10)
-    return text[text != 10], np.diff(ends, prepend=-1) - 1
+def closed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words that a line feed closes, as bytes, lengths and each text's number of them."""
+    ends = np.flatnonzero(data == 10)
+    return data[data != 10], np.diff(ends, prepend=-1) - 1, np.diff(np.searchsorted(ends, offsets))
 
 
 def _block_words(packed: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of a block in order, and how many each document has."""
-    texts = [unpack_words(b) for b in packed.to_pylist()]
-    counts = np.fromiter((len(n) for _, n in texts), np.int64, len(texts))
-    return _string_array(np.concatenate([d for d, _ in texts]), np.concatenate([n for _, n in texts])), counts
+    _, unz = _zstd()
+    counts, heads, wide, bodies = [], [], [], []
+    for one in packed.to_pylist():
+        raw = unz.decompress(one)
+        n = int.from_bytes(raw[:4], "little")
+        at = 4 + n + 4 * raw.count(b"\xff", 4, 4 + n)
+        counts.append(n)
+        heads.append(raw[4 : 4 + n])
+        wide.append(raw[4 + n : at])
+        bodies.append(raw[at:])
+    lengths = np.frombuffer(b"".join(heads), np.uint8).astype(np.int64)
+    lengths[lengths == 255] = np.frombuffer(b"".join(wide), "<u4")
+    return _string_array(np.frombuffer(b"".join(bodies), np.uint8), lengths), np.array(counts, np.int64)
 
 
 def _word_hashes(words: pa.Array) -> np.ndarray:

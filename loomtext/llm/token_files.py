@@ -42,8 +42,10 @@ FILE_BYTES = 6 << 20
 COARSE = 2048
 #: Classes of characters in the byte-level split rule.
 LETTER, NUMBER, BLANK, OTHER = 1, 2, 3, 4
-# The contractions that the rule splits off.
-CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
+#: A byte that UTF-8 never has; it closes each text where many are split at once.
+CLOSE = 0xFF
+# The contractions that the rule splits off, of one letter and of two.
+CONTRACTIONS = (b"stmd", (b"re", b"ve", b"ll"))
 
 
 @functools.lru_cache(maxsize=1)
@@ -58,25 +60,35 @@ def _classes() -> np.ndarray:
 
 
 def split_plain(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words of a text below U+0300 by the byte-level rule, as bytes and lengths.
+    """Words of a text below U+0300 by the byte-level rule, as bytes and lengths."""
+    return split_texts(text, np.array([0, len(text)]))[:2]
+
+
+def split_texts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of texts below U+0300, as bytes, lengths and each text's number of them.
 
     The rule takes, in this order: a contraction; one blank (or none) and a run of
     letters, of numbers or of others; white space up to the last before a word; white
-    space. Runs are found for the whole text at once.
+    space. Runs are found for all texts at once; none passes a text's end.
     """
-    n = len(text)
-    if not n:
-        return text, np.zeros(0, np.int64)
+    sizes = np.diff(offsets)
+    closes = offsets[1:] + np.arange(len(sizes))
+    inside = np.ones(len(data) + len(sizes), bool)
+    inside[closes] = False
+    text = np.full(len(inside), CLOSE, np.uint8)
+    text[inside] = data
     kind = _classes()[text]
-    lead = np.flatnonzero(text >= 0xC0)
+    lead = np.flatnonzero((text >= 0xC0) & inside)
     if len(lead):
         code = ((text[lead].astype(np.int64) & 0x1F) << 6) | (text[lead + 1] & 0x3F)
         kind[lead] = kind[lead + 1] = _classes()[code]
-    start = np.ones(n, bool)
+    kind[closes] = 0
+    start = np.ones(len(text), bool)
     start[1:] = kind[1:] != kind[:-1]
+    start[closes] = True
     blank = kind == BLANK
     # The last blank before a word leaves its run: a space joins the word.
-    last = np.flatnonzero(blank[:-1] & ~blank[1:])
+    last = np.flatnonzero(blank[:-1] & ~blank[1:] & inside[1:])
     if len(lead):
         # Two-byte white space: its last character begins one byte earlier.
         wide = text[last] >= 0x80
@@ -88,14 +100,20 @@ def split_plain(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start[after[text[last] == 32]] = False
     # A contraction: a lone apostrophe that opens a word, then the letters after it.
     mark = np.flatnonzero((text[:-1] == 39) & start[:-1] & (kind[1:] == LETTER))
-    for m in mark.tolist():
-        rest = text[m + 1 : m + 3].tobytes()
-        size = next((len(c) for c in CONTRACTIONS if rest.startswith(c.encode())), 0)
-        if size:
-            start[m + 1] = False
-            if m + 1 + size < n and kind[m + 1 + size] == LETTER:
-                start[m + 1 + size] = True
-    return text, np.diff(np.append(np.flatnonzero(start), n))
+    if len(mark):
+        one, two = text[mark + 1], text[mark + 2]
+        ones, twos = CONTRACTIONS
+        size = np.isin(one, np.frombuffer(ones, np.uint8)).astype(np.int64)
+        for pair in twos:
+            size[(one == pair[0]) & (two == pair[1])] = 2
+        mark, size = mark[size > 0], size[size > 0]
+        start[mark + 1] = False
+        rest = mark + 1 + size
+        start[rest[kind[rest] == LETTER]] = True
+    begins = np.flatnonzero(start)
+    words = inside[begins]
+    counts = np.diff(np.flatnonzero(~words), prepend=-1) - 1
+    return data, np.diff(np.append(begins, len(text)))[words], counts
 
 
 def pack_planes(ids: np.ndarray, width: int, planes: str) -> list[bytes]:
@@ -187,7 +205,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, pla
         return pa.array(np.searchsorted(bounds, ids, "right").astype(np.int32))
 
     blocks = len(bounds) + 1
-    dealt = rows.mapInArrow(lean(bpe.packer(tokenizer_path, split_plain, place)), "doc_id long, block int, packed binary").repartition(blocks, "block")
+    dealt = rows.mapInArrow(lean(bpe.packer(tokenizer_path, split_texts, place)), "doc_id long, block int, packed binary").repartition(blocks, "block")
 
     def finish(left: pa.Table, flat: np.ndarray, counts: np.ndarray) -> pa.Table:
         """Add the end ids and write the block's file."""

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomtext.llm import audio, token_files, warc
+from loomtext.llm import audio, bpe, token_files, warc
 from tests.llm.test_text_ops import ODD, table
 
 
@@ -230,3 +230,20 @@ def test_split_equals_the_library_rule():
         ends = np.cumsum(lengths).tolist()
         got = [data.tobytes()[a:b].decode() for a, b in zip([0, *ends[:-1]], ends)]
         assert got == rule.findall(t), repr(t)
+
+
+def test_texts_split_at_once_equal_texts_split_alone():
+    pieces = ["'", "s", "re", "ll", " ", "  ", "\xa0", "\x85", "\t", "a", "é", "1", "\x00", ".", "ÿ"]
+    rng = np.random.default_rng(4)
+    texts = ["", "'", "a'", "s", "a ", "", " b", "\xa0", "'r", "e", "x" * 300, *("".join(rng.choice(pieces, rng.integers(0, 12))) for _ in range(3000)), ""]
+    whole = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    data, lengths, counts = token_files.split_texts(whole, offsets)
+    packed = bpe.pack_texts(data, lengths, counts)
+    ends = np.cumsum(counts)
+    for k, t in enumerate(texts):
+        alone = np.frombuffer(t.encode(), np.uint8)
+        want = token_files.split_plain(alone)[1].tolist()
+        assert lengths[ends[k] - counts[k] : ends[k]].tolist() == want
+        got = bpe.unpack_words(packed[k])
+        assert got[0].tobytes() == alone.tobytes() and got[1].tolist() == want
