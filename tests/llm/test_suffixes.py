@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 
 from loomtext.llm import suffixes
 
@@ -144,3 +145,24 @@ def test_pipeline_cuts_passages_of_over_fifty_words(spark):
     got = {r.doc_id: r.text for r in corpus_pipeline.repeats(spark, df, "").collect()}
     assert len(passage) == 311 and not any(passage[2:-2] in t for t in got.values())
     assert got == {k: t.replace(f" {passage} ", "") if k < 3 else t for k, t in enumerate(texts)}
+
+
+def test_hashes_that_occur_again_pass_the_filter(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "DEALT", 50)
+    rng = np.random.default_rng(6)
+    once, again = rng.integers(-(1 << 63), 1 << 63, 900), rng.integers(-(1 << 63), 1 << 63, 60)
+    values = rng.permutation(np.concatenate([once, again, again, np.repeat(again[:1], 700)]))
+
+    def run(rows):
+        for batch in rows:
+            yield batch.select(["h"])
+
+    df = spark.createDataFrame([(int(v),) for v in values], "h long").repartition(5)
+    bits = suffixes._repeated(df, run, 7).value
+    assert suffixes.in_bitmap(bits, again).all()
+    assert suffixes.in_bitmap(bits, once).sum() < 90
+    # A very frequent hash is sent twice a share at most.
+    shares = suffixes.dealt(lambda rows: rows, 7)(iter([pa.record_batch([pa.array(np.repeat(again[:1], 700))], names=["h"])]))
+    assert sum(len(p) for s in shares for p in s.column("packed").to_pylist()) == 16
+    empty = spark.createDataFrame([], "h long")
+    assert not suffixes._repeated(empty, run, 7).value.any()
