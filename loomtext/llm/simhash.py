@@ -9,7 +9,8 @@ soon as they pass the limit.
 Shape at scale. Only distinct fingerprints (16 bytes and a doc_id) are indexed, never
 texts. An upper node has NODE_ROWS members however many there are; the shared bits of
 all upper nodes, 16 bytes each, are held by every task and searched as a tree of their
-own. A fingerprint visits the nodes that its differences from their shared bits allow,
+own. Nodes are pieces of the order as a whole: more partitions do not make more of them.
+A fingerprint visits the nodes that its differences from their shared bits allow,
 about the square of the logarithm of the node count. A word has a bounded number of words within the limit,
 so links are linear in the input; a task reports spanning edges of its links only.
 Components come from alternating large-star and small-star rounds on those edges.
@@ -214,17 +215,23 @@ def index_links(words: DataFrame, limit: int, sketch_limit: int | None = None, l
     n = words.count()
     ranges = min(MAX_RANGES, parts_for(n, node_rows, least_nodes))
     ranked = words.select("id", "word", *carried, gray_rank(F.col("word")).alias("rank"))
-    ordered = ranked.repartitionByRange(ranges, "rank").sortWithinPartitions("rank").withColumn("node", F.spark_partition_id().cast("long")).drop("rank")
+    ordered = ranked.repartitionByRange(ranges, "rank").sortWithinPartitions("rank").drop("rank").withColumns({"part": F.spark_partition_id(), "place": F.lit(0).cast("long")})
 
-    def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Cut a range into nodes of consecutive rows."""
+    def count_off(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Number the rows of a range."""
         at = 0
         for batch in rows:
-            node = batch.column("node").to_numpy() * (1 << 32) + (at + np.arange(batch.num_rows)) // node_rows
+            place = pa.array(at + np.arange(batch.num_rows))
             at += batch.num_rows
-            yield batch.set_column(batch.schema.get_field_index("node"), "node", pa.array(node))
-
-    ordered = materialize(ordered.mapInArrow(lean(cut), ordered.schema), "gray", "lz4")
+            yield batch.set_column(batch.schema.get_field_index("place"), "place", place)
+
+    gray = materialize(ordered.mapInArrow(lean(count_off), ordered.schema), "gray", "lz4")
+    # Nodes follow the order as a whole: into how many partitions it was dealt changes none.
+    each = {r["part"]: r["count"] for r in gray.groupBy("part").count().collect()}
+    before = np.cumsum([0, *(each.get(k, 0) for k in range(max(each, default=0)))]).tolist()
+    ahead = F.expr(f"array({', '.join(f'{k}L' for k in before)})[part]")
+    size = min(node_rows, parts_for(n, least_nodes))
+    ordered = gray.withColumn("node", F.floor((ahead + F.col("place")) / size)).drop("part", "place")
     top = ordered.groupBy("node").agg(F.bit_and("word").alias("low"), F.bit_or("word").alias("high")).orderBy("node").collect()
     if not top:
         return materialize(words.sparkSession.createDataFrame([], "a long, b long, dense boolean"), "found")
@@ -278,14 +285,16 @@ def index_links(words: DataFrame, limit: int, sketch_limit: int | None = None, l
             parity = np.frombuffer(b"".join(table["parity"].to_pylist()), np.uint64).reshape(len(order), -1)[order]
         far: list[tuple[np.ndarray, np.ndarray]] = []
         words_ = w[starts]
-        inner = np.flatnonzero(member[starts])
+        # A word's rows can lie in two nodes: those of the earlier one visit the later.
+        inside = np.logical_or.reduceat(member, starts)
+        inner = np.flatnonzero(inside)
         g = words_[inner].copy()
         for shift in (1, 2, 4, 8, 16, 32):
             g ^= g >> np.uint64(shift)
         inner = inner[np.argsort(g, kind="stable")]
         for q, near in GrayTree(words_[inner]).search(words_, limit) if len(inner) else ():
             v = inner[near]
-            once = ~member[starts[q]] | (q <= v)
+            once = ~inside[q] | (q <= v)
             least, most = np.minimum.reduceat(label, starts), np.maximum.reduceat(label, starts)
             once &= np.minimum(least[q], least[v]) != np.maximum(most[q], most[v])
             for x, y in _row_pairs(q[once], v[once], starts, count):
@@ -327,7 +336,7 @@ def index_links(words: DataFrame, limit: int, sketch_limit: int | None = None, l
     # A node with its visitors is a bounded group: node_rows members and the words near them.
     edges = visits.repartition(ranges, "at").groupBy("at").applyInArrow(lean_group(link), "a long, b long, dense boolean").where(F.col("a") != F.col("b")).distinct()
     edges = materialize(edges, "found")
-    discard(ordered)
+    discard(gray)
     uppers.destroy()
     tidy(words.sparkSession)
     return edges

@@ -249,3 +249,52 @@ def test_parities_bound_the_difference():
         apart = len(set(a.tolist()) ^ set(b.tolist()))
         assert 0 <= simhash.unequal(parity, np.array([0]), np.array([1]))[0] <= apart
         assert size or not parity.any()
+
+
+def test_nodes_do_not_follow_partitions(spark, monkeypatch):
+    """A group of near copies makes as many rows of links, however many partitions its order has."""
+    rng = np.random.default_rng(31)
+    base = int(rng.integers(-(2**62), 2**62))
+    words = [base ^ sum(1 << int(b) for b in rng.choice(60, rng.integers(0, 3), replace=False)) for _ in range(600)]
+    df = spark.createDataFrame([(i, w, 5, 9) for i, w in enumerate(words)], "id long, word long, s0 long, s1 long")
+    group, deal = simhash.lean_group, type(df).repartitionByRange
+
+    def rows(parts):
+        made = spark.sparkContext.accumulator(0)
+
+        def counted(run):
+            def link(table):
+                out = run(table)
+                made.add(out.num_rows)
+                return out
+
+            return group(link)
+
+        monkeypatch.setattr(simhash, "lean_group", counted)
+        monkeypatch.setattr(type(df), "repartitionByRange", lambda self, n, *cols: deal(self, max(n, parts), *cols))
+        edges = simhash.index_links(df, 2, 24, least_nodes=4, few=32)
+        return made.value, {(r.a, r.b) for r in edges.collect()}
+
+    assert rows(4) == rows(48)
+
+
+def test_words_across_nodes_equal_brute_force(spark):
+    """Rows of one word lie in several nodes; the sketches of most differ."""
+    rng = np.random.default_rng(33)
+    rows = []
+    for word in rng.integers(-(2**62), 2**62, 12).tolist():
+        for _ in range(14):
+            sketch = rng.integers(0, 2, 128)
+            near = sketch.copy()
+            near[rng.choice(128, 9, replace=False)] ^= 1
+            for bits, w in ((sketch, word), (near, word ^ (1 << int(rng.integers(0, 60))) if rng.random() < 0.5 else word)):
+                s0, s1 = np.packbits(bits, bitorder="little").view("<i8").tolist()
+                rows.append((len(rows), w, s0, s1))
+    mixed = rng.permutation(len(rows)).tolist()
+    rows = sorted((mixed[i], *rest) for i, *rest in rows)
+    df = spark.createDataFrame(rows, "id long, word long, s0 long, s1 long")
+    roots = {r.id: r.root for r in simhash.connected(simhash.index_links(df, 2, 24, node_rows=5)).collect()}
+    w, s0, s1 = (np.array([r[k] for r in rows]).view(np.uint64) for k in (1, 2, 3))
+    apart = np.bitwise_count(s0[:, None] ^ s0).astype(int) + np.bitwise_count(s1[:, None] ^ s1)
+    label = simhash.components(len(w), *np.nonzero((np.bitwise_count(w[:, None] ^ w) <= 2) & (apart <= 24)))
+    assert roots == {i: int(k) for i, k in enumerate(label) if k != i}
